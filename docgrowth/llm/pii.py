@@ -178,7 +178,6 @@ def _joined(spans: dict[str, list[Span]]) -> str:
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, n_plain long, base_sha256 string, spans string"
 
 
-@F.pandas_udf(FOUND)
 def found(text: pd.Series) -> pd.DataFrame:
     rows = []
     for x in text:
@@ -203,7 +202,7 @@ def masked(text: str | None, mask: str = "<{}>") -> str | None:
 
 def find_pii(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     """docs with a column `pii` of counts by kind, a digest of the plain spans, and all spans."""
-    return docs.withColumn("pii", found(text))
+    return docs.withColumn("pii", F.pandas_udf(found, FOUND)(text))
 
 
 def mask_pii(docs: DataFrame, text: str = "text", mask: str = "<{}>") -> DataFrame:
