@@ -1,6 +1,7 @@
 """Toxicity scores from a counterfactually regularised linear classifier.
 
-Logistic regression on the words of a text. For every training text that names a group
+Logistic regression on the words of a text and their beginnings (inflected and compound
+insults share these), kept if they point to toxic texts well beyond chance. For every training text that names a group
 of people, the group's name is swapped for another and the change of the score is
 penalised, so that naming a group moves no score by itself.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,23 +40,44 @@ IDENTITY = (
 )
 
 
+#: Beginnings of words that are features beside the words, marked by a leading ^.
+BEGINNINGS = (4, 5, 6)
+
+
 def words(text: str | None) -> set[str]:
     return set(_WORDS.findall(text.lower())) if text else set()
 
 
+def parts(word: str) -> list[str]:
+    return [word, *(f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n)]
+
+
+def features(found: set[str]) -> set[str]:
+    return {x for w in found for x in parts(w)}
+
+
 @dataclass(frozen=True)
 class Model:
     bias: float
     weights: dict[str, float]
 
     def score(self, text: str | None) -> float:
-        known = self.weights.keys() & words(text)
-        z = self.bias + sum(self.weights[w] for w in sorted(known))
+        known = {x for w in words(text) if w[:4] in self.openings for x in parts(w) if x in self.weights}
+        z = self.bias + sum(self.weights[x] for x in sorted(known))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
+    @cached_property
+    def openings(self) -> frozenset[str]:
+        """The first four letters of whatever has a weight: most words need no further look."""
+        return frozenset(x.lstrip("^")[:4] for x in self.weights)
+
+
+def train(texts: list[set[str]], y: np.ndarray, fairness: float = 1.0, chance: float = 12.0, least: int = 5, ridge: float = 1e-4, steps: int = 300) -> Model:
+    """Features that point to label 1, then gradient steps on balanced loss + ridge + squared score change under swaps.
 
-def train(texts: list[set[str]], y: np.ndarray, fairness: float = 1.0, keep: int = 4000, ridge: float = 0.02, steps: int = 300) -> Model:
-    """Words that tell the labels apart, then gradient steps on balanced loss + ridge + squared score change under swaps."""
+    A feature needs `least` texts and a log odds ratio times root of its texts of `chance`.
+    """
+    texts = [features(t) for t in texts]
     n1 = int(y.sum())
     n0 = len(y) - n1
     if not n1 or not n0:
@@ -62,8 +85,8 @@ def train(texts: list[set[str]], y: np.ndarray, fairness: float = 1.0, keep: int
         return Model(float(np.log(share / (1 - share))), {})
     df1: Counter[str] = Counter(w for t, v in zip(texts, y, strict=True) if v for w in t)
     df0: Counter[str] = Counter(w for t, v in zip(texts, y, strict=True) if not v for w in t)
-    strength = {w: abs(np.log((df1[w] + 0.5) / (n1 + 1)) - np.log((df0[w] + 0.5) / (n0 + 1))) * np.sqrt(df1[w] + df0[w]) for w in df1.keys() | df0.keys() if df1[w] + df0[w] >= 3}
-    vocabulary = sorted(strength, key=lambda w: (-strength[w], w))[:keep]
+    odds = lambda w: np.log((df1[w] + 0.5) / (n1 + 1)) - np.log((df0[w] + 0.5) / (n0 + 1))
+    vocabulary = sorted(w for w in df1 if df1[w] >= least and odds(w) * np.sqrt(df1[w] + df0[w]) >= chance)
     place = {w: k for k, w in enumerate(dict.fromkeys([*vocabulary, *(w for row in IDENTITY for w in row)]))}
     pairs = [(k, place[w]) for k, t in enumerate(texts) for w in t if w in place]
     row, col = (np.array(x, dtype=np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
@@ -77,7 +100,7 @@ def train(texts: list[set[str]], y: np.ndarray, fairness: float = 1.0, keep: int
     for step in range(1, steps + 1):  # Adam
         z = b + np.bincount(row, w[col], minlength=len(y))
         r = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(col, r[row], minlength=len(w)) + ridge / len(y) * w
+        g = np.bincount(col, r[row], minlength=len(w)) + ridge * w
         change = fairness * often * (w[frm] - w[to])
         g += np.bincount(frm, change, minlength=len(w)) - np.bincount(to, change, minlength=len(w))
         gb = r.sum()
