@@ -21,6 +21,7 @@ are judged by their own text. Sets are of 64-bit hashes, classes of their 64-bit
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -32,45 +33,22 @@ from pyspark.sql import functions as F
 
 from docgrowth.functions.graph import components
 from docgrowth.functions.shared import written
+from docgrowth.llm.hashing import gram_hashes, mix, word_hashes
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Ids up to this many are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Bits of the parity sketch that is compared before an exhaustive verification.
+#: Bits of the parity sketch that is compared before sets are, in words of 64.
 SKETCH_WORDS = 16
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, kept for up to `limit` of them."""
-
-    def __init__(self, limit: int = 300_000) -> None:
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def shingle_set(text: str | None, hashes: dict[bytes, int], size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; of the whole sequence if it has fewer words."""
-    words = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(w))
-    h = np.full(len(w) - n + 1, np.uint64(n))
-    for k in range(n):
-        h = (h * _M) ^ w[k : len(w) - n + 1 + k]
-        h *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.unique(_mix(h))
+def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct hashes of its word n-grams; of the whole sequence if it has fewer words."""
+    for words, begins in word_hashes(texts):
+        grams = gram_hashes(words, size)
+        for s, e in itertools.pairwise(begins):
+            n = e - s
+            yield np.unique(grams[s : e - size + 1] if n >= size else gram_hashes(words[s:e], n) if n else words[:0])
 
 
 def _digest(s: np.ndarray) -> int:
@@ -114,17 +92,17 @@ def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         count = np.bincount(block.astype(np.int64), minlength=blocks)
         start = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1))
         words = np.zeros(blocks, np.uint64)
-        words[block[start].astype(np.int64)] = np.bitwise_xor.reduceat(_mix(s), start)
+        words[block[start].astype(np.int64)] = np.bitwise_xor.reduceat(mix(s), start)
         least = 2 if np.count_nonzero(count <= 1) < slack else 1 if np.count_nonzero(count == 0) < slack else 0
         keep = np.flatnonzero(count >= least)
         where = (keep.astype(np.uint64) + np.uint64(band * 1_000_003 + 17) * np.uint64(1 << 32)) * _M
-        out.append(_mix(words[keep] ^ _mix(where)))
+        out.append(mix(words[keep] ^ mix(where)))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
     """Bit sketch in which each token flips one bit."""
-    bit = (_mix(s ^ _M) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64)
+    bit = (mix(s ^ _M) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64)
     odd = (np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
@@ -134,15 +112,14 @@ def _rows(docs: DataFrame, key: str, text: str | Column) -> DataFrame:
 
 
 def class_of(docs: DataFrame, key: str, text: str | Column, size: int) -> DataFrame:
-    """(id, n, sig): size and digest of each document's set."""
+    """(id, n, sig, sketch): size, digest and parity sketch of each document's set."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
         for b in batches:
-            sets = [shingle_set(t, hashes, size) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "sig": [_digest(s) for s in sets]})
+            rows = [(len(s), _digest(s), parity(s)) for s in shingle_sets([*b["text"]], size)]
+            yield pd.DataFrame(rows, columns=["n", "sig", "sketch"]).assign(id=b["id"].to_numpy())
 
-    return _rows(docs, key, text).mapInPandas(sign, f"id {docs.schema[key].dataType.simpleString()}, n long, sig long")
+    return _rows(docs, key, text).mapInPandas(sign, f"n long, sig long, sketch array<long>, id {docs.schema[key].dataType.simpleString()}")
 
 
 def shared_blocks(docs: DataFrame, text: str | Column, size: int, percent: int) -> DataFrame:
@@ -150,10 +127,9 @@ def shared_blocks(docs: DataFrame, text: str | Column, size: int, percent: int)
     bands = Bands(percent)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
         for b in batches:
             for at in range(0, len(b), 500):
-                sets = [s for t in b["text"].iloc[at : at + 500] if len(s := shingle_set(t, hashes, size))]
+                sets = [s for s in shingle_sets([*b["text"].iloc[at : at + 500]], size) if len(s)]
                 yield pd.DataFrame({"sig": [_digest(s) for s in sets], "keys": [block_keys(s, bands) for s in sets]})
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,73 +165,86 @@ def shared_blocks(docs: DataFrame, text: str | Column, size: int, percent: int)
 
 
 def _sets(docs: DataFrame, key: str, text: str | Column, size: int, chosen: DataFrame) -> DataFrame:
-    """(sig, n, sketch, tokens) of the chosen (id, sig); their number decides how they meet their texts."""
+    """(sig, n, tokens) of the chosen (id, sig); their number decides how they meet their texts."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
         for b in batches:
             for at in range(0, len(b), 500):
                 part = b.iloc[at : at + 500]
-                sets = [shingle_set(t, hashes, size) for t in part["text"]]
+                sets = [*shingle_sets([*part["text"]], size)]
                 ok = [_digest(s) == g for s, g in zip(sets, part["sig"], strict=True)]  # of rows that repeat an id
-                yield pd.DataFrame({"sig": part["sig"], "n": [len(s) for s in sets], "sketch": [parity(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})[ok]
+                yield pd.DataFrame({"sig": part["sig"].to_numpy(), "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})[ok]
 
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    rows = _rows(docs, key, text).join(chosen, "id").mapInPandas(expand, "sig long, n long, sketch array<long>, tokens array<long>")
-    return rows
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are as similar as asked."""
-    one = sets.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("s_a"))
-    two = sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("s_b"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    met = pairs.join(one, "a").join(two, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return met.withColumn("i", both).filter(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
-
-
-def links(blocks: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
-    """Verified links (a, b) between classes, enough of them to connect all that is connected.
-
-    Each round tests, per shared block, the members that are not yet connected to a
-    centre; then every pair that shares a block and is still apart, and whose sketches
-    allow the similarity.
-    """
-    pairs = blocks.filter("sig <> centre").groupBy(F.col("sig").alias("b")).agg(F.min("centre").alias("a"))
-    found = written(_linked(pairs, sets, percent), "links")
-    for k in range(1, rounds + 1):
-        label = components(found)
-        marked = blocks.select("key", "sig").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        spread = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        live = written(marked.join(spread, "key"), "live")
-        if live.isEmpty():
-            return found
-        if k == rounds:
-            break
-        centre = live.groupBy("key").agg(F.min_by(F.struct("sig", "component"), F.xxhash64("component", F.lit(k))).alias("c"))
-        pairs = live.join(centre, "key").filter("component <> c.component").select(F.col("sig").alias("b"), F.col("c.sig").alias("a")).distinct()
-        found = written(found.union(_linked(pairs, sets, percent)), "links")
-    facts = sets.select("sig", "n", "sketch")
-    side = lambda x: live.join(facts, "sig").select("key", F.col("sig").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
-    apart = F.aggregate(F.zip_with("k_a", "k_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    one, two = side("a"), side("b").withColumnRenamed("key", "key_b")
-    pairs = one.join(two, (F.col("key") == F.col("key_b")) & near).select("a", "b").distinct()
-    return written(found.union(_linked(pairs, sets, percent)), "links")
+    return _rows(docs, key, text).join(chosen, "id").mapInPandas(expand, "sig long, n long, tokens array<long>").dropDuplicates(["sig"])
+
+
+class Join:
+    """What the rounds of one join share: the documents, and per class its size, sketch and one id."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str | Column, size: int, percent: int, facts: DataFrame) -> None:
+        self.docs, self.key, self.text, self.size, self.percent, self.facts = docs, key, text, size, percent, facts
+
+    def side(self, x: str) -> DataFrame:
+        return self.facts.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"), F.col("least").alias(f"id_{x}"))
+
+    def possible(self) -> Column:
+        """Whether sizes and sketches of a and b allow the similarity."""
+        apart = F.aggregate(F.zip_with("k_a", "k_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        fit = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        return fit & ((100 + self.percent) * apart <= (100 - self.percent) * (F.col("n_a") + F.col("n_b")))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) with n, id of both, all possible, those whose sets are as similar as asked."""
+        pairs = written(pairs.select("a", "b", "id_a", "id_b"), "possible")
+        if pairs.isEmpty():
+            return pairs.select("a", "b")
+        chosen = written(pairs.select(F.col("id_a").alias("id"), F.col("a").alias("sig")).union(pairs.select("id_b", "b")).distinct(), "chosen")
+        sets = written(_sets(self.docs, self.key, self.text, self.size, chosen), "sets")
+        one, two = (sets.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"s_{x}")) for x in "ab")
+        met = pairs.select("a", "b").join(two, "b").join(one, "a").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
+        return met.filter(100 * F.col("i") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
+
+    def links(self, blocks: DataFrame, rounds: int = 3) -> DataFrame:
+        """Verified links (a, b) between classes, enough of them to connect all that is connected.
+
+        Each round tests, per shared block, the members that are not yet connected to a
+        centre; then every pair that shares a block and is still apart.
+        """
+        test = lambda pairs: self.linked(pairs.join(self.side("a"), "a").join(self.side("b"), "b").filter(self.possible()))
+        pairs = blocks.filter("sig <> centre").groupBy(F.col("sig").alias("b")).agg(F.min("centre").alias("a"))
+        found = written(test(pairs), "links")
+        for k in range(1, rounds + 1):
+            label = components(found).withColumnRenamed("node", "sig")
+            marked = blocks.select("key", "sig").join(label, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+            spread = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+            live = written(marked.join(spread, "key"), "live")
+            if live.isEmpty():
+                return found
+            if k == rounds:
+                break
+            centre = live.groupBy("key").agg(F.min_by(F.struct("sig", "component"), F.xxhash64("component", F.lit(k))).alias("c"))
+            pairs = live.join(centre, "key").filter("component <> c.component").select(F.col("sig").alias("b"), F.col("c.sig").alias("a")).distinct()
+            found = written(found.union(test(pairs)), "links")
+        one, two = (live.select(F.col("key").alias(f"key_{x}"), F.col("sig").alias(x), F.col("component").alias(f"c_{x}")).join(self.side(x), x) for x in "ab")
+        near = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & self.possible()
+        pairs = one.join(two, near).select("a", "b", "id_a", "id_b").distinct()
+        return written(found.union(self.linked(pairs)), "links")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str | Column = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, class_id, component_id) for every row of docs."""
     signed = written(class_of(docs, key, text, size), "signed")
-    first = signed.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
     blocks = written(shared_blocks(docs, text, size, percent), "blocks")
-    chosen = written(blocks.select("sig").distinct().join(first, "sig").select(F.col("least").alias("id"), "sig"), "chosen")
-    sets = written(_sets(docs, key, text, size, chosen), "sets")
-    label = components(links(blocks, sets, percent))
-    least = label.withColumnRenamed("node", "sig").join(first.select("sig", "least"), "sig")
+    first = signed.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n"))
+    sketches = signed.select("id", "sig", "sketch").dropDuplicates(["id", "sig"])
+    met = blocks.select("sig").distinct().join(first, "sig")
+    facts = written(met.join(sketches, (sketches["sig"] == met["sig"]) & sketches["id"].eqNullSafe(met["least"])).select(met["sig"], "n", "least", "sketch"), "facts")
+    label = components(Join(docs, key, text, size, percent, facts).links(blocks)).withColumnRenamed("node", "sig")
+    least = label.join(facts.select("sig", "least"), "sig")
     joined = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("sig", "component_id", "least")
     copied = first.filter("rows > 1").select("sig", F.col("least").alias("own"))
     known = written(copied.join(joined, "sig", "full").select("sig", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("own", "least").alias("class_id")), "known")
-    out = signed.join(known, "sig", "left").withColumn("one", F.col("n") > 0)
-    pick = lambda c: F.when(F.col("one"), F.coalesce(c, "id")).otherwise(F.col("id")).alias(c)
+    out = signed.select("id", "n", "sig").join(known, "sig", "left")
+    pick = lambda c: F.when(F.col("n") > 0, F.coalesce(c, "id")).otherwise(F.col("id")).alias(c)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), pick("class_id"), pick("component_id"))
