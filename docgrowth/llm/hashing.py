@@ -28,6 +28,9 @@ def _byte_values() -> np.ndarray:
 
 
 _VALUES = _byte_values()
+#: As above, and ASCII punctuation parts words too.
+LETTERS = _VALUES.copy()
+LETTERS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 0
 
 
 class _Powers:
@@ -47,10 +50,10 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def word_hashes(texts: list[str | None], values: np.ndarray = _VALUES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For chunks of the texts, in order: the hashes of their words, and where each text's words begin (and end).
 
-    Words are runs of anything but ASCII white space, with A-Z as a-z. A word's hash is
+    Words are runs of bytes whose value is not 0: anything but ASCII white space, with A-Z as a-z. A word's hash is
     the difference of two prefix sums, shifted to the front by an inverse power.
     """
     at, n = 0, len(texts)
@@ -62,7 +65,7 @@ def word_hashes(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarra
             at += 1
         data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         up, down = _Powers.first(len(data))
-        value = _VALUES[data]
+        value = values[data]
         inside = np.concatenate(([False], value != 0))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * up, dtype=np.uint64)))
         start = np.flatnonzero(inside[1:] & ~inside[:-1])

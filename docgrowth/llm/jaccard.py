@@ -4,10 +4,10 @@ Parity-sketch join. Documents with equal sets are one class. Per band of set siz
 set's hashed tokens are dealt to B blocks and XORed; a token changes one block only, so
 the number of differing blocks (and the Hamming distance of the one-bit-a-token parity
 sketch) is at most the symmetric difference. Sets as similar as asked differ in at most
-d tokens, so of B = d + slack blocks at least `slack` are equal: classes are joined on
-equal blocks. A class whose blocks of under two tokens are fewer than the slack leaves
-these out (an equal block with more tokens is then certain), which keeps common tokens
-from making candidates. Candidates are verified on the sets themselves.
+d tokens, so of B = d + slack blocks at least the slack are equal: classes are joined on
+equal blocks. Blocks of few tokens are left out as long as enough equal ones must remain,
+which keeps common tokens from making candidates. Candidates are verified on the sets
+themselves.
 
 Only what links need is compared: first every class with a few centres of its blocks,
 then, exhaustively, what shares a block and is not connected yet. So a group of n near
@@ -56,22 +56,35 @@ def _digest(s: np.ndarray) -> int:
 
 
 class Bands:
-    """Bands of set sizes, and for each the number of blocks that the pigeonhole needs."""
+    """Bands of set sizes, and for each the number of blocks that the pigeonhole needs.
+
+    A set of n tokens meets sets of up to n * 100 / percent tokens, so it differs from a
+    similar one in at most `differing` tokens and all other blocks are equal. From these
+    `spare` equal blocks those of few tokens are left out while `need` of them stay: two
+    similar sets share at least `need` keys.
+    """
 
     def __init__(self, percent: int, ratio: float = 1.6) -> None:
         self.percent, self.ratio = percent, ratio
 
-    def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, blocks, slack) of each band that a set of n tokens takes part in."""
+    def of(self, n: int) -> list[tuple[int, int, int, int]]:
+        """(band, blocks, spare, need) of each band that a set of n tokens takes part in."""
         out = []
         for k in (k0 := self._band(n), k0 + 1):
             low, high = self._low(k), self._low(k + 1) - 1
-            if n >= low or 100 * n >= self.percent * low:
-                differing = 2 * high * (100 - self.percent) // (100 + self.percent)
-                slack = 2 + math.ceil(0.12 * differing)
-                out.append((k, differing + slack, slack))
+            if 100 * n >= self.percent * low:
+                most = self._differing(2 * high)
+                blocks = most + 2 + math.ceil(0.2 * most)
+                partner = min(high, n * 100 // self.percent)
+                out.append((k, blocks, blocks - self._differing(n + partner), 1 + math.ceil(0.05 * most)))
         return out
 
+    def need(self, n: int) -> int:
+        return min((need for *_, need in self.of(n)), default=1) if n else 1
+
+    def _differing(self, both: int) -> int:
+        return both * (100 - self.percent) // (100 + self.percent)
+
     def _low(self, k: int) -> int:
         return math.ceil(self.ratio**k)
 
@@ -87,13 +100,13 @@ class Bands:
 def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     """Keys of the blocks by which a set can be found; equal sets of tokens in a block give equal keys."""
     out = []
-    for band, blocks, slack in bands.of(len(s)):
+    for band, blocks, spare, need in bands.of(len(s)):
         block = ((s >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # rises with the sorted hashes
         count = np.bincount(block.astype(np.int64), minlength=blocks)
         start = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1))
         words = np.zeros(blocks, np.uint64)
         words[block[start].astype(np.int64)] = np.bitwise_xor.reduceat(mix(s), start)
-        least = 2 if np.count_nonzero(count <= 1) < slack else 1 if np.count_nonzero(count == 0) < slack else 0
+        least = next((t for t in (3, 2, 1) if np.count_nonzero(count < t) <= spare - need), 0)
         keep = np.flatnonzero(count >= least)
         where = (keep.astype(np.uint64) + np.uint64(band * 1_000_003 + 17) * np.uint64(1 << 32)) * _M
         out.append(mix(words[keep] ^ mix(where)))
@@ -111,15 +124,16 @@ def _rows(docs: DataFrame, key: str, text: str | Column) -> DataFrame:
     return docs.select(F.col(key).alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
 
 
-def class_of(docs: DataFrame, key: str, text: str | Column, size: int) -> DataFrame:
-    """(id, n, sig, sketch): size, digest and parity sketch of each document's set."""
+def class_of(docs: DataFrame, key: str, text: str | Column, size: int, percent: int) -> DataFrame:
+    """(id, n, need, sig, sketch): size, keys it shares with a similar one, digest and parity sketch of each document's set."""
+    bands = Bands(percent)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(len(s), _digest(s), parity(s)) for s in shingle_sets([*b["text"]], size)]
-            yield pd.DataFrame(rows, columns=["n", "sig", "sketch"]).assign(id=b["id"].to_numpy())
+            rows = [(len(s), bands.need(len(s)), _digest(s), parity(s)) for s in shingle_sets([*b["text"]], size)]
+            yield pd.DataFrame(rows, columns=["n", "need", "sig", "sketch"]).assign(id=b["id"].to_numpy())
 
-    return _rows(docs, key, text).mapInPandas(sign, f"n long, sig long, sketch array<long>, id {docs.schema[key].dataType.simpleString()}")
+    return _rows(docs, key, text).mapInPandas(sign, f"n long, need long, sig long, sketch array<long>, id {docs.schema[key].dataType.simpleString()}")
 
 
 def shared_blocks(docs: DataFrame, text: str | Column, size: int, percent: int) -> DataFrame:
@@ -179,6 +193,20 @@ def _sets(docs: DataFrame, key: str, text: str | Column, size: int, chosen: Data
     return _rows(docs, key, text).join(chosen, "id").mapInPandas(expand, "sig long, n long, tokens array<long>").dropDuplicates(["sig"])
 
 
+def _telling(blocks: DataFrame, facts: DataFrame, common: int = 16) -> DataFrame:
+    """(key, sig) without what no link needs.
+
+    A class in fewer keys than it shares with any similar one has no link. Two similar
+    classes share `need` keys, so if either has fewer keys than that among the common
+    ones (with more classes than `common`), they also share another: it leaves these out.
+    """
+    size = blocks.groupBy("key").agg((F.count("*") > common).cast("int").alias("common"))
+    marked = blocks.select("key", "sig").join(size, "key")
+    per = marked.groupBy("sig").agg(F.count("*").alias("keys"), F.sum("common").alias("commons")).join(facts.select("sig", "need"), "sig")
+    kept = marked.join(per, "sig").filter((F.col("keys") >= F.col("need")) & ((F.col("common") == 0) | (F.col("commons") >= F.col("need"))))
+    return kept.select("key", "sig")
+
+
 class Join:
     """What the rounds of one join share: the documents, and per class its size, sketch and one id."""
 
@@ -205,27 +233,27 @@ class Join:
         met = pairs.select("a", "b").join(two, "b").join(one, "a").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
         return met.filter(100 * F.col("i") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
 
-    def links(self, blocks: DataFrame, rounds: int = 3) -> DataFrame:
+    def links(self, blocks: DataFrame, rounds: int = 2) -> DataFrame:
         """Verified links (a, b) between classes, enough of them to connect all that is connected.
 
-        Each round tests, per shared block, the members that are not yet connected to a
-        centre; then every pair that shares a block and is still apart.
+        Each round chooses a centre in every block whose members are not all connected, and
+        tests each member with the centre that it meets in most blocks; then every pair
+        that shares a block and is still apart is tested.
         """
         test = lambda pairs: self.linked(pairs.join(self.side("a"), "a").join(self.side("b"), "b").filter(self.possible()))
-        pairs = blocks.filter("sig <> centre").groupBy(F.col("sig").alias("b")).agg(F.min("centre").alias("a"))
-        found = written(test(pairs), "links")
-        for k in range(1, rounds + 1):
-            label = components(found).withColumnRenamed("node", "sig")
-            marked = blocks.select("key", "sig").join(label, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-            spread = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-            live = written(marked.join(spread, "key"), "live")
+        found, live = None, blocks.withColumn("component", F.col("sig"))
+        for k in range(rounds + 1):
+            spread = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("sig", "component"), F.xxhash64("component", F.lit(k))).alias("c"))
+            live = written(live.join(spread.filter("low <> high").select("key", "c"), "key"), "live")
             if live.isEmpty():
-                return found
+                return found if found is not None else live.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
             if k == rounds:
                 break
-            centre = live.groupBy("key").agg(F.min_by(F.struct("sig", "component"), F.xxhash64("component", F.lit(k))).alias("c"))
-            pairs = live.join(centre, "key").filter("component <> c.component").select(F.col("sig").alias("b"), F.col("c.sig").alias("a")).distinct()
-            found = written(found.union(test(pairs)), "links")
+            pairs = live.filter("component <> c.component").groupBy(F.col("sig").alias("b"), F.col("c.sig").alias("a")).count()
+            new = test(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")))
+            found = written(found.union(new) if found is not None else new, "links")
+            label = components(found).withColumnRenamed("node", "sig")
+            live = live.select("key", "sig").join(label, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         one, two = (live.select(F.col("key").alias(f"key_{x}"), F.col("sig").alias(x), F.col("component").alias(f"c_{x}")).join(self.side(x), x) for x in "ab")
         near = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & self.possible()
         pairs = one.join(two, near).select("a", "b", "id_a", "id_b").distinct()
@@ -234,13 +262,13 @@ class Join:
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str | Column = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, class_id, component_id) for every row of docs."""
-    signed = written(class_of(docs, key, text, size), "signed")
+    signed = written(class_of(docs, key, text, size, percent), "signed")
     blocks = written(shared_blocks(docs, text, size, percent), "blocks")
-    first = signed.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n"))
+    first = signed.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("need").alias("need"))
     sketches = signed.select("id", "sig", "sketch").dropDuplicates(["id", "sig"])
     met = blocks.select("sig").distinct().join(first, "sig")
-    facts = written(met.join(sketches, (sketches["sig"] == met["sig"]) & sketches["id"].eqNullSafe(met["least"])).select(met["sig"], "n", "least", "sketch"), "facts")
-    label = components(Join(docs, key, text, size, percent, facts).links(blocks)).withColumnRenamed("node", "sig")
+    facts = written(met.join(sketches, (sketches["sig"] == met["sig"]) & sketches["id"].eqNullSafe(met["least"])).select(met["sig"], "n", "need", "least", "sketch"), "facts")
+    label = components(Join(docs, key, text, size, percent, facts).links(_telling(blocks, facts))).withColumnRenamed("node", "sig")
     least = label.join(facts.select("sig", "least"), "sig")
     joined = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("sig", "component_id", "least")
     copied = first.filter("rows > 1").select("sig", F.col("least").alias("own"))
