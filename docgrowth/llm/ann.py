@@ -73,7 +73,7 @@ def nearest_in(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndar
             yield query, int(ids[near[j]]), float(exact[j])
 
 
-def nearest(rows: DataFrame, every: int = 100, top: int = 10, key: str = "vec_id", vector: str = "embedding", tables: int = 2, k: int = 4, width: float = 1.5, reach: int = 2, visit: float = 0.55) -> DataFrame:
+def nearest(rows: DataFrame, every: int = 100, top: int = 10, key: str = "vec_id", vector: str = "embedding", tables: int = 2, k: int = 4, width: float = 1.5, reach: int = 2, visit: float = 0.65) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its nearest rows."""
     v = F.col("v")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
