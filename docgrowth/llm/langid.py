@@ -117,11 +117,11 @@ def _decide(model: Model | None, text: pd.Series, near: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
 
 
-def predict(docs: DataFrame, model: Model | None, text: str | Column = "text", near: float = 0.05) -> DataFrame:
-    """docs with a column `language`: the decoded language, its score, and whether the runner-up is within `near`."""
+def predict(docs: DataFrame, model: Model | None, text: str | Column = "text", near: float = 0.05, into: str = "language") -> DataFrame:
+    """docs with a column `into`: the decoded language, its score, and whether the runner-up's loss is within `near`."""
 
     @F.pandas_udf(RESULT)
     def decide(t: pd.Series) -> pd.DataFrame:
         return _decide(model, t, near)
 
-    return docs.withColumn("language", decide(text))
+    return docs.withColumn(into, decide(text))

@@ -102,13 +102,13 @@ ruled AS (
     regexp_replace(regexp_replace(path, '[^/]*[0-9][^/]*', '*', 'g'), '/+$', '') AS shape FROM urls),
 labelled AS (SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS label FROM ruled),
 counted AS (SELECT host, shape, count(*) FILTER (label = 'block') AS blocked, count(label) AS labelled FROM labelled GROUP BY ALL),
-numbered AS (SELECT *, unnest(range(len(string_split(shape, '/')))) AS at FROM counted),
-step AS (SELECT *, string_split(shape, '/')[at + 1] AS part, array_to_string(string_split(shape, '/')[1:at], '/') AS parent FROM numbered),
-wide AS (SELECT host, at, parent FROM step WHERE at > 0 GROUP BY ALL HAVING count(DISTINCT part) > 16),
+numbered AS (SELECT *, unnest(range(len(string_split(shape, '/')))) AS pos FROM counted),
+step AS (SELECT *, string_split(shape, '/')[pos + 1] AS part, array_to_string(string_split(shape, '/')[1:pos], '/') AS parent FROM numbered),
+wide AS (SELECT host, pos, parent FROM step WHERE pos > 0 GROUP BY ALL HAVING count(DISTINCT part) > 16),
 named AS (
   SELECT s.host, s.shape, any_value(blocked) AS blocked, any_value(labelled) AS labelled,
-         string_agg(CASE WHEN w.host IS NULL THEN part ELSE '*' END, '/' ORDER BY s.at) AS template
-  FROM step s LEFT JOIN wide w ON s.host = w.host AND s.at = w.at AND s.parent = w.parent GROUP BY s.host, s.shape),
+         string_agg(CASE WHEN w.host IS NULL THEN part ELSE '*' END, '/' ORDER BY s.pos) AS template
+  FROM step s LEFT JOIN wide w ON s.host = w.host AND s.pos = w.pos AND s.parent = w.parent GROUP BY s.host, s.shape),
 branched AS (SELECT *, regexp_replace(template, '/[^/]*$', '') AS branch FROM named),
 leaf AS (SELECT host, branch, template, sum(blocked) AS b, sum(labelled) AS l FROM branched GROUP BY ALL),
 close AS (SELECT host, branch FROM leaf WHERE l > 0 GROUP BY ALL HAVING max(b / l) - min(b / l) <= 0.1 AND count(*) > 1),
