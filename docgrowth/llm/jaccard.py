@@ -9,8 +9,8 @@ equal blocks. Blocks of few tokens are left out as long as enough equal ones mus
 which keeps common tokens from making candidates. Candidates are verified on the sets
 themselves.
 
-Only what links need is compared: first every class with a few centres of its blocks,
-then, exhaustively, what shares a block and is not connected yet. So a group of n near
+Only what links need is compared: first every class with the centre it meets in most
+blocks, then, exhaustively, what shares a block and is not connected yet. So a group of n near
 copies takes about n comparisons, and no link between different texts that would join
 two components is lost.
 
@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgrowth.functions.graph import components
@@ -38,6 +39,8 @@ from docgrowth.llm.hashing import gram_hashes, mix, word_hashes
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Ids up to this many are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Classes whose sizes and sketches are broadcast (10 MB).
+BROADCAST_FACTS = 50_000
 #: Bits of the parity sketch that is compared before sets are, in words of 64.
 SKETCH_WORDS = 16
 
@@ -136,8 +139,47 @@ def class_of(docs: DataFrame, key: str, text: str | Column, size: int, percent:
     return _rows(docs, key, text).mapInPandas(sign, f"n long, need long, sig long, sketch array<long>, id {docs.schema[key].dataType.simpleString()}")
 
 
-def shared_blocks(docs: DataFrame, text: str | Column, size: int, percent: int) -> DataFrame:
-    """(key, sig, centre): classes in each block that at least two classes share; centre is the least of them."""
+def runs_of_keys(batches: Iterator[np.ndarray], common: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows (key, sig) sorted by both: the distinct ones of keys with at least two, and whether a key has more than `common`.
+
+    Holds back at most `common` rows, so a key may have any number.
+    """
+    held = np.zeros((0, 2), np.int64)
+    large = last = None  # key and last sig of a run that is known to be common and goes on
+    for rows in batches:
+        rows = np.concatenate([held, rows])
+        keep = np.ones(len(rows), bool)
+        keep[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        rows, held = rows[keep], held[:0]
+        if large is not None and len(rows):
+            n = int(np.searchsorted(rows[:, 0], large, "right"))
+            ahead = rows[:n] if n and rows[0, 1] != last else rows[1:n]
+            if len(ahead):
+                yield ahead, np.ones(len(ahead), bool)
+            last = rows[n - 1, 1] if n else last
+            rows = rows[n:]
+            if not len(rows):
+                continue
+            large = None
+        if not len(rows):
+            continue
+        start = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+        size = np.diff(np.append(start, len(rows)))
+        each = np.repeat(size, size)
+        whole = each > 1
+        if size[-1] <= common:
+            held = rows[start[-1] :]
+            whole[start[-1] :] = False
+        else:
+            large, last = rows[-1]
+        if whole.any():
+            yield rows[whole], each[whole] > common
+    if len(held) > 1:
+        yield held, np.zeros(len(held), bool)
+
+
+def shared_blocks(docs: DataFrame, text: str | Column, size: int, percent: int, common: int = 16) -> DataFrame:
+    """(key, sig, common): classes in each block that at least two classes share; common if more than so many do."""
     bands = Bands(percent)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,36 +188,13 @@ def shared_blocks(docs: DataFrame, text: str | Column, size: int, percent: int)
                 sets = [s for s in shingle_sets([*b["text"].iloc[at : at + 500]], size) if len(s)]
                 yield pd.DataFrame({"sig": [_digest(s) for s in sets], "keys": [block_keys(s, bands) for s in sets]})
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((0, 2), np.int64)  # the last row and, at the run's start, its only one
-        first, inside = None, False
-        for b in batches:
-            rows = np.concatenate([held, b[["key", "sig"]].to_numpy(np.int64)])
-            new = np.ones(len(rows), bool)
-            new[1:] = (np.diff(rows, axis=0) != 0).any(axis=1)
-            rows = rows[new]
-            starts = np.ones(len(rows), bool)
-            starts[1:] = rows[1:, 0] != rows[:-1, 0]
-            at = np.flatnonzero(starts)
-            centre = rows[at[np.cumsum(starts) - 1], 1]
-            if len(held):  # the first run goes on from the batch before
-                centre[: at[1] if len(at) > 1 else len(rows)] = first
-            lone = starts & np.append(starts[1:], True)
-            if len(held) and inside:
-                lone[0] = False
-            done = ~lone
-            done[-1] = False
-            if len(rows):
-                first, inside = int(centre[-1]), not starts[-1] or (len(rows) == 1 and bool(len(held)) and inside)
-                held = rows[-1:]
-            if done.any():
-                yield pd.DataFrame({"key": rows[done, 0], "sig": rows[done, 1], "centre": centre[done]})
-        if len(held) and inside:
-            yield pd.DataFrame({"key": held[:, 0], "sig": held[:, 1], "centre": [first]})
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, often in runs_of_keys((b[["key", "sig"]].to_numpy(np.int64) for b in batches), common):
+            yield pd.DataFrame({"key": rows[:, 0], "sig": rows[:, 1], "common": often})
 
     rows = docs.select((F.col(text) if isinstance(text, str) else text).alias("text")).mapInPandas(emit, "sig long, keys array<long>")
     dealt = rows.select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
-    return dealt.mapInPandas(runs, "key long, sig long, centre long")
+    return dealt.mapInPandas(shared, "key long, sig long, common boolean")
 
 
 def _sets(docs: DataFrame, key: str, text: str | Column, size: int, chosen: DataFrame) -> DataFrame:
@@ -193,17 +212,16 @@ def _sets(docs: DataFrame, key: str, text: str | Column, size: int, chosen: Data
     return _rows(docs, key, text).join(chosen, "id").mapInPandas(expand, "sig long, n long, tokens array<long>").dropDuplicates(["sig"])
 
 
-def _telling(blocks: DataFrame, facts: DataFrame, common: int = 16) -> DataFrame:
+def _telling(blocks: DataFrame, facts: DataFrame) -> DataFrame:
     """(key, sig) without what no link needs.
 
     A class in fewer keys than it shares with any similar one has no link. Two similar
     classes share `need` keys, so if either has fewer keys than that among the common
-    ones (with more classes than `common`), they also share another: it leaves these out.
+    ones, they also share another: it leaves these out. A class has no more keys than tokens.
     """
-    size = blocks.groupBy("key").agg((F.count("*") > common).cast("int").alias("common"))
-    marked = blocks.select("key", "sig").join(size, "key")
-    per = marked.groupBy("sig").agg(F.count("*").alias("keys"), F.sum("common").alias("commons")).join(facts.select("sig", "need"), "sig")
-    kept = marked.join(per, "sig").filter((F.col("keys") >= F.col("need")) & ((F.col("common") == 0) | (F.col("commons") >= F.col("need"))))
+    own = W.partitionBy("sig")
+    marked = blocks.withColumn("keys", F.count("*").over(own)).withColumn("commons", F.count_if("common").over(own)).join(facts.select("sig", "need"), "sig")
+    kept = marked.filter((F.col("keys") >= F.col("need")) & (~F.col("common") | (F.col("commons") >= F.col("need"))))
     return kept.select("key", "sig")
 
 
@@ -212,9 +230,11 @@ class Join:
 
     def __init__(self, docs: DataFrame, key: str, text: str | Column, size: int, percent: int, facts: DataFrame) -> None:
         self.docs, self.key, self.text, self.size, self.percent, self.facts = docs, key, text, size, percent, facts
+        self.small = facts.count() <= BROADCAST_FACTS
 
     def side(self, x: str) -> DataFrame:
-        return self.facts.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"), F.col("least").alias(f"id_{x}"))
+        facts = F.broadcast(self.facts) if self.small else self.facts
+        return facts.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"), F.col("least").alias(f"id_{x}"))
 
     def possible(self) -> Column:
         """Whether sizes and sketches of a and b allow the similarity."""
@@ -233,41 +253,38 @@ class Join:
         met = pairs.select("a", "b").join(two, "b").join(one, "a").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
         return met.filter(100 * F.col("i") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
 
-    def links(self, blocks: DataFrame, rounds: int = 2) -> DataFrame:
+    def links(self, blocks: DataFrame) -> DataFrame:
         """Verified links (a, b) between classes, enough of them to connect all that is connected.
 
-        Each round chooses a centre in every block whose members are not all connected, and
-        tests each member with the centre that it meets in most blocks; then every pair
-        that shares a block and is still apart is tested.
+        In each shared block the class that meets most others in all its blocks is the
+        centre (a copy's original meets all copies); each class is tested with the centre
+        that it meets in most blocks. Then every pair is tested that shares a block
+        and is not connected by way of one or two centres.
         """
-        test = lambda pairs: self.linked(pairs.join(self.side("a"), "a").join(self.side("b"), "b").filter(self.possible()))
-        found, live = None, blocks.withColumn("component", F.col("sig"))
-        for k in range(rounds + 1):
-            spread = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("sig", "component"), F.xxhash64("component", F.lit(k))).alias("c"))
-            live = written(live.join(spread.filter("low <> high").select("key", "c"), "key"), "live")
-            if live.isEmpty():
-                return found if found is not None else live.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-            if k == rounds:
-                break
-            pairs = live.filter("component <> c.component").groupBy(F.col("sig").alias("b"), F.col("c.sig").alias("a")).count()
-            new = test(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")))
-            found = written(found.union(new) if found is not None else new, "links")
-            label = components(found).withColumnRenamed("node", "sig")
-            live = live.select("key", "sig").join(label, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        size = blocks.groupBy("key").count().filter("count > 1")
+        blocks = written(blocks.join(size, "key"), "met")
+        weight = blocks.groupBy("sig").agg(F.sum("count").alias("weight"))
+        centre = blocks.join(weight, "sig").groupBy("key").agg(F.max_by("sig", F.struct("weight", "sig")).alias("a"))
+        met = blocks.join(centre, "key").filter("sig <> a").groupBy(F.col("sig").alias("b"), "a").count()
+        pairs = met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+        star = written(self.linked(pairs.join(self.side("a"), "a").join(self.side("b"), "b").filter(self.possible())), "star")
+        once = star.select("b", "a").join(star.select(F.col("b").alias("a"), F.col("a").alias("top")), "a", "left")
+        label = once.select(F.col("b").alias("sig"), F.coalesce("top", "a").alias("component"))
+        marked = blocks.select("key", "sig").join(label, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        live = written(marked.join(mixed, "key"), "live")
         one, two = (live.select(F.col("key").alias(f"key_{x}"), F.col("sig").alias(x), F.col("component").alias(f"c_{x}")).join(self.side(x), x) for x in "ab")
         near = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & self.possible()
         pairs = one.join(two, near).select("a", "b", "id_a", "id_b").distinct()
-        return written(found.union(self.linked(pairs)), "links")
+        return star.select("a", "b").union(self.linked(pairs))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str | Column = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, class_id, component_id) for every row of docs."""
     signed = written(class_of(docs, key, text, size, percent), "signed")
     blocks = written(shared_blocks(docs, text, size, percent), "blocks")
-    first = signed.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("need").alias("need"))
-    sketches = signed.select("id", "sig", "sketch").dropDuplicates(["id", "sig"])
-    met = blocks.select("sig").distinct().join(first, "sig")
-    facts = written(met.join(sketches, (sketches["sig"] == met["sig"]) & sketches["id"].eqNullSafe(met["least"])).select(met["sig"], "n", "need", "least", "sketch"), "facts")
+    first = signed.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "need", "sketch")))
+    facts = written(first.join(blocks.select("sig").distinct(), "sig", "left_semi"), "facts")
     label = components(Join(docs, key, text, size, percent, facts).links(_telling(blocks, facts))).withColumnRenamed("node", "sig")
     least = label.join(facts.select("sig", "least"), "sig")
     joined = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("sig", "component_id", "least")
