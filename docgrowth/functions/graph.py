@@ -16,12 +16,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the number of rounds is logarithmic. Null ends and loops are ignored.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)
-    stars = written(edges.dropna(subset=[a, b]).filter(F.col(a) != F.col(b)).select(hi.alias("hi"), lo.alias("lo")).distinct(), "edges")
+    stars = written(edges.dropna(subset=[a, b]).filter(F.col(a) != F.col(b)).select(hi.alias("hi"), lo.alias("lo")), "edges")
     before = None
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         large = written(large, "large")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
