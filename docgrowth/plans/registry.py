@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgrowth.plans import catalog, growth
+from docgrowth.plans import catalog, documents, growth
 from docgrowth.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalog", "growth"]
+__all__ = ["ORACLE", "QUERIES", "catalog", "documents", "growth"]

@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
     "keywords": """SELECT p_partkey AS seq, p_name AS keyword, p_type AS category, p_partkey * 37 % 50000 AS volume, p_size + 20 AS difficulty,
         cast(p_size AS DOUBLE) / 15 AS cpc FROM {part} p""",
     "doc_texts": "SELECT doc_id, text, lang, source FROM {documents} d WHERE text IS NOT NULL",
-    "order_lines": """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS row, l_linenumber, l_partkey, l_suppkey,
+    "order_lines": """SELECT l_orderkey, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS row, l_linenumber, l_partkey, l_suppkey,
         l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM {lineitem} l""",
     "statement_lines": """SELECT l_orderkey, row, concat('Item ', cast(l_partkey AS VARCHAR(20)), ' | ', cast(cast(l_quantity AS BIGINT) AS VARCHAR(20)), ' | ',
         cast(cast(round(l_extendedprice) AS BIGINT) AS VARCHAR(20))) AS line FROM {order_lines} l""",
