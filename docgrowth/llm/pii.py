@@ -40,6 +40,7 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+_IP_SIGN = re.compile(r"\.[0-9]+\.[0-9]+\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -52,8 +53,15 @@ _REWRITE = re.compile(
     rf"(?P<dot>{_DOT})|(?P<at>{_AT})|(?P<plus>\bplus\s+(?=(?:{_WORD})\b|[0-9]))|(?P<run>\b(?:{_WORD})(?:[\s-]+(?:{_WORD}))*\b)|(?P<hidden>{_HIDDEN}+)|(?P<glyph>{_GLYPH}+)",
     re.IGNORECASE,
 )
-#: Without any of these a text is its own normal form.
-_DISGUISE = re.compile(rf"dot\b|[\[({{<]\s*at\s*[\])}}>]|\b(?:{_WORD})[\s-]+(?:{_WORD})[\s-]+(?:{_WORD})\b|{_HIDDEN}|{_GLYPH}", re.IGNORECASE)
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]")
+_STRANGE = re.compile(f"{_HIDDEN[:-1]}{_GLYPH[1:]}")
+_TELLING = frozenset({*SPELLED, "dot"})
+
+
+def _disguised(text: str) -> bool:
+    """Whether any rewriting can matter; a text without its signs is its own normal form."""
+    low = text.lower()
+    return not _TELLING.isdisjoint(low.replace("-", " ").split()) or bool(_BRACKETED.search(low)) or not (text.isascii() or not _STRANGE.search(text))
 
 
 def _emails(text: str) -> Iterator[Span]:
@@ -69,7 +77,7 @@ def _emails(text: str) -> Iterator[Span]:
 
 
 def _ips(text: str) -> Iterator[Span]:
-    for m in _IP.finditer(text):
+    for m in _IP.finditer(text) if _IP_SIGN.search(text) else ():
         if all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in m[0].split("."))):
             yield m.span()
 
@@ -159,7 +167,7 @@ def all_spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[S
     """Plain spans, and plain with disguised ones, by kind and in order."""
     text = text or ""
     plain = plain_spans(text)
-    if not _DISGUISE.search(text):
+    if not _disguised(text):
         return plain, plain
     form = Normalised(text)
     found = {}
