@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,14 @@ from docgrowth.llm.places import Plan, PlanBuilder, lengths, placed
 
 #: Texts with other characters than these are encoded whole, without the cache of words.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]|<\|")
-_BEFORE_MARK = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[.,|])")
+_MARKS = ".,"
+
+
+def _plain(text: str) -> bool:
+    """Whether each word of the text, by Python's white space, gets the ids that it has in the text."""
+    if text.isascii():
+        return not any(sign in text for sign in ("<|", "\x1c", "\x1d", "\x1e", "\x1f"))
+    return not _PLAIN.search(text)
 
 
 class Encoder:
@@ -38,9 +48,11 @@ class Encoder:
     those of its words one after another, so the ids of `limit` words are kept.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
+        assert sys.byteorder == "little" and array("I").itemsize == 4
+
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:  # a file of the tokenizer package, on each machine
             self.by_word = bool(json.load(f)["model"].get("end_of_word_suffix"))
@@ -48,31 +60,47 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Ids of words; those of a word with a mark at its end are the word's and then the mark's."""
+        if len(self.known) + len(fresh) > self.limit:
+            self.known.clear()
+        bare = {w: w[:-1] for w in fresh if w[-1] in _MARKS and w[:-1].isalpha()}
+        direct = [*{w for w in (fresh - bare.keys()) | {*bare.values()} | {*_MARKS} if w not in self.known}]
+        self.known.update(zip(direct, self._direct(direct), strict=True))
+        self.known.update((w, self.known[b] + self.known[w[-1]]) for w, b in bare.items())
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 200):
             part = [t or "" for t in texts[at : at + 200]]
-            split = [_BEFORE_MARK.sub(" ", t.lower()).split() if self.by_word and not _PLAIN.search(t) else None for t in part]
-            fresh = [*{w for s in split if s for w in s if w not in self.known}]
+            split = [t.lower().split() if self.by_word and _plain(t) else None for t in part]
+            met = {w for s in split if s for w in s}
+            fresh = met - self.known.keys()
             if len(self.known) + len(fresh) > self.limit:
-                self.known.clear()
-                fresh = [*{w for s in split if s for w in s}]
-            self.known.update(zip(fresh, self._direct(fresh), strict=True))
+                fresh = met
+            if fresh:
+                self._learn(fresh)
             for t, s in zip(part, split, strict=True):
                 yield self._direct([t])[0] if s is None else b"".join(map(self.known.__getitem__, s))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker, so that its words serve all tasks there."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, text: str | Column, keep_ids: bool) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]) of every document's ids with the end id after them."""
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        known = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows, held = [], 0
-            for k, ids in zip(b["k"], encoder.encode([*b["t"]]), strict=True):
+            for k, ids in zip(b["k"], known.encode([*b["t"]]), strict=True):
                 ids += end
                 for n, s in enumerate(range(0, len(ids), 4 * capacity)):
                     p = ids[s : s + 4 * capacity]
