@@ -31,9 +31,6 @@ from docgrowth.llm.places import Plan, PlanBuilder, lengths, placed
 
 #: Texts with other characters than these are encoded whole, without the cache of words.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]|<\|")
-_MARKS = ".,"
-
-
 def _plain(text: str) -> bool:
     """Whether each word of the text, by Python's white space, gets the ids that it has in the text."""
     if text.isascii():
@@ -62,27 +59,21 @@ class Encoder:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Ids of words; those of a word with a mark at its end are the word's and then the mark's."""
-        if len(self.known) + len(fresh) > self.limit:
-            self.known.clear()
-        bare = {w: w[:-1] for w in fresh if w[-1] in _MARKS and w[:-1].isalpha()}
-        direct = [*{w for w in (fresh - bare.keys()) | {*bare.values()} | {*_MARKS} if w not in self.known}]
-        self.known.update(zip(direct, self._direct(direct), strict=True))
-        self.known.update((w, self.known[b] + self.known[w[-1]]) for w, b in bare.items())
-
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        known = self.known
         for at in range(0, len(texts), 200):
             part = [t or "" for t in texts[at : at + 200]]
             split = [t.lower().split() if self.by_word and _plain(t) else None for t in part]
-            met = {w for s in split if s for w in s}
-            fresh = met - self.known.keys()
-            if len(self.known) + len(fresh) > self.limit:
-                fresh = met
-            if fresh:
-                self._learn(fresh)
+            fresh = [*{w for s in split if s for w in s if w not in known}]
+            ids = zip(fresh, self._direct(fresh), strict=True)
+            if len(known) < self.limit:
+                known.update(ids)
+                of = known.__getitem__
+            else:  # words that came too late are kept for this part only
+                own = dict(ids)
+                of = lambda w: own[w] if w in own else known[w]  # noqa: B023, E731
             for t, s in zip(part, split, strict=True):
-                yield self._direct([t])[0] if s is None else b"".join(map(self.known.__getitem__, s))
+                yield self._direct([t])[0] if s is None else b"".join(map(of, s))
 
 
 @lru_cache(maxsize=1)
