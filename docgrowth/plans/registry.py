@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgrowth.plans import catalog, documents, growth, quality
+from docgrowth.plans import catalog, documents, growth, layout, quality
 from docgrowth.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalog", "documents", "growth", "quality"]
+__all__ = ["ORACLE", "QUERIES", "catalog", "documents", "growth", "layout", "quality"]
