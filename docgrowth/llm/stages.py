@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from docgrowth.functions.shared import written
 from docgrowth.llm import decontam, jaccard, langid, packing, pii
+from docgrowth.llm.tables import bounded_batches
 
 _OF_STAGE = "_language_of_stage"
 
 
 def known_language(docs: DataFrame, near: float = 0.02) -> DataFrame:
     """Documents with a language: not `und`, and its codeword nearer than the runner-up's by at least `near`."""
+    bounded_batches(docs.sparkSession)
     model = langid.fit(docs)
     kept = langid.predict(docs, model, near=near, into=_OF_STAGE)
     return kept.filter((F.col(f"{_OF_STAGE}.lang_pred") != langid.UNKNOWN) & ~F.col(f"{_OF_STAGE}.ambiguous")).select(docs.columns)
@@ -20,6 +22,7 @@ def known_language(docs: DataFrame, near: float = 0.02) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """Of each group of near copies the document with the smallest id; rows alike in id and text once. Null ids stay."""
+    bounded_batches(docs.sparkSession)
     found = written(jaccard.near_copies(docs).select("doc_id", "component_id"), "groups")
     dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
     dropped = written(dropped, "dropped")
@@ -33,14 +36,17 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 
 def not_in_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return decontam.without_benchmark(docs, benchmark)
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """All documents, with spans of personal data masked and n_chars that of the masked text."""
+    bounded_batches(docs.sparkSession)
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(docs.columns)
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return packing.pack(docs, path, capacity=capacity, end_id=1)

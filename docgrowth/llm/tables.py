@@ -1,13 +1,19 @@
-"""The driver's tables."""
+"""The driver's tables, and bounded batches for long texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on at most so many texts go to a Python worker at once; a batch of long texts would not fit its memory."""
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > rows:
+        spark.conf.set(_BATCH, str(rows))
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

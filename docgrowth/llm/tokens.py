@@ -31,6 +31,8 @@ from docgrowth.llm.places import Plan, PlanBuilder, lengths, placed
 
 #: Texts with other characters than these are encoded whole, without the cache of words.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]|<\|")
+
+
 def _plain(text: str) -> bool:
     """Whether each word of the text, by Python's white space, gets the ids that it has in the text."""
     if text.isascii():
