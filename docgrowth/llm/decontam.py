@@ -57,9 +57,8 @@ class Index:
         self.masks = [*MASKS, *("1" * n for n in sorted(short))]
         found = []
         for j, w in enumerate(items):
-            for mask in self.masks if len(w) >= len(MASKS[0]) else ["1" * len(w)]:
-                if len(mask) == len(MASKS[0]) or len(mask) == len(w):
-                    found += [(h, j, q) for q, h in enumerate(_masked(w, mask).tolist())]
+            own = MASKS if len(w) >= len(MASKS[0]) else ["1" * len(w)] if len(w) else []
+            found += [(h, j, q) for mask in own for q, h in enumerate(_masked(w, mask).tolist())]
         found.sort()
         self.hashes = np.array([x[0] for x in found], np.uint64)
         self.where = np.array([x[1:] for x in found], np.int64).reshape(-1, 2)

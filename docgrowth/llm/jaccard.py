@@ -186,7 +186,8 @@ def shared_blocks(docs: DataFrame, text: str | Column, size: int, percent: int,
         for b in batches:
             for at in range(0, len(b), 500):
                 sets = [s for s in shingle_sets([*b["text"].iloc[at : at + 500]], size) if len(s)]
-                yield pd.DataFrame({"sig": [_digest(s) for s in sets], "keys": [block_keys(s, bands) for s in sets]})
+                if sets:
+                    yield pd.DataFrame({"sig": [_digest(s) for s in sets], "keys": [block_keys(s, bands) for s in sets]})
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, often in runs_of_keys((b[["key", "sig"]].to_numpy(np.int64) for b in batches), common):

@@ -91,5 +91,5 @@ def exact_complements(counts: dict[int, int], capacity: int) -> Plan:
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
-    cut = written(pieces(docs, path, capacity, end_id, key, text, keep_ids=False), "pieces")
+    cut = written(pieces(docs, path, capacity, end_id, key, text), "pieces")
     return placed(cut, exact_complements(lengths(cut), capacity), [key, "piece"])

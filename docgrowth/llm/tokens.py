@@ -84,8 +84,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, text: str | Column, keep_ids: bool) -> DataFrame:
-    """(key, piece, start, length, ids_crc32[, ids]) of every document's ids with the end id after them."""
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, text: str | Column, keep_ids: str = "") -> DataFrame:
+    """(key, piece, start, length, ids_crc32[, ids]) of every document's ids with the end id after them; ids as `keep_ids` numbers."""
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, tex
                 ids += end
                 for n, s in enumerate(range(0, len(ids), 4 * capacity)):
                     p = ids[s : s + 4 * capacity]
-                    rows.append((k, n, s // 4, len(p) // 4, zlib.crc32(p), *([p] if keep_ids else [])))
+                    rows.append((k, n, s // 4, len(p) // 4, zlib.crc32(p), *([np.frombuffer(p, "<u4").astype(keep_ids).tobytes()] if keep_ids else [])))
                 held += len(ids)
                 if held > 1 << 25:
                     yield pd.DataFrame(rows)
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, tex
                 yield pd.DataFrame(rows)
 
     source = docs.select(F.col(key).alias("k"), (F.col(text) if isinstance(text, str) else text).alias("t"))
-    return source.mapInPandas(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return source.mapInPandas(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * bool(keep_ids))
 
 
 class _Tree:
@@ -185,7 +185,8 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, pa
 
     Columns: sequence_id, n_tokens, ids array<int>, cu_seqlens array<int>, position_ids array<int>, members array of (key, piece).
     """
-    cut = written(pieces(docs, path, capacity, end_id, key, text, keep_ids=True), "ids")
+    width = "<u2" if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    cut = written(pieces(docs, path, capacity, end_id, key, text, keep_ids=width), "ids")
     plan = best_fit_decreasing(lengths(cut), capacity)
     put = placed(cut, plan, [key, "piece"])
     kind = docs.schema[key].dataType.simpleString()
@@ -196,8 +197,8 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, pa
                 rows = []
                 for seq, parts in zip(b["sequence_id"].iloc[at : at + 64], b["parts"].iloc[at : at + 64], strict=True):
                     parts = sorted(parts, key=lambda p: p["offset"])
-                    ids = np.frombuffer(b"".join(p["ids"] for p in parts), "<u4").astype(np.int32)
-                    size = [len(p["ids"]) // 4 for p in parts]
+                    ids = np.frombuffer(b"".join(p["ids"] for p in parts), width).astype(np.int32)
+                    size = [len(p["ids"]) // int(width[2]) for p in parts]
                     row = np.full(capacity, pad_id, np.int32)
                     row[: len(ids)] = ids
                     position = np.concatenate([np.arange(n, dtype=np.int32) for n in (*size, capacity - len(ids))])
