@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docgrowth.operators import layout as h
+from docgrowth.operators import lines as ln
 from docgrowth.operators import similar as s
 from docgrowth.plans.base import query
 
@@ -117,3 +118,19 @@ _CASED = "SELECT page, CASE WHEN block % 2 = 0 OR page % 3 = 0 THEN upper(text)
 query("uppercase_share", lambda v: s.uppercase_share(v.sql(_CASED), "page"), f"SELECT page, CASE WHEN bool_and(text = upper(text)) THEN 'printed' WHEN bool_or(text = upper(text)) THEN 'mixed' ELSE 'handwritten' END AS kind FROM ({_CASED}) c GROUP BY page")
 _BY4 = "SELECT page, block, block % 4 AS cluster FROM {text_blocks} b"
 query("cluster_bbox", lambda v: s.cluster_bbox(v.text_blocks, v.sql(_BY4)), 'SELECT page, block % 4 AS cluster, min(x) AS "left", min(y) AS top, max(x + w) AS "right", max(y + h) AS bottom, count(*) AS n FROM {text_blocks} b GROUP BY 1, 2')
+
+query("y_cluster", lambda v: ln.y_cluster(v.text_blocks), "SELECT page, (block - 1)::INT AS line, block FROM {text_blocks} b")
+_SPOKEN = "SELECT page, block, w, CASE WHEN block % 2 = 0 THEN concat(text, '.') ELSE text END AS text FROM {text_blocks} b"
+query("line_stability", lambda v: ln.line_stability(v.sql(_SPOKEN)), f"""SELECT page, floor(round((0.35e0 * avg(fit) + 0.35e0 * avg(phrase) + 0.2e0 * greatest(0, 1 - coalesce(var_pop(words) / pow(avg(words), 2), 0)) + 0.1e0) * 100, 6) + 0.5)::BIGINT AS score FROM (SELECT page, exp(-pow((w / max(w) OVER (PARTITION BY page) - 0.9e0) / 0.1e0, 2) / 2) AS fit,
+    len(string_split(text, ' ')) AS words, regexp_matches(text, '[.,;:!?]$')::INT AS phrase FROM ({_SPOKEN}) s) t GROUP BY page""")
+query("break_scores", lambda v: ln.break_scores(v.text_items.select("page", "row", F.col("col").alias("n"), F.col("text").alias("word")), 16), """SELECT page, row, arg_max(n, (score, -n)) AS n, max(score) AS score FROM (SELECT page, row, n, round(exp(-pow((used / 16e0 - 0.9e0) / 0.1e0, 2) / 2), 9) AS score FROM (
+    SELECT page, row, col AS n, sum(length(text) + 1) OVER (PARTITION BY page, row ORDER BY col) - 1 AS used, lead(text) OVER (PARTITION BY page, row ORDER BY col) AS next FROM {text_items} i) t WHERE next IS NOT NULL AND used <= 16) s GROUP BY page, row""")
+query("merge_short_lines", lambda v: ln.merge_short_lines(v.text_blocks, 30))
+query("block_text", lambda v: ln.block_text(v.text_blocks).select("page", "left", "right", "lines"), 'SELECT page, min(x) AS "left", max(x + w) AS "right", count(*)::INT AS lines FROM {text_blocks} b GROUP BY page')
+query("table_row_cells", lambda v: ln.table_row_cells(v.text_items), "SELECT page, row, 4::BIGINT AS cells, 100e0 AS mean FROM {text_items} i GROUP BY page, row")
+_LAYER = "SELECT page, y + block % 3 * 30 AS y, label AS text FROM {text_blocks} b WHERE label IS NOT NULL"
+query("fuse_text_layers", lambda v: ln.fuse_text_layers(v.text_blocks, v.sql(_LAYER)).select("page", "block", "n"), f"SELECT b.page, b.block, count(l.y)::INT AS n FROM {{text_blocks}} b LEFT JOIN ({_LAYER}) l ON b.page = l.page AND l.y BETWEEN b.y - 12 AND b.y + b.h + 12 GROUP BY b.page, b.block")
+query("glyph_lines", lambda v: ln.glyph_lines(v.text_items).select("page", "line", "left", "right", "n"), 'SELECT page, (row - 1) * 4 + col + 1 AS line, x AS "left", x AS "right", 1::BIGINT AS n FROM {text_items} i')
+_CUM = "(SELECT doc, page, seq, sum(len(string_split(text, ' '))) OVER (PARTITION BY doc, page ORDER BY seq) AS t, len(string_split(text, ' ')) AS n FROM {{{0}}} x)"
+query("observation_align", lambda v: ln.observation_align(v.fidelity_original, v.fidelity_export), f"""SELECT o.doc, o.page, o.seq AS e, count(a.seq) FILTER (WHERE a.t - a.n >= o.t - o.n AND a.t - a.n < o.t) AS items, min(a.seq) FILTER (WHERE a.t - a.n >= o.t - o.n AND a.t - a.n < o.t) AS first
+    FROM {_CUM.format("fidelity_original")} o LEFT JOIN {_CUM.format("fidelity_export")} a ON o.doc = a.doc AND o.page = a.page GROUP BY o.doc, o.page, o.seq""")
