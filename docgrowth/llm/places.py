@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docgrowth.functions.shared import written
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -53,6 +55,21 @@ def lengths(pieces: DataFrame) -> dict[int, int]:
     return {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
 
 
+def _place(plan: Plan):
+    """A function of length and rank that gives the place; the plan goes to the tasks, its size is bounded."""
+    stride = np.int64(1 << 44)
+    starts = plan.length * stride + plan.first
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        k = np.searchsorted(starts, n * stride + r, "right") - 1
+        along = r - plan.first[k]
+        return pd.DataFrame({"sequence_id": plan.sequence[k] + along // plan.run[k], "offset": plan.offset[k] + along % plan.run[k] * n})
+
+    return place
+
+
 def placed(pieces: DataFrame, plan: Plan, order: list[str]) -> DataFrame:
     """pieces with sequence_id and offset.
 
@@ -64,15 +81,19 @@ def placed(pieces: DataFrame, plan: Plan, order: list[str]) -> DataFrame:
     before = W.partitionBy("length").orderBy("_share").rowsBetween(W.unboundedPreceding, -1)
     base = dealt.groupBy("length", "_share").count().select("length", "_share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_share").orderBy(*order)) - 1)
-    stride = np.int64(1 << 44)
-    starts = plan.length * stride + plan.first
+    place = _place(plan)
+    put = ranked.join(base, ["length", "_share"]).withColumn("_at", place("length", F.col("_base") + F.col("_rank")))
+    return put.select(*pieces.columns, "_at.sequence_id", "_at.offset")
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        k = np.searchsorted(starts, n * stride + r, "right") - 1
-        along = r - plan.first[k]
-        return pd.DataFrame({"sequence_id": plan.sequence[k] + along // plan.run[k], "offset": plan.offset[k] + along % plan.run[k] * n})
 
-    put = ranked.join(base, ["length", "_share"]).withColumn("_at", place("length", F.col("_base") + F.col("_rank")))
+#: Offsets of (length, part) up to this many are broadcast (12 MB); more are joined by a shuffle.
+BROADCAST_OFFSETS = 500_000
+
+
+def placed_by_part(pieces: DataFrame, plan: Plan) -> DataFrame:
+    """As placed(), for pieces that carry their part and their rank within part and length: the pieces themselves are not shuffled."""
+    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = written(pieces.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")), "offsets")
+    base = F.broadcast(base) if base.count() <= BROADCAST_OFFSETS else base
+    put = pieces.join(base, ["length", "part"]).withColumn("_at", _place(plan)("length", F.col("_base") + F.col("rank")))
     return put.select(*pieces.columns, "_at.sequence_id", "_at.offset")

@@ -18,16 +18,18 @@ import re
 import sys
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrowth.functions.shared import written
-from docgrowth.llm.places import Plan, PlanBuilder, lengths, placed
+from docgrowth.llm.places import Plan, PlanBuilder, lengths, placed_by_part
 
 #: Texts with other characters than these are encoded whole, without the cache of words.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]|<\|")
@@ -85,19 +87,25 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, text: str | Column, keep_ids: str = "") -> DataFrame:
-    """(key, piece, start, length, ids_crc32[, ids]) of every document's ids with the end id after them; ids as `keep_ids` numbers."""
+    """(key, piece, start, length, ids_crc32) of every document's ids with the end id after them.
+
+    With `keep_ids`, a number type, also the ids, the task's number, and the piece's rank among the task's pieces of its length.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
+        task, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             rows, held = [], 0
             for k, ids in zip(b["k"], known.encode([*b["t"]]), strict=True):
                 ids += end
                 for n, s in enumerate(range(0, len(ids), 4 * capacity)):
                     p = ids[s : s + 4 * capacity]
-                    rows.append((k, n, s // 4, len(p) // 4, zlib.crc32(p), *([np.frombuffer(p, "<u4").astype(keep_ids).tobytes()] if keep_ids else [])))
+                    more = (np.frombuffer(p, "<u4").astype(keep_ids).tobytes(), task, seen[len(p)]) if keep_ids else ()
+                    seen[len(p)] += 1
+                    rows.append((k, n, s // 4, len(p) // 4, zlib.crc32(p), *more))
                 held += len(ids)
                 if held > 1 << 25:
                     yield pd.DataFrame(rows)
@@ -106,7 +114,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str, tex
                 yield pd.DataFrame(rows)
 
     source = docs.select(F.col(key).alias("k"), (F.col(text) if isinstance(text, str) else text).alias("t"))
-    return source.mapInPandas(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * bool(keep_ids))
+    return source.mapInPandas(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary, part int, rank long" * bool(keep_ids))
 
 
 class _Tree:
@@ -188,7 +196,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, pa
     width = "<u2" if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     cut = written(pieces(docs, path, capacity, end_id, key, text, keep_ids=width), "ids")
     plan = best_fit_decreasing(lengths(cut), capacity)
-    put = placed(cut, plan, [key, "piece"])
+    put = placed_by_part(cut, plan)
     kind = docs.schema[key].dataType.simpleString()
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
