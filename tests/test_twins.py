@@ -56,6 +56,6 @@ def test_entry(spark):
 
 def test_entry_works_without_the_training_data_part(monkeypatch):
     real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n in ("docgrowth.llm", "corpus_pipeline") else real(n, *a))
+    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n in ("docgrowth.llm.queries", "corpus_pipeline") else real(n, *a))
     names = entry_point.queries()
     assert "roas_action" in names and not any(n.startswith("op") for n in names)
