@@ -71,8 +71,8 @@ query("corpus_class", lambda v: d.corpus_class(v.documents).groupBy("class").cou
 query("top_samples", lambda v: d.top_samples(v.documents, 20).select("doc_id", "n_chars"), "SELECT doc_id, n_chars FROM {documents} d ORDER BY n_chars DESC, doc_id LIMIT 20")
 query("markdown_clean", lambda v: v.pages.select("page_id", F.md5(d.markdown_clean(F.col("html"))).alias("digest")), r"""SELECT page_id, md5(rtrim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br[^>]*>|</tr>', chr(10), 'g'),
     '(?i)</t[dh]>', chr(9), 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' ', 'g'), '&[a-z]+;', '', 'g'), '[*_#`]+', '', 'g'), '[ \t]+\n', chr(10), 'g'))) AS digest FROM {pages} p""")
-_DECIDE = {"stamp": (F.col("label") == "stamp", "keep"), "wide": (F.col("w") > 80, "wrap"), "low": (F.col("y") > 180, "footer")}
-query("rule_decisions", lambda v: d.rule_decisions(v.text_blocks.select("page", "block", "label", "w", "y"), _DECIDE).select("page", "block", "rule", "decision"), """SELECT page, block, 'stamp' AS rule, 'keep' AS decision FROM {text_blocks} a WHERE label = 'stamp'
+_DECIDE = {"stamp": ("label = 'stamp'", "keep"), "wide": ("w > 80", "wrap"), "low": ("y > 180", "footer")}
+query("rule_decisions", lambda v: d.rule_decisions(v.text_blocks.select("page", "block", "label", "w", "y"), {n: (F.expr(c), d_) for n, (c, d_) in _DECIDE.items()}).select("page", "block", "rule", "decision"), """SELECT page, block, 'stamp' AS rule, 'keep' AS decision FROM {text_blocks} a WHERE label = 'stamp'
     UNION ALL SELECT page, block, 'wide', 'wrap' FROM {text_blocks} b WHERE w > 80 UNION ALL SELECT page, block, 'low', 'footer' FROM {text_blocks} c WHERE y > 180""")
 query("size_outcome", lambda v: d.size_outcome(v.size_rows).select("id", "outcome"), "SELECT id, CASE WHEN original <= 0 THEN 'publish' WHEN rewritten / original > 1.1e0 THEN 'fallback' ELSE 'publish' END AS outcome FROM {size_rows} s")
 _FONTS = "SELECT page, block, 400 + 100 * (block % 4) AS weight, (page + block) % 10 / 10e0 AS confidence, page % 2 = 0 AS safe FROM {text_blocks} b"
