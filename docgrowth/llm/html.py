@@ -47,45 +47,71 @@ MAIN = {"article", "main"}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_EACH = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _NAME = re.compile(r"[A-Za-z]+")
 _LOW = 0.3
 
 PATH_LIMIT_ROWS = 200_000
 
 
-def _style(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's name in the style tree, and whether by its looks it holds no article text."""
-    name, beside = tag, tag in NO_TEXT
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute, by its name, hides the element."""
+    for name, *values in _EACH.findall(attributes):
+        key, value = name.lower(), next(filter(None, values), "")
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _NONE.search(value)):
+            return True
+    return False
+
+
+def _style(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """An element's name in the style tree, whether it holds no article text, and whether it is only marked as such."""
+    name, beside, marked = tag, tag in NO_TEXT and tag != "form", tag == "form"
     if attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             value = next(filter(None, values), "")
             if key.lower() == "role":
-                beside |= value.lower() in ROLES
+                marked |= value.lower() in ROLES
             else:
-                words = {w.lower() for w in _NAME.findall(value)}
-                beside |= bool(words & BESIDE) and tag not in ("html", "body")
+                marked |= not BESIDE.isdisjoint(value.lower().split())
                 if key.lower() == "class" and value:
-                    name += "." + ".".join(sorted(words))
-        beside |= bool(_HIDDEN.search(attributes))
-    return name, beside
+                    name += "." + ".".join(sorted({w.lower() for w in _NAME.findall(value)}))
+        beside |= _hidden(attributes)
+    return name, beside, marked and tag not in MAIN and tag not in ("html", "body")
 
 
 def blocks(page: str | None) -> Iterator[tuple[str, bool, str]]:
-    """(path, inside an article, text) of every block that presentation keeps, in page order."""
+    """(path, inside an article, text) of every block that presentation keeps, in page order.
+
+    A mark (class, id, role, form) doesn't count on an element that holds all articles of
+    the page, or most of the text of a page without articles.
+    """
+    articles: list[tuple[int, ...]] = []
+    found = [*_parsed(page, articles)]
+    whole = sum(len(text) for *_, text in found)
+    held: dict[int, int] = {}
+    for marks, *_, text in ((m, " ") for m in articles) if articles else found:
+        for k in marks:
+            held[k] = held.get(k, 0) + len(text)
+    free = {k for k, n in held.items() if (n == len(articles) if articles else 2 * n > whole)}
+    yield from ((path, inside, text) for marks, path, inside, text in found if free.issuperset(marks))
+
+
+def _parsed(page: str | None, articles: list[tuple[int, ...]]) -> Iterator[tuple[tuple[int, ...], str, bool, str]]:
+    """(marked elements around it, path, inside an article, text) of blocks; the marked elements around each article go to `articles`."""
     if not page:
         return
     names: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, beside, inside an article
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # tag, beside, inside an article, marked elements by their place
     text: list[str] = []
     at, size = 0, len(page)
 
-    def flush() -> Iterator[tuple[str, bool, str]]:
+    def flush() -> Iterator[tuple[tuple[int, ...], str, bool, str]]:
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                yield ">".join(n for n, (t, _, _) in zip(names, stack, strict=True) if t not in INLINE), bool(stack and stack[-1][2]), joined
+                yield stack[-1][3] if stack else (), ">".join(n for n, (t, *_) in zip(names, stack, strict=True) if t not in INLINE), bool(stack and stack[-1][2]), joined
 
     def pop(to: int) -> None:
         del stack[to:], names[to:]
@@ -128,11 +154,15 @@ def blocks(page: str | None) -> Iterator[tuple[str, bool, str]]:
                     break
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
-        name, beside = _style(tag, m[3] or m[6] or "")
-        above = stack[-1] if stack else ("", False, False)
+        name, beside, marked = _style(tag, m[3] or m[6] or "")
+        above = stack[-1] if stack else ("", False, False, ())
         if tag == "header" and not above[2]:
             beside = True
-        stack.append((tag, beside or above[1], above[2] or tag in MAIN))
+        beside |= above[1] or (marked and inline)
+        marks = (*above[3], at) if marked else above[3]
+        if tag in MAIN and not beside:
+            articles.append(marks)
+        stack.append((tag, beside, above[2] or tag in MAIN, marks))
         names.append(name)
     yield from flush()
 

@@ -254,6 +254,18 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content no-sidebar'><p>a</p></div>", "a"), ("<main class='with-sidebar'>a</main>", "a"), ("<article class='post share'>a</article>", "a"),
+        ("<div id='search-results'>a</div>", "a"), ("<body><form><p>a long text</p></form><p>b</p></body>", "a long text b"), ("<p title='the hidden valley'>a</p>", "a"),
+        ("<div class='page-header-layout'>a</div><p hidden>b</p><p style='display: none'>c</p>", "a"), ("<div class='sidebar wrapper'><article>a</article></div><div class='related'>b</div>", "a"), ("<p>a<span class='share'>x</span>b</p>", "ab"),
+    ],
+)
+def test_marks_on_wrappers_keep_the_text(page, text):
+    assert html.main_text(page) == text
+
+
 def test_recurring_branches_of_a_host_go(spark):
     pages = [(i, f"http://h.com/{i}", f"<div class=top>Same everywhere</div><div class=body>text number {i} of the page</div>") for i in range(12)]
     got = html.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()
