@@ -6,7 +6,7 @@ their tag or class hold no article text (menus, forms, scripts, adverts, comment
 have none. Content: over the host's pages, texts that recur say little; a path's
 importance is 1 minus the mean of log(occurrences) / log(all occurrences) of its texts,
 so a path with the same text on every page has 0 and one with a new text on each has 1.
-Branches of low importance are cut from every page. Inside an article or main element
+A path's importance is that of the texts directly in it: blocks of a path of low importance are cut from every page, and copies of a page count once. Inside an article or main element
 only presentation cuts, so copies of one article on a host don't remove it.
 
 Blocks are joined in page order by one space. Defined results: null html is empty; a
@@ -168,29 +168,32 @@ def _parsed(page: str | None, articles: list[tuple[int, ...]]) -> Iterator[tuple
 
 
 def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's blocks, without those whose path, or one above it, is of low importance outside an article."""
+    """The page's blocks, without those whose own path is of low importance outside an article."""
     found = [*blocks(page)]
     if any(inside for _, inside, _ in found):
         found = [b for b in found if b[1]]
-    return " ".join(text for path, inside, text in found if inside or not _below(path, low))
-
-
-def _below(path: str, low: frozenset[str] | set[str]) -> bool:
-    parts = path.split(">") if low else ()
-    return any(">".join(parts[: k + 1]) in low for k in range(len(parts)))
+    return " ".join(text for path, inside, text in found if inside or path not in low)
 
 
 def low_paths(pages: DataFrame, host: Column, page: str = "html", least: float = _LOW, pages_needed: int = 5) -> DataFrame:
-    """(host, low): per host the paths outside articles whose content recurs over at least `pages_needed` occurrences."""
+    """(host, low): per host the paths outside articles whose content recurs over at least `pages_needed` occurrences.
+
+    Pages of equal texts count once, and so does a text that a page repeats at a path.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = lambda text: xxhash.xxh3_64_intdigest(text) - (1 << 63)
         for b in batches:
-            rows = [(h, path, xxhash.xxh3_64_intdigest(text) - (1 << 63)) for h, p in zip(b["host"], b["page"], strict=True) for path, inside, text in blocks(p) if not inside]
+            rows = []
+            for h, p in zip(b["host"], b["page"], strict=True):
+                found = [x for x in blocks(p) if not x[1]]
+                own = digest("\n".join(text for *_, text in found))
+                rows += [(h, path, digest(text), own) for path, _, text in found]
             if rows:
                 yield pd.DataFrame(rows)
 
-    found = pages.select(host.alias("host"), F.col(page).alias("page")).mapInPandas(parse, "host string, path string, content long")
-    each = found.groupBy("host", "path", "content").agg(F.count("*").alias("c"))
+    found = pages.select(host.alias("host"), F.col(page).alias("page")).mapInPandas(parse, "host string, path string, content long, own long")
+    each = found.distinct().groupBy("host", "path", "content").agg(F.count("*").alias("c"))
     total = each.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     importance = 1 - F.col("s") / (F.col("m") * F.log("m"))
     return total.filter((F.col("m") >= pages_needed) & (importance < least)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))

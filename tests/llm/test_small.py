@@ -274,6 +274,13 @@ def test_recurring_branches_of_a_host_go(spark):
     assert {r["main_text"] for r in html.extract(spark.createDataFrame(copies, "page_id int, url string, html string")).collect()} == {"one article"}
 
 
+def test_a_recurring_text_or_copies_do_not_cut_what_is_below(spark):
+    pages = [(i, f"http://h.com/{i}", f"<body>Skip to content<div class=body><p>text number {i}</p></div></body>") for i in range(8)]
+    pages += [(100 + i, f"http://g.com/{i}", f"<body><p>page {max(0, i - 40)}</p></body>") for i in range(46)]
+    got = {r["page_id"]: r["main_text"] for r in html.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == {i: f"text number {i}" for i in range(8)} | {100 + i: f"page {max(0, i - 40)}" for i in range(46)}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(600, 16)), np.repeat(rng.normal(size=(1, 16)), 200, axis=0)])
