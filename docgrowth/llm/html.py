@@ -6,8 +6,8 @@ their tag or class hold no article text (menus, forms, scripts, adverts, comment
 have none. Content: over the host's pages, texts that recur say little; a path's
 importance is 1 minus the mean of log(occurrences) / log(all occurrences) of its texts,
 so a path with the same text on every page has 0 and one with a new text on each has 1.
-A path's importance is that of the texts directly in it: blocks of a path of low importance are cut from every page, and copies of a page count once. Inside an article or main element
-only presentation cuts, so copies of one article on a host don't remove it.
+A path's importance is that of the texts directly in it: blocks of a path of low importance are cut from every page, and copies of a page count once. An article or main element is a
+prior only: where too few pages tell a path's importance, blocks outside the page's articles go.
 
 Blocks are joined in page order by one space. Defined results: null html is empty; a
 page without text gives an empty text; broken markup is read as far as it goes (an
@@ -167,16 +167,15 @@ def _parsed(page: str | None, articles: list[tuple[int, ...]]) -> Iterator[tuple
     yield from flush()
 
 
-def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's blocks, without those whose own path is of low importance outside an article."""
+def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset(), high: frozenset[str] | set[str] = frozenset()) -> str:
+    """The page's blocks by their own path's importance; where the host's pages tell nothing of it, an article excludes what is outside."""
     found = [*blocks(page)]
-    if any(inside for _, inside, _ in found):
-        found = [b for b in found if b[1]]
-    return " ".join(text for path, inside, text in found if inside or path not in low)
+    article = any(inside for _, inside, _ in found)
+    return " ".join(text for path, inside, text in found if path not in low and (inside or not article or path in high))
 
 
-def low_paths(pages: DataFrame, host: Column, page: str = "html", least: float = _LOW, pages_needed: int = 5) -> DataFrame:
-    """(host, low): per host the paths outside articles whose content recurs over at least `pages_needed` occurrences.
+def judged_paths(pages: DataFrame, host: Column, page: str = "html", least: float = _LOW, pages_needed: int = 5) -> DataFrame:
+    """(host, low, high): per host the paths of low and of high importance, as far as at least `pages_needed` occurrences tell.
 
     Pages of equal texts count once, and so does a text that a page repeats at a path.
     """
@@ -186,7 +185,7 @@ def low_paths(pages: DataFrame, host: Column, page: str = "html", least: float =
         for b in batches:
             rows = []
             for h, p in zip(b["host"], b["page"], strict=True):
-                found = [x for x in blocks(p) if not x[1]]
+                found = [*blocks(p)]
                 own = digest("\n".join(text for *_, text in found))
                 rows += [(h, path, digest(text), own) for path, _, text in found]
             if rows:
@@ -195,8 +194,9 @@ def low_paths(pages: DataFrame, host: Column, page: str = "html", least: float =
     found = pages.select(host.alias("host"), F.col(page).alias("page")).mapInPandas(parse, "host string, path string, content long, own long")
     each = found.distinct().groupBy("host", "path", "content").agg(F.count("*").alias("c"))
     total = each.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    importance = 1 - F.col("s") / (F.col("m") * F.log("m"))
-    return total.filter((F.col("m") >= pages_needed) & (importance < least)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    told = total.filter(F.col("m") >= pages_needed).withColumn("slight", 1 - F.col("s") / (F.col("m") * F.log("m")) < least)
+    paths = lambda wanted: F.sort_array(F.collect_list(F.when(wanted, F.col("path"))))
+    return told.groupBy("host").agg(paths(F.col("slight")).alias("low"), paths(~F.col("slight")).alias("high"))
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -204,13 +204,14 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     from docgrowth.llm.urls import host_and_path
 
     host = host_and_path(F.col(url))[0]
-    low = written(low_paths(pages, host, page), "low")
-    small = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0] <= PATH_LIMIT_ROWS
-    low = low.select(F.col("host").alias("_host"), F.col("low").alias("_low"))
+    low = written(judged_paths(pages, host, page), "judged")
+    small = low.agg(F.coalesce(F.sum(F.size("low") + F.size("high")), F.lit(0))).first()[0] <= PATH_LIMIT_ROWS
+    low = low.select(F.col("host").alias("_host"), F.col("low").alias("_low"), F.col("high").alias("_high"))
 
     @F.pandas_udf("string")
-    def text(p: pd.Series, unimportant: pd.Series) -> pd.Series:
-        return pd.Series([main_text(x, set(u) if u is not None else set()) for x, u in zip(p, unimportant, strict=True)], dtype=object)
+    def text(p: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        sets = ([set(u) if u is not None else set() for u in c] for c in (low, high))
+        return pd.Series([main_text(x, *judged) for x, *judged in zip(p, *sets, strict=True)], dtype=object)
 
     met = pages.withColumn("_host", host).join(F.broadcast(low) if small else low, "_host", "left")
-    return met.withColumn("main_text", text(page, "_low")).drop("_host", "_low")
+    return met.withColumn("main_text", text(page, "_low", "_high")).drop("_host", "_low", "_high")

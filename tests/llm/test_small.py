@@ -281,6 +281,13 @@ def test_a_recurring_text_or_copies_do_not_cut_what_is_below(spark):
     assert got == {i: f"text number {i}" for i in range(8)} | {100 + i: f"page {max(0, i - 40)}" for i in range(46)}
 
 
+def test_importance_decides_inside_and_outside_articles(spark):
+    pages = [(i, f"http://h.com/{i}", f"<main><div class=box>All rights reserved</div><p>main text {i}</p></main>") for i in range(9)]
+    pages += [(100 + i, f"http://g.com/{i}", f"<article class=card>Read this too</article><div class=body>body text {i}</div>") for i in range(9)]
+    got = {r["page_id"]: r["main_text"] for r in html.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == {i: f"main text {i}" for i in range(9)} | {100 + i: f"body text {i}" for i in range(9)}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(600, 16)), np.repeat(rng.normal(size=(1, 16)), 200, axis=0)])
