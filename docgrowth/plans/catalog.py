@@ -47,7 +47,7 @@ query("sitemap", lambda v: c.sitemap(v.keywords), r"""SELECT '/' || regexp_repla
 _WANTED = "SELECT DISTINCT replace(CASE WHEN seq % 2 = 0 THEN upper(keyword) ELSE concat(keyword, ' x') END, ' ', '-') AS slug FROM {keywords} k"
 query("page_lookup", lambda v: c.page_lookup(v.sql(_WANTED), v.keywords), f"""SELECT slug, coalesce(category, 'general') AS category, category IS NOT NULL AS known FROM ({_WANTED}) w
     LEFT JOIN (SELECT lower(keyword) AS key, min_by(category, seq) AS category FROM {{keywords}} k GROUP BY lower(keyword)) k ON lower(replace(slug, '-', ' ')) = key""")
-query("pipeline_report", lambda v: c.pipeline_report(v.keywords.filter("seq <= 10"), v.page_perf))
+query("pipeline_report", lambda v: c.pipeline_report(v.keywords, v.page_perf))
 _USED = r"SELECT DISTINCT regexp_extract(html, 'href=./([A-Za-z]+)', 1) AS word FROM {pages} p"
 _KNOWN = "SELECT DISTINCT regexp_extract(text, '^[A-Za-z]+', 0) AS word FROM {documents} d"
 query("missing_keys", lambda v: c.missing_keys(v.sql(_USED), v.sql(_KNOWN), "word"), f"SELECT word FROM ({_USED}) u WHERE word NOT IN (SELECT word FROM ({_KNOWN}) k)")
