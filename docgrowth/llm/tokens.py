@@ -14,6 +14,7 @@ are packed each; an empty table gives no sequence.
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import zlib
@@ -42,14 +43,20 @@ def _plain(text: str) -> bool:
     return not _PLAIN.search(text)
 
 
+#: A character that no plain text has; alone between blanks it parts words that are encoded at once.
+_PARTING = "\u2603"
+
+
 class Encoder:
     """Encodes texts by a `tokenizers` file; ids as little-endian unsigned 32-bit numbers.
 
     Where the vocabulary marks the ends of words and blanks are dropped, a text's ids are
-    those of its words one after another, so the ids of `limit` words are kept.
+    those of its words one after another, so the ids of `limit` words are kept. New words
+    are encoded as one text, parted by a character whose first id no plain word can have.
     """
 
     def __init__(self, path: str, limit: int = 500_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already take all cores
         from tokenizers import Tokenizer
 
         assert sys.byteorder == "little" and array("I").itemsize == 4
@@ -57,19 +64,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:  # a file of the tokenizer package, on each machine
             self.by_word = bool(json.load(f)["model"].get("end_of_word_suffix"))
+        mark = self.tokenizer.encode(_PARTING, add_special_tokens=False)
+        # byte-level names of the character's first two bytes; plain characters have others
+        self.mark = mark.ids if mark.tokens and mark.tokens[0].startswith("\u00e2\u013a") else None
         self.limit = limit
         self.known: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, by few calls."""
+        if not self.mark:
+            return self._direct(words)
+        out = []
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_PARTING} ".join(["", *part])], add_special_tokens=False)[0].ids, "<u4")
+            start = np.flatnonzero(ids == self.mark[0])
+            raw, skip = ids.tobytes(), len(self.mark)
+            ends = [*(4 * start[1:]).tolist(), len(raw)]
+            got = [raw[s:e] for s, e in zip((4 * (start + skip)).tolist(), ends, strict=True)]
+            out += got if len(got) == len(part) else self._direct(part)
+        return out
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         known = self.known
         for at in range(0, len(texts), 200):
             part = [t or "" for t in texts[at : at + 200]]
             split = [t.lower().split() if self.by_word and _plain(t) else None for t in part]
             fresh = [*{w for s in split if s for w in s if w not in known}]
-            ids = zip(fresh, self._direct(fresh), strict=True)
+            ids = zip(fresh, self._words(fresh), strict=True)
             if len(known) < self.limit:
                 known.update(ids)
                 of = known.__getitem__
@@ -189,29 +214,27 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, pad_id: int = 0, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
-    """One row per sequence: ids of the full width, tokens used, cumulative lengths, and positions that restart at each piece.
+    """One row per sequence: a row of the id matrix at full width, tokens used, cumulative lengths, and positions that restart at each piece.
 
-    Columns: sequence_id, n_tokens, ids array<int>, cu_seqlens array<int>, position_ids array<int>, members array of (key, piece).
+    Columns: sequence_id, n_tokens, id_bytes (2 or 4, the width of a number), ids binary and position_ids binary (`capacity`
+    little-endian unsigned numbers each, as a matrix file holds them), cu_seqlens array<int>, members array of (key, piece).
+    Padding has `pad_id` and positions that restart once more.
     """
-    width = "<u2" if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    cut = written(pieces(docs, path, capacity, end_id, key, text, keep_ids=width), "ids")
-    plan = best_fit_decreasing(lengths(cut), capacity)
-    put = placed_by_part(cut, plan)
-    kind = docs.schema[key].dataType.simpleString()
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 64):
-                rows = []
-                for seq, parts in zip(b["sequence_id"].iloc[at : at + 64], b["parts"].iloc[at : at + 64], strict=True):
-                    parts = sorted(parts, key=lambda p: p["offset"])
-                    ids = np.frombuffer(b"".join(p["ids"] for p in parts), width).astype(np.int32)
-                    size = [len(p["ids"]) // int(width[2]) for p in parts]
-                    row = np.full(capacity, pad_id, np.int32)
-                    row[: len(ids)] = ids
-                    position = np.concatenate([np.arange(n, dtype=np.int32) for n in (*size, capacity - len(ids))])
-                    rows.append((seq, len(ids), row, np.cumsum([0, *size], dtype=np.int32), position, [{"key": p["key"], "piece": p["piece"]} for p in parts]))
-                yield pd.DataFrame(rows, columns=["sequence_id", "n_tokens", "ids", "cu_seqlens", "position_ids", "members"])
-
-    parts = put.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "ids", F.col(key).alias("key"), "piece")).alias("parts"))
-    return parts.mapInPandas(fill, f"sequence_id long, n_tokens int, ids array<int>, cu_seqlens array<int>, position_ids array<int>, members array<struct<key:{kind},piece:int>>")
+    wide = max(encoder(path).tokenizer.get_vocab_size(), end_id + 1, pad_id + 1, capacity)
+    size = 2 if wide <= 1 << 16 else 4
+    cut = written(pieces(docs, path, capacity, end_id, key, text, keep_ids=f"<u{size}"), "ids")
+    put = placed_by_part(cut, best_fit_decreasing(lengths(cut), capacity))
+
+    row = F.struct("offset", "length", "ids", F.col(key).alias("key"), "piece")
+    whole = put.groupBy("sequence_id").agg(F.array_sort(F.collect_list(row)).alias("parts"), F.sum("length").cast("int").alias("n_tokens"))
+    ramp, pad = (F.lit(x.astype(f"<u{size}").tobytes()) for x in (np.arange(capacity), np.full(capacity, pad_id)))
+    first = lambda of, n: F.substring(of, F.lit(1), (size * n).cast("int"))  # noqa: E731  # the first n numbers
+    joined = lambda of: F.aggregate("parts", F.lit(b""), lambda done, p: F.concat(done, of(p)))
+    rest = F.lit(capacity) - F.col("n_tokens")
+    return whole.select(
+        "sequence_id", "n_tokens", F.lit(size).alias("id_bytes"),
+        F.concat(joined(lambda p: p["ids"]), first(pad, rest)).alias("ids"),
+        F.concat(F.array(F.lit(0)), F.transform("parts", lambda p: (p["offset"] + p["length"]).cast("int"))).alias("cu_seqlens"),
+        F.concat(joined(lambda p: first(ramp, p["length"])), first(ramp, rest)).alias("position_ids"),
+        F.transform("parts", lambda p: F.struct(p["key"].alias("key"), p["piece"].alias("piece"))).alias("members"),
+    )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from docgrowth.llm import ann, decontam, html, jaccard, langid, packing, pii, places, stages, tokens, toxicity, urls
+from docgrowth.llm import ann, decontam, html, jaccard, langid, packing, pii, stages, tokens, toxicity, urls
 from docgrowth.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n int, sig string, id string, key int"
@@ -174,11 +175,20 @@ def test_pieces_and_encoder(spark):
         used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for parts in used.values():
         assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
-    rows = tokens.packed(docs, tokenizer_file(), capacity=64).collect()
+    rows = tokens.packed(docs, tokenizer_file(), capacity=64, pad_id=7).collect()
     assert sum(r["n_tokens"] for r in rows) == sum(r["length"] for r in got)
+    made: dict[tuple[int, int], list] = {}
     for r in rows:
-        assert len(r["ids"]) == len(r["position_ids"]) == 64 and r["cu_seqlens"][-1] == r["n_tokens"]
-        assert [k for k, p in enumerate(r["position_ids"][: r["n_tokens"]]) if p == 0] == r["cu_seqlens"][:-1]
+        ids, position, ends = (np.frombuffer(r["ids"], f"<u{r['id_bytes']}"), np.frombuffer(r["position_ids"], f"<u{r['id_bytes']}"), r["cu_seqlens"])
+        assert len(ids) == len(position) == 64 and ends[0] == 0 and ends[-1] == r["n_tokens"] and (ids[ends[-1] :] == 7).all()
+        assert position.tolist() == [k for a, b in itertools.pairwise([*ends, 64]) for k in range(b - a)]
+        for m, (a, b) in zip(r["members"], itertools.pairwise(ends), strict=True):
+            made.setdefault((m["key"], m["piece"]), []).append(ids[a:b].tolist())
+    for i, t in enumerate(texts):  # the rows of the matrix hold what encoding each text directly gives
+        want = [*direct.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(want), 64):
+            assert made.pop((i, k // 64)) == [want[k : k + 64]] * (2 if i == 2 else 1)
+    assert not made and tokens.packed(documents(spark, []), tokenizer_file()).count() == 0
     assert packing.pack(documents(spark, []), tokenizer_file()).count() == 0
 
 
@@ -315,6 +325,3 @@ def test_stage_keeps_one_of_each_group(spark):
     kept = stages.one_of_each_group(documents(spark, rows)).collect()
     assert sorted(r["doc_id"] for r in kept) == [3, 9, 10, 11]
 
-
-def test_places_module_is_used():
-    assert places.PlanBuilder().done().sequences == 0
