@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrowth.functions.shared import written
+from docgrowth.functions.shared import forgotten, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,7 +25,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = written(large, "large")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        stars = written(low.select("hi", F.col("m").alias("lo")).union(small).distinct(), "small")
+        next_stars = written(low.select("hi", F.col("m").alias("lo")).union(small).distinct(), "small")
+        for done in (stars, large):
+            forgotten(done)
+        stars = next_stars
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -9,17 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir; one of its own only on a single machine (tests), where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read back from the shared folder, without its lineage."""
+    """df, computed once and read back from the shared folder, without its lineage; the files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, files = _at(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Deletes the files of a written() table that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at, files = _at(df.sparkSession, path)
+        files.delete(at, True)
