@@ -10,24 +10,68 @@ from docgrowth.functions.numbers import at_least
 
 # Words that expand a keyword, before it and after it.
 ACTIONS = (
-    "free", "online", "best", "how to", "fast", "secure", "easy", "simple", "quick", "batch", "convert", "edit", "merge", "split", "compress", "sign", "unlock", "protect", "rotate",
-    "extract", "translate", "print", "share",
+    "edit", "merge", "split", "compress", "convert", "rotate", "sign", "unlock", "resize", "delete pages from", "extract pages from", "reorder pages in", "add text to", "add image to",
+    "remove text from", "remove image from", "watermark", "stamp", "number pages in", "flatten", "optimize", "reduce size of", "change format of",
 )
-QUALIFIERS = ("online", "free", "for mac", "for windows", "without watermark", "no signup", "2024", "app", "tool", "software", "to word", "to excel", "to jpg", "reviews", "alternative")
-MODIFIERS = ("free", "online", "best", "easy", "fast", "secure", "batch", "mobile", "cheap", "simple", "pro")
-INTENTS = ("how to", "what is", "why use", "where to", "when to")
-COMMERCIAL = ("price", "pricing", "review", "alternative", "discount")
-FAQ = (
-    ("What is {keyword}?", "{keyword} is a way to work with documents."), ("Is {keyword} free?", "Yes, the basic form of {keyword} is free."), ("Is {keyword} safe?", "Files used for {keyword} are deleted."),
-    ("How do I use {keyword}?", "Upload a file and choose {keyword}."), ("Does {keyword} work on phones?", "Yes, {keyword} works in any browser."), ("What is the limit of {keyword}?", "Three files a day."),
+QUALIFIERS = (
+    "online free", "free online", "in browser", "without signup", "without watermark", "without installing software", "quickly", "in seconds",
+    "on mac", "on windows", "on linux", "on mobile", "high quality", "for free", "no limits",
 )
-TITLES = ("{keyword} - free online tool", "Best {keyword} in one click", "{keyword}: fast and secure")
-
-
-def keyword_search(k: DataFrame, q: str) -> DataFrame:
-    """Keywords that hold q in keyword or category, in any case."""
+MODIFIERS = ("free", "online", "without signup", "no watermark", "best", "alternative", "tool", "editor", "in browser", "for free", "no limits")
+INTENTS = ("how to {keyword}", "{keyword} on mac", "{keyword} on mobile", "{keyword} for free", "{keyword} without installing")
+COMMERCIAL = ("best {keyword}", "{keyword} alternative", "{keyword} vs", "top {keyword}", "{keyword} review")
+# Templates of pages, with places for the keyword and the product's name.
+TITLES = (
+    "Free online {keyword} tool — No signup needed", "Best way to {keyword} in seconds", "{keyword} — fast & secure PDF tool", "How to {keyword} online for free",
+    "{keyword} instantly in your browser", "The easiest way to {keyword}", "Free {keyword} — no limits, no watermark", "{keyword} online — try it now",
+)
+HEADINGS = ("Free Online Tool to {keyword}", "How to {keyword} — Fast & Free", "{keyword} Online", "Best {keyword} Tool")
+DESCRIPTIONS = (
+    "Use {product} to {keyword} instantly in your browser. No signup, no watermark, 100% free.",
+    "Free online tool to {keyword}. Fast, secure, and works on any device. Try it now!",
+    "Looking to {keyword}? {product} makes it easy. Free, browser-based, no installation needed.",
+)
+BUTTON = '<div class="cta-box">\n  <a href="/editor" class="cta-button">Start {keyword} Now — Free →</a>\n</div>'
+SECTIONS = (
+    "<h2>How to {keyword}</h2>\n<p>Upload your PDF file, make your changes, and download the result. It's that simple with {product}.</p>\n"
+    "<p>No software to install, no account to create. Everything runs securely in your browser.</p>",
+    "<h2>Why Choose {product} for {keyword}?</h2>\n<ul>\n  <li>✅ 100% free — no hidden fees or credit card required</li>\n  <li>✅ No signup or registration needed</li>\n"
+    "  <li>✅ Works in your browser — nothing to download</li>\n  <li>✅ No file size limits</li>\n  <li>✅ No watermarks on your documents</li>\n  <li>✅ Fast processing — results in seconds</li>\n</ul>",
+    '<h2>What Users Say</h2>\n<p>"{product} is the best tool for {keyword}. I use it every day and it never disappoints."</p>\n'
+    '<p>"Finally a free tool that works! No limits, no tricks, just {keyword} done right."</p>',
+    "<h2>Frequently Asked Questions</h2>\n<h3>Is it really free to {keyword}?</h3>\n<p>Yes! {product} is completely free. There are no hidden charges, no premium tiers, and no credit card required.</p>\n"
+    "<h3>Do I need to create an account?</h3>\n<p>No account needed. Just upload your file and start editing immediately.</p>\n<h3>Is my data secure?</h3>\n"
+    "<p>Yes. All processing happens in your browser. Your files are never uploaded to our servers unless you choose to export.</p>",
+)
+FAQ = (
+    ("How to {keyword}?", 'Upload your PDF file to {product}, select "{keyword}" option, and download the result. No signup required, works in your browser instantly.'),
+    ("Is {keyword} free?", "Yes! {product} offers {keyword} completely free. No hidden charges, no watermark, and no credit card required."),
+    ("Can I {keyword} online without installing software?", "Absolutely. Everything runs directly in your browser. No downloads, no installations, no plugins needed."),
+    ("Is it safe to {keyword}?", "Yes. All PDF processing happens in your browser. Your files are never uploaded to our servers during processing."),
+    ("What is the best tool to {keyword}?", "{product} is the top-rated free tool for {keyword}. It's fast, secure, and works on any device with zero limits."),
+    ("Can I {keyword} on mobile?", "Yes, {product} works on any device with a modern browser, including phones and tablets."),
+)
+COMPETITOR_FAQ = (
+    ("Is {keyword} free?", "{keyword} offers limited free features with watermarks. {product} is completely free with no restrictions."),
+    ("Why choose {product} over {keyword}?", "{product} requires no signup, has no watermarks, processes files in your browser, and offers unlimited free usage."),
+    ("Does {keyword} have file size limits?", "{keyword} restricts file sizes on its free tier. {product} has no file size limits."),
+)
+COMPETITOR = "Looking for a free alternative to {keyword}? {product} offers everything {keyword} does — no signup, no watermark, 100% browser-based."
+#: The product's name where none is given.
+PRODUCT = "our tool"
+
+
+def filled(template: Column | str, keyword: Column, product: str = PRODUCT) -> Column:
+    """A template with the keyword and the product's name in their places."""
+    t = F.lit(template) if isinstance(template, str) else template
+    return F.replace(F.replace(t, F.lit("{product}"), F.lit(product)), F.lit("{keyword}"), keyword)
+
+
+def keyword_search(k: DataFrame, q: str, first: int | None = None) -> DataFrame:
+    """Keywords that hold q in keyword or category, in any case; with `first` so many of them in table order, each with the `total`."""
     low = q.lower()
-    return k.filter(F.lower("keyword").contains(low) | F.lower("category").contains(low))
+    found = k.filter(F.lower("keyword").contains(low) | F.lower("category").contains(low))
+    return found.orderBy("seq").limit(first).join(F.broadcast(found.agg(F.count("*").alias("total")))) if first else found
 
 
 def keywords_by_category(k: DataFrame, category: str) -> DataFrame:
@@ -66,7 +110,12 @@ def _words(words: tuple[str, ...]) -> Column:
 
 
 def expand_keywords(k: DataFrame, limit: int | None = 1500) -> DataFrame:
-    """Base, "action base", "base qualifier" and "action base qualifier" of each keyword, distinct in order, the first `limit`."""
+    """Base, "action base", "base qualifier" and "action base qualifier" of each keyword, distinct in order, the first `limit`.
+
+    Each distinct keyword is a phrase of its own, so the first `limit` keywords make enough.
+    """
+    k = k.groupBy("keyword").agg(F.min("seq").alias("seq"))
+    k = k.orderBy("seq").limit(limit) if limit else k
     base = F.col("keyword")
     before = F.transform(_words(ACTIONS), lambda a: F.concat_ws(" ", a, base))
     after = F.transform(_words(QUALIFIERS), lambda q: F.concat_ws(" ", base, q))
@@ -76,12 +125,16 @@ def expand_keywords(k: DataFrame, limit: int | None = 1500) -> DataFrame:
     return first.orderBy("seq", "at").limit(limit) if limit else first
 
 
-def keyword_discovery(k: DataFrame) -> DataFrame:
-    """A seed's phrases with modifiers, intents and commercial words: (seed, place, phrase), distinct in order."""
+def keyword_discovery(k: DataFrame, n: int | None = None) -> DataFrame:
+    """A seed's phrases with modifiers, intents and commercial words: (seed, place, phrase, related), distinct in order.
+
+    The first n are the seed's cluster; `related` marks the five after the seed itself.
+    """
     s = F.col("keyword")
-    pre = F.transform(_words(MODIFIERS + INTENTS), lambda w: F.concat_ws(" ", w, s))
-    post = F.transform(_words(COMMERCIAL), lambda w: F.concat_ws(" ", s, w))
-    return k.select(s.alias("seed"), F.posexplode(F.array_distinct(F.concat(F.array(s), pre, post))).alias("place", "phrase"))
+    forms = [F.concat_ws(" ", s, F.lit(m)) for m in MODIFIERS] + [filled(t, s) for t in INTENTS + COMMERCIAL]
+    phrases = F.array_distinct(F.array(s, *forms))
+    rows = k.select(s.alias("seed"), F.posexplode(F.slice(phrases, 1, n) if n else phrases).alias("place", "phrase"))
+    return rows.withColumn("related", F.col("place").between(1, 5))
 
 
 def slugify_keyword(c: Column) -> Column:
@@ -92,26 +145,40 @@ def slugify_brand(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-def page_factory(k: DataFrame) -> DataFrame:
-    """A page per keyword from templates; missing, zero and empty fields get defaults; the title is picked by a hash."""
-    slug = slugify_keyword(F.col("keyword"))
-    title = F.element_at(_words(TITLES), (F.crc32(slug) % len(TITLES)).cast("int") + 1)
+def _picked(templates: tuple[str, ...], slug: Column, what: str) -> Column:
+    """One of the templates, by a hash of the slug."""
+    return F.element_at(_words(templates), (F.crc32(F.concat(slug, F.lit(what))) % len(templates)).cast("int") + 1)
+
+
+def page_factory(k: DataFrame, product: str = PRODUCT) -> DataFrame:
+    """A page per keyword from templates, which a hash of the slug picks; missing, zero and empty fields get defaults.
+
+    The body is two or three sections between two buttons.
+    """
+    word = F.col("keyword")
+    slug = slugify_keyword(word)
+    first = (F.crc32(F.concat(slug, F.lit("sections"))) % len(SECTIONS)).cast("int") + 1
+    some = F.slice(F.concat(_words(SECTIONS), _words(SECTIONS)), first, (F.crc32(F.concat(slug, F.lit("how many"))) % 2).cast("int") + 2)
+    body = F.array_join(F.concat(F.array(F.lit(BUTTON)), some, F.array(F.lit(BUTTON))), "\n")
+    capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1_000_000))
     return k.select(
-        "seq", slug.alias("slug"), F.replace(title, F.lit("{keyword}"), F.col("keyword")).alias("title"), F.concat(F.col("keyword"), F.lit(" online")).alias("h1"),
+        "seq", slug.alias("slug"), filled(_picked(TITLES, slug, "title"), word, product).alias("title"), filled(_picked(HEADINGS, slug, "h1"), capital, product).alias("h1"),
+        filled(_picked(DESCRIPTIONS, slug, "description"), word, product).alias("description"), filled(body, word, product).alias("content"),
         F.coalesce(F.nullif("category", F.lit("")), F.lit("general")).alias("category"), F.coalesce(F.nullif("volume", F.lit(0)), F.lit(1000)).alias("volume"),
         F.coalesce(F.nullif("difficulty", F.lit(0)), F.lit(30)).alias("difficulty"),
     )
 
 
-def competitor_pages(brands: DataFrame, brand: str = "brand") -> DataFrame:
+def competitor_pages(brands: DataFrame, brand: str = "brand", product: str = PRODUCT) -> DataFrame:
+    """A comparison page per brand."""
     b = F.col(brand)
-    return brands.select(brand, F.concat(slugify_brand(b), F.lit("-alternative")).alias("slug"), F.concat(F.lit("Best "), b, F.lit(" alternative")).alias("title"))
+    title, h1 = F.concat(F.lit("Best "), b, F.lit(" Alternative — Free & Better")), F.concat(b, F.lit(" Alternative"))
+    return brands.select(brand, F.concat(slugify_brand(b), F.lit("-alternative")).alias("slug"), title.alias("title"), h1.alias("h1"), filled(COMPETITOR, b, product).alias("description"))
 
 
-def faq_rows(k: DataFrame, n: int = 6) -> DataFrame:
-    """n questions and answers per keyword."""
-    fill = lambda t: F.replace(F.lit(t), F.lit("{keyword}"), F.col("keyword"))
-    rows = F.array(*(F.struct(fill(q).alias("question"), fill(a).alias("answer")) for q, a in FAQ[:n]))
+def faq_rows(k: DataFrame, faq: tuple[tuple[str, str], ...] = FAQ, product: str = PRODUCT) -> DataFrame:
+    """Questions and answers per keyword, from templates."""
+    rows = F.array(*(F.struct(filled(q, F.col("keyword"), product).alias("question"), filled(a, F.col("keyword"), product).alias("answer")) for q, a in faq))
     return k.select("seq", F.posexplode(rows).alias("place", "qa")).select("seq", "place", "qa.question", "qa.answer")
 
 
@@ -133,9 +200,12 @@ def internal_links(pages: DataFrame, most: int = 5) -> DataFrame:
     return same.union(rest).withColumn("place", rank(W.partitionBy("seq").orderBy("other", "link"))).filter(F.col("place") <= most).select("seq", "place", "link")
 
 
-def sitemap(k: DataFrame) -> DataFrame:
+def sitemap(k: DataFrame, day: str | None = None, root: str = "/") -> DataFrame:
+    """An entry per page, as of `day` (today where none is given); easier keywords come first."""
     d = F.coalesce("difficulty", F.lit(100))
-    return k.select(F.concat(F.lit("/"), slugify_keyword(F.col("keyword"))).alias("loc"), "seq", F.when(d < 30, 1.0).when(d < 50, 0.8).otherwise(0.6).alias("priority"))
+    when = F.current_date() if day is None else F.lit(day).cast("date")
+    priority = F.when(d < 30, 1.0).when(d < 50, 0.8).otherwise(0.6)
+    return k.select(F.concat(F.lit(root), slugify_keyword(F.col("keyword"))).alias("loc"), "seq", F.date_format(when, "yyyy-MM-dd").alias("lastmod"), priority.alias("priority"))
 
 
 def page_lookup(wanted: DataFrame, pages: DataFrame) -> DataFrame:

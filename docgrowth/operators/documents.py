@@ -9,16 +9,35 @@ from pyspark.sql import functions as F
 from docgrowth.functions.numbers import half_up
 
 # Words that signal a kind of document.
-FINANCE = ("invoice", "balance", "statement", "revenue", "total", "amount", "tax", "payment", "account", "profit", "bank", "transaction")
-CONTRACT = ("agreement", "contract", "party", "clause", "terms", "signature", "hereby", "liability", "termination", "governing law")
-HINTS = {"extract_tables": ("invoice", "total", "table"), "convert_word": ("agreement", "contract", "report")}
-INVOICE = ("invoice", "bill to", "total", "due date", "subtotal")
-BANK = ("balance", "deposit", "withdrawal", "statement", "account")
-REPORT = ("summary", "analysis", "report", "results", "conclusion")
-RESUME = ("experience", "education", "skills", "resume", "references")
-LETTER = ("dear", "sincerely", "regards", "yours", "letter")
-STAMP, SIGNED = ("stamp", "seal", "carimbo"), ("signature", "signed", "assinatura", "doctor")
-FOOTER = ("page", "confidential", "copyright", "footer")
+TABLE = ("|", "table", "column", "row")
+FINANCE = ("invoice", "amount", "total", "tax", "payment", "balance", "usd", "amount due", "subtotal", "receipt", "transaction", "refund")
+CONTRACT = ("agreement", "contract", "party", "terms", "liability", "termination", "hereby", "indemnify", "confidential", "clause")
+HINT_FINANCE = ("invoice", "amount", "total", "tax", "payment", "balance", "usd")
+HINT_CONTRACT = ("agreement", "contract", "party", "terms", "liability")
+INVOICE = ("invoice", "total", "tax", "amount due", "bill to", "payment", "subtotal", "qty", "quantity", "unit price")
+BANK = ("account", "balance", "deposit", "withdrawal", "statement", "transaction", "beginning balance", "ending balance", "interest", "fee")
+REPORT = ("report", "summary", "table of contents", "introduction", "conclusion", "appendix", "figure", "chart")
+RESUME5 = ("experience", "education", "skills", "employment", "curriculum", "vitae", "resume")
+INVOICE5 = ("invoice", "total", "tax", "amount", "bill", "payment", "subtotal")
+REPORT5 = ("report", "summary", "introduction", "conclusion", "methodology", "findings")
+LETTER5 = ("dear", "sincerely", "regards", "enclosed", "attached")
+VALUES = {"invoice": 0.95, "bank_statement": 0.9, "report": 0.5, "unknown": 0.3}
+# Layout labels and words of page regions, in Chinese and English.
+REGIONS = {
+    "paragraph": ("text", "paragraph", "body", "body_text", "title", "header", "heading", "caption"),
+    "signature": ("signature", "sign", "signed_name", "autograph"),
+    "table": ("table", "table_cell"),
+    "stamp": ("stamp", "seal", "red_seal", "redstamp"),
+    "footer": ("footer", "page_footer", "page_number", "footnote"),
+}
+STAMP = ("公章", "专用章", "医疗专用章", "诊断专用章", "证明专用章", "seal", "stamp", "official seal")
+SIGNED = ("签名", "签字", "签署", "医师签名", "盖章", "手写", "signature", "signed", "sign here", "authorized signature", "physician signature", "attending physician")
+FOOTER = ("第", "页", "共", "页码", "page ", "of ", "copyright", "all rights reserved")
+DOCTOR = ("dr.", "dra.", "doutor", "doutora", "crm", "médico", "medico", "médica", "medica", "physician")
+WATERMARKS = (
+    "confidential", "draft", "sample", "trial", "evaluation", "do not copy", "not for distribution", "internal use",
+    "watermark", "preview", "demo", "test only", "草稿", "样本", "机密", "内部", "测试",
+)
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -34,27 +53,27 @@ def hits(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def document_signals(docs: DataFrame, text: str = "text", pages: str = "pages", images: Column | None = None) -> DataFrame:
-    """score, signals and flag (YES from 5, NO up to 2) of every text."""
-    low, image = F.lower(text), F.lit(False) if images is None else images
+    """score, signals and flag (YES from 5, NO up to 2) of every text; a null text has no signal of words or length."""
+    image, size = F.lit(False) if images is None else images, F.length(text)
     rules = {
         "multi_page": (F.col(pages) >= 5, 2),
-        "table_like_structure": (has_any(low, ("|", "table", "column", "row")) | low.rlike("[0-9]{2,}%"), 2),
-        "finance_keywords": (has_any(low, FINANCE), 3),
-        "contract_keywords": (has_any(low, CONTRACT), 3),
-        "likely_scanned": ((F.length(text) < 200) & image, 2),
-        "rich_text": (F.length(text) > 2000, 2),
+        "table_like_structure": (has_any(F.col("_low"), TABLE) | F.col("_low").rlike("[0-9]{2,}%"), 2),
+        "financial_document": (has_any(F.col("_low"), FINANCE), 3),
+        "contract_document": (has_any(F.col("_low"), CONTRACT), 3),
+        "likely_scanned": ((size < 200) & image, 2),
+        "rich_text": (size > 2000, 2),
     }
-    score = sum((F.when(c, w).otherwise(0) for c, w in rules.values()), F.lit(0))
-    named = F.array_compact(F.array(*(F.when(c, n) for n, (c, _) in rules.items())))
-    flag = F.when(score >= 5, "YES").when(score <= 2, "NO").otherwise("UNCERTAIN")
-    return docs.withColumn("score", score).withColumn("signals", named).withColumn("flag", flag)
+    found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"))) for n, (c, w) in rules.items())))
+    out = docs.withColumn("_low", F.lower(text)).withColumn("_found", found)
+    out = out.withColumn("score", F.aggregate("_found", F.lit(0), lambda s, x: s + x["weight"])).withColumn("signals", F.col("_found.name"))
+    return out.withColumn("flag", F.when(F.col("score") >= 5, "YES").when(F.col("score") <= 2, "NO").otherwise("UNCERTAIN")).drop("_low", "_found")
 
 
 def recommend_action(scored: DataFrame) -> DataFrame:
     """What to do with documents that are worth it (NO is skipped)."""
     has = lambda n: F.array_contains("signals", n)
-    act = F.when(has("finance_keywords") | has("table_like_structure"), "extract_tables").when(has("likely_scanned"), "ocr_text")
-    return scored.filter(F.col("flag") != "NO").withColumn("action", act.when(has("contract_keywords") | has("rich_text"), "convert_word").otherwise("extract_tables"))
+    act = F.when(has("financial_document") | has("table_like_structure"), "extract_tables").when(has("likely_scanned"), "ocr_text")
+    return scored.filter(F.col("flag") != "NO").withColumn("action", act.when(has("contract_document") | has("rich_text"), "convert_word").otherwise("extract_tables"))
 
 
 def signal_prevalence(scored: DataFrame, by: str) -> DataFrame:
@@ -62,18 +81,26 @@ def signal_prevalence(scored: DataFrame, by: str) -> DataFrame:
     return scored.select(by, F.explode("signals").alias("signal")).cube("signal", by).agg(F.count("*").alias("n"))
 
 
-def workspace_hints(docs: DataFrame, text: str = "text", pages: str = "pages", most: int = 2) -> DataFrame:
-    low = F.lower(text)
-    rules = [(has_any(low, words), name) for name, words in HINTS.items()] + [(F.length(text) < 200, "ocr_text"), (F.col(pages) > 5, "split")]
-    found = F.array_compact(F.array(*(F.when(c, n) for c, n in rules)))
-    return docs.withColumn("hints", F.slice(found, 1, most))
+def workspace_hints(docs: DataFrame, text: str = "text", pages: str = "pages", images: Column | None = None, most: int = 2) -> DataFrame:
+    """The first `most` hints as (kind, action), in the order of the rules."""
+    low, image = F.col("_low"), F.lit(False) if images is None else images
+    rules = [
+        (has_any(low, TABLE) | low.rlike("[0-9]{2,}%"), "STRUCTURED_DATA", "extract_tables"),
+        (has_any(low, HINT_FINANCE), "FINANCIAL", "extract_tables"),
+        (has_any(low, HINT_CONTRACT), "CONTRACT", "convert_word"),
+        (image | (F.length(text) < 200), "SCANNED", "ocr_text"),
+        (F.col(pages) > 5, "MULTI_PAGE", "compress"),
+    ]
+    found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(kind).alias("kind"), F.lit(act).alias("action"))) for c, kind, act in rules)))
+    return docs.withColumn("_low", F.lower(text)).withColumn("hints", F.slice(found, 1, most)).drop("_low")
 
 
 def primary_action(hinted: DataFrame, intent: str = "intent") -> DataFrame:
+    """The action by intent, else that of the first hint, else extract_tables; and what is suggested after it (null: nothing)."""
     i = F.col(intent)
-    act = F.when(i.isin("compress", "edit"), i).when(i == "convert", "convert_word").otherwise(F.coalesce(F.try_element_at("hints", F.lit(1)), F.lit("extract_tables")))
-    after = F.create_map(*map(F.lit, ("extract_tables", "download", "convert_word", "share", "ocr_text", "convert_word", "compress", "download", "edit", "export", "split", "merge")))
-    return hinted.withColumn("action", act).withColumn("next_action", F.element_at(after, act))
+    act = F.when(i.isin("compress", "edit"), i).when(i == "convert", "convert_word").otherwise(F.coalesce(F.try_element_at("hints", F.lit(1))["action"], F.lit("extract_tables")))
+    after = F.when(F.col("action") == "extract_tables", "convert_word").when(F.col("action") == "ocr_text", "extract_tables").when(F.col("action") == "convert_word", "compress")
+    return hinted.withColumn("action", act).withColumn("next_action", after)
 
 
 def table_lines_csv(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -86,42 +113,49 @@ def table_lines_csv(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def document_domain(docs: DataFrame, text: str = "text") -> DataFrame:
     """invoice, bank_statement or report by most hits (in this order on ties), unknown below two."""
-    low = F.lower(text)
-    i, b, r = (hits(low, w) for w in (INVOICE, BANK, REPORT))
-    top = F.greatest(i, b, r)
-    return docs.withColumn("domain", F.when(top < 2, "unknown").when(i == top, "invoice").when(b == top, "bank_statement").otherwise("report"))
+    i, b, r = (hits(F.col("_low"), w) for w in (INVOICE, BANK, REPORT))
+    scored = docs.withColumn("_low", F.coalesce(F.lower(text), F.lit(""))).withColumns({"_i": i, "_b": b, "_r": r}).withColumn("_top", F.greatest("_i", "_b", "_r"))
+    domain = F.when(F.col("_top") < 2, "unknown").when(F.col("_i") == F.col("_top"), "invoice").when(F.col("_b") == F.col("_top"), "bank_statement").otherwise("report")
+    return scored.withColumn("domain", domain).drop("_low", "_i", "_b", "_r", "_top")
 
 
 def document_domain5(docs: DataFrame, text: str = "text") -> DataFrame:
     """resume, invoice, report or letter by most hits, in this order on ties; without any hit resume."""
-    low = F.lower(text)
-    scores = {"resume": hits(low, RESUME), "invoice": hits(low, INVOICE), "report": hits(low, REPORT), "letter": hits(low, LETTER)}
-    top = F.greatest(*scores.values())
-    out = F.lit("letter")
-    for name in ("report", "invoice", "resume"):
-        out = F.when(scores[name] == top, name).otherwise(out)
-    return docs.withColumn("domain", out)
+    lists = {"resume": RESUME5, "invoice": INVOICE5, "report": REPORT5, "letter": LETTER5}
+    scored = docs.withColumn("_low", F.coalesce(F.lower(text), F.lit(""))).withColumns({f"_{n}": hits(F.col("_low"), w) for n, w in lists.items()})
+    scored = scored.withColumn("_top", F.greatest(*(f"_{n}" for n in lists)))
+    domain = F.coalesce(*(F.when(F.col(f"_{n}") == F.col("_top"), n) for n in lists))
+    return scored.withColumn("domain", domain).drop("_low", "_top", *(f"_{n}" for n in lists))
 
 
 def business_value(docs: DataFrame, quality: str = "quality", scanned: str = "scanned") -> DataFrame:
     """Value in 0 to 1 by domain and quality, and the price it leads to."""
-    weight = F.when(F.col("domain") == "invoice", 0.9).when(F.col("domain") == "bank_statement", 1.0).when(F.col("domain") == "report", 0.6).otherwise(0.3)
+    weight = F.lit(VALUES["unknown"])
+    for domain, w in VALUES.items():
+        weight = F.when(F.col("domain") == domain, w).otherwise(weight)
     q = F.when(F.col(quality) > 0.7, 1.0).when(F.col(quality) > 0.4, 0.7).otherwise(0.4)
     value = half_up(F.least(F.lit(1.0), weight * q * F.when(F.col(scanned), 0.8).otherwise(1.0)), 2)
-    return docs.withColumn("value", value).withColumn("price", F.when(value > 0.8, 1.99).when(value > 0.5, 0.99).otherwise(0.0))
+    return docs.withColumn("value", value).withColumn("price", F.when(F.col("value") > 0.8, 1.99).when(F.col("value") > 0.5, 0.99).otherwise(0.0))
+
+
+def _of_label(label: str, kinds: dict[str, tuple[str, ...]]) -> Column:
+    """The kind that lists the label, in any case; null for others."""
+    named = F.lower(F.trim(label))
+    return F.coalesce(*(F.when(named.isin(*labels), kind) for kind, labels in kinds.items()))
 
 
 def region_class(blocks: DataFrame, page_height: float) -> DataFrame:
+    """A known label's region; else by words of stamps and signatures, cell gaps, footer words at the bottom sixth; else paragraph."""
     low = F.lower("text")
-    known = {"stamp": "stamp", "text": "paragraph"}
-    mapped = F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col("label"))
-    rules = F.when(mapped.isNotNull(), mapped).when(has_any(low, STAMP), "stamp").when(has_any(low, SIGNED), "signature").when(F.col("text").rlike(r"\t| {3,}"), "table")
-    return blocks.withColumn("region", rules.when((F.col("y") >= page_height * 5 / 6) & has_any(low, FOOTER), "footer").otherwise("paragraph"))
+    rules = F.when(_of_label("label", REGIONS).isNotNull(), _of_label("label", REGIONS)).when(has_any(low, STAMP), "stamp").when(has_any(low, SIGNED), "signature")
+    rules = rules.when(F.col("text").rlike(r"\t| {3,}"), "table").when((F.col("y") >= page_height * 5 / 6) & has_any(low, FOOTER), "footer")
+    return blocks.withColumn("region", rules.otherwise("paragraph"))
 
 
 def visual_object_type(blocks: DataFrame) -> DataFrame:
-    low = F.lower("text")
-    return blocks.withColumn("kind", F.when(has_any(low, STAMP), "Stamp").when(has_any(low, SIGNED), "Signature").when(F.col("label") == "stamp", "Stamp").otherwise("Text"))
+    """Stamp or signature by words, else by label, else text."""
+    low, of = F.lower("text"), _of_label("label", {"Stamp": REGIONS["stamp"], "Signature": REGIONS["signature"]})
+    return blocks.withColumn("kind", F.when(has_any(low, STAMP), "Stamp").when(has_any(low, SIGNED), "Signature").when(of.isNotNull(), of).otherwise("Text"))
 
 
 def image_class(images: DataFrame, page_w: float, page_h: float) -> DataFrame:
@@ -131,16 +165,37 @@ def image_class(images: DataFrame, page_w: float, page_h: float) -> DataFrame:
 
 
 def geometry_strategy(blocks: DataFrame, page_height: float) -> DataFrame:
+    """How a block's angle is measured (SignatureImage, StampImage or Skip), by which rule, and why not at all."""
     low = F.lower("text")
-    rules = F.when(F.col("label") == "stamp", "Label").when(has_any(low, STAMP), "StampText").when(has_any(low, ("dr.", "doctor")) & (F.col("y") > page_height * 0.7), "Doctor")
-    return blocks.withColumn("strategy", rules.when(F.abs("angle") > 0.1, "Angle").otherwise("Skip"))
+    known = _of_label("label", {"SignatureImage": REGIONS["signature"], "StampImage": REGIONS["stamp"]})
+    doctor, bottom = has_any(low, DOCTOR), F.col("y") + F.col("h") > page_height * 0.7
+    tilted = F.coalesce((F.abs("angle") > 0.1) & ~F.isnan("angle"), F.lit(False))
+    via = F.when(known.isNotNull(), "label").when(has_any(low, STAMP), "stamp words").when(doctor & bottom, "doctor words").when(tilted, "angle")
+    out = blocks.withColumn("via", via)
+    strategy = F.when(F.col("via") == "label", known).when(F.col("via") == "stamp words", "StampImage").when(F.col("via").isNotNull(), "SignatureImage").otherwise("Skip")
+    reason = F.when(F.col("via").isNull(), F.when(doctor, "doctor words above the bottom").when(F.col("angle").isNull(), "no angle").otherwise("level"))
+    return out.withColumn("strategy", strategy).withColumn("skip_reason", reason)
+
+
+def scanned_documents(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, scanned): whether over half of a document's pages have no text and a single image."""
+    alone = (F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0) & (F.col("images") == 1)
+    return pages.groupBy(key).agg((F.avg(alone.cast("double")) > 0.5).alias("scanned"))
+
 
+def watermark_candidates(lines: DataFrame, words: tuple[str, ...] = WATERMARKS, objects: DataFrame | None = None, scanned: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kind, content, pages, confidence): keywords by the pages that hold them, and object names on three pages or more.
 
-def watermark_candidates(lines: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """Per document and keyword the pages that hold it, and a confidence by their number; the words are few."""
+    `objects` has a row (doc_id, page, name) per placed object; documents that `scanned` marks are left out.
+    """
     named = F.filter(F.array(*(F.when(F.lower("line").contains(w), w) for w in words)), lambda x: x.isNotNull())
-    found = lines.select("doc_id", "page", F.explode(named).alias("word")).groupBy("doc_id", "word").agg(F.count_distinct("page").alias("pages"))
-    return found.withColumn("confidence", F.when(F.col("pages") >= 3, 0.95).when(F.col("pages") == 2, 0.8).otherwise(0.6))
+    n = F.col("pages")
+    found = lines.select("doc_id", "page", F.explode(named).alias("content")).groupBy("doc_id", "content").agg(F.count_distinct("page").alias("pages"))
+    found = found.select("doc_id", F.lit("text").alias("kind"), "content", "pages", F.when(n >= 3, 0.95).when(n == 2, 0.8).otherwise(0.6).alias("confidence"))
+    if objects is not None:
+        often = objects.groupBy("doc_id", F.col("name").alias("content")).agg(F.count_distinct("page").alias("pages")).filter(n >= 3)
+        found = found.union(often.select("doc_id", F.lit("image").alias("kind"), "content", "pages", F.when(n >= 5, 0.91).otherwise(0.75).alias("confidence")))
+    return found if scanned is None else found.join(scanned.filter("scanned"), "doc_id", "left_anti")
 
 
 def scan_detection(pages: DataFrame, first: int = 3) -> DataFrame:
@@ -182,12 +237,22 @@ def font_confidence_gate(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gate", F.when((w >= 700) | (c >= 0.6), "accept").when((w == 400) & (c < 0.35) & ~F.col("safe"), "fallback").otherwise("accept"))
 
 
-# Date forms, with a name for each.
-DATES = {"dmy_slash": r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b", "iso": r"\b[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\b", "dmy_dash": r"\b[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}\b", "dmy_dot": r"\b[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\b"}
-NAME = r"(?i)(?:patient|doctor|signer)\s*:\s*([A-Z][A-Z]+(?: [A-Z][A-Z]+)*)"
-CAPITALS = r"\b[A-Z]{2,}(?: [A-Z]{2,})+\b"
-CODES = {"cid": r"\b[A-Z][0-9]{2}\.[0-9]\b", "id": r"\b(?:ID|RG|CPF|CNPJ|no)[: ]+([0-9][0-9.\-/]*)"}
+# Patterns of dates, names, codes and postcodes, each with its kind, role or form.
+DATES = {
+    "DD/MM/YYYY": r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b", "YYYY-MM-DD": r"\b[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\b",
+    "DD-MM-YYYY": r"\b[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}\b", "DD.MM.YYYY": r"\b[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\b",
+}
+NAMES = {
+    "patient": r"(?i)(?:patient|paciente|nome|name)\s*:?\s*([A-Z][A-Z\s]+)",
+    "doctor": r"(?i)(?:doctor|dr|médico|medico)\s*:?\s*([A-Z][A-Z\s]+)",
+    "signer": r"(?i)(?:assinado|signed|signature)\s*:?\s*([A-Z][A-Z\s]+)",
+}
+CAPITALS = r"\b[A-Z]{3,}(?:\s+[A-Z]{3,})+\b"
+CID = r"(?i)\b(?:CID|CID-10|CID10)\s*:?\s*([A-Z][0-9]{2}(?:\.[0-9]{1,2})?)"
+NUMBER = r"(?i)\b(?:ID|RG|CPF|CNPJ)\s*:?\s*([A-Za-z0-9_.-]+)"
 POSTCODE = r"\b[0-9]{5}-[0-9]{3}\b"
+SIGNATURE = r"(?i)assinatura|signature|signed by|ass\."
+KINDS = ("dateField", "nameField", "addressField", "signatureField", "textField", "tableField")
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -200,16 +265,22 @@ def extract_dates(docs: DataFrame, key: str = "doc_id", text: str = "head") -> D
     found = F.flatten(F.array(*(F.transform(_all(F.col(text), p), of(n)) for n, p in DATES.items())))
     rows = docs.select(key, F.explode(found).alias("d")).select(key, "d.form", "d.value")
     p = F.split("value", "[-/.]")
-    y, m, d = (F.when(F.col("form") == "iso", p[i]).otherwise(p[2 - i]) for i in (0, 1, 2))
+    y, m, d = (F.when(F.col("form") == "YYYY-MM-DD", p[i]).otherwise(p[2 - i]) for i in (0, 1, 2))
     return rows.withColumn("iso", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).withColumn("confidence", F.lit(0.9))
 
 
+def _names(text: Column) -> Column:
+    """Names of a text, as an array of (role, value, confidence): after role words, then runs of capitals not among them."""
+    one = lambda role, c: lambda v: F.struct(F.lit(role).alias("role"), v.alias("value"), F.lit(c).alias("confidence"))
+    keyed = {r: F.filter(F.transform(_all(text, p, 1), lambda n: F.regexp_replace(n, r"^\s+|\s+$", "")), lambda n: F.length(n) >= 3) for r, p in NAMES.items()}
+    found = F.flatten(F.array(*(F.transform(v, one(r, 0.8)) for r, v in keyed.items())))
+    other = F.array_except(_all(text, CAPITALS), F.flatten(F.array(*keyed.values())))
+    return F.concat(found, F.transform(other, one("unknown", 0.6)))
+
+
 def extract_names(docs: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:
-    """Names after a role word, then runs of capitals that are not among them."""
-    role = F.filter(_all(F.col(text), NAME, 1), lambda n: F.length(n) >= 3)
-    other = F.filter(F.array_distinct(_all(F.col(text), CAPITALS)), lambda n: ~F.exists(role, lambda r: r.contains(n) | n.contains(r)))
-    pairs = F.concat(F.transform(role, lambda n: F.struct(F.lit("role").alias("role"), n.alias("name"), F.lit(0.8).alias("confidence"))), F.transform(other, lambda n: F.struct(F.lit("unknown").alias("role"), n.alias("name"), F.lit(0.6).alias("confidence"))))
-    return docs.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
+    """(key, role, name, confidence): names after a role word (.8), then runs of capitals that are not among them (.6)."""
+    return docs.select(key, F.explode(_names(F.col(text))).alias("p")).select(key, "p.role", F.col("p.value").alias("name"), "p.confidence")
 
 
 def extract_pattern(docs: DataFrame, kinds: dict[str, tuple[str, int, float]], key: str = "doc_id", text: str = "head") -> DataFrame:
@@ -220,7 +291,7 @@ def extract_pattern(docs: DataFrame, kinds: dict[str, tuple[str, int, float]], k
 
 
 def extract_codes(docs: DataFrame, **names) -> DataFrame:
-    return extract_pattern(docs, {"cid": (CODES["cid"], 0, 0.9), "id": (CODES["id"], 1, 0.85)}, **names)
+    return extract_pattern(docs, {"cid": (CID, 1, 0.9), "id": (NUMBER, 1, 0.85)}, **names)
 
 
 def extract_postcodes(docs: DataFrame, **names) -> DataFrame:
@@ -228,7 +299,24 @@ def extract_postcodes(docs: DataFrame, **names) -> DataFrame:
 
 
 def signature_areas(docs: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:
-    return docs.filter(has_any(F.lower(text), SIGNED)).select(key, F.lit(0.7).alias("confidence"))
+    return docs.filter(F.col(text).rlike(SIGNATURE)).select(key, F.lit(0.7).alias("confidence"))
+
+
+def entities(docs: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:
+    """(key, place, kind, role, label, value, confidence): what a text names, in the order in which it is looked for."""
+    t = F.col(text)
+    one = lambda kind, label, c: lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("role"), F.lit(label).alias("label"), v.alias("value"), F.lit(c).alias("confidence"))
+    label = lambda r: F.when(r == "patient", "Patient Name").when(r == "doctor", "Doctor Name").otherwise("Name")
+    name = lambda n: F.struct(F.lit("nameField").alias("kind"), n["role"].alias("role"), label(n["role"]).alias("label"), n["value"].alias("value"), n["confidence"].alias("confidence"))
+    parts = [
+        *(F.transform(_all(t, p), one("dateField", "Date", 0.9)) for p in DATES.values()),
+        F.transform(_names(t), name),
+        F.transform(_all(t, CID, 1), one("textField", "CID", 0.9)),
+        F.transform(_all(t, NUMBER, 1), one("textField", "ID", 0.85)),
+        F.transform(_all(t, POSTCODE), one("addressField", "Postal Code", 0.85)),
+        F.transform(F.when(t.rlike(SIGNATURE), F.array(t)).otherwise(F.array().cast("array<string>")), one("signatureField", "Signature Area", 0.7)),
+    ]
+    return docs.select(key, F.posexplode(F.concat(*parts)).alias("place", "e")).select(key, "place", "e.*")
 
 
 def entity_counts(entities: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -237,18 +325,37 @@ def entity_counts(entities: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return F.broadcast(every).join(entities.groupBy("kind").count(), "kind", "left").select("kind", F.coalesce("count", F.lit(0)).alias("n"))
 
 
-def semantic_query(entities: DataFrame, kind: str | None = None, value: str | None = None, first: bool = False, key: str = "doc_id", order: str = "value") -> DataFrame:
-    """Entities of a kind whose value matches a pattern; with `first` the first per document."""
+def semantic_query(
+    entities: DataFrame, kind: str | None = None, role: str | None = None, label_words: tuple[str, ...] = (), value: str | None = None, first: bool = False, key: str = "doc_id", order: str = "place"
+) -> DataFrame:
+    """Entities that meet all conditions given: kind, role (a name's, or within the label), any label word, value pattern.
+
+    With `first` only the first of each document, in document order.
+    """
+    label = F.coalesce(F.lower("label"), F.lit(""))
     if kind is not None:
         entities = entities.filter(F.col("kind") == kind)
+    if role is not None:
+        named = F.coalesce((F.col("kind") == "nameField") & (F.lower("role") == role.lower()), F.lit(False))
+        entities = entities.filter(named | label.contains(role.lower()))
+    if label_words:
+        entities = entities.filter(has_any(label, tuple(w.lower() for w in label_words)))
     if value is not None:
         entities = entities.filter(F.col("value").rlike(value))
     return entities.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n") if first else entities
 
 
-def entity_replace(docs: DataFrame, pattern: str, by: str, text: str = "head") -> DataFrame:
-    """Every match of the pattern written anew, with how many there were."""
-    return docs.withColumn("n", F.size(_all(F.col(text), pattern))).withColumn(text, F.regexp_replace(text, pattern, by))
+def entity_replace(docs: DataFrame, chosen: DataFrame, by: str, key: str = "doc_id", text: str = "head") -> DataFrame:
+    """docs with the value of each document's first chosen entity written anew where it first stands, and whether that was done.
+
+    `chosen` are rows of entities(), picked by place, label or kind with semantic_query. Entities of the result are
+    derived anew by entities().
+    """
+    old = chosen.groupBy(key).agg(F.min_by("value", "place").alias("_old"))
+    at = F.coalesce(F.expr(f"locate(_old, `{text}`)"), F.lit(0))
+    met = docs.join(old, key, "left").withColumn("_at", at).withColumn("replaced", (F.col("_at") > 0) & (F.length("_old") > 0))
+    new = F.concat(F.expr(f"substr(`{text}`, 1, _at - 1)"), F.lit(by), F.expr(f"substr(`{text}`, _at + length(_old))"))
+    return met.withColumn(text, F.when(F.col("replaced"), new).otherwise(F.col(text))).drop("_old", "_at")
 
 
 def find_occurrences(docs: DataFrame, target: str, key: str = "doc_id", text: str = "text", case_sensitive: bool = True) -> DataFrame:
@@ -269,19 +376,38 @@ def replace_all(docs: DataFrame, target: str, by: str, text: str = "text") -> Da
     return docs.withColumn("n", n.cast("long")).withColumn(text, F.replace(text, F.lit(target), F.lit(by)))
 
 
-def replace_check(pairs: DataFrame, target: str, least: float = 0.98) -> DataFrame:
-    """Whether a replacement came out: share of equal characters, the target gone, no word doubled, no word from nowhere."""
-    e, a = F.col("expected"), F.col("actual")
+def replace_check(pairs: DataFrame, target: Column | str, least: float = 0.98) -> DataFrame:
+    """Whether a replacement came out.
+
+    accuracy: share of equal characters by place, 1 if the expected text is contained; gone: no word of the target is
+    left that is not expected; doubled: a word occurs twice, in any case; leaked: a word that is not expected.
+    """
+    e, a, t = F.col("expected"), F.col("actual"), F.lit(target) if isinstance(target, str) else target
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     same = F.aggregate(F.zip_with(F.split(e, ""), F.split(a, ""), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), F.lit(0), lambda s, x: s + x)
-    share = F.when(a.contains(e), 1.0).when(F.length(e) == 0, 0.0).otherwise(same / F.greatest(F.length(e), F.length(a)))
-    leaked = F.size(F.array_except(F.split(a, " "), F.split(e, " "))) > 0
-    out = pairs.withColumn("accuracy", share).withColumn("gone", ~a.contains(target)).withColumn("leaked", leaked)
-    return out.withColumn("met", (F.col("accuracy") >= least) & F.col("gone") & ~F.col("leaked"))
+    share = F.when(a.contains(e), 1.0).when(F.greatest(F.length(e), F.length(a)) == 0, 0.0).otherwise(same / F.greatest(F.length(e), F.length(a)))
+    low = words(F.lower(a))
+    out = pairs.withColumns(
+        {
+            "accuracy": share,
+            "gone": F.size(F.array_intersect(F.array_except(words(t), words(e)), words(a))) == 0,
+            "doubled": F.size(F.array_distinct(low)) < F.size(low),
+            "leaked": F.size(F.array_except(low, words(F.lower(e)))) > 0,
+        }
+    )
+    return out.withColumn("met", (F.col("accuracy") >= least) & F.col("gone") & ~F.col("doubled") & ~F.col("leaked"))
 
 
 def document_summary(lines: DataFrame) -> DataFrame:
-    """Pages, lines, words and characters per document and in all."""
-    return lines.rollup("doc_id").agg(F.count_distinct("doc_id", "page").alias("pages"), F.count("*").alias("lines"), F.sum("words").alias("words"), F.sum("chars").alias("chars"))
+    """Pages, paragraphs (runs of lines that are not blank), lines, words, runs (of one kind of character) and characters, per document and in all."""
+    before = F.lag("line").over(W.partitionBy("doc_id").orderBy("n"))
+    begins = (F.trim("line") != "") & (before.isNull() | (F.trim(before) == ""))
+    runs = F.size(_all(F.col("line"), "[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\s]+"))
+    marked = lines.select("doc_id", "page", "line", begins.alias("begins"), F.size(_all(F.col("line"), "[A-Za-z0-9]+")).alias("words"), runs.alias("runs"))
+    return marked.rollup("doc_id").agg(
+        F.count_distinct("doc_id", "page").alias("pages"), F.count_if("begins").alias("paragraphs"), F.count("*").alias("lines"),
+        F.sum("words").alias("words"), F.sum("runs").alias("runs"), F.sum(F.length("line")).alias("chars"),
+    )
 
 
 def word_tokens(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -198,16 +198,22 @@ def daily_quota(exports: DataFrame, limit: int = 3) -> DataFrame:
     return exports.withColumn("n", n).withColumn("free", F.col("n") <= limit).withColumn("remaining", F.greatest(limit - F.col("n"), F.lit(0)))
 
 
-def plan_limits_check(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """Whether each row keeps its tier's limits on size and exports; tiers are few, so plans are broadcast."""
-    met = rows.join(F.broadcast(plans.limit(1000)), "tier", "left")
-    return met.withColumn("allowed", (F.col("size") <= F.col("max_size")) & (F.col("exports") < F.col("max_exports")))
+def plan_limits_check(rows: DataFrame, plans: DataFrame, features: tuple[str, ...] = ()) -> DataFrame:
+    """Whether each row keeps its tier's limits on size and exports, and whether its tier has each of the features it wants.
+
+    A feature is a boolean column of plans; a row wants it where its own column `wants_<feature>` is true. Rows of unknown
+    tiers stay, with a null verdict.
+    """
+    allowed = (F.col("size") <= F.col("max_size")) & (F.col("exports") < F.col("max_exports"))
+    for f in features:
+        allowed = allowed & (~F.coalesce(F.col(f"wants_{f}"), F.lit(False)) | F.col(f))
+    return rows.join(plans, "tier", "left").withColumn("allowed", allowed)
 
 
 def payment_rollup(payments: DataFrame, prices: DataFrame) -> DataFrame:
-    """Completed payments and their sum per product."""
-    met = payments.join(F.broadcast(prices.limit(1000)), "product")
-    return met.groupBy("product").agg(F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.sum(F.when(F.col("status") == "COMPLETED", F.col("cents")).otherwise(0)).alias("cents"))
+    """Completed payments and their sum per product; payments are summed first, so few rows meet the prices."""
+    done = payments.groupBy("product").agg(F.count_if(F.col("status") == "COMPLETED").alias("completed"))
+    return done.join(prices.select("product", "cents"), "product").select("product", "completed", (F.col("completed") * F.col("cents")).alias("cents"))
 
 
 def merge_projection(previous: DataFrame, projected: DataFrame, key: str = "id") -> DataFrame:

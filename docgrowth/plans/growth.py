@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from docgrowth.functions.shared import shared_dir
 from docgrowth.operators import growth as g
 from docgrowth.plans.base import query
 from docgrowth.plans.views import TABLES
@@ -60,7 +63,18 @@ _CTR = f"(SELECT *, clicks / greatest(impressions, 1)::DOUBLE AS ctr FROM ({_TOT
 query("ab_variant_totals", lambda v: g.ab_variant_totals(v.ab_events), _TOTALS)
 query("ab_rank", lambda v: g.ab_rank(g.ab_variant_totals(v.ab_events)).withColumn("rank", F.col("rank").cast("long")), f"SELECT *, row_number() OVER (ORDER BY ctr DESC, variant) AS rank FROM {_CTR} c")
 query("ab_winner", lambda v: g.ab_winner(g.ab_variant_totals(v.ab_events)), f"SELECT variant, ctr FROM {_CTR} c ORDER BY ctr DESC, variant LIMIT 1")
-query("ab_snapshot", lambda v: g.ab_rank(g.ab_variant_totals(v.ab_events)).select(F.lit("titles").alias("test"), "variant", "rank"), f"SELECT 'titles' AS test, variant, row_number() OVER (ORDER BY ctr DESC, variant)::INT AS rank FROM {_CTR} c")
+
+
+def _snapshot(v):
+    """Writes two snapshots of a test, and one of an empty test, and reads them back."""
+    path, ranked = f"{shared_dir(v.spark)}/snapshots-{uuid.uuid4().hex}", g.ab_rank(g.ab_variant_totals(v.ab_events))
+    for stamp in ("2024-01-01", "2024-01-02"):
+        g.ab_snapshot(ranked, path, "titles", stamp)
+    g.ab_snapshot(ranked.limit(0), path, "empty", "2024-01-01")
+    return v.spark.read.parquet(path).select("test", F.col("stamp").cast("string").alias("stamp"), "variant", "rank")
+
+
+query("ab_snapshot", _snapshot, f"SELECT 'titles' AS test, stamp, variant, row_number() OVER (PARTITION BY stamp ORDER BY ctr DESC, variant)::INT AS rank FROM {_CTR} c, (SELECT unnest(['2024-01-01', '2024-01-02']) AS stamp) s")
 query("variant_assignment", lambda v: g.variant_assignment(v.events.select("user_id").distinct(), hashed=False), "SELECT DISTINCT user_id, CASE user_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS variant FROM {events} e")
 query("variant_funnel", lambda v: g.variant_funnel(v.value_events), "SELECT variant, " + ", ".join(f"count(*) FILTER (WHERE event = '{s}') AS {s}" for s in g.STAGES) + " FROM {value_events} e GROUP BY variant")
 
@@ -85,11 +99,11 @@ query(
 query("daily_quota", lambda v: g.daily_quota(v.exports).select("user_id", "event_id", F.col("n").cast("long").alias("n"), "free", F.col("remaining").cast("long").alias("remaining")), """SELECT user_id, event_id, n, n <= 3 AS free, greatest(3 - n, 0) AS remaining
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS n FROM {exports} e) t""")
 # Limits of the plans by tier.
-_PLANS = "SELECT * FROM VALUES ('FREE', 50e0, 3), ('PRO', 200e0, 50), ('ENTERPRISE', 500e0, 1000) AS t(tier, max_size, max_exports)"
-_TIER = """SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'PRO' WHEN 'MACHINERY' THEN 'ENTERPRISE' ELSE 'FREE' END AS tier, c_acctbal / 20 AS size, coalesce(n, 0) AS exports
+_PLANS = "SELECT * FROM VALUES ('FREE', 10e0, 3, false, false, false), ('PRO', 100e0, 100, true, true, false), ('ENTERPRISE', 500e0, 9999, true, true, true) AS t(tier, max_size, max_exports, ocr, no_watermark, priority)"
+_TIER = """SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'PRO' WHEN 'MACHINERY' THEN 'ENTERPRISE' ELSE 'FREE' END AS tier, c_acctbal / 20 AS size, coalesce(n, 0) AS exports, c_custkey % 4 = 0 AS wants_ocr, c_custkey % 5 = 0 AS wants_priority
     FROM {customer} c LEFT JOIN (SELECT o_custkey, max(n) AS n FROM (SELECT o_custkey, o_orderdate, count(*) AS n FROM {orders} o GROUP BY o_custkey, o_orderdate) d GROUP BY o_custkey) o ON c_custkey = o_custkey"""
-query("plan_limits_check", lambda v: g.plan_limits_check(v.sql(_TIER), v.spark.sql(_PLANS)).select("id", "tier", "allowed"),
-      f"SELECT id, t.tier, size <= CASE t.tier WHEN 'PRO' THEN 200e0 WHEN 'ENTERPRISE' THEN 500e0 ELSE 50e0 END AND exports < CASE t.tier WHEN 'PRO' THEN 50 WHEN 'ENTERPRISE' THEN 1000 ELSE 3 END AS allowed FROM ({_TIER}) t")
+query("plan_limits_check", lambda v: g.plan_limits_check(v.sql(_TIER), v.spark.sql(_PLANS), features=("ocr", "priority")).select("id", "tier", "allowed"),
+      f"SELECT id, t.tier, size <= CASE t.tier WHEN 'PRO' THEN 100e0 WHEN 'ENTERPRISE' THEN 500e0 ELSE 10e0 END AND exports < CASE t.tier WHEN 'PRO' THEN 100 WHEN 'ENTERPRISE' THEN 9999 ELSE 3 END AND (NOT wants_ocr OR t.tier <> 'FREE') AND (NOT wants_priority OR t.tier = 'ENTERPRISE') AS allowed FROM ({_TIER}) t")
 _PAID = "SELECT o_orderkey AS id, o_orderpriority AS product, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'PENDING' END AS status FROM {orders} o"
 _PRICES = "SELECT DISTINCT o_orderpriority AS product, cast(substr(o_orderpriority, 1, 1) AS BIGINT) * 99 AS cents FROM {orders} p"
 query("payment_rollup", lambda v: g.payment_rollup(v.sql(_PAID), v.sql(_PRICES)), f"""SELECT t.product, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, sum(CASE WHEN status = 'COMPLETED' THEN cents ELSE 0 END)::BIGINT AS cents

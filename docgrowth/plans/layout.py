@@ -88,15 +88,17 @@ query("bind_runs", lambda v: h.bind_runs(v.sql(_RUNS), v.sql(_SRC)), f"""SELECT
     FROM (SELECT r.doc, r.page, r.seq, count(cseq) AS n, count(*) FILTER (WHERE abs(x - cx) <= 3) AS close, min(cseq) AS only_, min(cseq) FILTER (WHERE abs(x - cx) <= 3) AS at_ FROM ({_RUNS}) r LEFT JOIN ({_SRC}) c ON r.doc = c.doc AND r.page = c.page AND r.text = c.text GROUP BY r.doc, r.page, r.seq) t""")
 query("split_paragraph", lambda v: h.split_paragraph(v.doc_texts.withColumn("lines", F.lit(2))).groupBy("doc_id").agg(F.count("*").alias("n")), "SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) >= 2 THEN len(string_split(text, chr(10))) ELSE least(2, len(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '))) END AS n FROM {doc_texts} d")
 
-query("text_similarity", lambda v: s.text_similarity(v.bench_pairs).select("a", "b", F.round("score", 9).alias("score")), """WITH n AS (SELECT a, b, trim(regexp_replace(regexp_replace(translate(lower(ta), 'áàâãäéèêëíìîïóòôõöúùûüçñß', 'aaaaaeeeeiiiiooooouuuucns'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS x,
-    trim(regexp_replace(regexp_replace(translate(lower(tb), 'áàâãäéèêëíìîïóòôõöúùûüçñß', 'aaaaaeeeeiiiiooooouuuucns'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS y FROM {bench_pairs} p),
+query("text_similarity", lambda v: s.text_similarity(v.next_texts).select("a", "b", F.round("score", 9).alias("score")), """WITH n AS (SELECT a, b, trim(regexp_replace(regexp_replace(translate(lower(ta), 'áàâãäéèêëíìîïóòôõöúùûüçñß', 'aaaaaeeeeiiiiooooouuuucns'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS x,
+    trim(regexp_replace(regexp_replace(translate(lower(tb), 'áàâãäéèêëíìîïóòôõöúùûüçñß', 'aaaaaeeeeiiiiooooouuuucns'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS y FROM {next_texts} p),
     gx AS (SELECT a, b, substr(x, i::INT, 2) AS g, count(*) AS n FROM n, unnest(range(1, length(x))) u(i) GROUP BY ALL), gy AS (SELECT a, b, substr(y, i::INT, 2) AS g, count(*) AS n FROM n, unnest(range(1, length(y))) u(i) GROUP BY ALL),
     gj AS (SELECT coalesce(gx.a, gy.a) AS a, coalesce(gx.b, gy.b) AS b, sum(least(coalesce(gx.n, 0), coalesce(gy.n, 0))) / sum(greatest(coalesce(gx.n, 0), coalesce(gy.n, 0)))::DOUBLE AS j FROM gx FULL JOIN gy ON gx.a = gy.a AND gx.b = gy.b AND gx.g = gy.g GROUP BY 1, 2),
     w AS (SELECT a, b, list_filter(list_distinct(string_split(x, ' ')), lambda t: length(t) > 1) AS wx, list_filter(list_distinct(string_split(y, ' ')), lambda t: length(t) > 1) AS wy FROM n)
-    SELECT w.a, w.b, round(0.4e0 * j + 0.6e0 * len(list_intersect(wx, wy)) / len(list_distinct(list_concat(wx, wy))), 9) AS score FROM w JOIN gj ON w.a = gj.a AND w.b = gj.b""")
+    SELECT n.a, n.b, round(CASE WHEN x = '' OR y = '' THEN 0e0 WHEN x = y THEN 1e0 ELSE 0.4e0 * coalesce(j, 0) + 0.6e0 * CASE WHEN len(wx) + len(wy) = 0 THEN 0e0 ELSE len(list_intersect(wx, wy)) / len(list_distinct(list_concat(wx, wy)))::DOUBLE END END, 9) AS score
+    FROM n JOIN w ON n.a = w.a AND n.b = w.b LEFT JOIN gj ON n.a = gj.a AND n.b = gj.b""")
 query("near_duplicates", lambda v: s.near_duplicates(v.doc_texts, "doc_id", "text").select("a", "b"))
-query("trigram_similarity", lambda v: s.trigram_similarity(v.bench_pairs).select("a", "b", F.round("score", 9).alias("score")), """SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 9) AS score FROM (SELECT a, b, list_distinct(list_transform(range(1, length(ta) - 1), lambda i: substr(lower(ta), i::INT, 3))) AS x,
-    list_distinct(list_transform(range(1, length(tb) - 1), lambda i: substr(lower(tb), i::INT, 3))) AS y FROM {bench_pairs} p) t""")
+query("trigram_similarity", lambda v: s.trigram_similarity(v.next_texts).select("a", "b", F.round("score", 9).alias("score")), """SELECT a, b, round(CASE WHEN ta = '' OR tb = '' THEN 0e0 WHEN lower(ta) = lower(tb) THEN 1e0 WHEN contains(lower(ta), lower(tb)) OR contains(lower(tb), lower(ta)) THEN 0.9e0
+    WHEN least(length(ta), length(tb)) < 3 THEN 0e0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE END, 9) AS score FROM (SELECT a, b, ta, tb, list_distinct(list_transform(range(1, length(ta) - 1), lambda i: substr(lower(ta), i::INT, 3))) AS x,
+    list_distinct(list_transform(range(1, length(tb) - 1), lambda i: substr(lower(tb), i::INT, 3))) AS y FROM {next_texts} p) t""")
 query("stamp_normalise", lambda v: v.part.select("p_partkey", s.stamp_normalise(F.concat(F.lit("Dr. "), F.col("p_name"), F.lit(" CRM 12"))).alias("stamp")), "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || '12' AS stamp FROM {part} p")
 query("number_keys", lambda v: s.number_keys(v.statements, "doc_id", "head"), "SELECT DISTINCT doc_id, unnest(regexp_extract_all(head, '[0-9]{4,}')) AS number FROM {statements} s")
 _LINKED = f"""SELECT a.page, a.block AS a, b.block AS b FROM {{text_blocks}} a JOIN {{text_blocks}} b ON a.page = b.page AND a.block < b.block WHERE ({{0}})"""
@@ -114,7 +116,7 @@ _APART = "SELECT page, block, x + block % 2 * 300 AS x, y * (1 + block % 3) AS y
 query("block_clusters", lambda v: s.block_clusters(v.sql(_APART)), _clusters(f"({_SHARED} > 0.1 AND {_YGAP} < 80) OR ({_SHARED} > 0.3 AND {_YGAP} < 80) OR ({_YGAP} < 20 AND {_XGAP} < 20)").replace("{text_blocks}", f"({_APART})"))
 query("block_clusters_simple", lambda v: s.block_clusters(v.sql(_APART), s.SIMPLE_LINKS), _clusters(f"({_SHARED} > 0.3 AND {_YGAP} < 40) OR {_YGAP} < 20").replace("{text_blocks}", f"({_APART})"))
 query("region_candidates", lambda v: s.region_candidates(v.text_blocks, ("gear", "bolt"), 300).groupBy("reason").count().withColumnRenamed("count", "n"), "SELECT CASE WHEN trim(text) = '' THEN 'blank' WHEN contains(text, 'gear') OR contains(text, 'bolt') THEN 'keyword' WHEN y > 210 THEN 'low' ELSE 'dropped' END AS reason, count(*) AS n FROM {text_blocks} b GROUP BY 1")
-_CASED = "SELECT page, CASE WHEN block % 2 = 0 OR page % 3 = 0 THEN upper(text) ELSE text END AS text FROM {text_blocks} b WHERE page % 5 > 0"
+_CASED = "SELECT page, CASE WHEN block % 2 = 0 OR page % 3 = 0 THEN upper(text) ELSE text END AS text FROM {text_blocks} b"
 query("uppercase_share", lambda v: s.uppercase_share(v.sql(_CASED), "page"), f"SELECT page, CASE WHEN bool_and(text = upper(text)) THEN 'printed' WHEN bool_or(text = upper(text)) THEN 'mixed' ELSE 'handwritten' END AS kind FROM ({_CASED}) c GROUP BY page")
 _BY4 = "SELECT page, block, block % 4 AS cluster FROM {text_blocks} b"
 query("cluster_bbox", lambda v: s.cluster_bbox(v.text_blocks, v.sql(_BY4)), 'SELECT page, block % 4 AS cluster, min(x) AS "left", min(y) AS top, max(x + w) AS "right", max(y + h) AS bottom, count(*) AS n FROM {text_blocks} b GROUP BY 1, 2')

@@ -46,7 +46,9 @@ VIEWS: dict[str, str] = {
     "statements": """SELECT o_orderkey AS doc_id, o_orderstatus, n AS lines, ceil(n / 3e0) AS pages, concat('Invoice no ', cast(o_orderkey AS VARCHAR(20)), ' date ', CASE o_orderkey % 4
         WHEN 0 THEN concat(d, '/', m, '/', y) WHEN 1 THEN concat(y, '-', m, '-', d) WHEN 2 THEN concat(d, '-', m, '-', y) ELSE concat(d, '.', m, '.', y) END,
         ' Bill to PATIENT: MARIA SILVA postcode ', lpad(cast(o_custkey AS VARCHAR(20)), 5, '0'), '-', lpad(cast(o_custkey % 1000 AS VARCHAR(20)), 3, '0'),
-        CASE WHEN o_orderstatus = 'P' THEN ' This agreement between party and party. Signature: doctor' ELSE '' END, ' Total due') AS head
+        CASE WHEN o_orderstatus = 'P' THEN ' This agreement between party and party. Signature: doctor' ELSE '' END, ' Total due', CASE o_orderkey % 7
+        WHEN 0 THEN '; CID: B20.1, CPF 123.456-7' WHEN 1 THEN '; MARIA SOUZA LIMA wrote' WHEN 2 THEN '; Signed: PAULO REIS' WHEN 3 THEN '; report: summary, figure, chart, appendix, introduction, findings and conclusion'
+        WHEN 4 THEN '; Dear sir, enclosed our resume: skills, education, employment, experience' WHEN 5 THEN '; account, balance, deposit, statement, fee and interest' ELSE '' END) AS head
         FROM (SELECT o_orderkey, o_custkey, o_orderstatus, substr(cast(o_orderdate AS VARCHAR(30)), 9, 2) AS d, substr(cast(o_orderdate AS VARCHAR(30)), 6, 2) AS m,
         substr(cast(o_orderdate AS VARCHAR(30)), 1, 4) AS y FROM {orders}) o JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) l ON o_orderkey = l_orderkey""",
     "text_items": """SELECT l_orderkey AS page, row, 0 AS col, 40e0 + l_partkey % 3 AS x, 100e0 + 20 * row AS y, cast(cast(l_quantity AS BIGINT) AS VARCHAR(30)) AS text FROM {order_lines} a
@@ -78,7 +80,11 @@ VIEWS: dict[str, str] = {
     "clicks": "SELECT event_id, cast(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS x, user_id AS y, user_id, ts FROM {events} e WHERE event_type = 'click'",
     "size_rows": "SELECT o_orderkey AS id, o_totalprice AS original, o_totalprice * (0.9e0 + (o_orderkey % 5) / 10e0) AS rewritten FROM {orders} o",
     "text_pairs": """SELECT conv_id, turn, text AS expected, CASE WHEN turn % 2 = 1 THEN concat(text, ' more') ELSE text END AS actual FROM {conversations} c WHERE text IS NOT NULL""",
-    "bench_pairs": "SELECT a.item_id AS a, b.item_id AS b, a.text AS ta, b.text AS tb FROM {benchmark} a JOIN {benchmark} b ON a.item_id < b.item_id AND b.item_id < 40",
+    "edited_pairs": """SELECT conv_id, turn, expected, regexp_extract(expected, '[A-Za-z]+', 0) AS target, CASE (conv_id + turn) % 6 WHEN 0 THEN expected WHEN 1 THEN concat(expected, ' extra') WHEN 2 THEN substr(expected, 2)
+        WHEN 3 THEN concat(substr(expected, 1, length(expected) - 1), '#') WHEN 4 THEN concat('one two ', cast(turn AS VARCHAR(20))) ELSE upper(expected) END AS actual
+        FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN concat('one two ', cast(turn AS VARCHAR(20))) ELSE text END AS expected FROM {conversations} c WHERE text IS NOT NULL) t""",
+    "next_texts": """SELECT a, b, ta, tb FROM (SELECT item_id AS a, lead(item_id) OVER (PARTITION BY item_id % 8 ORDER BY item_id) AS b, text AS ta, lead(text) OVER (PARTITION BY item_id % 8 ORDER BY item_id) AS tb FROM {benchmark} b) n WHERE b IS NOT NULL
+        UNION ALL SELECT 1000000 + conv_id * 100 + turn, 1000001 + conv_id * 100 + turn, expected, actual FROM {edited_pairs} e""",
 }
 
 
