@@ -7,25 +7,32 @@ over all labelled rows. A text's margins are decoded to the codeword of least we
 hinge loss; bits that separate well weigh more. A text is ambiguous if the runner-up's
 loss is near the best.
 
-Defined results: null text or text without a letter is `und` with score 0; with no
-labelled row all texts are `und`; with one language every text with a letter gets it,
-score 1. Null labels teach nothing. Any text length is read whole.
+Defined results: null text or text without a letter (Unicode category L; digits, number
+signs and marks are none) is `und` with score 0; with no labelled row all texts are `und`;
+with one language every text with a letter gets it, score 1; ties of losses go to the
+language first in order. Null labels teach nothing. Any text length is read whole.
+Repeated rows teach and are judged each. More than `LANGUAGES` different labels are
+refused, since the counts of each reach the driver; so is a column of the result's name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgrowth.functions.shared import written
+
 DIMS = 1 << 13
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: Labels, at most: the driver gets 64 KB of counts of each.
+LANGUAGES = 1000
 _CHUNK = 1 << 20
 
 
@@ -81,6 +88,9 @@ def fit(docs: DataFrame, text: str | Column = "text", lang: str | Column = "lang
 
     known = docs.select(F.col(text).alias("t") if isinstance(text, str) else text.alias("t"), (F.col(lang) if isinstance(lang, str) else lang).alias("y")).dropna()
     sums = known.mapInPandas(count, "y string, k long, c double").groupBy("y", "k").agg(F.sum("c").alias("c"))
+    sums = written(sums, "ngrams")
+    if sums.select("y").distinct().count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     got = sums.toPandas()
     languages = tuple(sorted(got["y"].unique()))
     if not languages:
@@ -119,6 +129,8 @@ def _decide(model: Model | None, text: pd.Series, near: float) -> pd.DataFrame:
 
 def predict(docs: DataFrame, model: Model | None, text: str | Column = "text", near: float = 0.05, into: str = "language") -> DataFrame:
     """docs with a column `into`: the decoded language, its score, and whether the runner-up's loss is within `near`."""
+    if into in docs.columns:
+        raise ValueError(f"documents already have a column {into}")
 
     @F.pandas_udf(RESULT)
     def decide(t: pd.Series) -> pd.DataFrame:

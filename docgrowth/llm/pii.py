@@ -6,9 +6,11 @@ are found on a normalised text: a transducer rewrites homoglyphs, spelled digits
 every span found there is mapped back to source characters.
 
 Defined results: null or empty text has no spans; a disguised span that meets a plain
-one of its kind is dropped (plain ones stay); repeated rows are judged one by one.
-A spaced " at " is rewritten only before a host whose dot is disguised too, since
-"look at example.com" is ordinary prose.
+one of its kind is dropped (plain ones stay); repeated rows are judged one by one; a
+column `pii` of the documents is refused. A spaced " at " is rewritten only before a host
+whose dot is disguised too, since "look at example.com" is ordinary prose. A text whose
+only signs are the words "un", "oh" or "point" is left as it is. Whole texts are read,
+in time that grows with their length: long runs of blanks are walked once.
 """
 
 from __future__ import annotations
@@ -34,8 +36,15 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ζ": "Z",
     "ı": "i", "ɑ": "a", "ɡ": "g", "․": ".", "‐": "-", "‑": "-", "–": "-", "。": ".",
 }
-# Digits as words.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digits as words, in English, German, French and Spanish.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# Fixed values: "at" and "dot" as words of one language; a spaced "at" counts only before a host with a "dot" of its own.
+AT_DOT = (("at", "dot"), ("at", "punkt"), ("klammeraffe", "punkt"), ("arobase", "point"), ("arroba", "punto"))
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,17 +54,21 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-_DOT = r"(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|(?<=[^\W_])\s+dot\s+(?=[^\W_]))"
-_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|(?<=[^\W_])\s+at\s+(?=[\w-]{1,64}" + _DOT + r"[^\W_]))"
+_ATS, _DOTS = ("|".join(dict.fromkeys(x)) for x in zip(*AT_DOT, strict=True))
+# Blanks around a sign are taken in by code, outwards from the sign, so a long run of blanks is not tried from each of its places.
+_DOT = rf"[\[({{<]\s*(?:{_DOTS})\s*[\])}}>]|(?<=\s)(?:{_DOTS})(?=\s)"
+_BEFORE_HOST = "|".join(rf"(?:{at})(?=\s+[\w-]{{1,64}}(?:\s+(?:{dot})\s+[^\W_]|\s*[\[({{<]\s*(?:{dot})\s*[\])}}>]\s*[^\W_]))" for at, dot in AT_DOT)
+_AT = rf"[\[({{<]\s*(?:{_ATS})\s*[\])}}>]|(?<=\s)(?:{_BEFORE_HOST})"
 _HIDDEN = "[­​-‍⁠﻿]"
 _GLYPH = f"[{''.join(map(re.escape, LOOKALIKES))}！-～٠-٩۰-۹\U0001d7ce-\U0001d7ff]"
 _REWRITE = re.compile(
-    rf"(?P<dot>{_DOT})|(?P<at>{_AT})|(?P<plus>\bplus\s+(?=(?:{_WORD})\b|[0-9]))|(?P<run>\b(?:{_WORD})(?:[\s-]+(?:{_WORD}))*\b)|(?P<hidden>{_HIDDEN}+)|(?P<glyph>{_GLYPH}+)",
+    rf"(?P<dot>{_DOT})|(?P<at>{_AT})|(?P<plus>\bplus\s+(?=(?:{_WORD})\b|[0-9]))|(?P<run>\b(?:{_WORD})(?:[\s-]++(?:{_WORD})\b)*+\b)|(?P<hidden>{_HIDDEN}+)|(?P<glyph>{_GLYPH}+)",
     re.IGNORECASE,
 )
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]")
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_ATS}|{_DOTS})\s*[\])}}>]")
 _STRANGE = re.compile(f"{_HIDDEN[:-1]}{_GLYPH[1:]}")
-_TELLING = frozenset({*SPELLED, "dot"})
+#: "un" is an article too, "oh" a call; alone they tell nothing.
+_TELLING = frozenset({*SPELLED, *_DOTS.split("|"), *_ATS.split("|")} - {"at", "un", "oh", "point"})
 
 
 def _disguised(text: str) -> bool:
@@ -136,15 +149,24 @@ class Normalised:
                 self._size += len(new)
 
         for m in _REWRITE.finditer(text):
-            put(text[at : m.start()], at, m.start(), True)
-            at = m.end()
+            start, end = m.span()
+            if m.lastgroup in ("dot", "at"):
+                while start > at and text[start - 1].isspace():
+                    start -= 1
+                while end < len(text) and text[end].isspace():
+                    end += 1
+                bare = text[m.start()] not in "[({<"
+                if bare and not (start < m.start() and start and text[start - 1].isalnum() and end < len(text) and text[end].isalnum()):
+                    continue
+            put(text[at:start], at, start, True)
+            at = end
             match m.lastgroup:
                 case "dot":
-                    put(".", *m.span(), False)
+                    put(".", start, end, False)
                 case "at":
-                    put("@", *m.span(), False)
+                    put("@", start, end, False)
                 case "plus":
-                    put("+", *m.span(), False)
+                    put("+", start, end, False)
                 case "run":
                     for w in re.finditer(_WORD, m[0], re.IGNORECASE):
                         put(SPELLED[w[0].lower()], m.start() + w.start(), m.start() + w.end(), False)
@@ -210,6 +232,8 @@ def masked(text: str | None, mask: str = "<{}>") -> str | None:
 
 def find_pii(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     """docs with a column `pii` of counts by kind, a digest of the plain spans, and all spans."""
+    if "pii" in docs.columns:
+        raise ValueError("documents already have a column pii")
     return docs.withColumn("pii", F.pandas_udf(found, FOUND)(text))
 
 
