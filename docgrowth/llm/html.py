@@ -1,18 +1,25 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree of element paths (tag and class, repeated
-siblings as one). A path's importance joins two parts. Presentation: elements that by
-their tag or class hold no article text (menus, forms, scripts, adverts, comments ...)
-have none. Content: over the host's pages, texts that recur say little; a path's
-importance is 1 minus the mean of log(occurrences) / log(all occurrences) of its texts,
-so a path with the same text on every page has 0 and one with a new text on each has 1.
-A path's importance is that of the texts directly in it: blocks of a path of low importance are cut from every page, and copies of a page count once. An article or main element is a
-prior only: where too few pages tell a path's importance, blocks outside the page's articles go.
+siblings as one). A branch's importance joins two entropies, both 0 for what is the same
+on every page and 1 for what is new on each. Presentation: of the sequences of children
+that its element has. Content: of the texts below it, path by path, each path weighted by
+how much its occurrences could tell; over c occurrences of each of a path's texts it is
+1 - sum(c log c) / (m log m), m = sum(c). Branches of low importance are cut from every
+page, with all below them; the texts directly in an element are a branch of their own.
+
+Marks are a prior: elements that by their tag, class, id or role hold no article text
+(menus, forms, scripts, adverts, comments ...) have no importance, unless the mark is on a
+wrapper of the article or of most of the page's text. An article or main element is a
+prior too: where too few pages tell a text's importance, what is outside the page's articles goes.
 
 Blocks are joined in page order by one space. Defined results: null html is empty; a
 page without text gives an empty text; broken markup is read as far as it goes (an
-unclosed comment, script or style hides the rest); without an article element the whole
-body is judged by importance.
+unclosed comment, script or style hides the rest); pages of equal texts count once, and
+so does a text or a sequence of children that a page repeats at a path; repeated rows get
+their text each; columns `main_text` or beginning with `_site_` are refused. Whole pages
+are read; elements nested deeper than `DEPTH` blocks count as their ancestor of that
+depth, so memory and time grow with the page's length.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from docgrowth.functions.shared import written
 # Elements by what they hold.
 RAW = {"script", "style", "textarea", "xmp", "noscript", "template", "iframe", "noembed", "noframes"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NO_TEXT = {"head", "title", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "object", "canvas", "audio", "video", "datalist", "label", "option"}
+NO_TEXT = {"head", "title", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "canvas", "audio", "video", "datalist"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp",
     "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
@@ -51,6 +58,12 @@ _EACH = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _NAME = re.compile(r"[A-Za-z]+")
 _LOW = 0.3
+#: Share of content in a branch's importance; the rest is presentation's.
+_CONTENT = 0.9
+#: Levels of block elements that have a path of their own; of marks around an element as many count.
+DEPTH = 32
+#: Name of the branch of texts that stand directly in an element.
+_TEXT = "#"
 
 PATH_LIMIT_ROWS = 200_000
 
@@ -76,18 +89,22 @@ def _style(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 marked |= not BESIDE.isdisjoint(value.lower().split())
                 if key.lower() == "class" and value:
                     name += "." + ".".join(sorted({w.lower() for w in _NAME.findall(value)}))
+                    name = name if len(name) <= 60 else f"{tag}.{xxhash.xxh3_64_hexdigest(name)}"
         beside |= _hidden(attributes)
     return name, beside, marked and tag not in MAIN and tag not in ("html", "body")
 
 
-def blocks(page: str | None) -> Iterator[tuple[str, bool, str]]:
-    """(path, inside an article, text) of every block that presentation keeps, in page order.
+Block = tuple[str, bool, str]
+
+
+def blocks(page: str | None, styles: set[tuple[str, str]] | None = None) -> Iterator[Block]:
+    """(path, inside an article, text) of every block that the marks keep, in page order; `styles` gets (path, children) of the elements.
 
     A mark (class, id, role, form) doesn't count on an element that holds all articles of
     the page, or most of the text of a page without articles.
     """
     articles: list[tuple[int, ...]] = []
-    found = [*_parsed(page, articles)]
+    found = [*_parsed(page, articles, styles)]
     whole = sum(len(text) for *_, text in found)
     held: dict[int, int] = {}
     for marks, *_, text in ((m, " ") for m in articles) if articles else found:
@@ -97,29 +114,50 @@ def blocks(page: str | None) -> Iterator[tuple[str, bool, str]]:
     yield from ((path, inside, text) for marks, path, inside, text in found if free.issuperset(marks))
 
 
-def _parsed(page: str | None, articles: list[tuple[int, ...]]) -> Iterator[tuple[tuple[int, ...], str, bool, str]]:
+class _Open:
+    """An open element: its tag, whether it holds no article text, whether it is in an article, the marked elements around it, its path and its children."""
+
+    __slots__ = ("beside", "children", "depth", "inside", "marks", "path", "tag")
+
+    def __init__(self, tag: str, beside: bool, inside: bool, marks: tuple[int, ...], path: str, depth: int) -> None:
+        self.tag, self.beside, self.inside, self.marks, self.path, self.depth = tag, beside, inside, marks, path, depth
+        self.children: list[str] = []
+
+
+def _parsed(page: str | None, articles: list[tuple[int, ...]], styles: set[tuple[str, str]] | None) -> Iterator[tuple[tuple[int, ...], str, bool, str]]:
     """(marked elements around it, path, inside an article, text) of blocks; the marked elements around each article go to `articles`."""
     if not page:
         return
-    names: list[str] = []
-    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # tag, beside, inside an article, marked elements by their place
+    root = _Open("", False, False, (), "", 0)
+    stack: list[_Open] = []
+    open_tags: dict[str, int] = {}
     text: list[str] = []
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
+
+    def child(of: _Open, name: str) -> None:
+        if styles is not None and of.depth < DEPTH and (not of.children or of.children[-1] != name):
+            of.children.append(name)
 
     def flush() -> Iterator[tuple[tuple[int, ...], str, bool, str]]:
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                yield stack[-1][3] if stack else (), ">".join(n for n, (t, *_) in zip(names, stack, strict=True) if t not in INLINE), bool(stack and stack[-1][2]), joined
+                top = stack[-1] if stack else root
+                child(top, _TEXT)
+                yield top.marks, top.path, top.inside, joined
 
     def pop(to: int) -> None:
-        del stack[to:], names[to:]
+        for e in stack[to:]:
+            open_tags[e.tag] -= 1
+            if styles is not None and e.tag not in INLINE and e.children and not e.beside:
+                styles.add((e.path, " ".join(e.children)))
+        del stack[to:]
 
     while at < size:
-        m = _MARKUP.search(page, at)
+        m = _MARKUP.search(page, at) if at <= last or page.find("<", at) >= 0 else None
         end = m.start() if m else size
-        if end > at and not (stack and stack[-1][1]):
+        if end > at and not (stack and stack[-1].beside):
             text.append(html.unescape(page[at:end]))
         if not m:
             break
@@ -131,11 +169,11 @@ def _parsed(page: str | None, articles: list[tuple[int, ...]]) -> Iterator[tuple
         if m[1] or m[4]:
             if tag == "br" or not inline:
                 yield from flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+            for k in range(len(stack) - 1, -1, -1) if open_tags.get(tag) else ():
+                if stack[k].tag == tag:
                     pop(k)
                     break
-                if inline and stack[k][0] not in INLINE:
+                if inline and stack[k].tag not in INLINE:
                     break
             continue
         if not inline:
@@ -148,70 +186,94 @@ def _parsed(page: str | None, articles: list[tuple[int, ...]]) -> Iterator[tuple
             continue
         if not inline:  # an open paragraph, list item or cell ends where the next begins
             closes = "p" if tag in CLOSES_P else tag if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else None
-            for k in range(len(stack) - 1, -1, -1) if closes else ():
-                if stack[k][0] == closes:
+            for k in range(len(stack) - 1, -1, -1) if closes and open_tags.get(closes) else ():
+                if stack[k].tag == closes:
                     pop(k)
                     break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
+                if stack[k].tag not in INLINE and stack[k].tag != "p":
                     break
         name, beside, marked = _style(tag, m[3] or m[6] or "")
-        above = stack[-1] if stack else ("", False, False, ())
-        if tag == "header" and not above[2]:
+        above = stack[-1] if stack else root
+        if tag == "header" and not above.inside:
             beside = True
-        beside |= above[1] or (marked and inline)
-        marks = (*above[3], at) if marked else above[3]
+        beside |= above.beside or (marked and inline)
+        marks = (*above.marks, at) if marked and len(above.marks) < DEPTH else above.marks
         if tag in MAIN and not beside:
             articles.append(marks)
-        stack.append((tag, beside, above[2] or tag in MAIN, marks))
-        names.append(name)
+        path, depth = (above.path, above.depth) if inline or above.depth >= DEPTH else (f"{above.path}>{name}" if above.path else name, above.depth + 1)
+        if not inline and not beside:
+            child(above, name)
+        stack.append(_Open(tag, beside, above.inside or tag in MAIN, marks, path, depth))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     yield from flush()
+    pop(0)
+
+
+def branches(path: str) -> list[str]:
+    """The branches that a block of the path is in: each element from the root, and the texts directly in the last."""
+    names = path.split(">") if path else []
+    return [*(">".join(names[: k + 1]) for k in range(len(names))), f"{path}>{_TEXT}" if path else _TEXT]
 
 
 def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset(), high: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's blocks by their own path's importance; where the host's pages tell nothing of it, an article excludes what is outside."""
+    """The page's blocks without branches of low importance; where the host's pages tell nothing of a text, an article excludes what is outside."""
     found = [*blocks(page)]
     article = any(inside for _, inside, _ in found)
-    return " ".join(text for path, inside, text in found if path not in low and (inside or not article or path in high))
+    cut = {path: not low.isdisjoint(branches(path)) for path in {path for path, *_ in found}} if low else {}
+    keep = lambda path, inside: inside or not article or branches(path)[-1] in high
+    return " ".join(text for path, inside, text in found if not cut.get(path) and keep(path, inside))
 
 
-def judged_paths(pages: DataFrame, host: Column, page: str = "html", least: float = _LOW, pages_needed: int = 5) -> DataFrame:
-    """(host, low, high): per host the paths of low and of high importance, as far as at least `pages_needed` occurrences tell.
-
-    Pages of equal texts count once, and so does a text that a page repeats at a path.
-    """
+def judged_branches(pages: DataFrame, host: Column, page: str = "html", least: float = _LOW, pages_needed: int = 5) -> DataFrame:
+    """(host, low, high): per host the branches of low importance, and the texts of high one, as far as at least `pages_needed` occurrences tell."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = lambda text: xxhash.xxh3_64_intdigest(text) - (1 << 63)
+        digest = lambda text: xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
         for b in batches:
             rows = []
             for h, p in zip(b["host"], b["page"], strict=True):
-                found = [*blocks(p)]
+                styles: set[tuple[str, str]] = set()
+                found = [*blocks(p, styles)]
                 own = digest("\n".join(text for *_, text in found))
-                rows += [(h, path, digest(text), own) for path, _, text in found]
+                rows += {(h, path, False, digest(text), own) for path, _, text in found}
+                rows += {(h, path, True, digest(s), own) for path, s in styles}
+                if len(rows) > 100_000:
+                    yield pd.DataFrame(rows)
+                    rows = []
             if rows:
                 yield pd.DataFrame(rows)
 
-    found = pages.select(host.alias("host"), F.col(page).alias("page")).mapInPandas(parse, "host string, path string, content long, own long")
-    each = found.distinct().groupBy("host", "path", "content").agg(F.count("*").alias("c"))
-    total = each.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    told = total.filter(F.col("m") >= pages_needed).withColumn("slight", 1 - F.col("s") / (F.col("m") * F.log("m")) < least)
-    paths = lambda wanted: F.sort_array(F.collect_list(F.when(wanted, F.col("path"))))
-    return told.groupBy("host").agg(paths(F.col("slight")).alias("low"), paths(~F.col("slight")).alias("high"))
+    found = pages.select(host.alias("host"), F.col(page).alias("page")).mapInPandas(parse, "host string, path string, style boolean, content long, own long")
+    each = found.distinct().groupBy("host", "path", "style", "content").agg(F.count("*").alias("c"))
+    told = each.groupBy("host", "path", "style").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s")).withColumn("most", F.col("m") * F.log("m"))
+    told = written(told, "entropies")
+    names = F.split("path", ">")
+    above = F.when(F.col("path") == "", F.array(F.lit(_TEXT))).otherwise(F.concat(F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), ">")), F.array(F.concat("path", F.lit(f">{_TEXT}")))))
+    below = told.filter("NOT style").select("host", F.explode(above).alias("branch"), "m", "s", "most")  # as branches() has them
+    content = below.groupBy("host", "branch").agg(F.max("m").alias("seen"), (1 - F.sum("s") / F.nullif(F.sum("most"), F.lit(0.0))).alias("content"))
+    shown = told.filter("style").select("host", F.col("path").alias("branch"), (1 - F.col("s") / F.nullif("most", F.lit(0.0))).alias("shown"))
+    joined = content.join(shown, ["host", "branch"], "left").filter(F.col("seen") >= pages_needed)
+    importance = _CONTENT * F.col("content") + (1 - _CONTENT) * F.coalesce("shown", "content")
+    named = lambda wanted: F.sort_array(F.collect_list(F.when(wanted, F.col("branch"))))
+    slight, of_text = F.col("importance") < least, F.col("branch").endswith(_TEXT)
+    return joined.withColumn("importance", importance).groupBy("host").agg(named(slight).alias("low"), named(~slight & of_text).alias("high"))
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """pages with a column `main_text`; hosts are those of `url`."""
     from docgrowth.llm.urls import host_and_path
 
+    if taken := [c for c in pages.columns if c == "main_text" or c.startswith("_site_")]:
+        raise ValueError(f"pages already have {taken}")
     host = host_and_path(F.col(url))[0]
-    low = written(judged_paths(pages, host, page), "judged")
-    small = low.agg(F.coalesce(F.sum(F.size("low") + F.size("high")), F.lit(0))).first()[0] <= PATH_LIMIT_ROWS
-    low = low.select(F.col("host").alias("_host"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    judged = written(judged_branches(pages, host, page), "judged")
+    small = judged.agg(F.coalesce(F.sum(F.size("low") + F.size("high")), F.lit(0))).first()[0] <= PATH_LIMIT_ROWS
+    judged = judged.select(F.col("host").alias("_site_host"), F.col("low").alias("_site_low"), F.col("high").alias("_site_high"))
 
     @F.pandas_udf("string")
     def text(p: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
         sets = ([set(u) if u is not None else set() for u in c] for c in (low, high))
         return pd.Series([main_text(x, *judged) for x, *judged in zip(p, *sets, strict=True)], dtype=object)
 
-    met = pages.withColumn("_host", host).join(F.broadcast(low) if small else low, "_host", "left")
-    return met.withColumn("main_text", text(page, "_low", "_high")).drop("_host", "_low", "_high")
+    met = pages.withColumn("_site_host", host).join(F.broadcast(judged) if small else judged, "_site_host", "left")
+    return met.withColumn("main_text", text(page, "_site_low", "_site_high")).drop("_site_host", "_site_low", "_site_high")

@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docgrowth.llm import decontam, langid, pii, queries, toxicity
+from docgrowth.llm import decontam, html, langid, pii, queries, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -207,3 +207,82 @@ def test_toxicity_of_single_labels_ties_and_repeats(spark):
     assert len(scores) == 4 and len({*scores}) == 1 and math.isclose(scores[0], 2 / 3)
     with pytest.raises(ValueError, match="toxicity"):
         toxicity.score(docs.withColumnRenamed("text", "toxicity"), toxicity.train([], np.zeros(0)), "toxicity")
+
+
+# --- main text: importance of branches from the definitions, with plain dictionaries
+
+
+def plain_judgement(pages: list[str], least: float = 0.3, needed: int = 5) -> tuple[set, set]:
+    seen: dict = {}
+    for page in {"\n".join(t for *_, t in html.blocks(p)): p for p in pages}.values():
+        styles: set = set()
+        found = {(path, False, text) for path, _, text in html.blocks(page, styles)} | {(path, True, s) for path, s in styles}
+        for path, style, what in found:
+            seen.setdefault((path, style), []).append(what)
+    entropy = {}
+    for at, all_of in seen.items():
+        counts = [all_of.count(x) for x in set(all_of)]
+        m = sum(counts)
+        entropy[at] = (m, sum(c * math.log(c) for c in counts), m * math.log(m))
+    low, high = set(), set()
+    for branch in {b for (path, style) in seen if not style for b in html.branches(path)}:
+        below = [e for (path, style), e in entropy.items() if not style and branch in html.branches(path)]
+        if max(m for m, *_ in below) < needed:
+            continue
+        content = 1 - sum(s for _, s, _ in below) / sum(t for *_, t in below)
+        own = entropy.get((branch, True))
+        shown = 1 - own[1] / own[2] if own and own[2] else content
+        if 0.9 * content + 0.1 * shown < least:
+            low.add(branch)
+        elif branch.endswith("#"):
+            high.add(branch)
+    return low, high
+
+
+def test_main_text_equals_a_plain_style_tree(spark):
+    r, pages = random.Random(4), []
+    for i in range(60):
+        host = f"h{i % 3}.com"
+        body = "".join(f"<p class=c{r.randint(0, 2)}>{' '.join(story(i * 10 + k, 6))}</p>" for k in range(r.randint(1, 4)))
+        side = "<div class=box><p>Read more</p><ul><li>one</li><li>two</li></ul></div>" if r.random() < 0.8 else ""
+        wrapped = f"<article>{body}</article>" if i % 3 == 0 else f"<div class=body>{body}</div>"
+        pages.append((i, f"http://{host}/{i}", f"<body>Skip to content{side}{wrapped}<div>All rights reserved</div></body>"))
+    pages += [(100 + k, "http://h0.com/copy", pages[0][2]) for k in range(20)] + [(200, "http://x.com/", None), (201, "http://x.com/", "")]
+    got = {x["page_id"]: x["main_text"] for x in html.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    cut = 0
+    for host in ("h0.com", "h1.com", "h2.com", "x.com"):
+        own = [p for p in pages if f"//{host}/" in p[1]]
+        low, high = plain_judgement([p for *_, p in own])
+        cut += len(low)
+        for i, _, page in own:
+            assert got[i] == html.main_text(page, low, high)
+            assert not any(w in got[i] for w in ("Read more", "All rights", "Skip to"))
+    assert cut > 5 and all(got[i] for i in range(60)) and got[200] == got[201] == ""
+    assert html.extract(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
+    with pytest.raises(ValueError, match="main_text"):
+        html.extract(spark.createDataFrame([(1, "u", "h", "t")], "page_id int, url string, html string, main_text string"))
+
+
+def test_articles_of_the_given_pages_come_out_whole(spark):
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    for r in queries.op9_main_text(spark, DATA).collect():
+        page = pages[r["page_id"]]
+        inside = re.sub(r"<(script|style).*?</\1>|<!--.*?-->", "", page[page.find("<article>") : page.find("</article>")], flags=re.DOTALL)
+        words = re.sub(r"<[^>]*>", " ", inside).replace("&amp;", "&").split()
+        assert r["n_chars"] == len(r["text"]) and ("&" in inside or "".join(words) == r["text"].replace(" ", ""))
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 170_000, "</x>" * 100_000, "<form><p>x" * 30_000, "<a 'b" * 30_000, "<li><ul>x" * 30_000, "<b><p>x" * 30_000])
+def test_hostile_pages_end(page):
+    assert isinstance(html.main_text(page, {"div>div"}), str)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><div class=share-price>5 up</div><div id=search-results>two</div><p class=header-note>three</p><div class=toc-end>four</div></article>", "5 up two three four"),
+        ("<article><p title='a hidden gem'>kept</p><label>l</label><object>o</object></article>", "kept l o"),
+    ],
+)
+def test_words_within_names_are_no_marks(page, text):
+    assert html.main_text(page) == text

@@ -248,6 +248,34 @@ def test_url_templates_learn_and_merge(spark):
     rows = [(i, f"http://h.com/en/{i}") for i in range(20)] + [(100 + i, f"http://h.com/en/{i}.html") for i in range(20)]
     got = urls.judge(spark.createDataFrame(rows, "page_id int, url string")).select("template", "blocked", "labelled").distinct().collect()
     assert [tuple(r) for r in got] == [("/en/*", 40, 40)]
+    mixed = [(i, f"http://h.com/en/{i}") for i in range(40)] + [(100 + i, f"http://h.com/fr/{i}") for i in range(10)] + [(200 + i, f"http://h.org/es/{i}") for i in range(3)] + [(300 + i, f"http://h.org/en/{i}") for i in range(30)]
+    judged = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(mixed, "page_id int, url string")).collect()}
+    # Most of h.com is labelled, and blocked; of h.org a few pages are, which say little about the rest.
+    assert {(judged[100 + i]["template"], judged[100 + i]["verdict"], judged[100 + i]["rule"]) for i in range(10)} == {("/+/*", "block", None)}
+    assert {(judged[300 + i]["template"], judged[300 + i]["verdict"]) for i in range(30)} == {("/+/*", "allow")}
+
+
+def test_branches_that_differ_beyond_chance_stay_apart(spark):
+    rules = (urls.Rule("h.com", "/bad/", "block"), urls.Rule("h.com", "/good/", "allow"))
+    rows = [(i, f"http://h.com/bad/{i}") for i in range(50)] + [(100 + i, f"http://h.com/good/{i}") for i in range(50)] + [(200, "http://h.com/new/1")]
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string"), rules=rules).collect()}
+    assert got[0] == ("/bad/*", "block") and got[100] == ("/good/*", "allow") and got[200] == ("/+/*", "allow")
+
+
+def test_urls_long_empty_and_clashing(spark):
+    deep = "http://h.com/" + "a/" * 5000
+    rows = spark.createDataFrame([(1, deep, "x", 1), (2, "http://h.com/" + "b" * 200_000, "y", 2), (3, "http://h.com/en/1", "z", 3)], "page_id int, url string, host string, blocked int")
+    got = {r["page_id"]: r for r in urls.judge(rows).collect()}
+    assert got[1]["path"] == deep[len("http://h.com") :] and len(got[2]["path"]) == 200_001 and got[3]["verdict"] == "block"
+    assert urls.judge(rows.limit(0)).count() == 0
+
+
+def test_urls_without_labels_are_allowed(spark):
+    rows = spark.createDataFrame([(k, f"http://h.de/{k}") for k in range(5)], "page_id int, url string")
+    assert {r["verdict"] for r in urls.judge(rows).collect()} == {"allow"}
+
+
+def test_wide_nodes_are_variable(spark):
     wide = spark.createDataFrame([(i, f"http://h.net/user/{'abcdefghijklmnopqrstuvwxyz'[i]}/home") for i in range(26)], "page_id int, url string")
     assert [r["template"] for r in urls.judge(wide).select("template").distinct().collect()] == ["/user/*/home"]
 
