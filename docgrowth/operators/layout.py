@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgrowth.functions.numbers import half_up
+from docgrowth.functions.shared import written
 
 _CENTRES = "array<double>"
 
@@ -251,27 +252,45 @@ def reading_order(items: DataFrame) -> DataFrame:
 
 
 # Weights by keyword, in this order, and known families.
-WEIGHTS = (("thin", 100), ("light", 300), ("medium", 500), ("semibold", 600), ("bold", 700), ("black", 900))
-FAMILIES = ("arial", "helvetica", "times", "courier", "georgia")
+# Words of weight in their order, and font families by name.
+WEIGHTS = (("bold", 700), ("heavy", 800), ("black", 900), ("light", 300), ("thin", 200), ("medium", 500), ("regular", 400), ("normal", 400))
+FAMILIES = {
+    "helvetica": "Helvetica, Arial, sans-serif", "arial": "Arial, sans-serif", "times": "'Times New Roman', Times, serif", "timesnewroman": "'Times New Roman', Times, serif",
+    "courier": "'Courier New', Courier, monospace", "verdana": "Verdana, sans-serif", "georgia": "Georgia, serif", "calibri": "Calibri, sans-serif", "tahoma": "Tahoma, sans-serif",
+    "trebuchetms": "'Trebuchet MS', sans-serif", "simsun": "'SimSun', 'Songti SC', serif", "songti": "'Songti SC', 'SimSun', serif", "stsong": "'STSong', 'SimSun', serif",
+    "simhei": "'SimHei', 'Heiti SC', sans-serif", "heiti": "'Heiti SC', 'SimHei', sans-serif", "stheiti": "'Heiti SC', 'SimHei', sans-serif", "microsoftyahei": "'Microsoft YaHei', sans-serif",
+    "msyh": "'Microsoft YaHei', sans-serif", "kaiti": "'KaiTi', 'STKaiti', serif", "stkaiti": "'STKaiti', 'KaiTi', serif", "fangsong": "'FangSong', 'STFangsong', serif",
+    "stfangsong": "'STFangsong', 'FangSong', serif", "youyuan": "'YouYuan', sans-serif", "mincho": "'Hiragino Mincho ProN', 'Yu Mincho', serif", "gothic": "'Hiragino Sans', 'Yu Gothic', sans-serif",
+    "batang": "'Batang', serif", "dotum": "'Dotum', sans-serif",
+}
 
 
 def font_name_parse(names: DataFrame, name: str = "name") -> DataFrame:
+    """weight, italic and family of a font's name: a subset's prefix is dropped, the first word of weight counts, the family is that of the bare name, else of the first name within it, else a default."""
     low = F.lower(F.regexp_replace(name, r"^[A-Z]{6}\+", ""))
-    weight, family = F.lit(400), F.lit("sans-serif")
-    for word, w in reversed(WEIGHTS):
-        weight = F.when(low.contains(word), w).otherwise(weight)
-    for f in reversed(FAMILIES):
-        family = F.when(low.contains(f), f).otherwise(family)
-    return names.withColumn("weight", weight).withColumn("italic", low.rlike("italic|oblique")).withColumn("family", family)
+    bare = F.regexp_replace(F.regexp_replace(low, "-(?:bold|heavy|black|light|thin|medium|regular|normal)", ""), "italic|oblique", "")
+    known = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))
+    weight = F.coalesce(*(F.when(F.col("_low").contains(word), w) for word, w in WEIGHTS), F.lit(400))
+    within = F.coalesce(*(F.when(F.col("_bare").contains(f), css) for f, css in FAMILIES.items()))
+    default = F.when(F.col("_bare").rlike("sim|song|hei|kai|fang"), "'SimSun', 'Songti SC', serif").otherwise("Arial, Helvetica, sans-serif")
+    out = names.withColumn("_low", low).withColumn("_bare", F.trim(F.regexp_replace(bare, "[-_]", "")))
+    out = out.withColumn("weight", weight).withColumn("italic", F.col("_low").rlike("italic|oblique")).withColumn("family", F.coalesce(F.try_element_at(known, "_bare"), within, default))
+    return out.drop("_low", "_bare")
 
 
 def style_dictionary(rows: DataFrame, fields: tuple[str, ...], seq: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct styles numbered by first appearance, and rows that refer to them."""
-    styles = rows.groupBy(*fields).agg(F.min(seq).alias("first"))
-    styles = styles.withColumn("style", F.row_number().over(W.orderBy("first")) - 1)
+    """Distinct styles numbered by first appearance, and rows that refer to them.
+
+    Numbers are counted within ranges of the first appearance, with the sizes of the ranges before added, so no task sees all styles.
+    """
+    styles = rows.groupBy(*fields).agg(F.min(seq).alias("first")).repartitionByRange("first")
+    styles = written(styles.withColumn("_part", F.spark_partition_id()), "styles")
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = styles.groupBy("_part").agg(F.count("*").alias("n"), F.min("first").alias("low")).select("_part", before.alias("_base"))  # a row per range
+    within = F.row_number().over(W.partitionBy("_part").orderBy("first"))
+    styles = styles.join(F.broadcast(base), "_part").withColumn("style", F.col("_base") + within - 1).select(*fields, "first", "style")
     pairs = [rows[f].eqNullSafe(styles[f]) for f in fields]
-    joined = rows.join(F.broadcast(styles.limit(10_000)), pairs).select(rows["*"], "style")
-    return styles, joined
+    return styles, rows.join(styles, pairs).select(rows["*"], "style")
 
 
 def coverage_gaps(spans: DataFrame, by: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -280,12 +299,34 @@ def coverage_gaps(spans: DataFrame, by: str, start: str = "start", end: str = "e
     return spans.withColumn("cursor", F.coalesce(before, F.lit(0))).withColumn("gap", F.col(start) - F.col("cursor")).filter("gap <> 0")
 
 
-def range_integrity(spans: DataFrame, by: str) -> DataFrame:
-    """The first violation of each group's spans: negative, start after end, or overlap with the span before."""
-    end = F.lag("end").over(W.partitionBy(by).orderBy("n"))
-    why = F.when(F.col("start") < 0, "negative").when(F.col("start") > F.col("end"), "start-after-end").when(F.col("start") < end, "overlap")
-    bad = spans.withColumn("reason", why).filter("reason is not null")
-    return bad.groupBy(by).agg(F.min(F.struct("n", "reason")).alias("v")).select(by, "v.n", "v.reason")
+def coverage_summary(spans: DataFrame, by: str, height: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Per group: whether its spans follow each other without gap or overlap, how far they reach, and their total height."""
+    before = F.max(end).over(W.partitionBy(by).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1))
+    off = spans.withColumn("_off", F.col(start) != F.coalesce(before, F.lit(0)))
+    return off.groupBy(by).agg((~F.bool_or("_off")).alias("contiguous"), F.max(end).alias("covered"), F.round(F.sum(height), 2).alias("height"), F.count("*").alias("lines"))
+
+
+def range_integrity(paragraphs: DataFrame, spans: DataFrame, separators: DataFrame, by: str) -> DataFrame:
+    """(by, reason) of the first violation of each paragraph, in the order of the checks.
+
+    `paragraphs` has (by, length), `spans` (by, n, id, start, end) and `separators` (by, n, start, end). A bad length, then no
+    spans; per span in order a repeated id, a negative or missing offset, start after end, an end beyond the paragraph,
+    overlap with the span before; then per separator the same, and overlap with any span.
+    """
+    start, end, size = F.col("start"), F.col("end"), F.col("length")
+    whole = paragraphs.select(by, F.when(size.isNull() | (size < 0), "paragraph-length-mismatch").alias("why")).filter("why is not null")
+    whole = whole.union(paragraphs.join(spans, by, "left_anti").filter(size >= 0).select(by, F.lit("empty-segments")))
+    negative = start.isNull() | end.isNull() | (start < 0) | (end < 0)
+    again = F.row_number().over(W.partitionBy(by, "id").orderBy("n")) > 1
+    before = F.lag("end").over(W.partitionBy(by).orderBy("n"))
+    why = F.when(again, "duplicate-segment-id").when(negative, "negative-offset").when(start > end, "start-gt-end").when(end > size, "out-of-paragraph").when(start < before, "overlap")
+    bad = spans.join(paragraphs, by).select(by, F.lit(1).alias("part"), "n", why.alias("why"))
+    s = spans.select(by, F.col("start").alias("s0"), F.col("end").alias("s1"))
+    hit = separators.join(s, by).filter((start < F.col("s1")) & (F.col("s0") < end)).select(by, "n").distinct().withColumn("hit", F.lit(True))
+    wrong = F.when(start.isNull() | end.isNull(), "negative-offset").when((start < 0) | (end < start), "separator-overlap").when(end > size, "out-of-paragraph").when(F.col("hit"), "separator-overlap")
+    parted = separators.join(paragraphs, by).join(hit, [by, "n"], "left").select(by, F.lit(2).alias("part"), "n", wrong.alias("why"))
+    every = whole.select(by, F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), "why").union(bad).union(parted).filter("why is not null")
+    return every.groupBy(by).agg(F.min_by("why", F.struct("part", "n")).alias("reason"))
 
 
 def residual_band(before: DataFrame, after: DataFrame, band: float = 0.6) -> DataFrame:

@@ -81,32 +81,63 @@ def change_range(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("prefix", prefix).withColumn("suffix", suffix).withColumn("kind", kind)
 
 
-def observation_diff(original: DataFrame, export: DataFrame, keys: tuple[str, ...] = ("doc", "page")) -> DataFrame:
-    """Per page the kinds of difference: missing or extra page, text, count of boxes."""
-    gather = lambda d: d.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("boxes"))
-    p = _pairs(gather(original), gather(export), keys)
-    kinds = F.array_compact(F.array(F.when(F.col("in_e").isNull(), "missing-page"), F.when(F.col("in_o").isNull(), "extra-page"), F.when(F.col("o_text") != F.col("e_text"), "text"), F.when(F.col("o_boxes") != F.col("e_boxes"), "bbox-count")))
-    return p.select(*keys, F.explode(kinds).alias("kind"))
+def _words(c: Column | str) -> Column:
+    return F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0))
+
+
+def observation_diff(original: DataFrame, export: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
+    """(doc, page, kind) of differences: the number of pages (page null); on pages of both the words, their number unless one text goes on where the other ends, the first word, the number of boxes."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
+    gather = lambda d: d.groupBy(doc, page).agg(text.alias("text"), F.count("*").alias("boxes"))
+    p = _pairs(gather(original), gather(export), (doc, page))
+    counted = p.groupBy(doc).agg(F.count("in_o").alias("o"), F.count("in_e").alias("e")).filter("o <> e")
+    both = p.filter("in_o and in_e").select(doc, page, "o_boxes", "e_boxes", *(F.array_join(_words(f"{s}_text"), " ").alias(s) for s in "oe"))
+    o, e = F.col("o"), F.col("e")
+    kinds = F.array(
+        F.when(o != e, "text-mismatch"), F.when((o != e) & ~o.startswith(e) & ~e.startswith(o), "word-count-mismatch"),
+        F.when(F.substring_index(o, " ", 1) != F.substring_index(e, " ", 1), "first-word-mismatch"), F.when(F.col("o_boxes") != F.col("e_boxes"), "bbox-count-mismatch"),
+    )
+    rows = both.select(doc, page, F.explode(F.array_compact(kinds)).alias("kind"))
+    return rows.union(counted.select(doc, F.lit(None).cast(original.schema[page].dataType).alias(page), F.lit("page-count").alias("kind")))
 
 
 def word_trace(original: DataFrame, export: DataFrame) -> DataFrame:
-    """Words that differ at the same place of an item."""
-    words = lambda d: d.select("doc", "page", "seq", F.posexplode(F.split("text", " ")).alias("at", "word"))
-    p = _pairs(words(original), words(export), ("doc", "page", "seq", "at"))
-    return p.filter(~F.col("o_word").eqNullSafe(F.col("e_word"))).select("doc", "page", "seq", "at", F.col("o_word").alias("expected"), F.col("e_word").alias("actual"))
+    """(doc, page, at, expected, actual, expected_loc, actual_loc): words of a page that differ at the same place, and their places within their items.
+
+    Pages that only one side has are left out; beyond a side's last word its word is empty.
+    """
+
+    def words(d: DataFrame) -> DataFrame:
+        each = d.select("doc", "page", "seq", F.posexplode(_words("text")).alias("k", "word"))
+        n = F.row_number().over(W.partitionBy("doc", "page").orderBy("seq", "k"))
+        return each.select("doc", "page", (n - 1).alias("at"), "word", F.concat(F.col("seq").cast("string"), F.lit(".Word"), (F.col("k") + 1).cast("string")).alias("loc"))
+
+    pages = lambda d: d.select("doc", "page").distinct()
+    met = _pairs(words(original), words(export), ("doc", "page", "at")).join(pages(original), ["doc", "page"], "left_semi").join(pages(export), ["doc", "page"], "left_semi")
+    beyond = F.concat(F.lit("Word"), (F.col("at") + 1).cast("string"))
+    word, loc = (lambda s: F.coalesce(f"{s}_word", F.lit(""))), (lambda s: F.coalesce(f"{s}_loc", beyond))
+    return met.filter(word("o") != word("e")).select("doc", "page", "at", word("o").alias("expected"), word("e").alias("actual"), loc("o").alias("expected_loc"), loc("e").alias("actual_loc"))
 
 
 def contract_policy(rows: DataFrame, policies: DataFrame, default: str = "strict") -> DataFrame:
-    """Each row's policy by rule; policies are a short table."""
-    return rows.join(F.broadcast(policies.limit(1000)), "rule", "left").withColumn("policy", F.coalesce("policy", F.lit(default)))
+    """Each row's policy by rule."""
+    return rows.join(policies, "rule", "left").withColumn("policy", F.coalesce("policy", F.lit(default)))
 
 
 def geometry_diff(original: DataFrame, export: DataFrame, most: float = 0.01) -> DataFrame:
+    """Per document, over records at the same place: box error as a share of the width, mean rotation error where either has one, and gaps in the counts of all records, masks and patches."""
     p = _pairs(original, export, ("doc", "page", "seq"))
-    error = (F.abs(F.col("o_x") - F.col("e_x")) + F.abs(F.col("o_y") - F.col("e_y"))) / F.greatest("o_x", F.lit(1))
-    out = p.groupBy("doc").agg(F.count("in_o").alias("o"), F.count("in_e").alias("e"), F.sum(F.coalesce(error, F.lit(0.0))).alias("sum"))
-    out = out.withColumn("error", F.round(F.col("sum") / F.greatest("o", "e"), 9))
-    return out.select("doc", "error", ((F.col("o") == F.col("e")) & (F.col("error") < most)).alias("passed"))
+    both, d = F.col("in_o") & F.col("in_e"), lambda c: F.abs(F.col(f"o_{c}") - F.col(f"e_{c}"))
+    error = (d("x") + d("y") + d("w") + d("h")) / F.greatest("o_w", "e_w", F.lit(1.0))
+    turned = both & (F.col("o_rotation").isNotNull() | F.col("e_rotation").isNotNull())
+    turn = F.abs(F.coalesce("o_rotation", F.lit(0.0)) - F.coalesce("e_rotation", F.lit(0.0)))
+    gap = lambda kind: F.abs(F.count_if(F.col("o_kind") == kind) - F.count_if(F.col("e_kind") == kind))
+    out = p.groupBy("doc").agg(
+        F.count("in_o").alias("o"), F.count("in_e").alias("e"), F.sum(F.when(both, error).otherwise(0.0)).alias("sum"),
+        F.round(F.coalesce(F.avg(F.when(turned, turn)), F.lit(0.0)), 9).alias("rotation"), gap("mask").alias("masks"), gap("patch").alias("patches"),
+    )
+    out = out.withColumn("error", F.round(F.col("sum") / F.greatest("o", "e"), 9)).withColumn("count_gap", F.abs(F.col("o") - F.col("e")))
+    return out.select("doc", "error", "rotation", "count_gap", "masks", "patches", ((F.col("count_gap") == 0) & (F.col("error") < most)).alias("passed"))
 
 
 def command_diff(original: DataFrame, export: DataFrame, fields: tuple[str, ...] = ("x", "y"), epsilon: float = 1e-6, most: int = 50) -> DataFrame:
@@ -117,21 +148,53 @@ def command_diff(original: DataFrame, export: DataFrame, fields: tuple[str, ...]
     return rows.withColumn("n", F.row_number().over(W.partitionBy("doc").orderBy("page", "seq", "field"))).filter(F.col("n") <= most).drop("n")
 
 
-def dual_run(original: DataFrame, export: DataFrame, most: float = 0.01) -> DataFrame:
-    """Per document the largest difference of two runs, and whether they agree."""
+def dual_run(original: DataFrame, export: DataFrame, most: float = 0.01, most_matrix: float = 1e-4) -> DataFrame:
+    """Per document the largest difference of two runs in rotation and in any matrix element (missing ones are 0), and whether they agree."""
     p = _pairs(original, export, ("doc", "page", "seq"))
-    out = p.groupBy("doc").agg(F.max(F.abs(F.col("o_x") - F.col("e_x"))).alias("largest"), F.count("in_o").alias("o"), F.count("in_e").alias("e"))
-    return out.select("doc", "largest", ((F.col("o") == F.col("e")) & (F.col("largest") <= most)).alias("agree"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    apart = F.array_max(F.zip_with("o_matrix", "e_matrix", lambda x, y: F.abs(zero(x) - zero(y))))
+    none = lambda c: F.coalesce(c, F.array().cast("array<double>"))
+    p = p.withColumn("o_matrix", none("o_matrix")).withColumn("e_matrix", none("e_matrix"))
+    out = p.groupBy("doc").agg(
+        F.max(F.abs(zero(F.col("o_rotation")) - zero(F.col("e_rotation")))).alias("rotation"), F.coalesce(F.max(apart), F.lit(0.0)).alias("matrix"),
+        (F.count("in_o") == F.count("in_e")).alias("same_count"),
+    )
+    agree = F.col("same_count") & (F.col("rotation") <= most) & (F.col("matrix") <= most_matrix)
+    return out.withColumn("agree", agree)
+
+
+def _changed(original: DataFrame, export: DataFrame) -> DataFrame:
+    """Original cells with their category: missing, text, moved or same."""
+    kind = F.when(F.col("in_e").isNull(), "missing").when(F.col("o_text") != F.col("e_text"), "text").when(F.col("o_x") != F.col("e_x"), "moved").otherwise("same")
+    return _pairs(original, export, ("doc", "page", "seq")).filter("in_o").withColumn("category", kind)
 
 
 def cell_compliance(original: DataFrame, export: DataFrame) -> DataFrame:
-    """Changed cells by category: how many, their share to one decimal, and their bounding box."""
-    p = _pairs(original, export, ("doc", "page", "seq"))
-    kind = F.when(F.col("in_e").isNull(), "missing").when(F.col("o_text") != F.col("e_text"), "text").when(F.col("o_x") != F.col("e_x"), "moved").otherwise("same")
-    out = p.groupBy(kind.alias("category")).agg(F.count("*").alias("n"), F.min("o_x").alias("left"), F.max("o_x").alias("right"), F.min("o_y").alias("top"), F.max("o_y").alias("bottom"))
+    """Cells by category: how many, their share to one decimal, and their bounding box."""
+    out = _changed(original, export).groupBy("category").agg(F.count("*").alias("n"), F.min("o_x").alias("left"), F.max("o_x").alias("right"), F.min("o_y").alias("top"), F.max("o_y").alias("bottom"))
     return out.withColumn("share", half_up(F.col("n") / F.sum("n").over(W.partitionBy()) * 100, 1))
 
 
+def pixel_compliance(original: DataFrame, export: DataFrame, by: str = "doc") -> DataFrame:
+    """Per document the changed cells, of these text and others, both shares to one decimal, and their bounding box; compliant if only text changed."""
+    c = _changed(original, export)
+    changed = F.col("category") != "same"
+    text, box = F.col("category") == "text", lambda f, v: f(F.when(changed, F.col(v)))
+    out = c.groupBy(by).agg(
+        F.count("*").alias("cells"), F.count_if(changed).alias("changed"), F.count_if(text).alias("changed_text"), F.count_if(changed & ~text).alias("changed_other"),
+        box(F.min, "o_x").alias("left"), box(F.max, "o_x").alias("right"), box(F.min, "o_y").alias("top"), box(F.max, "o_y").alias("bottom"),
+    )
+    share = lambda a, b: half_up(ratio(F.col(a), F.col(b)) * 1000) / 10
+    return out.withColumns({"other_ratio": share("changed_other", "changed"), "coverage": share("changed", "cells"), "compliant": F.col("changed_other") == 0})
+
+
+def compliance_violations(original: DataFrame, export: DataFrame, most: int = 10) -> DataFrame:
+    """(doc, n, page, seq, category) of the first `most` changes of each document that are not of text."""
+    bad = _changed(original, export).filter(F.col("category").isin("missing", "moved"))
+    n = F.row_number().over(W.partitionBy("doc").orderBy("page", "seq"))
+    return bad.withColumn("n", n).filter(F.col("n") <= most).select("doc", "n", "page", "seq", "category")
+
+
 def content_fingerprint(rows: DataFrame, by: str, order: str, fields: tuple[str, ...]) -> DataFrame:
     """Digest of a group's rows in order; equal digests mean equal content."""
     line = F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields))
@@ -189,36 +252,65 @@ def systematic(rows: DataFrame, by: str, value: str) -> DataFrame:
     return out.select(by, F.coalesce((F.col("mean") == 0) | (F.col("sd") < 0.5 * F.abs("mean")), F.lit(False)).alias("systematic"))
 
 
-# Thresholds of the failure dimensions, and severity, priority and fix per root cause.
-LIMITS = {"rotation": 1.0, "bbox": 0.01, "baseline": 2.0, "pixel": 1.0}
-ROOTS = {"rotation": (0.9, "P0"), "bbox": (0.7, "P1"), "baseline": (0.6, "P1"), "pixel": (0.4, "P2"), "glyphs": (0.8, "P0"), "data-missing": (0.1, "P2")}
+# Thresholds of the failure dimensions and the root cause of each.
+LIMITS = {"rotation": (1.0, "rotation-estimator"), "bbox": (0.01, "typography-estimator"), "coverage": (0.01, "coverage-estimator"), "baseline": (2.0, "baseline-estimator"), "pixel": (1.0, "pixel-noise")}
+# Severity, priority, target and action of each root cause.
+ROOTS = {
+    "rotation-estimator": (1.0, "P0", "RotationEstimator", "重新校准旋转估计（基线/方向置信度）"),
+    "typography-estimator": (0.9, "P0", "TypographyEstimator", "重新估计字体/字号/字形宽度（影响 bbox）"),
+    "coverage-estimator": (0.9, "P0", "CoverageEstimator", "调整 mask/padding/coverage 边界"),
+    "baseline-estimator": (0.8, "P1", "BaselineEstimator", "重新估计文本基线（y 偏移）"),
+    "glyph-lost": (1.0, "P0", "OCR/Layout", "修复 glyph 丢失（OCR 漏检 / 布局裁剪）"),
+    "glyph-extra": (0.7, "P1", "Layout", "清理多余 glyph（覆盖 / 重复）"),
+    "pixel-noise": (0.6, "P1", "PixelDiff/NoiseFilter", "检查噪点过滤 / mask / 字体加载导致的像素差异"),
+    "ocr-noise": (0.4, "P2", "OCR", "降低 OCR 噪点（扫描件预处理）"),
+    "data-missing": (0.1, "P2", "Dataset", "采集真实数据后重新 Benchmark（当前数据缺失）"),
+}
 
 
 def failure_dimensions(diffs: DataFrame) -> DataFrame:
-    """(doc, category, dimension, root) of every failed dimension; a document without data fails as data-missing."""
-    empty = F.col("rotation").isNull()
-    fails = [F.when(empty, F.lit("data-missing"))] + [F.when(~empty & (F.col(d) > x), F.lit(d)) for d, x in LIMITS.items()] + [F.when(~empty & (F.col("glyphs") != F.col("expected_glyphs")), F.lit("glyphs"))]
-    return diffs.select("doc", "category", F.explode(F.array_compact(F.array(*fails))).alias("root"))
+    """(doc, category, metric, root) of every failed dimension; a dimension without data fails as data-missing."""
+    fail = lambda metric, root: F.struct(F.lit(metric).alias("metric"), F.lit(root).alias("root"))
+    fails = [F.when(F.col(d).isNull(), fail(d, "data-missing")).when(F.col(d) > x, fail(d, root)) for d, (x, root) in LIMITS.items()]
+    glyphs, expected = F.col("glyphs"), F.col("expected_glyphs")
+    fails.append(F.when(glyphs.isNull() | expected.isNull(), fail("glyphs", "data-missing")).when(glyphs < expected, fail("glyphs", "glyph-lost")).when(glyphs > expected, fail("glyphs", "glyph-extra")))
+    return diffs.select("doc", "category", F.explode(F.array_compact(F.array(*fails))).alias("f")).select("doc", "category", "f.metric", "f.root")
 
 
-def root_cause_report(failures: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents per root cause (each once) and their percent of all documents."""
-    n = documents.agg(F.count("*").alias("all"))
-    return failures.select("doc", "root").distinct().groupBy("root").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).select("root", "n", (F.col("n") / F.col("all") * 100).alias("percent"))
+def actionable_documents(failures: DataFrame) -> DataFrame:
+    """(doc, failures, actionable): whether any failure is not for want of data."""
+    return failures.groupBy("doc").agg(F.count("*").alias("failures"), F.bool_or(F.col("root") != "data-missing").alias("actionable"))
+
+
+def failed_by_metric(failures: DataFrame) -> DataFrame:
+    """Failures per metric, counted per row."""
+    return failures.groupBy("metric").agg(F.count("*").alias("n"))
 
 
-def _root(name: str, at: int) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for r, v in ROOTS.items() for x in (r, v[at]))), F.col(name))
+def _root(at: int) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for r, v in ROOTS.items() for x in (r, v[at]))), F.col("root"))
+
+
+def root_cause_report(failures: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents per root cause (each once), their percent of all documents, and the fix: (root, n, percent, target, action)."""
+    n = documents.agg(F.count("*").alias("all"))
+    found = failures.select("doc", "root").distinct().groupBy("root").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n))
+    fix = lambda at: F.when(F.col("root") != "data-missing", _root(at)).otherwise("")
+    return found.select("root", "n", (F.col("n") / F.col("all") * 100).alias("percent"), fix(2).alias("target"), fix(3).alias("action"))
 
 
 def root_cause_priority(report: DataFrame) -> DataFrame:
-    impact = half_up(F.col("percent") * _root("root", 0), 2)
-    out = report.withColumn("impact", impact)
-    return out.withColumn("actionable", (F.col("root") != "data-missing") & (_root("root", 0) >= 0.5)).orderBy(F.desc("impact"), "root")
+    """Root causes by impact, percent times severity; `top` marks the first actionable one, `only_data_missing` holds if there is none. A row per root cause: a short table."""
+    out = report.withColumn("severity", _root(0)).withColumn("impact", half_up(F.col("percent") * F.col("severity"), 2))
+    out = out.withColumn("actionable", (F.col("root") != "data-missing") & (F.col("severity") >= 0.5))
+    first = F.row_number().over(W.orderBy(F.desc("actionable"), F.desc("impact"), F.desc("n"), "root"))
+    out = out.withColumn("top", F.col("actionable") & (first == 1)).withColumn("only_data_missing", ~F.bool_or("actionable").over(W.partitionBy()))
+    return out.orderBy(F.desc("impact"), F.desc("n"), "root")
 
 
 def fix_list(report: DataFrame) -> DataFrame:
-    return report.filter(F.col("root") != "data-missing").withColumn("priority", _root("root", 1)).orderBy("priority", "root")
+    """(root, priority, target, action), most urgent first; want of data has no fix."""
+    return report.filter(F.col("root") != "data-missing").select("root", _root(1).alias("priority"), _root(2).alias("target"), _root(3).alias("action")).orderBy("priority", "root")
 
 
 def shared_roots(failures: DataFrame) -> DataFrame:
@@ -236,8 +328,19 @@ def trend_fit(points: DataFrame, target: float = 99.0) -> DataFrame:
     return out.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"), steps.alias("steps"))
 
 
-def corpus_profile(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("category").agg(F.count("*").alias("n"), F.count_if("scanned").alias("scanned"), F.count_if(F.col("scanned").isNull()).alias("unknown"), F.count_distinct("font").alias("fonts"), F.floor(F.avg("size") + 0.5).alias("mean_size"))
+def corpus_profile(docs: DataFrame, flags: tuple[str, ...] = ("scanned", "digital")) -> DataFrame:
+    """Per category: documents, those with metadata, how many have each flag, mean resolution (dpi, else resolution; positive ones, rounded) and mean absolute rotation."""
+    dpi = F.coalesce("dpi", "resolution")
+    return docs.groupBy("category").agg(
+        F.count("*").alias("n"), F.count_if("with_metadata").alias("with_metadata"), *(F.count_if(F.coalesce(f, F.lit(False))).alias(f) for f in flags),
+        half_up(F.avg(F.when(dpi > 0, dpi))).cast("long").alias("mean_dpi"), half_up(F.coalesce(F.avg(F.abs("rotation")), F.lit(0.0)), 2).alias("mean_rotation"),
+    )
+
+
+def corpus_histograms(docs: DataFrame, columns: tuple[str, ...] = ("font", "engine")) -> DataFrame:
+    """(kind, name, n): documents per font and engine, where they have one."""
+    each = F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in columns))
+    return docs.select(F.explode(each).alias("v")).filter("v.name <> ''").groupBy("v.kind", "v.name").agg(F.count("*").alias("n"))
 
 
 def artifact_verdict(rows: DataFrame) -> DataFrame:
@@ -267,10 +370,15 @@ def replay_judge(r: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return r.withColumn("status", F.when(F.col("failed"), "ERROR").when(a.isNull(), "UNKNOWN").when(a > b, "REGRESSION").when(a <= tolerance, "PASS").otherwise("FAIL"))
 
 
-def replay_stats(judged: DataFrame, by: str | None = None) -> DataFrame:
-    """Rates per status over all rows, improvement, mean, and interpolated p50, p95, p99 of what came after."""
+def replay_stats(judged: DataFrame, by: str | None = None, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """Rates per status over all rows, improvement, mean, and p50, p95, p99 of what came after.
+
+    Exact percentiles are interpolated and gather a group's distinct values in one task; with `exact` off
+    they are approximate, by sketches that merge, and values that occur.
+    """
     rate = lambda s: (F.count_if(F.col("status") == s) / F.count("*")).alias(s.lower())
-    q = lambda x: F.round(F.percentile("after_delta", F.lit(x)), 6).alias(f"p{int(x * 100)}")
+    of = lambda x: F.percentile("after_delta", F.lit(x)) if exact else F.percentile_approx("after_delta", x, accuracy)
+    q = lambda x: F.round(of(x), 6).alias(f"p{int(x * 100)}")
     better = (F.count_if(F.col("after_delta") < F.col("before_delta")) / F.count("*")).alias("improved")
     rows = judged.groupBy(*([by] if by else []))
     return rows.agg(F.count("*").alias("n"), *map(rate, ("PASS", "FAIL", "REGRESSION", "UNKNOWN", "ERROR")), better, F.round(F.avg("after_delta"), 6).alias("mean"), q(0.5), q(0.95), q(0.99))
@@ -303,12 +411,20 @@ def evidence_index(rows: DataFrame, tag: str = "tag") -> DataFrame:
     return rows.groupBy(F.coalesce(tag, F.lit("unknown")).alias("tag")).agg(F.count("*").alias("n"), F.max("seq").alias("latest"))
 
 
-def evidence_validate(rows: DataFrame, index: DataFrame, key: str = "id") -> DataFrame:
-    """One row: rows, distinct ids, ids that the index lacks, ids only in the index, and the next sequence number."""
-    one = rows.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids"), (F.max("seq") + 1).alias("next_seq"))
-    lost = rows.select(key).distinct().join(index.select(key), key, "left_anti").agg(F.count("*").alias("unindexed"))
+def evidence_validate(rows: DataFrame, index: DataFrame, count: int, next_seq: int, key: str = "id", payload: str = "payload", schema: str = "k long") -> DataFrame:
+    """One row on stored evidence against its index (ids, their number, the next sequence number).
+
+    rows, ids, duplicates (ids stored more than once), corrupt (payloads that are no JSON of the schema), unindexed and
+    missing ids, whether the index's count is right and its next number follows the last, and whether all is well.
+    """
+    parsed = F.from_json(payload, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    marked = rows.select(key, "seq", (parsed["_corrupt"].isNotNull() | F.col(payload).isNull()).alias("corrupt"))
+    each = marked.groupBy(key).agg(F.count("*").alias("n"), F.max("seq").alias("seq"), F.count_if("corrupt").alias("corrupt"))
+    one = each.agg(F.sum("n").alias("rows"), F.count("*").alias("ids"), F.count_if(F.col("n") > 1).alias("duplicates"), F.coalesce(F.max("seq"), F.lit(0)).alias("last_seq"), F.sum("corrupt").alias("corrupt"))
+    lost = each.join(index.select(key), key, "left_anti").agg(F.count("*").alias("unindexed"))
     gone = index.select(key).distinct().join(rows.select(key), key, "left_anti").agg(F.count("*").alias("missing"))
-    return one.crossJoin(lost).crossJoin(gone)
+    out = one.crossJoin(lost).crossJoin(gone).withColumn("index_consistent", F.col("ids") == count).withColumn("continuous", F.col("last_seq") + 1 == next_seq)
+    return out.withColumn("healthy", F.col("index_consistent") & F.col("continuous") & (F.col("corrupt") == 0) & (F.col("duplicates") == 0)).drop("last_seq")
 
 
 def evidence_upsert(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
@@ -334,17 +450,21 @@ def daily_report(daily: DataFrame) -> DataFrame:
 
 
 def export_coverage(e: DataFrame) -> DataFrame:
-    """Totals per outcome, success and eligibility."""
-    core, fall = F.count_if(F.col("outcome") == "core"), F.count_if(F.col("outcome") == "legacy-fallback")
-    out = e.agg(core.alias("core"), fall.alias("fallback"), F.count("*").alias("total"))
+    """Totals per outcome, success and eligibility; of the fallbacks those in validation, and those for want of bounds."""
+    core, back = F.count_if(F.col("outcome") == "core"), F.col("outcome") == "legacy-fallback"
+    unbound = back & (F.col("stage") == "eligibility") & (F.col("reason") == "missing-original-bounds")
+    out = e.agg(
+        core.alias("core"), F.count_if(back).alias("fallback"), F.count("*").alias("total"), F.count_if(back & (F.col("stage") == "validation")).alias("validation_failures"), F.count_if(unbound).alias("missing_bounds")
+    )
     tried = F.col("core") + F.col("fallback")
     return out.withColumn("success", ratio(F.col("core"), tried)).withColumn("eligibility", ratio(tried, F.col("total")))
 
 
 def export_reasons(e: DataFrame) -> DataFrame:
-    """Fallbacks by reason and by stage, in one pass over grouping sets."""
-    f = e.filter(F.col("outcome") == "legacy-fallback")
-    return f.groupingSets([["reason"], ["stage"]], "reason", "stage").agg(F.count("*").alias("n"))
+    """(kind, name, n): fallbacks by reason, by stage, and those found ineligible by reason, in one pass."""
+    pair = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"))
+    each = F.array(pair("reason", "reason"), pair("stage", "stage"), F.when(F.col("stage") == "eligibility", pair("ineligible", "reason")))
+    return e.filter(F.col("outcome") == "legacy-fallback").select(F.explode(F.array_compact(each)).alias("v")).filter("v.name is not null").groupBy("v.kind", "v.name").agg(F.count("*").alias("n"))
 
 
 def document_state(rows: DataFrame, by: str, edited: Column) -> DataFrame:
@@ -357,8 +477,11 @@ def page_health(rows: DataFrame, by: str) -> DataFrame:
 
 
 def monitor_totals(e: DataFrame) -> DataFrame:
-    """Per outcome: rows, the last reason and its time; ties by event id."""
-    return e.groupBy("outcome").agg(F.count("*").alias("n"), F.max_by("reason", F.struct("ts", "event_id")).alias("last_reason"), F.max("ts").alias("last_ts"))
+    """Per outcome: rows, how many of each reason (a map), the last reason and its time; ties by event id."""
+    last = F.struct("ts", "event_id", "reason")
+    each = e.groupBy("outcome", "reason").agg(F.count("*").alias("n"), F.max(last).alias("last"))
+    named = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))))
+    return each.groupBy("outcome").agg(F.sum("n").alias("n"), named.alias("reasons"), F.max("last").alias("l")).select("outcome", "n", "reasons", F.col("l.reason").alias("last_reason"), F.col("l.ts").alias("last_ts"))
 
 
 def workspace_events(e: DataFrame) -> DataFrame:

@@ -72,13 +72,27 @@ _CAND = "SELECT page, block, (block * 7 % 11)::DOUBLE AS angle, (block % 5) / 10
 query("candidate_agreement", lambda v: h.candidate_agreement(v.sql(_CAND.replace("(block * 7 % 11)::DOUBLE", "cast(block * 7 % 11 AS DOUBLE)"))), f"SELECT page, agreement, CASE WHEN c + 0.6e0 * agreement >= 0.5 THEN a END AS angle FROM (SELECT page, floor(exp(-(max(angle) - min(angle)) / 20) * 100 + 0.5) / 100 AS agreement, max(confidence) AS c, arg_max(angle, (confidence, angle)) AS a FROM ({_CAND}) x GROUP BY page) t")
 query("multi_column_lines", lambda v: h.multi_column_lines(v.text_items).select("page", "row", "gap", "multi"), "SELECT page, row, max(gap) AS gap, coalesce(max(gap) > 15, false) AS multi FROM (SELECT page, row, x - (lag(x) OVER (PARTITION BY page, row ORDER BY x) + 20) AS gap FROM {text_items} i) t GROUP BY page, row")
 query("reading_order", lambda v: h.reading_order(v.text_items).select("page", "row", "col", F.col("flow").cast("long").alias("flow")), "SELECT page, row, col, (row - 1) * 4 + col + 1 AS flow FROM {text_items} i")
-_NAMES = "SELECT p_partkey, concat('ABCDEF+', p_name, CASE p_size % 4 WHEN 0 THEN ' Bold' WHEN 1 THEN ' Light Italic' WHEN 2 THEN ' Arial' ELSE '' END) AS name FROM {part} p"
-query("font_name_parse", lambda v: h.font_name_parse(v.sql(_NAMES)).select("p_partkey", "weight", "italic", "family"), "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 700 WHEN 1 THEN 300 ELSE 400 END AS weight, p_size % 4 = 1 AS italic, CASE WHEN p_size % 4 = 2 THEN 'arial' ELSE 'sans-serif' END AS family FROM {part} p")
+_NAMES = """SELECT p_partkey, concat(CASE WHEN p_size % 2 = 0 THEN 'ABCDEF+' ELSE '' END, CASE p_partkey % 7 WHEN 0 THEN 'TimesNewRoman' WHEN 1 THEN 'Arial' WHEN 2 THEN 'SimHei' WHEN 3 THEN 'MyGeorgiaPro' WHEN 4 THEN 'FangFoo' WHEN 5 THEN 'Unknown' ELSE 'Courier_New' END,
+    CASE p_size % 5 WHEN 0 THEN '-Bold' WHEN 1 THEN '-LightItalic' WHEN 2 THEN '-Black' WHEN 3 THEN '-Oblique' ELSE '' END) AS name FROM {part} p"""
+query("font_name_parse", lambda v: h.font_name_parse(v.sql(_NAMES)).select("p_partkey", "weight", "italic", "family"), """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 700 WHEN 1 THEN 300 WHEN 2 THEN 900 ELSE 400 END AS weight, p_size % 5 IN (1, 3) AS italic, CASE p_partkey % 7 WHEN 0 THEN '''Times New Roman'', Times, serif'
+    WHEN 1 THEN 'Arial, sans-serif' WHEN 2 THEN '''SimHei'', ''Heiti SC'', sans-serif' WHEN 3 THEN 'Georgia, serif' WHEN 4 THEN '''SimSun'', ''Songti SC'', serif' WHEN 5 THEN 'Arial, Helvetica, sans-serif' ELSE '''Courier New'', Courier, monospace' END AS family FROM {part} p""")
 query("style_dictionary", lambda v: h.style_dictionary(v.part, ("p_brand", "p_type"), "p_partkey")[1].select("p_partkey", F.col("style").cast("long").alias("style")), "SELECT p_partkey, style FROM {part} p JOIN (SELECT p_brand, p_type, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS style FROM {part} q GROUP BY ALL) s ON p.p_brand = s.p_brand AND p.p_type = s.p_type")
 _SPANS = "SELECT page, block AS n, CASE WHEN block % 7 = 0 THEN -1 ELSE block * 10 + block % 3 * 4 END AS start, block * 10 + 12 AS \"end\" FROM {text_blocks} b"
 query("coverage_gaps", lambda v: h.coverage_gaps(v.sql(_SPANS.replace('"', '`')), "page").select("page", "n", "gap"), f"""SELECT page, n, start - cursor AS gap FROM (SELECT *, coalesce(max("end") OVER (PARTITION BY page ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor FROM ({_SPANS}) s) t WHERE start <> cursor""")
-query("range_integrity", lambda v: h.range_integrity(v.sql(_SPANS.replace('"', '`')), "page"), f"""SELECT page, n, reason FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n) AS k FROM (SELECT page, n, CASE WHEN start < 0 THEN 'negative' WHEN start > "end" THEN 'start-after-end' WHEN start < lag("end") OVER (PARTITION BY page ORDER BY n) THEN 'overlap' END AS reason
-    FROM ({_SPANS}) s) r WHERE reason IS NOT NULL) t WHERE k = 1""")
+query("coverage_summary", lambda v: h.coverage_summary(v.sql(_SPANS.replace('"', '`')).filter("page % 3 < 2 OR n = 1").withColumn("start", F.expr("CASE WHEN page % 3 = 0 THEN 12 * (n - 1) ELSE start END")).withColumn("end", F.expr("CASE WHEN page % 3 = 0 THEN 12 * n ELSE `end` END")).withColumn("h", F.expr("n * 1.25e0")), "page", "h"),
+      f"""SELECT page, NOT bool_or(start <> cursor) AS contiguous, max("end") AS covered, round(sum(n * 1.25e0), 2) AS height, count(*) AS lines FROM (SELECT *, coalesce(max("end") OVER (PARTITION BY page ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor
+    FROM (SELECT page, n, CASE WHEN page % 3 = 0 THEN 12 * (n - 1) ELSE start END AS start, CASE WHEN page % 3 = 0 THEN 12 * n ELSE "end" END AS "end" FROM ({_SPANS}) s WHERE page % 3 < 2 OR n = 1) r) t GROUP BY page""")
+#: Each page but one in eight breaks one rule, by its number.
+_PARAS = "SELECT page, CASE WHEN page % 8 = 0 THEN -1 ELSE 10 * max(block) + CASE WHEN page % 8 = 5 THEN 4 ELSE 9 END END AS length FROM {text_blocks} b GROUP BY page"
+_OWNED = """SELECT page, block AS n, CASE WHEN page % 8 = 2 THEN 1 ELSE block END AS id, CASE WHEN page % 8 = 3 THEN -5 WHEN page % 8 = 4 THEN 10 * block + 9 WHEN page % 8 = 6 THEN 10 * block - 3 ELSE 10 * block END AS start, 10 * block + 8 AS "end" FROM {text_blocks} b WHERE page % 8 <> 1"""
+_PARTED = """SELECT page, block AS n, 10 * block + CASE WHEN page % 8 = 7 AND page % 3 = 0 THEN 7 ELSE 8 END AS start, 10 * block + CASE WHEN page % 24 = 23 THEN 7 ELSE 9 END AS "end" FROM {text_blocks} b"""
+_tick = lambda t: t.replace('"', "`")
+query("range_integrity", lambda v: h.range_integrity(v.sql(_PARAS), v.sql(_tick(_OWNED)), v.sql(_tick(_PARTED)), "page"), f"""SELECT page, reason FROM (SELECT page, reason, row_number() OVER (PARTITION BY page ORDER BY part, n) AS k FROM (
+    SELECT page, 0 AS part, 0 AS n, CASE WHEN length < 0 THEN 'paragraph-length-mismatch' WHEN NOT EXISTS (SELECT 1 FROM ({_OWNED}) s WHERE s.page = p.page) THEN 'empty-segments' END AS reason FROM ({_PARAS}) p
+    UNION ALL SELECT s.page, 1, n, CASE WHEN row_number() OVER (PARTITION BY s.page, id ORDER BY n) > 1 THEN 'duplicate-segment-id' WHEN start < 0 OR "end" < 0 THEN 'negative-offset' WHEN start > "end" THEN 'start-gt-end' WHEN "end" > length THEN 'out-of-paragraph'
+    WHEN start < lag("end") OVER (PARTITION BY s.page ORDER BY n) THEN 'overlap' END FROM ({_OWNED}) s JOIN ({_PARAS}) p ON s.page = p.page
+    UNION ALL SELECT d.page, 2, n, CASE WHEN start < 0 OR "end" < start THEN 'separator-overlap' WHEN "end" > length THEN 'out-of-paragraph' WHEN EXISTS (SELECT 1 FROM ({_OWNED}) s WHERE s.page = d.page AND d.start < s."end" AND s.start < d."end") THEN 'separator-overlap' END
+    FROM ({_PARTED}) d JOIN ({_PARAS}) p ON d.page = p.page) r WHERE reason IS NOT NULL) t WHERE k = 1""")
 _ONE = "SELECT doc, page * 3 + seq AS line, y FROM {fidelity_original} o"
 _TWO = "SELECT doc, y + (page % 3) * 0.4e0 AS y, text FROM {fidelity_export} e"
 query("residual_band", lambda v: h.residual_band(v.sql(_ONE), v.sql(_TWO)), f"SELECT a.doc, line, sum(length(text))::BIGINT AS residual FROM ({_ONE}) a JOIN ({_TWO}) b ON a.doc = b.doc AND abs(a.y - b.y) <= 0.6e0 GROUP BY a.doc, line")

@@ -25,21 +25,42 @@ query("text_diff_note", lambda v: q.text_diff_note(v.text_pairs).select("conv_id
 query("change_range", lambda v: q.change_range(v.text_pairs).select("conv_id", "turn", "prefix", "kind"), "SELECT conv_id, turn, length(expected)::INT AS prefix, 'insert' AS kind FROM {text_pairs} t")
 _PAGE = "(SELECT doc, page, string_agg(text, ' ' ORDER BY seq) AS text, count(*) AS boxes FROM {{{0}}} x GROUP BY doc, page)"
 _O, _E = _PAGE.format("fidelity_original"), _PAGE.format("fidelity_export")
-query("observation_diff", lambda v: q.observation_diff(v.fidelity_original, v.fidelity_export), f"""SELECT doc, page, unnest(list_filter([CASE WHEN e_boxes IS NULL THEN 'missing-page' END, CASE WHEN o_boxes IS NULL THEN 'extra-page' END, CASE WHEN o_text <> e_text THEN 'text' END,
-    CASE WHEN o_boxes <> e_boxes THEN 'bbox-count' END], lambda k: k IS NOT NULL)) AS kind FROM (SELECT coalesce(o.doc, e.doc) AS doc, coalesce(o.page, e.page) AS page, o.text AS o_text, e.text AS e_text, o.boxes AS o_boxes, e.boxes AS e_boxes
-    FROM {_O} o FULL JOIN {_E} e ON o.doc = e.doc AND o.page = e.page) p""")
-_WORDS = "(SELECT doc, page, seq, (u.i - 1)::INT AS at_, w[u.i] AS word FROM (SELECT doc, page, seq, string_split(text, ' ') AS w FROM {{{0}}} x) t, unnest(range(1, len(w) + 1)) u(i))"
-query("word_trace", lambda v: q.word_trace(v.fidelity_original, v.fidelity_export).withColumnRenamed("at", "place"), f"""SELECT coalesce(o.doc, e.doc) AS doc, coalesce(o.page, e.page) AS page, coalesce(o.seq, e.seq) AS seq, coalesce(o.at_, e.at_) AS place, o.word AS expected, e.word AS actual
-    FROM {_WORDS.format("fidelity_original")} o FULL JOIN {_WORDS.format("fidelity_export")} e ON o.doc = e.doc AND o.page = e.page AND o.seq = e.seq AND o.at_ = e.at_ WHERE o.word IS DISTINCT FROM e.word""")
+_WORDED = lambda c: f"array_to_string(regexp_extract_all({c}, '[A-Za-z0-9]+'), ' ')"
+query("observation_diff", lambda v: q.observation_diff(v.fidelity_original, v.fidelity_export), f"""WITH p AS (SELECT coalesce(o.doc, e.doc) AS doc, coalesce(o.page, e.page) AS page, {_WORDED("o.text")} AS a, {_WORDED("e.text")} AS b, o.boxes AS x, e.boxes AS y
+    FROM {_O} o FULL JOIN {_E} e ON o.doc = e.doc AND o.page = e.page)
+    SELECT doc, page, unnest(list_filter([CASE WHEN a <> b THEN 'text-mismatch' END, CASE WHEN a <> b AND NOT starts_with(a, b) AND NOT starts_with(b, a) THEN 'word-count-mismatch' END,
+    CASE WHEN string_split(a, ' ')[1] <> string_split(b, ' ')[1] THEN 'first-word-mismatch' END, CASE WHEN x <> y THEN 'bbox-count-mismatch' END], lambda k: k IS NOT NULL)) AS kind FROM p WHERE x IS NOT NULL AND y IS NOT NULL
+    UNION ALL SELECT doc, NULL, 'page-count' FROM p GROUP BY doc HAVING count(x) <> count(y)""")
+_TOLD = """(SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY seq, k) - 1 AS n, word, concat(seq, '.Word', k) AS loc FROM (SELECT doc, page, seq, u.i AS k, w[u.i] AS word FROM (SELECT doc, page, seq, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM {{{0}}} x) t, unnest(range(1, len(w) + 1)) u(i)) q)"""
+_OF = "(SELECT DISTINCT doc, page FROM {{{0}}} x)"
+query("word_trace", lambda v: q.word_trace(v.fidelity_original, v.fidelity_export).withColumnRenamed("at", "place"), f"""SELECT doc, page, place::INT AS place, expected, actual, coalesce(l1, 'Word' || (place + 1)) AS expected_loc, coalesce(l2, 'Word' || (place + 1)) AS actual_loc FROM (
+    SELECT coalesce(o.doc, e.doc) AS doc, coalesce(o.page, e.page) AS page, coalesce(o.n, e.n) AS place, coalesce(o.word, '') AS expected, coalesce(e.word, '') AS actual, o.loc AS l1, e.loc AS l2
+    FROM {_TOLD.format("fidelity_original")} o FULL JOIN {_TOLD.format("fidelity_export")} e ON o.doc = e.doc AND o.page = e.page AND o.n = e.n) t
+    JOIN {_OF.format("fidelity_original")} a USING (doc, page) JOIN {_OF.format("fidelity_export")} b USING (doc, page) WHERE expected <> actual""")
 _RULED = "SELECT event_id, event_type AS rule FROM {events} e"
 _POLICY = "SELECT 'view' AS rule, 'lenient' AS policy UNION ALL SELECT 'click' AS rule, 'warn' AS policy"
 query("contract_policy", lambda v: q.contract_policy(v.sql(_RULED), v.sql(_POLICY)).select("event_id", "policy"), f"SELECT event_id, CASE rule WHEN 'view' THEN 'lenient' WHEN 'click' THEN 'warn' ELSE 'strict' END AS policy FROM ({_RULED}) r")
 _MET = "{fidelity_original} o FULL JOIN {fidelity_export} e ON o.doc = e.doc AND o.page = e.page AND o.seq = e.seq"
-query("geometry_diff", lambda v: q.geometry_diff(v.fidelity_original, v.fidelity_export), f"""SELECT doc, error, o = e AND error < 0.01 AS passed FROM (SELECT coalesce(o.doc, e.doc) AS doc, round(sum(coalesce((abs(o.x - e.x) + abs(o.y - e.y)) / greatest(o.x, 1), 0)) / greatest(count(o.doc), count(e.doc)), 9) AS error,
-    count(o.doc) AS o, count(e.doc) AS e FROM {_MET} GROUP BY 1) t""")
+_SHAPED = "SELECT *, 20e0 + seq * 5 + {1} AS w, 12e0 AS h, CASE WHEN page % 2 = 0 THEN seq * 0.1e0 + {1} END AS rotation, CASE seq WHEN 0 THEN 'mask' WHEN 1 THEN 'patch' ELSE 'text' END AS kind FROM {{{0}}} s"
+_SHAPES = [_SHAPED.format("fidelity_original", "0"), _SHAPED.format("fidelity_export", "CASE WHEN doc % 3 = 0 THEN 1 ELSE 0 END")]
+query("geometry_diff", lambda v: q.geometry_diff(*map(v.sql, _SHAPES)), f"""SELECT doc, error, rotation, count_gap, masks, patches, count_gap = 0 AND error < 0.01 AS passed FROM (SELECT coalesce(o.doc, e.doc) AS doc,
+    round(sum(CASE WHEN o.doc IS NULL OR e.doc IS NULL THEN 0 ELSE (abs(o.x - e.x) + abs(o.y - e.y) + abs(o.w - e.w) + abs(o.h - e.h)) / greatest(o.w, e.w, 1) END) / greatest(count(o.doc), count(e.doc)), 9) AS error,
+    round(coalesce(avg(CASE WHEN o.doc IS NOT NULL AND e.doc IS NOT NULL AND (o.rotation IS NOT NULL OR e.rotation IS NOT NULL) THEN abs(coalesce(o.rotation, 0) - coalesce(e.rotation, 0)) END), 0), 9) AS rotation, abs(count(o.doc) - count(e.doc)) AS count_gap,
+    abs(count(*) FILTER (WHERE o.kind = 'mask') - count(*) FILTER (WHERE e.kind = 'mask')) AS masks, abs(count(*) FILTER (WHERE o.kind = 'patch') - count(*) FILTER (WHERE e.kind = 'patch')) AS patches
+    FROM ({_SHAPES[0]}) o FULL JOIN ({_SHAPES[1]}) e ON o.doc = e.doc AND o.page = e.page AND o.seq = e.seq GROUP BY 1) t""")
 query("command_diff", lambda v: q.command_diff(v.fidelity_original, v.fidelity_export), f"""SELECT doc, page, seq, field, before, after FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, seq, field) AS n FROM (
     SELECT o.doc, o.page, o.seq, 'x' AS field, o.x AS before, e.x AS after FROM {_MET.replace('FULL', '')} WHERE abs(o.x - e.x) > 1e-6 UNION ALL SELECT o.doc, o.page, o.seq, 'y', o.y, e.y FROM {_MET.replace('FULL', '')} WHERE abs(o.y - e.y) > 1e-6) u) t WHERE n <= 50""")
-query("dual_run", lambda v: q.dual_run(v.fidelity_original, v.fidelity_export), f"SELECT doc, largest, o = e AND largest <= 0.01 AS agree FROM (SELECT coalesce(o.doc, e.doc) AS doc, max(abs(o.x - e.x)) AS largest, count(o.doc) AS o, count(e.doc) AS e FROM {_MET} GROUP BY 1) t")
+_TURNED = "SELECT doc, page, seq, CASE WHEN seq > 0 THEN seq * 0.5e0 + {1} END AS rotation, CASE WHEN doc % 4 > 0 THEN array(1e0, 0e0, x * {2}) END AS matrix FROM {{{0}}} s"
+_RUNS = [_TURNED.format("fidelity_original", "0", "1"), _TURNED.format("fidelity_export", "CASE WHEN doc % 5 = 0 THEN 0.1e0 ELSE 0 END", "CASE WHEN doc % 7 = 0 THEN 1.5e0 ELSE 1e0 END")]
+_RUNS_SQL = [r.replace("array(1e0, 0e0, x *", "list_value(1e0, 0e0, x *") for r in _RUNS]
+query("dual_run", lambda v: q.dual_run(*map(v.sql, _RUNS)), f"""SELECT doc, rotation, matrix, same_count, same_count AND rotation <= 0.01 AND matrix <= 1e-4 AS agree FROM (SELECT coalesce(o.doc, e.doc) AS doc, max(abs(coalesce(o.rotation, 0) - coalesce(e.rotation, 0))) AS rotation,
+    coalesce(max(greatest(abs(coalesce(o.matrix[1], 0) - coalesce(e.matrix[1], 0)), abs(coalesce(o.matrix[2], 0) - coalesce(e.matrix[2], 0)), abs(coalesce(o.matrix[3], 0) - coalesce(e.matrix[3], 0)))), 0) AS matrix, count(o.doc) = count(e.doc) AS same_count
+    FROM ({_RUNS_SQL[0]}) o FULL JOIN ({_RUNS_SQL[1]}) e ON o.doc = e.doc AND o.page = e.page AND o.seq = e.seq GROUP BY 1) t""")
+_CHANGED = f"(SELECT o.*, CASE WHEN e.doc IS NULL THEN 'missing' WHEN o.text <> e.text THEN 'text' WHEN o.x <> e.x THEN 'moved' ELSE 'same' END AS category FROM {_MET.replace('FULL', 'LEFT')})"
+query("pixel_compliance", lambda v: q.pixel_compliance(v.fidelity_original, v.fidelity_export), f"""SELECT *, CASE WHEN changed > 0 THEN floor(changed_other / changed::DOUBLE * 1000 + 0.5) / 10 ELSE 0 END AS other_ratio, floor(changed / cells::DOUBLE * 1000 + 0.5) / 10 AS coverage, changed_other = 0 AS compliant FROM (SELECT doc, count(*) AS cells,
+    count(*) FILTER (WHERE category <> 'same') AS changed, count(*) FILTER (WHERE category = 'text') AS changed_text, count(*) FILTER (WHERE category IN ('missing', 'moved')) AS changed_other, min(x) FILTER (WHERE category <> 'same') AS "left",
+    max(x) FILTER (WHERE category <> 'same') AS "right", min(y) FILTER (WHERE category <> 'same') AS top, max(y) FILTER (WHERE category <> 'same') AS bottom FROM {_CHANGED} c GROUP BY doc) t""")
+query("compliance_violations", lambda v: q.compliance_violations(v.fidelity_original, v.fidelity_export, most=2), f"SELECT doc, n, page, seq, category FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, seq) AS n FROM {_CHANGED} c WHERE category IN ('missing', 'moved')) t WHERE n <= 2")
 query("cell_compliance", lambda v: q.cell_compliance(v.fidelity_original, v.fidelity_export), f"""SELECT category, n, "left", "right", top, bottom, floor(n / sum(n) OVER () * 100 * 10 + 0.5) / 10 AS share FROM (SELECT CASE WHEN e.doc IS NULL THEN 'missing' WHEN o.text <> e.text THEN 'text' WHEN o.x <> e.x THEN 'moved' ELSE 'same' END AS category,
     count(*) AS n, min(o.x) AS "left", max(o.x) AS "right", min(o.y) AS top, max(o.y) AS bottom FROM {_MET} GROUP BY 1) t""")
 query("content_fingerprint", lambda v: q.content_fingerprint(v.order_lines, "l_orderkey", "row", ("l_partkey", "l_suppkey", "l_returnflag")), "SELECT l_orderkey, md5(string_agg(concat_ws('|', l_partkey, l_suppkey, l_returnflag), chr(10) ORDER BY row)) AS digest FROM {order_lines} l GROUP BY l_orderkey")
@@ -57,19 +78,30 @@ query("dom_benchmark", lambda v: q.dom_benchmark(v.order_lines, "l_orderkey", "l
 query("failure_scope", lambda v: q.failure_scope(v.order_lines, "l_orderkey", F.col("l_returnflag") == "R"), """SELECT *, CASE WHEN total = 0 THEN 'no-data' WHEN errors = 0 THEN 'none' WHEN errors / total::DOUBLE < 0.05 THEN 'single-glyph' WHEN errors / total::DOUBLE < 0.15 THEN 'line' WHEN errors / total::DOUBLE < 0.6 THEN 'paragraph' ELSE 'whole-page' END AS scope
     FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS errors, count(*) AS total FROM {order_lines} l GROUP BY l_orderkey) t""")
 query("systematic", lambda v: q.systematic(v.order_lines, "l_orderkey", "l_quantity"), "SELECT l_orderkey, avg(l_quantity) = 0 OR stddev_pop(l_quantity) < 0.5 * abs(avg(l_quantity)) AS systematic FROM {order_lines} l GROUP BY l_orderkey")
-_FAILS = "(SELECT doc, category, 'data-missing' AS root FROM {glyph_diffs} a WHERE rotation IS NULL" + "".join(f" UNION ALL SELECT doc, category, '{k}' FROM {{glyph_diffs}} a WHERE {k} > {x}" for k, x in q.LIMITS.items()) + " UNION ALL SELECT doc, category, 'glyphs' FROM {glyph_diffs} a WHERE rotation IS NOT NULL AND glyphs <> expected_glyphs)"
-query("failure_dimensions", lambda v: q.failure_dimensions(v.glyph_diffs), f"SELECT * FROM {_FAILS} f")
-_report = lambda v: q.root_cause_report(q.failure_dimensions(v.glyph_diffs), v.glyph_diffs)
-_REPORT = f"(SELECT root, count(*) AS n, count(*) / (SELECT count(*) FROM {{glyph_diffs}} g)::DOUBLE * 100 AS percent FROM (SELECT DISTINCT doc, root FROM {_FAILS} f) d GROUP BY root)"
-query("root_cause_report", _report, f"SELECT * FROM {_REPORT} r")
-_SEVERE = "CASE root " + " ".join(f"WHEN '{r}' THEN {s}e0" for r, (s, _) in q.ROOTS.items()) + " END"
-query("root_cause_priority", lambda v: q.root_cause_priority(_report(v)), f"SELECT *, floor(percent * {_SEVERE} * 100 + 0.5) / 100 AS impact, root <> 'data-missing' AND {_SEVERE} >= 0.5 AS actionable FROM {_REPORT} r")
-query("fix_list", lambda v: q.fix_list(_report(v)).select("root", "priority", "n"), "SELECT root, CASE root " + " ".join(f"WHEN '{r}' THEN '{p}'" for r, (_, p) in q.ROOTS.items()) + f" END AS priority, n FROM {_REPORT} r WHERE root <> 'data-missing'")
+_FAILS = "(" + " UNION ALL ".join(f"SELECT doc, category, '{m}' AS metric, CASE WHEN {m} IS NULL THEN 'data-missing' ELSE '{r}' END AS root FROM {{glyph_diffs}} g WHERE {m} IS NULL OR {m} > {x}" for m, x, r in (
+    ("rotation", 1, "rotation-estimator"), ("bbox", 0.01, "typography-estimator"), ("coverage", 0.01, "coverage-estimator"), ("baseline", 2, "baseline-estimator"), ("pixel", 1, "pixel-noise"))) + """
+    UNION ALL SELECT doc, category, 'glyphs', CASE WHEN glyphs < expected_glyphs THEN 'glyph-lost' ELSE 'glyph-extra' END FROM {glyph_diffs} g WHERE glyphs <> expected_glyphs)"""
+_failures = lambda v: q.failure_dimensions(v.glyph_diffs)
+query("failure_dimensions", _failures, f"SELECT * FROM {_FAILS} f")
+query("actionable_documents", lambda v: q.actionable_documents(_failures(v)), f"SELECT doc, count(*) AS failures, bool_or(root <> 'data-missing') AS actionable FROM {_FAILS} f GROUP BY doc")
+query("failed_by_metric", lambda v: q.failed_by_metric(_failures(v)), f"SELECT metric, count(*) AS n FROM {_FAILS} f GROUP BY metric")
+_report = lambda v: q.root_cause_report(_failures(v), v.glyph_diffs)
+_FIXES = """(SELECT unnest(['rotation-estimator', 'typography-estimator', 'coverage-estimator', 'baseline-estimator', 'glyph-lost', 'glyph-extra', 'pixel-noise', 'data-missing']) AS root, unnest([1.0, 0.9, 0.9, 0.8, 1.0, 0.7, 0.6, 0.1]::DOUBLE[]) AS severity,
+    unnest(['P0', 'P0', 'P0', 'P1', 'P0', 'P1', 'P1', 'P2']) AS priority, unnest(['RotationEstimator', 'TypographyEstimator', 'CoverageEstimator', 'BaselineEstimator', 'OCR/Layout', 'Layout', 'PixelDiff/NoiseFilter', '']) AS target,
+    unnest(['重新校准旋转估计（基线/方向置信度）', '重新估计字体/字号/字形宽度（影响 bbox）', '调整 mask/padding/coverage 边界', '重新估计文本基线（y 偏移）', '修复 glyph 丢失（OCR 漏检 / 布局裁剪）', '清理多余 glyph（覆盖 / 重复）', '检查噪点过滤 / mask / 字体加载导致的像素差异', '']) AS action)"""
+_REPORT = f"(SELECT root, n, percent, target, action, severity, priority FROM (SELECT root, count(*) AS n, count(*) / (SELECT count(*) FROM {{glyph_diffs}} g)::DOUBLE * 100 AS percent FROM (SELECT DISTINCT doc, root FROM {_FAILS} f) d GROUP BY root) c JOIN {_FIXES} x USING (root))"
+query("root_cause_report", _report, f"SELECT root, n, percent, target, action FROM {_REPORT} r")
+query("root_cause_priority", lambda v: q.root_cause_priority(_report(v)).select("root", "n", "severity", "impact", "actionable", "top", "only_data_missing"), f"""SELECT root, n, severity, impact, actionable, actionable AND row_number() OVER (ORDER BY actionable DESC, impact DESC, n DESC, root) = 1 AS top, NOT bool_or(actionable) OVER () AS only_data_missing
+    FROM (SELECT *, floor(percent * severity * 100 + 0.5) / 100 AS impact, root <> 'data-missing' AND severity >= 0.5 AS actionable FROM {_REPORT} r) t""")
+query("fix_list", lambda v: q.fix_list(_report(v)), f"SELECT root, priority, target, action FROM {_REPORT} r WHERE root <> 'data-missing'")
 query("shared_root_pairs", lambda v: q.shared_roots(q.failure_dimensions(v.glyph_diffs)), f"SELECT roots, count(*) AS docs, min(doc) AS first FROM (SELECT doc, string_agg(DISTINCT root, ',' ORDER BY root) AS roots FROM {_FAILS} f GROUP BY doc) s GROUP BY roots")
 query("trend_fit", lambda v: q.trend_fit(v.trend.select((F.col("month") - 23940).alias("x"), F.col("value").alias("y"))), """SELECT round(s, 6) AS slope, round(i, 4) AS intercept, round(r, 6) AS r2, CASE WHEN s > 0 THEN greatest(ceil((99 - i) / s - last), 0)::BIGINT END AS steps
     FROM (SELECT regr_slope(value, month - 23940) AS s, regr_intercept(value, month - 23940) AS i, regr_r2(value, month - 23940) AS r, max(month - 23940) AS last FROM {trend} t) f""")
-_META = "SELECT d.lang AS category, d.source AS font, d.n_chars AS size, l.quality = 0 AS scanned FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"
-query("corpus_profile", lambda v: q.corpus_profile(v.sql(_META)), f"SELECT category, count(*) AS n, count(*) FILTER (WHERE scanned) AS scanned, count(*) FILTER (WHERE scanned IS NULL) AS unknown, count(DISTINCT font) AS fonts, floor(avg(size) + 0.5)::BIGINT AS mean_size FROM ({_META}) m GROUP BY category")
+_META = """SELECT d.doc_id, d.lang AS category, CASE WHEN doc_id % 6 > 0 THEN d.source END AS font, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN '' END AS engine, l.quality IS NOT NULL AS with_metadata, l.quality = 0 AS scanned, l.quality = 1 AS digital,
+    CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 300 END AS dpi, CASE WHEN doc_id % 3 > 0 THEN 72 + doc_id % 7 END AS resolution, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 9 - 4) / 4e0 END AS rotation FROM {documents} d LEFT JOIN (SELECT doc_id AS lid, max(quality) AS quality FROM {labels} l GROUP BY doc_id) l ON d.doc_id = l.lid"""
+query("corpus_profile", lambda v: q.corpus_profile(v.sql(_META)), f"""SELECT category, count(*) AS n, count(*) FILTER (WHERE with_metadata) AS with_metadata, count(*) FILTER (WHERE scanned) AS scanned, count(*) FILTER (WHERE digital) AS digital,
+    floor(avg(coalesce(dpi, resolution)) FILTER (WHERE coalesce(dpi, resolution) > 0) + 0.5)::BIGINT AS mean_dpi, floor(coalesce(avg(abs(rotation)), 0) * 100 + 0.5) / 100 AS mean_rotation FROM ({_META}) m GROUP BY category""")
+query("corpus_histograms", lambda v: q.corpus_histograms(v.sql(_META)), f"SELECT 'font' AS kind, font AS name, count(*) AS n FROM ({_META}) m WHERE font <> '' GROUP BY font UNION ALL SELECT 'engine', engine, count(*) FROM ({_META}) m WHERE engine <> '' GROUP BY engine")
 _VERDICT = "SELECT doc, rotation <= 1 AS geometry, pixel <= 1 AS pixel, glyphs = expected_glyphs AS matched FROM {glyph_diffs} g"
 query("artifact_verdict", lambda v: q.artifact_verdict(v.sql(_VERDICT)).select("doc", "verdict", "actionable"), f"SELECT doc, verdict, verdict = 'real' AS actionable FROM (SELECT doc, CASE WHEN geometry IS NULL OR pixel IS NULL OR NOT matched THEN 'artifact' WHEN geometry AND pixel THEN 'real' ELSE 'unknown' END AS verdict FROM ({_VERDICT}) g) t")
 query("failure_stats", lambda v: q.failure_stats(v.replays, "after_delta"), """SELECT count(*) AS n, round(avg(after_delta), 6) AS mean, max(after_delta) AS max, count(*) FILTER (WHERE after_delta < 1) AS under_1, count(*) FILTER (WHERE after_delta >= 1 AND after_delta < 5) AS to_5,
@@ -87,8 +119,11 @@ _OBS = "SELECT user_id % 90 AS expected, value AS observed, 10e0 AS tolerance FR
 query("benchmark_summary", lambda v: q.benchmark_summary(v.sql(_OBS)), f"SELECT count(*) AS n, count(*) FILTER (WHERE abs(observed - expected) <= tolerance) AS passed, count(*) FILTER (WHERE abs(observed - expected) <= tolerance) / count(*)::DOUBLE AS accuracy, round(avg(abs(observed - expected)), 6) AS error FROM ({_OBS}) o")
 _EV = "SELECT user_id AS id, event_id AS seq, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS tag, value FROM {events} e"
 query("evidence_index", lambda v: q.evidence_index(v.sql(_EV)), f"SELECT coalesce(tag, 'unknown') AS tag, count(*) AS n, max(seq) AS latest FROM ({_EV}) e GROUP BY 1")
-query("evidence_validate", lambda v: q.evidence_validate(v.sql(_EV), v.sql("SELECT DISTINCT user_id + 3 AS id FROM {events} e")), f"""SELECT count(*) AS rows, count(DISTINCT id) AS ids, max(seq) + 1 AS next_seq,
-    (SELECT count(DISTINCT user_id) FROM {{events}} e WHERE user_id NOT IN (SELECT user_id + 3 FROM {{events}} x)) AS unindexed, (SELECT count(DISTINCT user_id) FROM {{events}} e WHERE user_id + 3 NOT IN (SELECT user_id FROM {{events}} x)) AS missing FROM ({_EV}) e""")
+_STORED = "SELECT CASE WHEN event_id % 9 = 0 THEN event_id - 1 ELSE event_id END AS id, event_id AS seq, CASE event_id % 50 WHEN 7 THEN '{{\"k\": ' WHEN 8 THEN NULL ELSE props END AS payload FROM {events} e"
+query("evidence_validate", lambda v: q.evidence_validate(v.sql(_STORED.replace("{{", "{")), v.sql("SELECT event_id + 3 AS id FROM {events} e"), count=v.events.count(), next_seq=v.events.count()), f"""WITH s AS ({_STORED.replace("{{", "{")}), g AS (SELECT id, count(*) AS n, max(seq) AS seq, count(*) FILTER (WHERE payload IS NULL OR NOT json_valid(payload)) AS bad FROM s GROUP BY id)
+    SELECT sum(n)::BIGINT AS rows, count(*) AS ids, count(*) FILTER (WHERE n > 1) AS duplicates, sum(bad)::BIGINT AS corrupt, (SELECT count(*) FROM g WHERE id NOT IN (SELECT event_id + 3 FROM {{events}} e)) AS unindexed,
+    (SELECT count(*) FROM {{events}} e WHERE event_id + 3 NOT IN (SELECT id FROM g)) AS missing, count(*) = (SELECT count(*) FROM {{events}} e) AS index_consistent, max(seq) + 1 = (SELECT count(*) FROM {{events}} e) AS continuous,
+    count(*) = (SELECT count(*) FROM {{events}} e) AND max(seq) + 1 = (SELECT count(*) FROM {{events}} e) AND sum(bad) = 0 AND count(*) FILTER (WHERE n > 1) = 0 AS healthy FROM g""")
 query("evidence_upsert", lambda v: q.evidence_upsert(v.sql(_EV)), f"SELECT id, seq, tag, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM ({_EV}) e) t WHERE n = 1")
 
 _DAILY = "(SELECT day, count(*) AS n, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed, count(*) FILTER (WHERE reason = 'F') AS reason_f, count(*) FILTER (WHERE reason = 'O') AS reason_o FROM {telemetry} t GROUP BY day)"
@@ -96,10 +131,15 @@ query("daily_summary", lambda v: q.daily_summary(v.telemetry), f"SELECT * FROM {
 query("observation_window", lambda v: q.observation_window(q.daily_summary(v.telemetry)), f"SELECT count(*) AS days, sum(n)::BIGINT AS documents, max(day) AS last_day FROM {_DAILY} d")
 query("daily_report", lambda v: q.daily_report(q.daily_summary(v.telemetry)), f"SELECT day, '| ' || concat_ws(' | ', day, n, passed, failed) || ' |' AS line FROM {_DAILY} d")
 query("export_coverage", lambda v: q.export_coverage(v.export_events), """SELECT *, CASE WHEN core + fallback > 0 THEN core / (core + fallback)::DOUBLE ELSE 0e0 END AS success, CASE WHEN total > 0 THEN (core + fallback) / total::DOUBLE ELSE 0e0 END AS eligibility
-    FROM (SELECT count(*) FILTER (WHERE outcome = 'core') AS core, count(*) FILTER (WHERE outcome = 'legacy-fallback') AS fallback, count(*) AS total FROM {export_events} e) t""")
-query("export_reasons", lambda v: q.export_reasons(v.export_events), "SELECT reason, stage, count(*) AS n FROM {export_events} e WHERE outcome = 'legacy-fallback' GROUP BY GROUPING SETS ((reason), (stage))")
+    FROM (SELECT count(*) FILTER (WHERE outcome = 'core') AS core, count(*) FILTER (WHERE outcome = 'legacy-fallback') AS fallback, count(*) AS total, count(*) FILTER (WHERE outcome = 'legacy-fallback' AND stage = 'validation') AS validation_failures,
+    count(*) FILTER (WHERE outcome = 'legacy-fallback' AND stage = 'eligibility' AND reason = 'missing-original-bounds') AS missing_bounds FROM {export_events} e) t""")
+_BACK = "FROM {export_events} e WHERE outcome = 'legacy-fallback'"
+query("export_reasons", lambda v: q.export_reasons(v.export_events), f"""SELECT 'reason' AS kind, reason AS name, count(*) AS n {_BACK} AND reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'stage', stage, count(*) {_BACK} GROUP BY stage
+    UNION ALL SELECT 'ineligible', reason, count(*) {_BACK} AND stage = 'eligibility' AND reason IS NOT NULL GROUP BY reason""")
 query("document_state", lambda v: q.document_state(v.order_lines, "l_orderkey", F.expr("l_returnflag = 'R'")), "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'edited' ELSE 'pristine' END AS state FROM {order_lines} l GROUP BY l_orderkey")
 _PAINT = "SELECT l_orderkey, l_returnflag <> 'R' AS ok, l_tax AS diff, l_discount > 0.095 AS error FROM {order_lines} l"
 query("page_health", lambda v: q.page_health(v.sql(_PAINT), "l_orderkey"), f"""SELECT *, CASE WHEN error THEN 'unhealthy' WHEN failed > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM (SELECT l_orderkey, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, max(diff) AS max_diff, bool_or(error) AS error FROM ({_PAINT}) p GROUP BY l_orderkey) t""")
-query("monitor_totals", lambda v: q.monitor_totals(v.export_events).withColumn("last_ts", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss")), "SELECT outcome, count(*) AS n, arg_max(reason, (ts, event_id)) AS last_reason, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM {export_events} e GROUP BY outcome")
+_pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+query("monitor_totals", lambda v: q.monitor_totals(v.export_events).withColumn("last_ts", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss")).withColumn("reasons", _pairs(F.col("reasons"))), """SELECT outcome, n, reasons, last_reason, last_ts FROM (SELECT outcome, count(*) AS n, arg_max_null(reason, (ts, event_id)) AS last_reason, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM {export_events} e GROUP BY outcome) a
+    JOIN (SELECT outcome, string_agg(concat(reason, '=', k), ',' ORDER BY reason) AS reasons FROM (SELECT outcome, reason, count(*) AS k FROM {export_events} e WHERE reason IS NOT NULL GROUP BY outcome, reason) c GROUP BY outcome) b USING (outcome)""")
 query("workspace_events", lambda v: q.workspace_events(v.conversations), "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM {conversations} c GROUP BY role")

@@ -60,15 +60,15 @@ VIEWS: dict[str, str] = {
         FROM {order_lines} l JOIN {part} p ON l_partkey = p_partkey""",
     "fidelity_original": "SELECT l_orderkey AS doc, cast(floor((row - 1) / 3e0) AS BIGINT) AS page, (row - 1) % 3 AS seq, 40e0 + l_partkey % 3 AS x, 100e0 + 20 * row AS y, concat('Q ', cast(cast(l_quantity AS BIGINT) AS VARCHAR(20))) AS text, l_returnflag AS font FROM {order_lines} l",
     "fidelity_export": """SELECT l_orderkey AS doc, cast(floor((row - 1) / 3e0) AS BIGINT) AS page, (row - 1) % 3 AS seq, 40e0 + l_partkey % 3 + CASE WHEN l_linenumber % 3 = 0 THEN 2 ELSE 0 END AS x,
-        100e0 + 20 * row AS y, CASE WHEN round(l_tax, 2) = 0 THEN 'changed' ELSE concat('Q', cast(cast(l_quantity AS BIGINT) AS VARCHAR(20))) END AS text,
+        100e0 + 20 * row AS y, CASE WHEN round(l_tax, 2) = 0 THEN 'changed' ELSE concat(CASE WHEN l_suppkey % 3 = 0 THEN 'Q' ELSE 'Q ' END, cast(cast(l_quantity AS BIGINT) AS VARCHAR(20))) END AS text,
         CASE WHEN l_linestatus = 'F' THEN lower(l_returnflag) ELSE 'x' END AS font FROM (SELECT *, max(row) OVER (PARTITION BY l_orderkey) AS n FROM {order_lines} o) l
         WHERE NOT (l_returnflag = 'R' AND row = n)""",
     "replays": """SELECT l_orderkey, row, l_returnflag AS category, l_quantity / 5 AS before_delta,
         CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN NULL ELSE round(l_tax * 50 + (l_linenumber - 1) * 0.75e0, 4) END AS after_delta,
         round(l_tax, 2) = 0 AND l_linenumber = 7 AS failed FROM {order_lines} l""",
     "glyph_diffs": """SELECT o_orderkey AS doc, o_orderpriority AS category, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE max_discount * 20 END AS rotation,
-        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE min_tax END AS bbox, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE cast(n % 5 AS DOUBLE) END AS baseline,
-        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE cast(q % 3 AS DOUBLE) END AS pixel, n AS glyphs, CASE WHEN n % 7 = 0 THEN n + 1 ELSE n END AS expected_glyphs
+        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE min_tax END AS bbox, CASE WHEN o_orderstatus = 'P' OR q % 11 = 0 THEN NULL ELSE cast(q % 4 AS DOUBLE) / 200 END AS coverage, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE cast(n % 5 AS DOUBLE) END AS baseline,
+        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE cast(q % 3 AS DOUBLE) END AS pixel, n AS glyphs, CASE WHEN n % 7 = 0 THEN n + 1 WHEN n % 5 = 0 THEN n - 1 ELSE n END AS expected_glyphs
         FROM {orders} o JOIN (SELECT l_orderkey, round(max(l_discount), 2) AS max_discount, round(min(l_tax), 2) AS min_tax, count(*) AS n,
         cast(sum(cast(l_quantity AS BIGINT)) AS BIGINT) AS q FROM {lineitem} GROUP BY l_orderkey) l ON o_orderkey = l_orderkey""",
     "trend": """SELECT cast(substr(cast(o_orderdate AS VARCHAR(30)), 1, 4) AS BIGINT) * 12 + cast(substr(cast(o_orderdate AS VARCHAR(30)), 6, 2) AS BIGINT) AS month,
@@ -76,7 +76,7 @@ VIEWS: dict[str, str] = {
     "telemetry": """SELECT l_orderkey, row, cast(o_orderdate AS DATE) AS day, l_returnflag <> 'R' AS passed, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS reason
         FROM {order_lines} l JOIN {orders} o ON l_orderkey = o_orderkey""",
     "export_events": """SELECT event_id, user_id AS doc, ts, CASE event_type WHEN 'purchase' THEN 'core' WHEN 'error' THEN 'legacy-fallback' ELSE 'legacy-only' END AS outcome,
-        concat('r', cast(k % 5 AS VARCHAR(5))) AS reason, concat('s', cast(k % 3 AS VARCHAR(5))) AS stage, value FROM (SELECT *, cast(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM {events}) e""",
+        CASE k % 5 WHEN 0 THEN 'missing-original-bounds' WHEN 1 THEN NULL ELSE concat('r', cast(k % 5 AS VARCHAR(5))) END AS reason, CASE k % 3 WHEN 0 THEN 'eligibility' WHEN 1 THEN 'validation' ELSE 'write' END AS stage, value FROM (SELECT *, cast(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM {events}) e""",
     "clicks": "SELECT event_id, cast(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS x, user_id AS y, user_id, ts FROM {events} e WHERE event_type = 'click'",
     "size_rows": "SELECT o_orderkey AS id, o_totalprice AS original, o_totalprice * (0.9e0 + (o_orderkey % 5) / 10e0) AS rewritten FROM {orders} o",
     "text_pairs": """SELECT conv_id, turn, text AS expected, CASE WHEN turn % 2 = 1 THEN concat(text, ' more') ELSE text END AS actual FROM {conversations} c WHERE text IS NOT NULL""",

@@ -1,6 +1,9 @@
 """Structured Streaming operators: running counts, windows, keyed state with expiry, and a helper to run them to their end.
 
-Stateful operators keep one small state per key; keys of a day expire with the event-time watermark.
+Every operator with a watermark gives its windows once they are closed (append), so its state
+is dropped; rows later than the watermark are left out. Keyed operators keep a small state per
+key and forget it when the watermark is `idle` past the key's last row; of one trigger's rows
+those of a single key have to fit a worker, so bound triggers at the source (maxFilesPerTrigger).
 """
 
 from __future__ import annotations
@@ -17,16 +20,19 @@ from docgrowth.functions.shared import shared_dir
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All rows of a stream's available input, by way of a table in the shared folder; of complete output the last state."""
+    """All rows of a stream's available input, by way of a table in the shared folder; of complete output the last state.
+
+    A batch has a folder of its own, so one that is run again after a failure replaces its rows.
+    """
     spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode(how).parquet(f"{path}/rows")
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/in_batch={n}")
 
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/in_batch=-1")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns)
 
 
 def ab_counts(events: DataFrame) -> DataFrame:
@@ -73,22 +79,29 @@ def _ordered(batches: Rows, *by: str) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values([*by])
 
 
-def _stateful(events: DataFrame, keys: list[str], step: Callable[[tuple, pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]], out: str, state: str, start: tuple, expires: bool = False) -> DataFrame:
-    """Groups' rows in order of time through `step`, with the state that it returns kept; with `expires` until the watermark passes its last row by a day."""
+_DAY = 86_400_000
+
+
+def _stateful(
+    events: DataFrame, keys: list[str], step: Callable[[tuple, pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]], out: str, state: str, start: tuple, late: str, idle: int,
+    closed: Callable[[tuple, tuple], pd.DataFrame] | None = None,
+) -> DataFrame:
+    """Groups' rows in order of time through `step`, with the state that it returns kept until the watermark is `idle` milliseconds past the last row; `closed` tells what a state gives then."""
 
     def run(key: tuple, batches: Rows, kept: GroupState) -> Rows:
         if kept.hasTimedOut:
+            last = tuple(kept.get)
             kept.remove()
+            if closed:
+                yield closed(key, last)
             return
         rows = _ordered(batches, "ts", "event_id")
         made, new = step(key, rows, tuple(kept.get) if kept.exists else start)
         kept.update(new)
-        if expires:
-            kept.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), kept.getCurrentWatermarkMs()) + 86_400_000)
+        kept.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000) + idle, kept.getCurrentWatermarkMs() + 1))
         yield made
 
-    timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
-    return events.groupBy(*keys).applyInPandasWithState(run, out, state, "append", timeout)
+    return events.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def quota(exports: DataFrame, limit: int = 3, late: str = "1 day") -> DataFrame:
@@ -98,10 +111,10 @@ def quota(exports: DataFrame, limit: int = 3, late: str = "1 day") -> DataFrame:
         n = range(state[0] + 1, state[0] + 1 + len(rows))
         return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "n": n, "free": [k <= limit for k in n]}), (state[0] + len(rows),)
 
-    return _stateful(exports.withWatermark("ts", late), ["user_id", "day"], step, "user_id long, event_id long, n long, free boolean", "n long", (0,), expires=True)
+    return _stateful(exports, ["user_id", "day"], step, "user_id long, event_id long, n long, free boolean", "n long", (0,), late, _DAY)
 
 
-def rolling_cvr(log: DataFrame, n: int = 10) -> DataFrame:
+def rolling_cvr(log: DataFrame, n: int = 10, late: str = "1 day", idle: int = 30 * _DAY) -> DataFrame:
     """(user_id, event_id, cvr): conversions over clicks of the key's last n rows."""
 
     def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
@@ -111,10 +124,10 @@ def rolling_cvr(log: DataFrame, n: int = 10) -> DataFrame:
             out.append(sum(wins) / max(sum(clicks), 1))
         return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "cvr": out}), (clicks, wins)
 
-    return _stateful(log, ["user_id"], step, "user_id long, event_id long, cvr double", "clicks array<long>, wins array<long>", ([], []))
+    return _stateful(log, ["user_id"], step, "user_id long, event_id long, cvr double", "clicks array<long>, wins array<long>", ([], []), late, idle)
 
 
-def multi_click(clicks: DataFrame, gap_seconds: float, reach: float, most: int = 3) -> DataFrame:
+def multi_click(clicks: DataFrame, gap_seconds: float, reach: float, most: int = 3, late: str = "1 day") -> DataFrame:
     """(user_id, event_id, level): length of the burst so far, at most `most`; a burst goes on while clicks are near in time and place."""
 
     def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
@@ -126,27 +139,61 @@ def multi_click(clicks: DataFrame, gap_seconds: float, reach: float, most: int =
             out.append(min(level, most))
         return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "level": out}), (at, x, level)
 
-    return _stateful(clicks, ["user_id"], step, "user_id long, event_id long, level long", "at double, x double, level long", (0.0, 0.0, 0))
+    return _stateful(clicks, ["user_id"], step, "user_id long, event_id long, level long", "at double, x double, level long", (0.0, 0.0, 0), late, int(1000 * gap_seconds) + 1)
+
+
+def settled_clicks(clicks: DataFrame, gap_seconds: float, reach: float, most: int = 3, late: str = "1 day") -> DataFrame:
+    """(user_id, first_event, clicks, level) of each burst once it is over: when the next click is too far, or when the watermark is past its interval."""
+    names = ["user_id", "first_event", "clicks", "level"]
+
+    def over(key: tuple, state: tuple) -> tuple:
+        return key[0], state[2], state[3], min(state[3], most)
+
+    def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        out = []
+        for ts, px, event in zip(rows["ts"], rows["x"], rows["event_id"], strict=True):
+            now, goes_on = ts.timestamp(), state[3] and ts.timestamp() - state[0] <= gap_seconds and abs(px - state[1]) <= reach
+            if state[3] and not goes_on:
+                out.append(over(key, state))
+            state = (now, float(px), state[2] if goes_on else int(event), state[3] + 1 if goes_on else 1)
+        return pd.DataFrame(out, columns=names), state
+
+    closed = lambda key, state: pd.DataFrame([over(key, state)], columns=names)
+    form = "user_id long, first_event long, clicks long, level long"
+    return _stateful(clicks, ["user_id"], step, form, "at double, x double, first long, n long", (0.0, 0.0, 0, 0), late, int(1000 * gap_seconds) + 1, closed)
+
+
+def recent_events(events: DataFrame, most: int = 200, late: str = "1 day", idle: int = 30 * _DAY) -> DataFrame:
+    """(doc, last, ring): after each trigger, of the documents it touched, the ids of the last `most` events; the row of greatest `last` counts."""
+
+    def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        ring = [*state[0], *(int(e) for e in rows["event_id"])][-most:]
+        return pd.DataFrame({"doc": [key[0]], "last": [rows["ts"].max()], "ring": [ring]}), (ring,)
+
+    return _stateful(events, ["doc"], step, "doc long, last timestamp, ring array<long>", "ring array<long>", ([],), late, idle)
 
 
-def auto_stop(events: DataFrame) -> DataFrame:
-    """(doc, event_id, reason): the first suspect event of each key, once; later ones don't change the latch."""
+def auto_stop(events: DataFrame, late: str = "1 day", idle: int = 30 * _DAY) -> DataFrame:
+    """(doc, event_id, reason): the first suspect event of each key, once; later ones don't change the latch until the key was idle."""
 
     def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
         bad = rows[rows["outcome"] == "legacy-fallback"].head(0 if state[0] else 1)
         return pd.DataFrame({"doc": key[0], "event_id": bad["event_id"], "reason": bad["reason"]}), (bool(state[0] or len(bad)),)
 
-    return _stateful(events, ["doc"], step, "doc long, event_id long, reason string", "stopped boolean", (False,))
+    return _stateful(events, ["doc"], step, "doc long, event_id long, reason string", "stopped boolean", (False,), late, idle)
 
 
-def workspace_state(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, state): uploaded, intent_set once a sign-up came, action_done from the first purchase after it."""
+def workspace_state(events: DataFrame, most: int = 1000, late: str = "1 day", idle: int = 30 * _DAY) -> DataFrame:
+    """(user_id, event_id, state, actions): uploaded, intent_set once a sign-up came, action_done from the first purchase after it; the actions done so far, the last `most`."""
 
     def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
-        now, out = state[0], []
-        for e in rows["event_type"]:
+        now, actions, out, done = state[0], list(state[1]), [], []
+        for e, event in zip(rows["event_type"], rows["event_id"], strict=True):
             now = "intent_set" if e == "signup" and now == "uploaded" else "action_done" if e == "purchase" and now == "intent_set" else now
+            if e == "purchase" and now == "action_done":
+                actions = [*actions, f"{e}:{event}"][-most:]
             out.append(now)
-        return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "state": out}), (now,)
+            done.append(actions)
+        return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "state": out, "actions": done}), (now, actions)
 
-    return _stateful(events, ["user_id"], step, "user_id long, event_id long, state string", "state string", ("uploaded",))
+    return _stateful(events, ["user_id"], step, "user_id long, event_id long, state string, actions array<string>", "state string, actions array<string>", ("uploaded", []), late, idle)
