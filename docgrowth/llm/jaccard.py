@@ -14,9 +14,14 @@ blocks, then, exhaustively, what shares a block and is not connected yet. So a g
 copies takes about n comparisons, and no link between different texts that would join
 two components is lost.
 
+Blocks come from classes, not from rows: a task sends each class once, so a text copied
+many times makes no more rows than there are tasks, and equal rows of a key are one.
+
 Defined results: null text and text without words has an empty set and no links; the
 component is the smallest id reachable, the id itself included; rows that repeat an id
-are judged by their own text. Sets are of 64-bit hashes, classes of their 64-bit digest.
+are judged by their own text; other columns, of any name, play no part. Sets are of
+64-bit hashes, classes of their 64-bit digest. Whole texts are read; a very long one is
+hashed alone.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 BROADCAST_IDS = 1_000_000
 #: Classes whose sizes and sketches are broadcast (10 MB).
 BROADCAST_FACTS = 50_000
+#: Classes that a task remembers having sent (about 20 MB); beyond that it begins anew, and what comes twice is dropped later.
+SEEN = 200_000
 #: Bits of the parity sketch that is compared before sets are, in words of 64.
 SKETCH_WORDS = 16
 
@@ -183,11 +190,14 @@ def shared_blocks(docs: DataFrame, text: str | Column, size: int, percent: int,
     bands = Bands(percent)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # classes that this task has sent; their copies need not be sent again
         for b in batches:
             for at in range(0, len(b), 500):
-                sets = [s for s in shingle_sets([*b["text"].iloc[at : at + 500]], size) if len(s)]
-                if sets:
-                    yield pd.DataFrame({"sig": [_digest(s) for s in sets], "keys": [block_keys(s, bands) for s in sets]})
+                sets = {_digest(s): s for s in shingle_sets([*b["text"].iloc[at : at + 500]], size) if len(s)}
+                fresh = {sig: s for sig, s in sets.items() if sig not in seen}
+                seen = (seen if len(seen) < SEEN else set()) | fresh.keys()
+                if fresh:
+                    yield pd.DataFrame({"sig": [*fresh], "keys": [block_keys(s, bands) for s in fresh.values()]})
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, often in runs_of_keys((b[["key", "sig"]].to_numpy(np.int64) for b in batches), common):
