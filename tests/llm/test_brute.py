@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docgrowth.llm import decontam, html, langid, pii, queries, toxicity
+from docgrowth.llm import ann, decontam, html, langid, pii, queries, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -286,3 +286,55 @@ def test_hostile_pages_end(page):
 )
 def test_words_within_names_are_no_marks(page, text):
     assert html.main_text(page) == text
+
+
+# --- neighbours: recall on the given vectors against all rows
+
+
+def recall(spark, rows, got, top: int = 10) -> float:
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    per: dict = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        per.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in ids[ids % 100 == 0].tolist():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        others = ids != q
+        order = np.lexsort((ids[others], d[others]))[:top]
+        found = [i for i, _ in per[q]]
+        assert len(found) == min(top, int(others.sum())) and all(math.isclose(s, d[ids == i][0], rel_tol=1e-12) for i, s in per[q])
+        assert per[q] == sorted(per[q], key=lambda p: (p[1], p[0]))
+        hits += len({*found} & {*ids[others][order].tolist()})
+    return hits / (min(top, len(ids) - 1) * int((ids % 100 == 0).sum()))
+
+
+def given_vectors(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    return [(r["vec_id"], r["embedding"]) for r in rows if r["embedding"] and None not in r["embedding"] and np.isfinite(r["embedding"]).all() and np.any(r["embedding"])]
+
+
+def test_neighbours_of_the_given_vectors(spark):
+    rows = given_vectors(spark, "sf0.1")
+    assert recall(spark, rows, queries.op2_nearest(spark, "/root/testdata/sf0.1").collect()) >= 0.9
+
+
+def test_neighbours_with_a_vector_of_a_third_of_all_rows(spark):
+    rows = given_vectors(spark, "sf0.01")
+    rows += [(10_000 + 7 * k, rows[0][1]) for k in range(len(rows) // 2)]
+    assert recall(spark, rows, ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()) >= 0.9
+
+
+@pytest.mark.parametrize("scale", [1e-200, 1.0, 1e200])
+def test_neighbours_of_very_small_and_large_vectors(spark, scale):
+    rng = np.random.default_rng(3)
+    rows = [(k, (scale * v).tolist()) for k, v in enumerate(rng.normal(size=(150, 5)))]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), top=3).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, k) for q in (0, 100) for k in (1, 2, 3)] and all(0 < r["score"] / scale < 10 for r in got)
+
+
+def test_buckets_beyond_a_block_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 20)
+    monkeypatch.setattr(ann, "ASKED", 2)
+    rng = np.random.default_rng(5)
+    rows = [(10 * k, v.tolist()) for k, v in enumerate(rng.normal(size=(400, 4)))]
+    assert recall(spark, rows, ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()) >= 0.9
