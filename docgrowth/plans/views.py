@@ -81,7 +81,7 @@ VIEWS: dict[str, str] = {
     "size_rows": "SELECT o_orderkey AS id, o_totalprice AS original, o_totalprice * (0.9e0 + (o_orderkey % 5) / 10e0) AS rewritten FROM {orders} o",
     "text_pairs": """SELECT conv_id, turn, text AS expected, CASE WHEN turn % 2 = 1 THEN concat(text, ' more') ELSE text END AS actual FROM {conversations} c WHERE text IS NOT NULL""",
     "edited_pairs": """SELECT conv_id, turn, expected, regexp_extract(expected, '[A-Za-z]+', 0) AS target, CASE (conv_id + turn) % 6 WHEN 0 THEN expected WHEN 1 THEN concat(expected, ' extra') WHEN 2 THEN substr(expected, 2)
-        WHEN 3 THEN concat(substr(expected, 1, length(expected) - 1), '#') WHEN 4 THEN concat('one two ', cast(turn AS VARCHAR(20))) ELSE upper(expected) END AS actual
+        WHEN 3 THEN concat(substr(expected, 1, length(expected) - 1), '#') WHEN 4 THEN concat('one two ', cast(turn AS VARCHAR(20))) ELSE replace(expected, 'e', 'E') END AS actual
         FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN concat('one two ', cast(turn AS VARCHAR(20))) ELSE text END AS expected FROM {conversations} c WHERE text IS NOT NULL) t""",
     "next_texts": """SELECT a, b, ta, tb FROM (SELECT item_id AS a, lead(item_id) OVER (PARTITION BY item_id % 8 ORDER BY item_id) AS b, text AS ta, lead(text) OVER (PARTITION BY item_id % 8 ORDER BY item_id) AS tb FROM {benchmark} b) n WHERE b IS NOT NULL
         UNION ALL SELECT 1000000 + conv_id * 100 + turn, 1000001 + conv_id * 100 + turn, expected, actual FROM {edited_pairs} e""",
