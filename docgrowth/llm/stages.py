@@ -13,7 +13,9 @@ _OF_STAGE = "_language_of_stage"
 
 
 def known_language(docs: DataFrame, near: float = 0.02) -> DataFrame:
-    """Documents with a language: not `und`, and its codeword nearer than the runner-up's by at least `near`."""
+    """Documents with a language: not `und`, and its codeword nearer than the runner-up's by at least `near`. The labels of docs teach the model."""
+    if _OF_STAGE in docs.columns:
+        raise ValueError(f"documents already have a column {_OF_STAGE}")
     bounded_batches(docs.sparkSession)
     model = langid.fit(docs)
     kept = langid.predict(docs, model, near=near, into=_OF_STAGE)
@@ -36,6 +38,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 
 def not_in_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents without overlap with any benchmark item; null and empty texts and null ids stay, all rows of an id go if one overlaps."""
     bounded_batches(docs.sparkSession)
     return decontam.without_benchmark(docs, benchmark)
 
@@ -48,5 +51,6 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
+    """Pieces of all documents in sequences, as docgrowth.llm.packing.pack gives them; every row has its own, repeated ones too."""
     bounded_batches(docs.sparkSession)
     return packing.pack(docs, path, capacity=capacity, end_id=1)

@@ -82,7 +82,11 @@ def words_of(text):
 
 def seeds(w: list[str]) -> dict:
     masks = decontam.MASKS if len(w) >= 11 else ("1" * len(w),) if w else ()
-    return {(m, tuple(w[k + i] for i, c in enumerate(m) if c == "1")): k for m in masks for k in range(len(w) - len(m) + 1)}
+    out: dict = {}
+    for m in masks:
+        for k in range(len(w) - len(m) + 1):
+            out.setdefault((m, tuple(w[k + i] for i, c in enumerate(m) if c == "1")), []).append(k)
+    return out
 
 
 def plain_overlaps(docs: dict, items: dict, least: int = 12) -> dict:
@@ -95,8 +99,7 @@ def plain_overlaps(docs: dict, items: dict, least: int = 12) -> dict:
             found = set()
             for m in {m for m, _ in own}:
                 for k in range(len(a) - len(m) + 1):
-                    window = (m, tuple(a[k + n] for n, c in enumerate(m) if c == "1"))
-                    found |= {k - q for q in range(len(b) - len(m) + 1) if (m, tuple(b[q + n] for n, c in enumerate(m) if c == "1")) == window}
+                    found |= {k - q for q in own.get((m, tuple(a[k + n] for n, c in enumerate(m) if c == "1")), ())}
             best = 0
             for d in found:
                 score = top = hit = 0
