@@ -118,13 +118,14 @@ def train(texts: list[set[str]], y: np.ndarray, fairness: float = 20.0, chance:
         share = (n1 + 1) / (len(y) + 2)
         return Model(float(np.log(share / (1 - share))), {})
     swaps = _swaps(texts) if fairness else Counter()
-    texts = [features(t) for t in texts]
-    df1: Counter[str] = Counter(w for t, v in zip(texts, y, strict=True) if v for w in t)
-    df0: Counter[str] = Counter(w for t, v in zip(texts, y, strict=True) if not v for w in t)
+    # Features are made anew in each pass, not kept: those of all texts at once would be several times the words.
+    df1: Counter[str] = Counter(w for t, v in zip(texts, y, strict=True) if v for w in features(t))
+    df1 = Counter({w: n for w, n in df1.items() if n >= least})
+    df0: Counter[str] = Counter(w for t, v in zip(texts, y, strict=True) if not v for w in features(t) if w in df1)
     odds = lambda w: np.log((df1[w] + 0.5) / (n1 + 1)) - np.log((df0[w] + 0.5) / (n0 + 1))
-    vocabulary = sorted(w for w in df1 if df1[w] >= least and odds(w) * np.sqrt(df1[w] + df0[w]) >= chance)
+    vocabulary = sorted(w for w in df1 if odds(w) * np.sqrt(df1[w] + df0[w]) >= chance)
     place = {w: k for k, w in enumerate(vocabulary)}
-    pairs = [(k, place[w]) for k, t in enumerate(texts) for w in t if w in place]
+    pairs = [(k, place[w]) for k, t in enumerate(texts) for w in features(t) if w in place]
     row, col = (np.array(x, dtype=np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
     # The change of score under swap k is the sum of sign * w[at] over its entries; swaps of features without weights change nothing.
     entries = [(k, place[x], sign) for k, (gone, come) in enumerate(swaps) for sign, side in ((1.0, gone), (-1.0, come)) for x in side if x in place]
