@@ -17,20 +17,39 @@ def _kept(values: Column, gap: float) -> Column:
     return F.aggregate(values, F.array().cast(_CENTRES), lambda kept, v: F.when((F.size(kept) == 0) | (v - F.try_element_at(kept, F.lit(-1)) > gap), F.concat(kept, F.array(v))).otherwise(kept))
 
 
-def row_centres(items: DataFrame, grid: float = 3, least: float = 8.0) -> DataFrame:
-    """(page, rows): centres of text rows; a value within the threshold moves the last centre to the mean."""
-    ys = F.array_sort(F.collect_set(half_up(F.col("y") / grid) * float(grid)))
-    fold = lambda c, y: F.when((F.size(c) > 0) & (y - F.try_element_at(c, F.lit(-1)) < least), F.concat(F.slice(c, 1, F.size(c) - 1), F.array((F.try_element_at(c, F.lit(-1)) + y) / 2))).otherwise(F.concat(c, F.array(y)))
-    return items.groupBy("page").agg(ys.alias("ys")).select("page", F.aggregate("ys", F.array().cast(_CENTRES), fold).alias("rows"))
+def _rows_of(items: Column, grid: float, least: float, share: float) -> Column:
+    """Centres of the rows of a page's items, on a grid; a value within the threshold moves the last centre to the mean."""
+    near = F.greatest(F.lit(least), share * F.coalesce(F.aggregate(items, F.lit(0.0), lambda s, i: s + i["h"]) / F.size(items), F.lit(0.0)))
+    ys = F.array_distinct(F.array_sort(F.transform(items, lambda i: half_up(i["y"] / grid) * float(grid))))
+    start = F.struct(near.alias("near"), F.array().cast(_CENTRES).alias("c"))
+    last = lambda s: F.try_element_at(s["c"], F.lit(-1))
+    fold = lambda s, y: F.struct(s["near"].alias("near"), F.when((F.size(s["c"]) > 0) & (y - last(s) <= s["near"]), F.concat(F.slice(s["c"], 1, F.size(s["c"]) - 1), F.array((last(s) + y) / 2))).otherwise(F.concat(s["c"], F.array(y))).alias("c"))
+    return F.aggregate(ys, start, fold)["c"]
+
+
+def _page_items(items: DataFrame) -> DataFrame:
+    """(page, items): the positioned items of each page in one array; items without a height have none."""
+    h = F.col("h").cast("double") if "h" in items.columns else F.lit(0.0)
+    return items.groupBy("page").agg(F.collect_list(F.struct("x", "y", h.alias("h"), "text")).alias("items"))
+
+
+def row_centres(items: DataFrame, grid: float = 3, least: float = 8.0, share: float = 0.6) -> DataFrame:
+    """(page, rows): centres of text rows; rows nearer than `least`, or `share` of the mean height, are one."""
+    return _page_items(items).select("page", _rows_of(F.col("items"), grid, least, share).alias("rows"))
+
+
+def _columns_of(page: DataFrame, grid: float, gap: float, alone: float) -> DataFrame:
+    """Pages with the centres of their columns: x values that recur on a grid; where fewer than two stay, all x values, off the grid."""
+    xs = F.array_sort(F.transform("items", lambda i: half_up(i["x"] / grid) * float(grid)))
+    page = page.withColumn("_xs", xs)
+    page = page.withColumn("_often", _kept(F.array_distinct(F.filter("_xs", lambda v, i: F.get("_xs", i + 1) == v)), gap))
+    every = _kept(F.array_sort(F.array_distinct(F.transform("items", lambda i: i["x"].cast("double")))), alone)
+    return page.withColumn("columns", F.when(F.size("_often") >= 2, F.col("_often")).otherwise(every)).drop("_xs", "_often")
 
 
 def column_centres(items: DataFrame, grid: float = 4, gap: float = 12, alone: float = 15) -> DataFrame:
-    """(page, columns): x values that recur, at a distance; where fewer than two do, all distinct x values."""
-    x = half_up(F.col("x") / grid) * float(grid)
-    counted = items.groupBy("page", x.alias("gx")).agg(F.count("*").alias("n"))
-    page = counted.groupBy("page").agg(F.array_sort(F.collect_list(F.when(F.col("n") >= 2, F.col("gx")))).alias("often"), F.array_sort(F.collect_list("gx")).alias("every"))
-    often = _kept(F.col("often"), gap)
-    return page.select("page", F.when(F.size(often) >= 2, often).otherwise(_kept(F.col("every"), alone)).alias("columns"))
+    """(page, columns): x values that recur, at a distance; where fewer than two do, the distinct x values themselves."""
+    return _columns_of(_page_items(items), grid, gap, alone).select("page", "columns")
 
 
 def _nearest(v: Column, centres: Column) -> Column:
@@ -39,11 +58,15 @@ def _nearest(v: Column, centres: Column) -> Column:
 
 
 def grid_assign(items: DataFrame, most: float = 20.0) -> DataFrame:
-    """(page, r, c, text): each item in its nearest row and column, texts of a cell joined by a blank."""
-    met = items.join(row_centres(items), "page").join(column_centres(items), "page")
-    put = met.withColumn("_r", _nearest(F.col("y"), F.col("rows"))).withColumn("_c", _nearest(F.col("x"), F.col("columns"))).filter((F.col("_r.d") < most) & (F.col("_c.d") < most))
+    """(page, r, c, text): each item in its nearest row and column, texts of a cell joined by a blank.
+
+    Pages are gathered once; rows, columns and cells need no further shuffle.
+    """
+    page = _columns_of(_page_items(items), 4, 12, 15).withColumn("rows", _rows_of(F.col("items"), 3, 8.0, 0.6))
+    met = page.select("page", "rows", "columns", F.explode("items").alias("i"))
+    put = met.withColumn("_r", _nearest(F.col("i.y"), F.col("rows"))).withColumn("_c", _nearest(F.col("i.x"), F.col("columns"))).filter((F.col("_r.d") < most) & (F.col("_c.d") < most))
     cell = put.groupBy("page", F.col("_r.i").alias("r"), F.col("_c.i").alias("c"))
-    return cell.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda t: t["text"]), " ").alias("text"))
+    return cell.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i.x", "i.text"))), lambda t: t["text"]), " ").alias("text"))
 
 
 def grid_fix(cells: DataFrame) -> DataFrame:
@@ -132,13 +155,39 @@ def doc_quality(typed: DataFrame) -> DataFrame:
     return typed.groupBy("page").agg(half_up(F.when(heads > 0, F.least(F.lit(1.0), 0.15 * heads + 0.7 * share)).otherwise(share), 2).alias("quality"))
 
 
-def line_groups(items: DataFrame, near: float = 8.0) -> DataFrame:
-    """(page, line, y, text): items folded into lines while they are near the line's first y; texts joined without blanks."""
-    start = F.array().cast("array<struct<y:double,text:string,n:int>>")
+def line_groups(items: DataFrame, near: float = 8.0, level: float = 3.0, right: float = 30.0) -> DataFrame:
+    """(page, line, y, text, left, n): items folded into lines; texts joined without blanks.
+
+    Items follow each other by y, those less than `level` below the one before by x. A group holds items while they are
+    near its first y; a later group joins the first line whose first y is near its own and whose last item is not more
+    than `right` left of it.
+    """
+    above = F.lag("y").over(W.partitionBy("page").orderBy("y", "x", "text"))
+    banded = islands(items.withColumn("_above", above), "page", ["y", "x", "text"], F.col("y") - F.col("_above") < level, "_band")
+    page = banded.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("_band", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text"))).alias("items"))
     last = lambda a: F.try_element_at(a, F.lit(-1))
-    fold = lambda a, i: F.when((F.size(a) > 0) & (F.abs(i["y"] - last(a)["y"]) < near), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["y"].alias("y"), F.concat(last(a)["text"], i["text"]).alias("text"), (last(a)["n"] + 1).alias("n"))))).otherwise(F.concat(a, F.array(F.struct(i["y"].alias("y"), i["text"].alias("text"), F.lit(1).alias("n")))))
-    page = items.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "text"))).alias("items"))
-    return page.select("page", F.posexplode(F.aggregate("items", start, fold)).alias("line", "l")).select("page", "line", "l.*")
+
+    def line(y: Column, first: Column, end: Column, text: Column, left: Column, n: Column) -> Column:
+        return F.struct(y.alias("y"), first.alias("first"), end.alias("end"), text.alias("text"), left.alias("left"), n.alias("n"))
+
+    def joined(a: Column, b: Column) -> Column:
+        return line(a["y"], a["first"], b["end"], F.concat(a["text"], b["text"]), F.least(a["left"], b["left"]), a["n"] + b["n"])
+
+    def group(groups: Column, i: Column) -> Column:
+        one = line(i["y"], i["x"], i["x"], i["text"], i["x"], F.lit(1))
+        held = (F.size(groups) > 0) & (F.abs(i["y"] - last(groups)["y"]) < near)
+        return F.when(held, F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(joined(last(groups), one)))).otherwise(F.concat(groups, F.array(one)))
+
+    def late(lines: Column, g: Column) -> Column:
+        fits = F.transform(lines, lambda m: (F.abs(g["y"] - m["y"]) < near) & (g["first"] - m["end"] < right))
+        at = F.array_position(fits, F.lit(True))
+        return F.when(at > 0, F.transform(lines, lambda m, k: F.when(k + 1 == at, joined(m, g)).otherwise(m))).otherwise(F.concat(lines, F.array(g)))
+
+    empty = F.array().cast("array<struct<y:double,first:double,end:double,text:string,left:double,n:int>>")
+    grouped = page.select("page", F.aggregate("items", empty, group).alias("groups"))
+    lines = grouped.select("page", F.aggregate("groups", empty, late).alias("lines"))
+    order = F.array_sort(F.transform("lines", lambda m, k: F.struct(m["y"].alias("y"), k.alias("k"), m.alias("m"))))
+    return lines.select("page", F.posexplode(order).alias("line", "l")).select("page", "line", "l.m.y", "l.m.text", "l.m.left", "l.m.n")
 
 
 def merge_initial(items: DataFrame, gap: float = 5.0, width: float = 6.0) -> DataFrame:
@@ -183,13 +232,33 @@ def _two(a: DataFrame, b: DataFrame) -> DataFrame:
     return name(a, "a").join(name(b, "b"), "page")
 
 
-def style_match(blocks: DataFrame, styles: DataFrame) -> DataFrame:
-    """Each block's style: of the box with the greatest overlap, else of the nearest centre; the smaller block on ties."""
+# The style of a block that nothing else gives one, and line heights in font sizes.
+DEFAULT_FAMILY = "'Arial', 'Helvetica', 'Noto Sans SC', 'Microsoft YaHei', 'PingFang SC', sans-serif"
+LINE_HEIGHT = 1.3
+
+
+def style_match(blocks: DataFrame, styles: DataFrame, neighbours: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """(page, block, how, style, family, size, line_height): each block's style, by the first step that has one.
+
+    The box of `styles` with the greatest overlap; the nearest centre of `neighbours` (of `styles`, if there are none), the
+    smaller block on ties; the page's `stats` (page_style_stats), with their median size; a default. The first two and the
+    last keep the block's own size. Blocks need page, block, x, y, w, h and font; boxes page, block, x, y, w, h and family.
+    """
+    sized = ["page", "block", "x", "y", "w", "h"]
     centre = lambda k: (F.col(f"{k}_x") + F.col(f"{k}_w") / 2, F.col(f"{k}_y") + F.col(f"{k}_h") / 2)
     (ax, ay), (bx, by) = centre("a"), centre("b")
     far = (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
-    best = _two(blocks, styles).groupBy("page", "a").agg(F.min_by(F.struct(_overlap("a", "b").alias("area"), "b"), F.struct(-_overlap("a", "b"), far, "b")).alias("m"))
-    return best.select("page", F.col("a").alias("block"), F.col("m.b").alias("style"), F.when(F.col("m.area") > 0, "overlap").otherwise("nearest").alias("how"))
+    own = blocks.select("page", F.col("block").alias("a"), "font")
+    over = _two(blocks.select(*sized), styles.select(*sized, "family")).filter(_overlap("a", "b") > 0)
+    over = over.groupBy("page", "a").agg(F.min_by(F.struct("b", "b_family"), F.struct(-_overlap("a", "b"), "b")).alias("over"))
+    near = _two(blocks.select(*sized), (styles if neighbours is None else neighbours).select(*sized, "family"))
+    near = near.groupBy("page", "a").agg(F.min_by(F.struct("b", "b_family"), F.struct(far, "b")).alias("near"))
+    met = own.join(over, ["page", "a"], "left").join(near, ["page", "a"], "left")
+    met = met.join(stats.select("page", F.struct(F.col("family").alias("b_family"), F.col("font").alias("size")).alias("stat")), "page", "left") if stats is not None else met.withColumn("stat", F.lit(None).cast("struct<b_family:string,size:double>"))
+    how = F.when(F.col("over").isNotNull(), "overlap").when(F.col("near").isNotNull(), "nearest").when(F.col("stat").isNotNull(), "page").otherwise("default")
+    family = F.when(how == "overlap", F.col("over.b_family")).when(how == "nearest", F.col("near.b_family")).when(how == "page", F.col("stat.b_family")).otherwise(DEFAULT_FAMILY)
+    size = F.when(how == "page", F.col("stat.size")).otherwise(F.col("font"))
+    return met.select("page", F.col("a").alias("block"), how.alias("how"), F.coalesce("over.b", "near.b").alias("style"), family.alias("family"), size.alias("size"), (size * LINE_HEIGHT).alias("line_height"))
 
 
 def mask_impact(lines: DataFrame, edited: DataFrame, pad: float = 2.0) -> DataFrame:
@@ -222,11 +291,22 @@ def render_source(lines: DataFrame, images: DataFrame, texts: DataFrame) -> Data
     return met.select("page", F.col("a").alias("block"), F.when(~image, "vector").when(text, "image-ocr").otherwise("image").alias("source"))
 
 
-def page_regression(items: DataFrame, by: str = "row") -> DataFrame:
-    """Slope angle of each row in degrees, their median, and a confidence from their spread."""
-    rows = items.groupBy("page", by).agg(F.regr_slope("y", "x").alias("s"), F.count("*").alias("n")).filter("n >= 3")
-    angle = F.degrees(F.atan(F.coalesce("s", F.lit(0.0))))
-    return rows.groupBy("page").agg(F.round(F.percentile(angle, F.lit(0.5)), 9).alias("angle"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.stddev_pop(angle) / 5)), 9).alias("confidence"))
+def page_regression(points: DataFrame, factor: float = 2.5, least: float = 3.0) -> DataFrame:
+    """(page, angle, confidence): median slope angle of the page's rows in degrees, clockwise, to one decimal; how alike they are.
+
+    A point whose y is over `least`, and over `factor` times the lower-fifth gap, below the one before starts a row; rows of
+    three points on more than one x count. Pages without any have angle 0 and confidence 0.
+    """
+    w = W.partitionBy("page").orderBy("y", "x")
+    stepped = points.select("page", "x", "y", (F.col("y") - F.lag("y").over(w)).alias("_gap"))
+    gaps = F.array_sort(F.collect_list("_gap").over(W.partitionBy("page")))
+    wide = F.greatest(factor * F.get("_gaps", F.floor(F.size("_gaps") * 0.2).cast("int")), F.lit(least))
+    rows = islands(stepped.withColumn("_gaps", gaps).withColumn("_wide", wide).drop("_gaps"), "page", ["y", "x"], F.col("_gap") <= F.col("_wide"), "row")
+    fitted = rows.groupBy("page", "row").agg(F.regr_slope("y", "x").alias("s"), F.count("*").alias("n"), (F.max("x") > F.min("x")).alias("wide"))
+    angle = F.when((F.col("n") >= 3) & F.col("wide"), -F.degrees(F.atan("s")))
+    page = fitted.groupBy("page").agg(F.percentile(angle, F.lit(0.5)).alias("m"), F.stddev_pop(angle).alias("d"))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("d") / 5))
+    return page.select("page", F.coalesce(half_up(F.round("m", 9), 1), F.lit(0.0)).alias("angle"), F.round(F.when(F.col("d").isNull(), 0.0).otherwise(sure), 9).alias("confidence"))
 
 
 def candidate_agreement(rows: DataFrame) -> DataFrame:
@@ -251,7 +331,6 @@ def reading_order(items: DataFrame) -> DataFrame:
     return items.withColumn("flow", F.row_number().over(W.partitionBy("page").orderBy("y", "x", "col")))
 
 
-# Weights by keyword, in this order, and known families.
 # Words of weight in their order, and font families by name.
 WEIGHTS = (("bold", 700), ("heavy", 800), ("black", 900), ("light", 300), ("thin", 200), ("medium", 500), ("regular", 400), ("normal", 400))
 FAMILIES = {

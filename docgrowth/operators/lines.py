@@ -74,13 +74,36 @@ def block_text(items: DataFrame, least: float = 2.0, share: float = 0.3) -> Data
     return page.withColumn("t", F.aggregate("items", start, fold)).select("page", "left", "right", F.col("t.text").alias("text"), F.col("t.lines").alias("lines"))
 
 
-def table_row_cells(items: DataFrame, share: float = 0.02, least: int = 3) -> DataFrame:
-    """Rows whose item starts are nearly equally far apart, at least `least` in a run, with their number of cells."""
-    w = W.partitionBy("page", "row").orderBy("x")
-    step = items.withColumn("step", F.col("x") - F.lag("x").over(w))
-    rows = step.groupBy("page", "row").agg(F.count("*").alias("cells"), F.avg("step").alias("mean"), F.max(F.col("step")).alias("high"), F.min("step").alias("low"))
-    even = (F.col("high") - F.col("mean") <= share * F.col("mean")) & (F.col("mean") - F.col("low") <= share * F.col("mean"))
-    return rows.filter((F.col("cells") >= least) & even).select("page", "row", "cells", "mean")
+def table_row_cells(words: DataFrame, font: float, share: float = 0.02, least: int = 3, narrow: float = 0.6, wide: float = 3.0) -> DataFrame:
+    """(page, row, how, cells): the cells of rows that are rows of a table; other rows have none.
+
+    `words` has page, row, x, w and text. Between two words lies a blank; where the left edges after blanks are nearly
+    equally far apart `least` times in a run (within `share` of the run's mean), and the blanks of the run are at least
+    `narrow` font sizes, the row is cut at all blanks of at least half the median one ("even"). Else, where exactly
+    one blank is at least `wide` font sizes, it is cut there ("gap"). Words of a cell are joined by a blank.
+    """
+    page = words.groupBy("page", "row").agg(F.array_sort(F.collect_list(F.struct("x", "w", "text"))).alias("words"))
+    after = F.slice("words", 2, F.size("words"))
+    page = page.withColumn("lefts", F.transform(after, lambda i: i["x"])).withColumn("blanks", F.transform(after, lambda i, k: i["x"] - F.get("words", k)["x"] - F.get("words", k)["w"]))
+    page = page.filter(F.size("lefts") > 0).withColumn("gaps", F.transform(F.slice("lefts", 2, F.size("lefts")), lambda v, k: v - F.get("lefts", k)))
+    start = F.struct(*(F.lit(v).alias(k) for k, v in (("at", 0), ("first", 0), ("n", 0), ("sum", 0.0), ("most", 0), ("begin", -1))))
+
+    def run(s: Column, g: Column) -> Column:
+        mean = (s["sum"] + g) / (s["n"] + 1)
+        goes = (s["n"] > 0) & (mean > 0) & (F.abs(g - mean) / mean <= share)
+        first, n = F.when(goes, s["first"]).otherwise(s["at"]), F.when(goes, s["n"] + 1).otherwise(1)
+        return F.struct((s["at"] + 1).alias("at"), first.alias("first"), n.alias("n"), F.when(goes, s["sum"] + g).otherwise(g).alias("sum"), F.greatest(n, s["most"]).alias("most"), F.when(n > s["most"], first).otherwise(s["begin"]).alias("begin"))
+
+    page = page.withColumn("run", F.aggregate("gaps", start, run))
+    inside = F.slice("blanks", F.col("run.begin") + 2, F.col("run.most"))
+    even = (F.col("run.most") >= least) & F.forall(inside, lambda v: v >= narrow * font)
+    one = F.size(F.filter("blanks", lambda v: v >= wide * font)) == 1
+    ordered, n = F.array_sort("blanks"), F.size("blanks")
+    median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    page = page.withColumn("how", F.when(even, "even").when(one, "gap")).filter("how is not null")
+    page = page.withColumn("cut", F.when(F.col("how") == "even", median / 2).otherwise(wide * font))
+    parts = F.transform("words", lambda i, k: F.concat(F.when(k == 0, "").when(F.get("blanks", k - 1) >= F.col("cut"), "\n").otherwise(" "), i["text"]))
+    return page.select("page", "row", "how", F.split(F.array_join(parts, ""), "\n").alias("cells"))
 
 
 def fuse_text_layers(blocks: DataFrame, lines: DataFrame, height: float = 12.0) -> DataFrame:

@@ -10,10 +10,12 @@ from docgrowth.operators import similar as s
 from docgrowth.plans.base import query
 
 # The order grid has its rows 20 apart and its columns 100 apart, so the twins can state rows and columns outright.
-query("line_groups", lambda v: h.line_groups(v.text_items), "SELECT page, (row - 1)::INT AS line, min(y) AS y, string_agg(text, '' ORDER BY x) AS text, count(*)::INT AS n FROM {text_items} i GROUP BY page, row")
-query("row_centres", lambda v: h.row_centres(v.text_items).select("page", F.array_join("rows", ",").alias("rows")).select("page", F.size(F.split("rows", ",")).alias("n")), "SELECT page, count(DISTINCT floor(y / 3 + 0.5))::INT AS n FROM {text_items} i GROUP BY page")
-_GX = "(SELECT page, floor(x / 4 + 0.5) * 4 AS gx, count(*) AS n FROM {text_items} i GROUP BY ALL)"
-query("column_centres", lambda v: h.column_centres(v.text_items).select("page", F.size("columns").alias("n")), "SELECT page, 4::INT AS n FROM {text_items} i GROUP BY page")
+_UNEVEN = "SELECT page, row, x, y + CASE WHEN col = 0 THEN 2 ELSE 0 END AS y, text FROM {text_items} i"
+query("line_groups", lambda v: h.line_groups(v.sql(_UNEVEN)).drop("left"), "SELECT page, (row - 1)::INT AS line, min(y) + 2 AS y, string_agg(text, '' ORDER BY x) AS text, count(*)::INT AS n FROM {text_items} i GROUP BY page, row")
+_STEPPED = "SELECT page, row, x, y + CASE WHEN col = 3 THEN 5 ELSE 0 END AS y, text FROM {text_items} i"
+query("row_centres", lambda v: h.row_centres(v.sql(_STEPPED)).select("page", F.posexplode("rows").alias("n", "y")), "SELECT l_orderkey AS page, (row - 1)::INT AS n, (floor((100 + 20 * row) / 3e0 + 0.5) + floor((105 + 20 * row) / 3e0 + 0.5)) * 1.5e0 AS y FROM {order_lines} l")
+_GX = "(SELECT page, col, floor(x / 4 + 0.5) * 4 AS gx, min(x) AS x, count(*) AS n FROM {text_items} i GROUP BY ALL)"
+query("column_centres", lambda v: h.column_centres(v.text_items).select("page", F.posexplode("columns").alias("n", "x")), f"SELECT page, col AS n, CASE WHEN max(max(n)) OVER (PARTITION BY page) > 1 THEN min(gx) FILTER (WHERE n > 1) ELSE min(x) END AS x FROM {_GX} g GROUP BY page, col")
 query("grid_assign", lambda v: h.grid_assign(v.text_items).select("page", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "text"), "SELECT page, row - 1 AS r, col::BIGINT AS c, text FROM {text_items} i")
 _SPARSE = "SELECT page, row AS r, col + CASE WHEN row % 3 = 0 THEN 1 ELSE 0 END AS c, CASE WHEN row % 4 = 0 THEN '' ELSE text END AS text FROM {text_items} i"
 query("grid_fix", lambda v: h.grid_fix(v.sql(_SPARSE)).select("page", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "text"), f"""SELECT page, dense_rank() OVER (PARTITION BY page ORDER BY r) - 1 AS r, (CASE WHEN first BETWEEN 1 AND 2 THEN c - first ELSE c END)::BIGINT AS c, text
@@ -54,8 +56,15 @@ _BOX = "SELECT page, block, x, y, w, h FROM {text_blocks} b"
 _BOX2 = "SELECT page, block, x + 25 AS x, y + 7 AS y, w / 2 AS w, h FROM {text_blocks} b WHERE block % 3 <> 1"
 _AREA = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 _FAR = "((a.x + a.w / 2) - (b.x + b.w / 2)) * ((a.x + a.w / 2) - (b.x + b.w / 2)) + ((a.y + a.h / 2) - (b.y + b.h / 2)) * ((a.y + a.h / 2) - (b.y + b.h / 2))"
-query("style_match", lambda v: h.style_match(v.sql(_BOX), v.sql(_BOX2)), f"""SELECT page, block, style, CASE WHEN area > 0 THEN 'overlap' ELSE 'nearest' END AS how FROM (SELECT a.page, a.block, b.block AS style, {_AREA} AS area, row_number() OVER (PARTITION BY a.page, a.block ORDER BY {_AREA} DESC, {_FAR}, b.block) AS n
-    FROM ({_BOX}) a JOIN ({_BOX2}) b ON a.page = b.page) t WHERE n = 1""")
+_DRAWN = "SELECT page, block, x, y, w, h, font, substr(text, 1, 1) AS family FROM {text_blocks} b"
+_DRAWN2 = "SELECT page, block, x + 25 AS x, y + 7 AS y, w / 2 AS w, h, font, substr(text, 2, 1) AS family FROM {text_blocks} b WHERE block % 3 <> 1"
+_NATIVE, _NEAR, _STATED = f"SELECT * FROM ({_DRAWN2}) s WHERE page % 4 = 0", f"SELECT * FROM ({_DRAWN2}) s WHERE page % 4 < 2 AND block % 2 = 0", f"SELECT * FROM ({_DRAWN}) s WHERE page % 4 < 3"
+query("style_match", lambda v: h.style_match(v.sql(_DRAWN), v.sql(_NATIVE), v.sql(_NEAR), h.page_style_stats(v.sql(_STATED))).withColumn("line_height", F.round("line_height", 6)), f"""WITH o AS (SELECT page, block, style, family FROM (SELECT a.page, a.block, b.block AS style, b.family, row_number() OVER (PARTITION BY a.page, a.block ORDER BY {_AREA} DESC, b.block) AS n
+    FROM ({_DRAWN}) a JOIN ({_NATIVE}) b ON a.page = b.page WHERE {_AREA} > 0) t WHERE n = 1), c AS (SELECT page, block, style, family FROM (SELECT a.page, a.block, b.block AS style, b.family, row_number() OVER (PARTITION BY a.page, a.block ORDER BY {_FAR}, b.block) AS n
+    FROM ({_DRAWN}) a JOIN ({_NEAR}) b ON a.page = b.page) t WHERE n = 1), m AS (SELECT page, list_sort(list(font))[(count(*) // 2 + 1)::INT] AS font FROM ({_STATED}) s GROUP BY page), f AS (SELECT page, arg_max(family, (n, -first)) AS family FROM
+    (SELECT page, family, count(*) AS n, min(block) AS first FROM ({_STATED}) s GROUP BY page, family) g GROUP BY page), r AS (SELECT a.page, a.block, CASE WHEN o.style IS NOT NULL THEN 'overlap' WHEN c.style IS NOT NULL THEN 'nearest' WHEN f.family IS NOT NULL THEN 'page' ELSE 'default' END AS how, coalesce(o.style, c.style) AS style,
+    coalesce(o.family, c.family, f.family, '''Arial'', ''Helvetica'', ''Noto Sans SC'', ''Microsoft YaHei'', ''PingFang SC'', sans-serif') AS family, CASE WHEN o.style IS NULL AND c.style IS NULL THEN coalesce(m.font, a.font) ELSE a.font END AS size FROM ({_DRAWN}) a
+    LEFT JOIN o ON a.page = o.page AND a.block = o.block LEFT JOIN c ON a.page = c.page AND a.block = c.block LEFT JOIN m ON a.page = m.page LEFT JOIN f ON a.page = f.page) SELECT page, block, how, style, family, size, round(size * 1.3e0, 6) AS line_height FROM r""")
 _EDITED = "SELECT page, block, x, y, w, h FROM {text_blocks} b WHERE block % 4 = 0"
 query("mask_impact", lambda v: h.mask_impact(v.sql(_BOX).withColumn("h", F.lit(19.0)), v.sql(_EDITED)), f"SELECT DISTINCT a.page, a.block FROM (SELECT page, block, x, y, w, 19e0 AS h FROM {{text_blocks}} b) a JOIN (SELECT page, block, x - 2 AS x, y - 2 AS y, w + 4 AS w, h + 4 AS h FROM ({_EDITED}) e) b ON a.page = b.page AND a.block <> b.block AND {_AREA} > 0")
 query("redaction_hits", lambda v: h.redact(v.sql(_BOX), v.sql(_BOX2)).select("page", "block"), f"SELECT page, block FROM ({_BOX}) a WHERE NOT EXISTS (SELECT 1 FROM ({_BOX2}) b WHERE a.page = b.page AND {_AREA} > 0)")
@@ -66,8 +75,8 @@ query("cell_lookup", lambda v: h.cell_lookup(v.sql(_SEG.replace('"', '`')), v.sq
 query("render_source", lambda v: h.render_source(v.sql(_BOX), v.sql(_EDITED), v.sql(_BOX2)), f"""SELECT page, block, CASE WHEN coalesce(i, 0) < 0.7 THEN 'vector' WHEN coalesce(t, 0) >= 0.3 THEN 'image-ocr' ELSE 'image' END AS source FROM (SELECT a.page, a.block, (SELECT max({_AREA} / (a.w * a.h)) FROM ({_EDITED}) b WHERE a.page = b.page) AS i,
     (SELECT max({_AREA} / (a.w * a.h)) FROM ({_BOX2}) b WHERE a.page = b.page) AS t FROM ({_BOX}) a) s""")
 _SLANT = "SELECT page, row, col, x, y + col * (row % 3) * 0.5e0 AS y FROM {text_items} i"
-_ANGLES = f"(SELECT page, row, degrees(atan(coalesce(regr_slope(y, x), 0))) AS a FROM ({_SLANT}) s GROUP BY page, row HAVING count(*) >= 3)"
-query("page_regression", lambda v: h.page_regression(v.sql(_SLANT)), f"SELECT page, round(quantile_cont(a, 0.5), 9) AS angle, round(greatest(0, least(1, 1 - stddev_pop(a) / 5)), 9) AS confidence FROM {_ANGLES} r GROUP BY page")
+_ANGLES = f"(SELECT page, row, CASE WHEN max(x) > min(x) THEN -degrees(atan(regr_slope(y, x))) END AS a FROM ({_SLANT}) s GROUP BY page, row HAVING count(*) >= 3)"
+query("page_regression", lambda v: h.page_regression(v.sql(_SLANT)), f"SELECT page, floor(round(quantile_cont(a, 0.5), 9) * 10 + 0.5) / 10 AS angle, round(greatest(0, least(1, 1 - stddev_pop(a) / 5)), 9) AS confidence FROM {_ANGLES} r GROUP BY page")
 _CAND = "SELECT page, block, (block * 7 % 11)::DOUBLE AS angle, (block % 5) / 10e0 AS confidence FROM {text_blocks} b"
 query("candidate_agreement", lambda v: h.candidate_agreement(v.sql(_CAND.replace("(block * 7 % 11)::DOUBLE", "cast(block * 7 % 11 AS DOUBLE)"))), f"SELECT page, agreement, CASE WHEN c + 0.6e0 * agreement >= 0.5 THEN a END AS angle FROM (SELECT page, floor(exp(-(max(angle) - min(angle)) / 20) * 100 + 0.5) / 100 AS agreement, max(confidence) AS c, arg_max(angle, (confidence, angle)) AS a FROM ({_CAND}) x GROUP BY page) t")
 query("multi_column_lines", lambda v: h.multi_column_lines(v.text_items).select("page", "row", "gap", "multi"), "SELECT page, row, max(gap) AS gap, coalesce(max(gap) > 15, false) AS multi FROM (SELECT page, row, x - (lag(x) OVER (PARTITION BY page, row ORDER BY x) + 20) AS gap FROM {text_items} i) t GROUP BY page, row")
@@ -143,7 +152,8 @@ query("break_scores", lambda v: ln.break_scores(v.text_items.select("page", "row
     SELECT page, row, col AS n, sum(length(text) + 1) OVER (PARTITION BY page, row ORDER BY col) - 1 AS used, lead(text) OVER (PARTITION BY page, row ORDER BY col) AS next FROM {text_items} i) t WHERE next IS NOT NULL AND used <= 16) s GROUP BY page, row""")
 query("merge_short_lines", lambda v: ln.merge_short_lines(v.text_blocks, 30))
 query("block_text", lambda v: ln.block_text(v.text_blocks).select("page", "left", "right", "lines"), 'SELECT page, min(x) AS "left", max(x + w) AS "right", count(*)::INT AS lines FROM {text_blocks} b GROUP BY page')
-query("table_row_cells", lambda v: ln.table_row_cells(v.text_items), "SELECT page, row, 4::BIGINT AS cells, 100e0 AS mean FROM {text_items} i GROUP BY page, row")
+query("table_row_cells", lambda v: ln.table_row_cells(v.table_words, 10.0).select("page", "row", "how", F.array_join("cells", "|").alias("cells")), """SELECT l_orderkey AS page, row, CASE row % 4 WHEN 1 THEN 'gap' ELSE 'even' END AS how,
+    CASE row % 4 WHEN 0 THEN 'w0|w1|w2|w3|w4|w5' WHEN 1 THEN 'w0 w1|w2 w3' ELSE 'w0|w1|w2|w3|w4 w5' END AS cells FROM {order_lines} l WHERE row % 4 <> 2""")
 _LAYER = "SELECT page, y + block % 3 * 30 AS y, label AS text FROM {text_blocks} b WHERE label IS NOT NULL"
 query("fuse_text_layers", lambda v: ln.fuse_text_layers(v.text_blocks, v.sql(_LAYER)).select("page", "block", "n"), f"SELECT b.page, b.block, count(l.y)::INT AS n FROM {{text_blocks}} b LEFT JOIN ({_LAYER}) l ON b.page = l.page AND l.y BETWEEN b.y - 12 AND b.y + b.h + 12 GROUP BY b.page, b.block")
 query("glyph_lines", lambda v: ln.glyph_lines(v.text_items).select("page", "line", "left", "right", "n"), 'SELECT page, (row - 1) * 4 + col + 1 AS line, x AS "left", x AS "right", 1::BIGINT AS n FROM {text_items} i')

@@ -51,10 +51,11 @@ VIEWS: dict[str, str] = {
         WHEN 4 THEN '; Dear sir, enclosed our resume: skills, education, employment, experience' WHEN 5 THEN '; account, balance, deposit, statement, fee and interest' ELSE '' END) AS head
         FROM (SELECT o_orderkey, o_custkey, o_orderstatus, substr(cast(o_orderdate AS VARCHAR(30)), 9, 2) AS d, substr(cast(o_orderdate AS VARCHAR(30)), 6, 2) AS m,
         substr(cast(o_orderdate AS VARCHAR(30)), 1, 4) AS y FROM {orders}) o JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) l ON o_orderkey = l_orderkey""",
-    "text_items": """SELECT l_orderkey AS page, row, 0 AS col, 40e0 + l_partkey % 3 AS x, 100e0 + 20 * row AS y, cast(cast(l_quantity AS BIGINT) AS VARCHAR(30)) AS text FROM {order_lines} a
-        UNION ALL SELECT l_orderkey, row, 1, 140e0 + l_partkey % 3, 100e0 + 20 * row, cast(cast(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR(30)) FROM {order_lines} b
-        UNION ALL SELECT l_orderkey, row, 2, 240e0 + l_partkey % 3, 100e0 + 20 * row, cast(cast(round(l_discount * 100) AS BIGINT) AS VARCHAR(30)) FROM {order_lines} c
-        UNION ALL SELECT l_orderkey, row, 3, 340e0 + l_partkey % 3, 100e0 + 20 * row, cast(cast(round(l_tax * 100) AS BIGINT) AS VARCHAR(30)) FROM {order_lines} d""",
+    "text_items": """SELECT l_orderkey AS page, row, col, 40e0 + 100 * col + l_partkey % 3 AS x, 100e0 + 20 * row AS y, cast(CASE col WHEN 0 THEN cast(l_quantity AS BIGINT)
+        WHEN 1 THEN cast(round(l_extendedprice * 100) AS BIGINT) WHEN 2 THEN cast(round(l_discount * 100) AS BIGINT) ELSE cast(round(l_tax * 100) AS BIGINT) END AS VARCHAR(30)) AS text
+        FROM (SELECT *, unnest([0, 1, 2, 3]) AS col FROM {order_lines} o) l""",
+    "table_words": """SELECT page, row, x, 20e0 AS w, concat('w', cast(k AS VARCHAR(5))) AS text FROM (SELECT page, row, k, CASE row % 4 WHEN 0 THEN 40e0 + 80 * k WHEN 1 THEN 40e0 + 25 * k + CASE WHEN k > 1 THEN 75 ELSE 0 END
+        WHEN 2 THEN 40e0 + 23 * k + k * k ELSE 40e0 + CASE WHEN k < 5 THEN 80 * k ELSE 345 END END AS x FROM (SELECT l_orderkey AS page, row, unnest([0, 1, 2, 3, 4, 5]) AS k FROM {order_lines} o) a WHERE k < CASE row % 4 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 6 END) b""",
     "text_blocks": """SELECT l_orderkey AS page, row AS block, 40e0 + l_partkey % 3 AS x, 100e0 + 20 * row AS y, 60e0 + l_linenumber * 5 AS w, 12e0 AS h,
         CASE l_returnflag WHEN 'A' THEN 'stamp' WHEN 'N' THEN 'text' END AS label, p_name AS text, 8e0 + p_size % 5 AS font
         FROM {order_lines} l JOIN {part} p ON l_partkey = p_partkey""",
@@ -107,11 +108,11 @@ class Views:
 
     def sql(self, text: str) -> DataFrame:
         """The result of SQL that names views and tables as {name}."""
-        return self.spark.sql(expand(text, self.tables))
+        return self.spark.sql(re.sub(r"unnest\(\[([0-9, ]+)\]\)", r"explode(array(\1))", expand(text, self.tables)))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.spark.sql(expand(VIEWS[name], self.tables))
+            return self.sql(VIEWS[name])
         if name in TABLES:
             return self.spark.sql(f"SELECT * FROM {self.tables[name]}")
         raise AttributeError(name)

@@ -9,7 +9,9 @@ from docgrowth.operators import catalog as c
 from docgrowth.operators import documents as d
 from docgrowth.operators import growth as g
 from docgrowth.operators import layout as h
+from docgrowth.operators import lines as ln
 from docgrowth.operators import quality as q
+from docgrowth.operators import similar as s
 
 
 def made(spark, rows, form):
@@ -112,3 +114,55 @@ def test_fonts(spark):
     names = made(spark, [("ABCDEF+Arial-Bold",), ("abcdef+Times",), ("HeavyBold",), ("Foo_Oblique",), ("SimSong",), (None,)], "name string")
     got = [(r["weight"], r["italic"], r["family"]) for r in h.font_name_parse(names).collect()]
     assert got[0] == (700, False, "Arial, sans-serif") and got[1][2].startswith("'Times New Roman'") and got[2][0] == 700 and got[3][:2] == (400, True) and got[4][2] == "'SimSun', 'Songti SC', serif"
+
+
+ITEM = "page int, x double, y double, text string"
+
+
+def test_a_late_group_joins_the_line_it_is_level_with(spark):
+    # values less than 3 apart are one band, in which x decides: 18 is 8 off the first y and starts a line, from which 12 is not far enough to start another
+    rows = [(1, 0.0, 10.0, "a"), (1, 5.0, 18.0, "b"), (1, 10.0, 12.0, "c"), (1, 60.0, 14.0, "d"), (1, 70.0, 16.0, "e"), (2, 0.0, 0.0, "p"), (2, 0.0, 7.9, "q"), (2, 0.0, 8.0, "r"), (2, 1.0, 40.0, "s")]
+    got = [(r["page"], r["line"], r["y"], r["text"], r["left"], r["n"]) for r in h.line_groups(made(spark, rows, ITEM)).orderBy("page", "line").collect()]
+    assert got == [(1, 0, 10.0, "a", 0.0, 1), (1, 1, 18.0, "bcde", 5.0, 4), (2, 0, 0.0, "pq", 0.0, 2), (2, 1, 8.0, "r", 0.0, 1), (2, 2, 40.0, "s", 1.0, 1)]
+    # here 10 starts a third group, level with the first line
+    late = [(1, 0.0, 10.0, "a"), (1, 5.0, 18.0, "b"), (1, 10.0, 10.0, "c"), (1, 11.0, 12.5, "m"), (1, 12.0, 15.2, "n"), (1, 90.0, 10.0, "z")]
+    assert [(r["y"], r["text"]) for r in h.line_groups(made(spark, late, ITEM)).orderBy("line").collect()] == [(10.0, "acmnz"), (18.0, "b")]
+    assert h.line_groups(made(spark, [], ITEM)).count() == 0
+
+
+def test_centres_at_their_thresholds(spark):
+    form = "page int, x double, y double, h double, text string"
+    tall = made(spark, [(1, 1.0, 0.0, 20.0, "a"), (1, 14.0, 12.0, 20.0, "b"), (1, 30.0, 27.0, 20.0, "c"), (2, 2.0, 0.0, 1.0, "d"), (2, 2.0, 9.0, 1.0, "e")], form)
+    assert {r["page"]: r["rows"] for r in h.row_centres(tall).collect()} == {1: [6.0, 27.0], 2: [0.0, 9.0]}  # 0.6 of 20 is 12, that of 1 less than 8
+    assert {r["page"]: r["columns"] for r in h.column_centres(tall).collect()} == {1: [1.0, 30.0], 2: [2.0]}  # off the grid, over 15 apart
+
+
+def test_cells_of_rows(spark):
+    def row(n, *at, w=20.0):
+        return [(1, n, float(x), w, chr(97 + k)) for k, x in enumerate(at)]
+
+    rows = row(1, 0, 50) + row(2, 0, 49) + row(3, 0) + row(4, 0, 26, 52, 78, 104) + row(5, 0, 25.9, 51.8, 77.7, 103.6) + row(6, 0, 60, 120) + row(7, 0, 80, 160, 240.9, 321) + row(8, 0, 80, 160, 243, 321)
+    got = {r["row"]: (r["how"], r["cells"]) for r in ln.table_row_cells(made(spark, rows, "page int, row int, x double, w double, text string"), 10.0).collect()}
+    assert got == {1: ("gap", ["a", "b"]), 4: ("even", [*"abcde"]), 7: ("even", [*"abcde"])}  # 5: blanks of 5.9 are too narrow; 6: two wide blanks; 8: over 2 % off
+
+
+def test_styles_fall_through_to_the_default(spark):
+    box = "page int, block int, x double, y double, w double, h double, font double, family string"
+    blocks = made(spark, [(p, 1, 0.0, 0.0, 10.0, 10.0, 12.0, "own") for p in range(1, 5)], box)
+    native = made(spark, [(1, 7, 5.0, 5.0, 9.0, 9.0, 1.0, "N"), (1, 8, 5.0, 5.0, 9.0, 9.0, 1.0, "M"), (2, 7, 10.0, 0.0, 9.0, 9.0, 1.0, "touching")], box)
+    near = made(spark, [(1, 9, 0.0, 0.0, 10.0, 10.0, 1.0, "X"), (2, 9, 50.0, 0.0, 10.0, 10.0, 1.0, "X")], box)
+    stats = made(spark, [(p, 20.0, 26.0, "S") for p in (1, 2, 3)], "page int, font double, line_height double, family string")
+    got = {r["page"]: (r["how"], r["style"], r["family"], r["size"]) for r in h.style_match(blocks, native, near, stats).collect()}
+    assert got == {1: ("overlap", 7, "N", 12.0), 2: ("nearest", 9, "X", 12.0), 3: ("page", None, "S", 20.0), 4: ("default", None, h.DEFAULT_FAMILY, 12.0)}
+    assert h.style_match(blocks, native.limit(0)).filter("how <> 'default'").count() == 0
+
+
+def test_slope_of_rows(spark):
+    rows = [(1, float(x), 100.0 + x, "") for x in (0, 1, 2)] + [(1, float(x), 110.0, "") for x in (0, 1, 2)] + [(2, 0.0, 1.0, ""), (2, 1.0, 1.0, "")] + [(3, 5.0, float(y), "") for y in range(3)]
+    got = {r["page"]: (r["angle"], r["confidence"]) for r in h.page_regression(made(spark, rows, ITEM)).collect()}
+    assert got == {1: (-22.5, 0.0), 2: (0.0, 0.0), 3: (0.0, 0.0)}
+
+
+def test_grams(spark):
+    texts = made(spark, [("",), ("ab",), ("abc",), ("aé😀b",), (None,)], "t string")
+    assert [r[0] for r in texts.select(s.grams(F.col("t"), 3)).collect()] == [[], [], ["abc"], ["aé😀", "é😀b"], None]
