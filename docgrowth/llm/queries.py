@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrowth.llm import ann, decontam, html, jaccard, langid, packing, pii, suffixes, tokens, toxicity, urls
+from docgrowth.llm import align, ann, decontam, html, jaccard, langid, packing, pii, search, suffixes, tokens, toxicity, urls
 from docgrowth.llm.tables import table
 
 
@@ -69,9 +69,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _in_split("doc_id", 3, 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_nearest, op3_packing, op4_jaccard_join, op5_decontamination, op6_url_filter, op7_token_matrix, op8_language, op9_main_text, op10_toxicity, op13_suffix_dedup)}
-ORACLE: dict[str, str] = {"op6_url_filter": urls.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_nearest, op3_packing, op4_jaccard_join, op5_decontamination, op6_url_filter, op7_token_matrix, op8_language, op9_main_text, op10_toxicity, op11_ranked_search, op12_alignment, op13_suffix_dedup)}
+ORACLE: dict[str, str] = {"op6_url_filter": urls.SQL, "op11_ranked_search": search.SQL}
