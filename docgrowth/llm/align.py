@@ -170,7 +170,7 @@ def sides(a_path: str, b_path: str) -> Sides:
     return Sides(a_path, b_path)
 
 
-def pair_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def pair_counts(rows: DataFrame, a_path: str, b_path: str, kept_units: int = UNITS) -> DataFrame:
     """(pair, n, best): links of each pair of ids over all texts, and whether no other A id is linked more with its B id."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +182,7 @@ def pair_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
             return pd.DataFrame({"pair": pair, "n": np.bincount(where[: len(each)], weights=each, minlength=len(pair)).astype(np.int64)})
 
         for b in batches:
-            if len(units.text) > UNITS:
+            if len(units.text) > kept_units:
                 yield sums()
                 units.clear()
                 times = np.zeros(0, np.int64)
@@ -197,10 +197,10 @@ def pair_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return summed.withColumn("best", F.col("n") == top)
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", pairs: int = PAIRS) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", pairs: int = PAIRS, kept_units: int = UNITS) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
-    counts = written(pair_counts(rows, a_path, b_path), "pairs")
+    counts = written(pair_counts(rows, a_path, b_path, kept_units), "pairs")
     kept = None
     if counts.count() <= pairs:
         table = counts.orderBy("pair").toPandas()
@@ -219,7 +219,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units, value = Units(sides(a_path, b_path)), np.zeros((0, 2), np.int64)
         for b in batches:
-            if len(units.text) > UNITS:
+            if len(units.text) > kept_units:
                 units.clear()
                 value = np.zeros((0, 2), np.int64)
             found = units.of([*b["t"]])
@@ -236,7 +236,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
         """Each document's pairs with their times; pair -1 counts the document's rows."""
         units = Units(sides(a_path, b_path))
         for b in batches:
-            if len(units.text) > UNITS:
+            if len(units.text) > kept_units:
                 units.clear()
             for k, at in zip(b["k"], units.of([*b["t"]]), strict=True):
                 met = [units.pairs[units.begins[x] : units.begins[x + 1]] for x in at] if at is not None else []

@@ -15,8 +15,9 @@ and of all bytes of the windows that share the anchor (its context).
 * Equal contexts: all but the first in the corpus are repeats, whole.
 * Different contexts of one gram: the first of each is opened into its windows, which are
   compared within the gram. Contexts travel as bytes and are opened where they are compared.
-  A gram that touches the end of a range may go on in the next, so its windows are dealt
-  out and sorted once more, each by itself; no gram has to fit one task.
+  A gram with more than `SPLIT` contexts doesn't have to fit one task: its contexts are dealt
+  out over ranges, what repeats within a range is settled there, and the windows that are
+  left are dealt out and sorted once more, each by itself.
 * Contexts that repeat within a batch of texts are settled before anything is sent.
 
 Order of the corpus: by id, then by place. Defined results: null text is empty; texts of
@@ -38,12 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrowth.functions.shared import forgotten, written
+from docgrowth.functions.shared import written
 from docgrowth.llm.hashing import CHUNK, _Powers, _R, mix
 
 GRAM = 24
-#: Windows that one step of a task opens and sorts at once.
+#: Bytes of contexts that one step of a task opens and sorts at once.
 STEP = 1 << 20
+#: Contexts of a gram that one task compares; more are split.
+SPLIT = 2000
+#: Grams that are split are broadcast up to so many (8 MB), else joined by a shuffle.
+BROADCAST = 1_000_000
 _VALUES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _R)
 _KEYS = ["k", "c", "d", "tie", "p"]
 _ROW = "k long, c long, d long, tie long, p long, lo long, hi long"
@@ -261,19 +266,17 @@ def _contexts(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
     return one.mapInPandas(cut, "k long, d long, tie long, lo long, raw binary")
 
 
-def _windows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """A range of contexts, opened and compared gram by gram; windows of the two grams at its ends are sent on."""
+def _windows(batches: Iterator[pd.DataFrame], length: int, whole: bool) -> Iterator[pd.DataFrame]:
+    """Contexts opened and compared gram by gram; if grams are not `whole` here, windows that don't repeat here are sent on."""
     held = _gathered(batches, ["k", "d", "tie", "lo", "raw"])
     order = multikey_order(held[:4])
     k, d, tie, lo, raw = (x[order] for x in held)
     if not len(k):
         return
     size = np.fromiter(map(len, raw), np.int64, len(raw))
-    start = np.flatnonzero(_new(k))
     load = np.concatenate(([0], np.cumsum(size)))
-    # whole grams, some STEP bytes at a time
-    cuts = [0]
-    for s in np.append(start[1:], len(k)).tolist():
+    cuts = [0]  # after whole grams, where they fit a step or have to be together
+    for s in np.append(np.flatnonzero(_new(k))[1:], len(k)).tolist():
         if s == len(k) or load[s] - load[cuts[-1]] >= STEP:
             cuts.append(s)
     for i, j in zip(cuts, cuts[1:], strict=False):
@@ -285,22 +288,26 @@ def _windows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         cols = [k[which], at.of(begin, begin + length).view(np.int64), d[which], tie[which], lo[which] + nth]
         by = multikey_order(cols)
         kk, c, dd, tt, p = (x[by] for x in cols)
-        edge = (kk == k[0]) | (kk == k[-1])
-        again = ~_new(kk, c) & _new(kk, c, dd, tt, p) & ~edge
+        first, other = _new(kk, c), _new(kk, c, dd, tt, p)
+        again = ~first & other
         dd2, tt2, lo2, hi2 = merged(dd[again], tt[again], p[again], p[again] + length)
         yield pd.DataFrame({"kind": _SPAN, "k": 0, "c": 0, "d": dd2, "tie": tt2, "p": 0, "lo": lo2, "hi": hi2})
-        yield pd.DataFrame({"kind": _WINDOW, "k": kk[edge], "c": c[edge], "d": dd[edge], "tie": tt[edge], "p": p[edge], "lo": p[edge], "hi": p[edge]})
+        if not whole:
+            yield pd.DataFrame({"kind": _WINDOW, "k": kk[first], "c": c[first], "d": dd[first], "tie": tt[first], "p": p[first], "lo": p[first], "hi": p[first]})
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(d, tie, lo, hi): byte ranges of documents (d, tie, t) that repeat; they may overlap each other."""
     spans, opened = _sorted(_anchor_rows(docs, length, gram), length, "suffixes")
     contexts = written(_contexts(docs, opened, length), "contexts")
-    by_range = contexts.repartitionByRange("k", "d", "tie", "lo")
-    windows = written(by_range.mapInPandas(lambda batches: _windows(batches, length), f"kind int, {_ROW}"), "windows")
-    forgotten(contexts)
-    ends, _ = _sorted(windows.filter(F.col("kind") == _WINDOW).drop("kind"), length, "ends")
-    return spans.union(windows.filter(F.col("kind") == _SPAN).select("d", "tie", "lo", "hi")).union(ends)
+    hot = written(contexts.groupBy("k").count().filter(F.col("count") > SPLIT).select("k"), "hot_grams")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST else hot
+    opened_here = lambda rows, whole: rows.mapInPandas(lambda batches: _windows(batches, length, whole), f"kind int, {_ROW}")
+    cool = opened_here(contexts.join(hot, "k", "left_anti").repartition("k"), True)
+    split = written(opened_here(contexts.join(hot, "k", "left_semi").repartitionByRange("k", "d", "tie", "lo"), False), "windows")
+    ends, _ = _sorted(split.filter(F.col("kind") == _WINDOW).drop("kind"), length, "ends")
+    settled = cool.union(split.filter(F.col("kind") == _SPAN)).select("d", "tie", "lo", "hi")
+    return spans.union(settled).union(ends)
 
 
 def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", gram: int = GRAM, keep: bool = False) -> DataFrame:

@@ -66,11 +66,10 @@ def noise(seed, n):
 
 
 @pytest.mark.parametrize(("bound", "kept"), [(1_000_000, 200_000), (0, 200_000), (1_000_000, 5), (0, 5)])
-def test_equals_a_plain_walk(spark, monkeypatch, bound, kept):
-    monkeypatch.setattr(align, "UNITS", kept)
+def test_equals_a_plain_walk(spark, bound, kept):
     docs = [*noise(1, 300), (None, "null id"), (-1, None), (-2, ""), (-3, " "), (-4, "  "), (-5, "\n"), (-6, "\nfoo"), (-7, "a "), (2**60 + 1, "big id")]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    got = results(align.align(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), A, B, pairs=bound))
+    got = results(align.align(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), A, B, pairs=bound, kept_units=kept))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     assert got == plain(docs)
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from docgrowth.llm import queries, suffixes
@@ -51,7 +52,8 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize(("seed", "length", "gram"), [(0, 100, 24), (1, 20, 8), (2, 20, 20), (3, 5, 1)])
-def test_equals_a_plain_search(spark, seed, length, gram):
+def test_equals_a_plain_search(spark, monkeypatch, seed, length, gram):
+    monkeypatch.setattr(suffixes, "SPLIT", seed)
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     assert results(suffixes.without_repeats(df, length, gram=gram)) == plain(docs, length)
@@ -62,13 +64,14 @@ def test_given_documents(spark):
     assert results(queries.op13_suffix_dedup(spark, DATA)) == plain(docs, 100)
 
 
-def test_one_gram_in_most_rows_is_split_over_ranges(spark, monkeypatch):
-    """A passage that stands in every document between different neighbours: its gram spans all ranges."""
+@pytest.mark.parametrize("split", [20, 2000])
+def test_one_gram_in_most_rows_is_split_over_ranges(spark, monkeypatch, split):
+    """A passage that stands in every document between different neighbours: its grams span all ranges."""
+    monkeypatch.setattr(suffixes, "SPLIT", split)
     r = random.Random(5)
     word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
     passage = word(130)
     docs = [(n, word(150) + passage + word(150)) for n in range(400)]
-    monkeypatch.setattr(suffixes, "STEP", 1000)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = results(suffixes.without_repeats(df))
     assert got == plain(docs, 100)
@@ -84,11 +87,36 @@ def test_rows_that_repeat_an_id(spark):
     assert {(2, b"", 200)} == {x for x in rest if x[0] == 2}
 
 
-def test_long_texts_are_cut_without_a_seam(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "CHUNK", 512)
-    docs = corpus(7)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert results(suffixes.without_repeats(df)) == plain(docs, 100)
+def test_long_texts_are_cut_without_a_seam(monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 64)
+    texts = [b"x" * n for n in (0, 9, 10, 11, 41, 42, 50, 500)]
+    starts = {n: [] for n in range(len(texts))}
+    for rows, at, raw in suffixes._parts(texts, 10):
+        assert sum(map(len, raw)) <= 64
+        for n, a, part in zip(rows, at, raw, strict=True):
+            assert part == texts[n][a : a + len(part)]
+            starts[n] += range(a, a + len(part) - 9)
+    assert starts == {n: [*range(len(t) - 9)] for n, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("step", [1, 100, 1 << 20])
+def test_windows_of_a_range_by_steps(monkeypatch, step):
+    monkeypatch.setattr(suffixes, "STEP", step)
+    r = random.Random(step)
+    raws = ["".join(r.choice("ab") for _ in range(r.randint(6, 12))).encode() for _ in range(200)]
+    k = [n % 7 for n in range(200)]
+    rows = pd.DataFrame({"k": k, "d": range(200), "tie": 0, "lo": 0, "raw": raws})
+    got = pd.concat([*suffixes._windows(iter([rows[:90], rows[90:]]), 6, True)])
+    met, want = set(), {}
+    for n, raw in enumerate(raws):
+        for s in range(len(raw) - 5):
+            if (x := (k[n], raw[s : s + 6])) in met:
+                want.setdefault(n, set()).update(range(s, s + 6))
+            met.add(x)
+    covered = {}
+    for d, lo, hi in zip(got["d"], got["lo"], got["hi"], strict=True):
+        covered.setdefault(d, set()).update(range(lo, hi))
+    assert covered == want
 
 
 def test_edges(spark):
