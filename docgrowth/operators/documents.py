@@ -158,10 +158,30 @@ def visual_object_type(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("kind", F.when(has_any(low, STAMP), "Stamp").when(has_any(low, SIGNED), "Signature").when(of.isNotNull(), of).otherwise("Text"))
 
 
-def image_class(images: DataFrame, page_w: float, page_h: float) -> DataFrame:
-    share = F.col("w") * F.col("h") / (page_w * page_h)
-    band = (F.col("y") < page_h * 0.1) | (F.col("y") > page_h * 0.9)
-    return images.withColumn("class", F.when(share >= 0.9, "pdf-fallback").when(F.col("label") == "stamp", "signature").when(band & (share < 0.2), "decoration").otherwise("image"))
+# The classes of placed objects.
+OBJECT_CLASSES = ("glyph", "vector", "pdf-fallback", "signature", "decoration", "image", "annotation")
+
+
+def image_class(images: DataFrame) -> DataFrame:
+    """Images with class and confidence: fills the page, is a signature (by label or rotation), a small image in the band of header or footer, else an image.
+
+    Needs y, w, h, page_w, page_h, label and rotation; a page without a size makes an image that is hardly sure.
+    """
+    share = F.col("w") * F.col("h") / (F.col("page_w") * F.col("page_h"))
+    band = (F.col("y") < F.col("page_h") * 0.1) | (F.col("y") + F.col("h") > F.col("page_h") * 0.9)
+    signed = (F.col("label") == "signature") | (F.abs("rotation") > 0.001)
+    rules = [
+        (~F.coalesce((F.col("page_w") > 0) & (F.col("page_h") > 0), F.lit(False)), "image", 0.3), (share >= 0.9, "pdf-fallback", 0.95), (signed, "signature", 0.85),
+        (band & (F.col("h") < F.col("page_h") * 0.2) & (share < 0.2), "decoration", 0.6), (F.lit(True), "image", 0.5),
+    ]
+    how = F.coalesce(*(F.when(rule, F.struct(F.lit(name).alias("class"), F.lit(sure).alias("confidence"))) for rule, name, sure in rules))
+    return images.withColumns({"class": how["class"], "confidence": how["confidence"]})
+
+
+def object_counts(classed: DataFrame, by: str) -> DataFrame:
+    """(by, class, n): objects of each class of each group, zeros too."""
+    n = F.array(*(F.struct(F.lit(c).alias("class"), F.count_if(F.col("class") == c).alias("n")) for c in OBJECT_CLASSES))
+    return classed.groupBy(by).agg(n.alias("counts")).select(by, F.inline("counts"))
 
 
 def geometry_strategy(blocks: DataFrame, page_height: float) -> DataFrame:

@@ -113,9 +113,13 @@ def table_region(items: DataFrame, least: int = 10, grid: float = 3, pad: float
 
 
 def text_columns(lines: DataFrame, grid: float = 10, gap: float = 30) -> DataFrame:
-    """Lines in the row-major interleave of their columns: the k-th of each column together."""
+    """Lines with their column and place: the k-th lines of all columns together, row by row.
+
+    Columns begin at left edges, on a grid, more than `gap` from the last one; a line is in the nearest, the first on ties.
+    Pages with a single column keep the order of y, x and block.
+    """
     starts = lines.groupBy("page").agg(F.array_sort(F.collect_set(half_up(F.col("x") / grid) * float(grid))).alias("xs")).select("page", _kept(F.col("xs"), gap).alias("columns"))
-    met = lines.join(starts, "page").withColumn("column", F.greatest(F.size(F.filter("columns", lambda c: c <= F.col("x") + grid / 2)), F.lit(1)))
+    met = lines.join(starts, "page").withColumn("column", F.when(F.size("columns") > 1, _nearest(F.col("x"), F.col("columns"))["i"] + 1).otherwise(1))
     rank = F.row_number().over(W.partitionBy("page", "column").orderBy("y", "x", "block"))
     return met.withColumn("rank", rank).withColumn("place", F.row_number().over(W.partitionBy("page").orderBy("rank", "column")))
 
@@ -135,13 +139,31 @@ def paragraph_merge(blocks: DataFrame, gap: float = 2.5, shift: float = 20.0, fo
 
 
 def table_blocks(lines: DataFrame, least: int = 3, grid: float = 5) -> DataFrame:
-    """Runs of lines whose x recurs on the page: runs of over two are tables, the others paragraphs."""
-    b = F.floor(F.col("x") / grid)
-    marked = lines.withColumn("_b", b).withColumn("_aligned", F.count("*").over(W.partitionBy("page", "_b")) >= least)
-    same = F.col("_aligned") & (F.col("_b") == F.lag("_b").over(W.partitionBy("page").orderBy("y", "x", "block")))
-    run = islands(marked.withColumn("_same", F.coalesce(same, F.lit(False))), "page", ["y", "x", "block"], F.col("_same"), "run")
-    n = F.count("*").over(W.partitionBy("page", "run"))
-    return run.withColumn("kind", F.when(n > 2, "table").otherwise("paragraph")).drop("_b", "_aligned", "_same")
+    """Lines with the run they are in, and whether that is a table.
+
+    Left edges on a grid that `least` lines of the page share are aligned; a page of fewer lines, or with fewer than two
+    aligned edges, has paragraphs only. From top to bottom, a run is cut before an aligned line whose edge is not that of
+    the line before, and before an unaligned line once the run has more than two; so the cut depends on the run's length,
+    which a fold keeps. Runs of more than two lines are tables; every other line is a run of its own.
+    """
+    at = half_up(F.col("x") / grid).cast("long")
+    marked = lines.withColumn("_at", at).withColumn("_often", F.count("*").over(W.partitionBy("page", "_at")) >= least)
+    item = F.struct("y", "x", "block", "_at", "_often")
+    page = marked.groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("items"), F.size(F.collect_set(F.when(F.col("_often"), F.col("_at")))).alias("edges"))
+    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).alias("n"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("runs"))
+
+    def step(s: Column, i: Column) -> Column:
+        cut = (s["n"] > 0) & F.when(i["_often"], i["_at"] != s["at"]).otherwise(s["n"] > 2)
+        run = s["run"] + cut.cast("int")
+        return F.struct(i["_at"].alias("at"), F.when(cut, 1).otherwise(s["n"] + 1).alias("n"), run.alias("run"), F.concat(s["runs"], F.array(run)).alias("runs"))
+
+    gate = (F.size("items") >= 3) & (F.col("edges") >= 2)
+    runs = F.when(gate, F.aggregate("items", start, step)["runs"])
+    rows = page.select("page", F.explode(F.transform("items", lambda i, k: F.struct(i["block"].alias("block"), F.get(runs, k).alias("run"), k.alias("k")))).alias("l")).select("page", "l.*")
+    table = F.coalesce(F.count("run").over(W.partitionBy("page", "run")) > 2, F.lit(False))
+    rows = rows.withColumn("kind", F.when(table, "table").otherwise("paragraph"))
+    first = F.when(F.col("kind") == "table", F.min("k").over(W.partitionBy("page", "run"))).otherwise(F.col("k"))
+    return lines.join(rows.withColumn("run", F.dense_rank().over(W.partitionBy("page").orderBy(first))).drop("k"), ["page", "block"])
 
 
 def block_types(blocks: DataFrame) -> DataFrame:
@@ -156,25 +178,26 @@ def doc_quality(typed: DataFrame) -> DataFrame:
 
 
 def line_groups(items: DataFrame, near: float = 8.0, level: float = 3.0, right: float = 30.0) -> DataFrame:
-    """(page, line, y, text, left, n): items folded into lines; texts joined without blanks.
+    """(page, line, y, text, left, n, font): items folded into lines; texts joined without blanks, the font their mean (null where items have none).
 
     Items follow each other by y, those less than `level` below the one before by x. A group holds items while they are
     near its first y; a later group joins the first line whose first y is near its own and whose last item is not more
     than `right` left of it.
     """
+    font = F.col("font").cast("double") if "font" in items.columns else F.lit(None).cast("double")
     above = F.lag("y").over(W.partitionBy("page").orderBy("y", "x", "text"))
     banded = islands(items.withColumn("_above", above), "page", ["y", "x", "text"], F.col("y") - F.col("_above") < level, "_band")
-    page = banded.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("_band", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text"))).alias("items"))
+    page = banded.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("_band", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "text", font.alias("font")))).alias("items"))
     last = lambda a: F.try_element_at(a, F.lit(-1))
 
-    def line(y: Column, first: Column, end: Column, text: Column, left: Column, n: Column) -> Column:
-        return F.struct(y.alias("y"), first.alias("first"), end.alias("end"), text.alias("text"), left.alias("left"), n.alias("n"))
+    def line(y: Column, first: Column, end: Column, text: Column, left: Column, n: Column, fonts: Column) -> Column:
+        return F.struct(y.alias("y"), first.alias("first"), end.alias("end"), text.alias("text"), left.alias("left"), n.alias("n"), fonts.alias("fonts"))
 
     def joined(a: Column, b: Column) -> Column:
-        return line(a["y"], a["first"], b["end"], F.concat(a["text"], b["text"]), F.least(a["left"], b["left"]), a["n"] + b["n"])
+        return line(a["y"], a["first"], b["end"], F.concat(a["text"], b["text"]), F.least(a["left"], b["left"]), a["n"] + b["n"], a["fonts"] + b["fonts"])
 
     def group(groups: Column, i: Column) -> Column:
-        one = line(i["y"], i["x"], i["x"], i["text"], i["x"], F.lit(1))
+        one = line(i["y"], i["x"], i["x"], i["text"], i["x"], F.lit(1), i["font"])
         held = (F.size(groups) > 0) & (F.abs(i["y"] - last(groups)["y"]) < near)
         return F.when(held, F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(joined(last(groups), one)))).otherwise(F.concat(groups, F.array(one)))
 
@@ -183,11 +206,11 @@ def line_groups(items: DataFrame, near: float = 8.0, level: float = 3.0, right:
         at = F.array_position(fits, F.lit(True))
         return F.when(at > 0, F.transform(lines, lambda m, k: F.when(k + 1 == at, joined(m, g)).otherwise(m))).otherwise(F.concat(lines, F.array(g)))
 
-    empty = F.array().cast("array<struct<y:double,first:double,end:double,text:string,left:double,n:int>>")
+    empty = F.array().cast("array<struct<y:double,first:double,end:double,text:string,left:double,n:int,fonts:double>>")
     grouped = page.select("page", F.aggregate("items", empty, group).alias("groups"))
     lines = grouped.select("page", F.aggregate("groups", empty, late).alias("lines"))
     order = F.array_sort(F.transform("lines", lambda m, k: F.struct(m["y"].alias("y"), k.alias("k"), m.alias("m"))))
-    return lines.select("page", F.posexplode(order).alias("line", "l")).select("page", "line", "l.m.y", "l.m.text", "l.m.left", "l.m.n")
+    return lines.select("page", F.posexplode(order).alias("line", "l")).select("page", "line", "l.m.y", "l.m.text", "l.m.left", "l.m.n", (F.col("l.m.fonts") / F.col("l.m.n")).alias("font"))
 
 
 def merge_initial(items: DataFrame, gap: float = 5.0, width: float = 6.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Line-level layout: clusters of glyphs, stability, breaks, short lines, cells of a row, fused layers."""
+"""Line-level layout: clusters of glyphs, stability, text of blocks, cells of a row, fused layers."""
 
 from __future__ import annotations
 
@@ -33,34 +33,6 @@ def line_stability(lines: DataFrame) -> DataFrame:
     return marked.groupBy("page").agg(half_up(F.round(score * 100, 6)).alias("score"))
 
 
-def break_scores(words: DataFrame, width: int) -> DataFrame:
-    """Every boundary between words scored by how well the text before it fills the width; the best one per row.
-
-    A boundary is vetoed where it would part a protected pair (a number and its unit).
-    """
-    w = W.partitionBy("page", "row").orderBy("n")
-    used = F.sum(F.length("word") + 1).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1
-    after = F.lead("word").over(w)
-    pair = F.col("word").rlike("^[0-9]+$") & F.coalesce(after.rlike("^(?:kg|cm|mm|%|pcs)$"), F.lit(False))
-    rows = words.withColumn("used", used).withColumn("after", after).withColumn("pair", pair)
-    score = F.exp(-F.pow((F.col("used") / width - 0.9) / 0.1, 2) / 2) + F.when(F.col("word").rlike("[.,;:]$"), 0.35).otherwise(0.0)
-    ok = rows.filter(F.col("after").isNotNull() & ~F.col("pair") & (F.col("used") <= width)).withColumn("score", F.round(score, 9))
-    return ok.groupBy("page", "row").agg(F.max_by("n", F.struct("score", (-F.col("n")).alias("k"))).alias("n"), F.max("score").alias("score"))
-
-
-def merge_short_lines(lines: DataFrame, width: int) -> DataFrame:
-    """Lines of one word joined to the line before where both fit."""
-    fold_type = "array<string>"
-
-    def fold(kept: Column, line: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        fits = (F.size(kept) > 0) & ~line.contains(" ") & (F.length(last) + 1 + F.length(line) <= width)
-        return F.when(fits, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.concat(last, F.lit(" "), line)))).otherwise(F.concat(kept, F.array(line)))
-
-    page = lines.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]).alias("lines"))
-    return page.select("page", F.posexplode(F.aggregate("lines", F.array().cast(fold_type), fold)).alias("n", "text"))
-
-
 def block_text(items: DataFrame, least: float = 2.0, share: float = 0.3) -> DataFrame:
     """Text of a page's items by line (new line where y leaves the line's first by more than max(least, share of its height)), and the box around them."""
     page = items.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "text", "h"))).alias("items"), F.min("x").alias("left"), F.max(F.col("x") + F.col("w")).alias("right"))
@@ -107,32 +79,26 @@ def table_row_cells(words: DataFrame, font: float, share: float = 0.02, least: i
 
 
 def fuse_text_layers(blocks: DataFrame, lines: DataFrame, height: float = 12.0) -> DataFrame:
-    """Text lines within a line height of a block's band, on whole buckets of y; blocks without any keep their own text."""
+    """(page, block, line, y, text, how): the lines of each block.
+
+    Text lines within a line height of the block's band, by y ("layer"; met on whole buckets of y). A block that has none
+    is split evenly ("split"): into as many lines as fit its height, by its own line ends if it has that many, else by
+    equal numbers of words. Blocks without text or width stay one line ("whole").
+    """
     size = 2 * height
-    b = blocks.select("page", "block", "y", "h", "text", F.explode(F.sequence(F.floor((F.col("y") - height) / size), F.floor((F.col("y") + F.col("h") + height) / size))).alias("bucket"))
+    b = blocks.select("page", "block", F.explode(F.sequence(F.floor((F.col("y") - height) / size), F.floor((F.col("y") + F.col("h") + height) / size))).alias("bucket"), "y", "h")
     ln = lines.select("page", F.col("y").alias("ly"), F.col("text").alias("ltext"), F.floor(F.col("y") / size).alias("bucket"))
-    met = b.join(ln, ["page", "bucket"], "left").withColumn("near", (F.col("ly") >= F.col("y") - height) & (F.col("ly") <= F.col("y") + F.col("h") + height))
-    found = F.transform(F.array_sort(F.collect_list(F.when(F.col("near"), F.struct("ly", "ltext")))), lambda x: x["ltext"])
-    out = met.groupBy("page", "block").agg(found.alias("found"), F.first("text").alias("text"))
-    return out.select("page", "block", F.size("found").alias("n"), F.when(F.size("found") > 0, F.array_join("found", " ")).otherwise(F.col("text")).alias("text"))
-
-
-def glyph_lines(items: DataFrame, font: float = 10.0, width: float = 20.0) -> DataFrame:
-    """Lines from items in reading order: a new one where y moves by over half the font or x jumps by over three fonts."""
-    w = W.partitionBy("page").orderBy("y", "x", "col")
-    fresh = (F.abs(F.col("y") - F.lag("y").over(w)) > 0.5 * font) | (F.col("x") - (F.lag("x").over(w) + width) > 3 * font)
-    marked = items.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("line", F.sum("_fresh").over(w))
-    return marked.groupBy("page", "line").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("y"), F.count("*").alias("n"))
-
-
-def observation_align(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Actual items gathered until they have the words of each expected item: by cumulative word counts, as bands that meet."""
-    words = F.size(F.split("text", " "))
-
-    def bands(d: DataFrame, name: str) -> DataFrame:
-        end = F.sum(words).over(W.partitionBy("doc", "page").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-        return d.select("doc", "page", F.col("seq").alias(name), (end - words).alias(f"{name}_from"), end.alias(f"{name}_to"))
-
-    met = bands(expected, "e").join(bands(actual, "a"), ["doc", "page"], "left")
-    inside = (F.col("a_from") >= F.col("e_from")) & (F.col("a_from") < F.col("e_to"))
-    return met.groupBy("doc", "page", "e").agg(F.count_if(inside).alias("items"), F.min(F.when(inside, F.col("a"))).alias("first"))
+    met = b.join(ln, ["page", "bucket"]).filter((F.col("ly") >= F.col("y") - height) & (F.col("ly") <= F.col("y") + F.col("h") + height))
+    found = met.groupBy("page", "block").agg(F.array_sort(F.collect_list(F.struct("ly", "ltext"))).alias("found"))
+    n = F.greatest(half_up(F.col("h") / height), F.lit(1)).cast("int") if height > 0 else F.lit(1)
+    own = F.filter(F.split("text", "\n"), lambda t: t != "")
+    words = F.filter(F.split("text", r"\s+"), lambda t: t != "")
+    each = F.ceil(F.size(words) / F.col("n")).cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.array_join(F.slice(words, k * each + 1, each), " "))
+    even = F.when(F.size(own) >= F.col("n"), F.slice(own, 1, F.col("n"))).when((F.col("n") == 1) | (F.size(words) == 0), F.array("text")).otherwise(F.filter(dealt, lambda t: t != ""))
+    line = lambda y, text: F.struct(y.alias("y"), text.alias("text"))
+    whole = (F.coalesce(F.length("text"), F.lit(0)) == 0) | (F.coalesce(F.col("w"), F.lit(0)) == 0)
+    out = blocks.select("page", "block", F.col("y").cast("double").alias("y"), "w", "h", "text").join(found, ["page", "block"], "left").withColumn("n", n)
+    how = F.when(F.col("found").isNotNull(), "layer").when(whole, "whole").otherwise("split")
+    made = F.when(how == "layer", F.transform("found", lambda i: line(i["ly"] - 0.8 * height, i["ltext"]))).when(how == "whole", F.array(line(F.col("y"), F.col("text")))).otherwise(F.transform(even, lambda t, k: line(F.col("y") + k * height, t)))
+    return out.select("page", "block", how.alias("how"), F.posexplode(made).alias("line", "l")).select("page", "block", "line", "l.y", "l.text", "how")

@@ -471,9 +471,18 @@ def document_state(rows: DataFrame, by: str, edited: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.when(F.count("*") == 0, "empty").when(F.bool_or(edited), "edited").otherwise("pristine").alias("state"))
 
 
-def page_health(rows: DataFrame, by: str) -> DataFrame:
-    out = rows.groupBy(by).agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.max("diff").alias("max_diff"), F.bool_or("error").alias("error"))
-    return out.withColumn("health", F.when(F.col("error"), "unhealthy").when(F.col("failed") > 0, "degraded").otherwise("healthy"))
+def page_health(rows: DataFrame, by: str, most: float = 0.01) -> DataFrame:
+    """Pages that passed and failed, the largest box difference, the mean paint time, and the state of the renderer.
+
+    A failed page whose counts, masks or patches differ, or any error, is unhealthy; one whose boxes alone differ by more
+    than `most` makes it degraded. Needs ok, legacy, painter (counts), mask_diff, patch_diff, bbox_diff, paint_time and error.
+    """
+    same = (F.col("legacy") == F.col("painter")) & (F.col("mask_diff") == 0) & (F.col("patch_diff") == 0)
+    broken = F.bool_or(~F.col("ok") & ~((F.col("legacy") == F.col("painter")) & (F.col("mask_diff") <= 0) & (F.col("patch_diff") <= 0)))
+    return rows.groupBy(by).agg(
+        F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.max("bbox_diff").alias("max_diff"), F.avg("paint_time").alias("paint_time"),
+        F.when(F.bool_or("error") | broken, "unhealthy").when(F.bool_or(~F.col("ok") & same & (F.col("bbox_diff") > most)), "degraded").otherwise("healthy").alias("health"),
+    )
 
 
 def monitor_totals(e: DataFrame) -> DataFrame:

@@ -69,8 +69,13 @@ query("region_class", lambda v: d.region_class(_blocks(v), 240).select("page", "
     WHEN regexp_matches(text, '\\t| {{3,}}') THEN 'table' WHEN y >= 200 AND {_FT} THEN 'footer' ELSE 'paragraph' END AS region FROM (SELECT *, {_OF} AS m FROM ({_BLOCKS}) b) t""")
 query("visual_object_type", lambda v: d.visual_object_type(_blocks(v)).groupBy("kind").count().withColumnRenamed("count", "n"), f"""SELECT CASE WHEN {_ST} THEN 'Stamp' WHEN {_SG} THEN 'Signature' WHEN m = 'stamp' THEN 'Stamp' WHEN m = 'signature' THEN 'Signature' ELSE 'Text' END AS kind, count(*) AS n
     FROM (SELECT *, {_OF} AS m FROM ({_BLOCKS}) b) t GROUP BY 1""")
-query("image_class", lambda v: d.image_class(v.text_blocks, 100, 300).groupBy("class").count().withColumnRenamed("count", "n"), """SELECT CASE WHEN w * h / 30000e0 >= 0.9 THEN 'pdf-fallback' WHEN label = 'stamp' THEN 'signature' WHEN (y < 30 OR y > 270) AND w * h / 30000e0 < 0.2 THEN 'decoration' ELSE 'image' END AS class, count(*) AS n
-    FROM {text_blocks} b GROUP BY 1""")
+# Images of all sizes and places: some fill the page, some are rotated or marked, some lie in the bands, some reach into them, some pages have no size.
+_IMAGES = """SELECT page, block, CASE block % 6 WHEN 0 THEN 5e0 WHEN 1 THEN 100e0 WHEN 2 THEN 262e0 WHEN 3 THEN 20e0 ELSE y END AS y, CASE WHEN block % 7 = 5 THEN 98e0 ELSE w / 2 END AS w, CASE WHEN block % 7 = 5 THEN 290e0 WHEN block % 6 = 3 THEN 65e0 ELSE h END AS h, CASE WHEN page % 9 = 4 THEN 0e0 ELSE 100e0 END AS page_w, 300e0 AS page_h,
+    CASE WHEN (page + block) % 8 = 0 THEN 'signature' ELSE label END AS label, CASE (page + block) % 5 WHEN 0 THEN NULL WHEN 1 THEN -0.002e0 WHEN 2 THEN 0.001e0 ELSE 0e0 END AS rotation FROM {text_blocks} b"""
+_CLASS = "CASE WHEN page_w <= 0 THEN 'image' WHEN w * h / (page_w * page_h) >= 0.9 THEN 'pdf-fallback' WHEN label = 'signature' OR abs(rotation) > 0.001 THEN 'signature' WHEN (y < 30 OR y + h > 270) AND h < 60 AND w * h / (page_w * page_h) < 0.2 THEN 'decoration' ELSE 'image' END"
+query("image_class", lambda v: d.image_class(v.sql(_IMAGES)).select("page", "block", "class", "confidence"), f"""SELECT page, block, class, CASE WHEN page_w <= 0 THEN 0.3e0 ELSE CASE class WHEN 'pdf-fallback' THEN 0.95e0 WHEN 'signature' THEN 0.85e0 WHEN 'decoration' THEN 0.6e0 ELSE 0.5e0 END END AS confidence FROM (SELECT *, {_CLASS} AS class FROM ({_IMAGES}) i) c""")
+query("object_counts", lambda v: d.object_counts(d.image_class(v.sql(_IMAGES)), "page"), f"""SELECT p.page, k.class, count(c.class) AS n FROM (SELECT DISTINCT page FROM ({_IMAGES}) i) p CROSS JOIN (SELECT unnest(['glyph', 'vector', 'pdf-fallback', 'signature', 'decoration', 'image', 'annotation']) AS class) k
+    LEFT JOIN (SELECT page, {_CLASS} AS class FROM ({_IMAGES}) i) c ON c.page = p.page AND c.class = k.class GROUP BY p.page, k.class""")
 _ANGLE = "CASE WHEN block % 5 = 1 THEN NULL ELSE (block % 4 - 2) / 10e0 END"
 query("geometry_strategy", lambda v: d.geometry_strategy(_blocks(v).withColumn("angle", F.expr(_ANGLE)), 240).groupBy("strategy", "skip_reason").count().withColumnRenamed("count", "n"), f"""
     SELECT CASE WHEN m = 'signature' THEN 'SignatureImage' WHEN m = 'stamp' THEN 'StampImage' WHEN {_ST} THEN 'StampImage' WHEN {_DR} AND y + h > 168 THEN 'SignatureImage' WHEN abs(angle) > 0.1 THEN 'SignatureImage' ELSE 'Skip' END AS strategy,

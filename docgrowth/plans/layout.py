@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docgrowth.operators import breaks
 from docgrowth.operators import layout as h
 from docgrowth.operators import lines as ln
 from docgrowth.operators import similar as s
 from docgrowth.plans.base import query
 
 # The order grid has its rows 20 apart and its columns 100 apart, so the twins can state rows and columns outright.
-_UNEVEN = "SELECT page, row, x, y + CASE WHEN col = 0 THEN 2 ELSE 0 END AS y, text FROM {text_items} i"
-query("line_groups", lambda v: h.line_groups(v.sql(_UNEVEN)).drop("left"), "SELECT page, (row - 1)::INT AS line, min(y) + 2 AS y, string_agg(text, '' ORDER BY x) AS text, count(*)::INT AS n FROM {text_items} i GROUP BY page, row")
+_UNEVEN = "SELECT page, row, x, y + CASE WHEN col = 0 THEN 2 ELSE 0 END AS y, text, 8e0 + col AS font FROM {text_items} i"
+query("line_groups", lambda v: h.line_groups(v.sql(_UNEVEN)).drop("left"), "SELECT page, (row - 1)::INT AS line, min(y) + 2 AS y, string_agg(text, '' ORDER BY x) AS text, count(*)::INT AS n, avg(8e0 + col) AS font FROM {text_items} i GROUP BY page, row")
 _STEPPED = "SELECT page, row, x, y + CASE WHEN col = 3 THEN 5 ELSE 0 END AS y, text FROM {text_items} i"
 query("row_centres", lambda v: h.row_centres(v.sql(_STEPPED)).select("page", F.posexplode("rows").alias("n", "y")), "SELECT l_orderkey AS page, (row - 1)::INT AS n, (floor((100 + 20 * row) / 3e0 + 0.5) + floor((105 + 20 * row) / 3e0 + 0.5)) * 1.5e0 AS y FROM {order_lines} l")
 _GX = "(SELECT page, col, floor(x / 4 + 0.5) * 4 AS gx, min(x) AS x, count(*) AS n FROM {text_items} i GROUP BY ALL)"
@@ -32,13 +33,23 @@ query("table_quality", lambda v: h.table_quality(v.sql(_HOLES)), f"""SELECT page
     JOIN (SELECT page, max(r) + 1 AS rows, max(c) + 1 AS cols, count(*) AS items FROM ({_HOLES}) h GROUP BY page) s ON f.page = s.page GROUP BY s.page) t""")
 query("table_region", lambda v: h.table_region(v.text_items), """SELECT page, min(x) - 5 AS "left", max(x) + 5 AS "right", min(y) - 5 AS top, max(y) + 5 AS bottom FROM {text_items} i WHERE page IN (SELECT page FROM (SELECT page, floor(x / 3) AS b FROM {text_items} i GROUP BY page, floor(x / 3) HAVING count(*) >= 3) c
     GROUP BY page HAVING count(*) >= 2) GROUP BY page HAVING count(*) >= 10""")
-_COLS = "SELECT page, row * 4 + col AS block, x, y, text FROM {text_items} i"
-query("text_columns", lambda v: h.text_columns(v.sql(_COLS)).select("page", "block", F.col("place").cast("long").alias("place")), "SELECT page, row * 4 + col AS block, (row - 1) * 4 + col + 1 AS place FROM {text_items} i")
+# Left edges off the grid, pages with gaps in columns, and pages with a single column.
+_COLS = "SELECT page, row * 4 + col AS block, x + CASE WHEN (row * 7 + col * 3) % 5 = 0 THEN 36 ELSE 0 END + CASE WHEN page % 7 = 0 THEN row ELSE 0 END AS x, y + (row * col) % 3 AS y FROM {text_items} i WHERE (page % 5 > 0 OR col = 0) AND (page % 3 > 0 OR (row + col) % 4 > 0)"
+query("text_columns", lambda v: h.text_columns(v.sql(_COLS)).select("page", "block", F.col("column").cast("long").alias("col"), F.col("place").cast("long").alias("place")), f"""WITH c AS (
+    SELECT page, list_reduce(list_transform(list_sort(list_distinct(list(floor(x / 10 + 0.5) * 10))), lambda x: [x]), lambda kept, x: CASE WHEN x[1] - kept[len(kept)] > 30 THEN list_concat(kept, x) ELSE kept END) AS cols FROM ({_COLS}) l GROUP BY page),
+    n AS (SELECT l.page, block, x, y, CASE WHEN len(cols) < 2 THEN 1 ELSE list_position(list_transform(cols, lambda c: abs(x - c)), list_min(list_transform(cols, lambda c: abs(x - c)))) END::BIGINT AS col FROM ({_COLS}) l JOIN c ON l.page = c.page)
+    SELECT page, block, col, row_number() OVER (PARTITION BY page ORDER BY rank, col) AS place FROM (SELECT *, row_number() OVER (PARTITION BY page, col ORDER BY y, x, block) AS rank FROM n) r""")
 _SAME = "{text_blocks} b"
 query("paragraph_merge", lambda v: h.paragraph_merge(v.text_blocks).groupBy("page").agg(F.max("paragraph").alias("n")), """SELECT page, sum(CASE WHEN near THEN 0 ELSE 1 END)::BIGINT AS n FROM (SELECT page, coalesce(y - (lag(y) OVER w + lag(h) OVER w) <= 2.5 * (font + lag(font) OVER w) / 2 AND abs(x - lag(x) OVER w) <= 20
     AND abs(font - lag(font) OVER w) <= 2, false) AS near FROM {text_blocks} b WINDOW w AS (PARTITION BY page ORDER BY y, x, block)) t GROUP BY page""")
-query("table_blocks", lambda v: h.table_blocks(v.text_blocks).groupBy("page", "kind").agg(F.count("*").alias("n")), """SELECT page, CASE WHEN size > 2 THEN 'table' ELSE 'paragraph' END AS kind, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY page, run) AS size FROM (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY y, x, block) AS run FROM (
-    SELECT *, coalesce(aligned AND b = lag(b) OVER (PARTITION BY page ORDER BY y, x, block), false) AS same FROM (SELECT *, floor(x / 5) AS b, count(*) OVER (PARTITION BY page, floor(x / 5)) >= 3 AS aligned FROM {text_blocks} t) a) r) u) z GROUP BY 1, 2""")
+# Three edges in turns, with lines between them that no edge has.
+_MIXED = "SELECT page, row * 4 + col AS block, CASE WHEN (row + col) % 5 = 0 OR page % 6 = 1 AND (row + 2 * col) % 3 = 0 THEN 300e0 + 17 * row + 6 * col WHEN (page + row) % 3 = 0 THEN 40e0 WHEN (page + row) % 3 = 1 THEN 92.4e0 ELSE 147.5e0 END AS x, 100e0 + 10 * (row * 4 + col) AS y FROM {text_items} i"
+query("table_blocks", lambda v: h.table_blocks(v.sql(_MIXED)).select("page", "block", F.col("run").cast("long").alias("run"), "kind"), f"""WITH RECURSIVE l AS (SELECT page, block, floor(x / 5 + 0.5) AS a, row_number() OVER (PARTITION BY page ORDER BY y, x, block) AS k FROM ({_MIXED}) m),
+    f AS (SELECT *, count(*) OVER (PARTITION BY page, a) >= 3 AS often FROM l), g AS (SELECT page FROM f GROUP BY page HAVING count(*) >= 3 AND count(DISTINCT CASE WHEN often THEN a END) >= 2),
+    r AS (SELECT page, k, a, 1 AS n, 1 AS run FROM f WHERE k = 1 AND page IN (SELECT page FROM g) UNION ALL SELECT page, k, a, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN run + 1 ELSE run END
+      FROM (SELECT f.page, f.k, f.a, r.n, r.run, CASE WHEN f.often THEN f.a <> r.a ELSE r.n > 2 END AS cut FROM r JOIN f ON f.page = r.page AND f.k = r.k + 1) s),
+    t AS (SELECT f.page, f.block, f.k, run, count(run) OVER (PARTITION BY f.page, run) > 2 AS big FROM f LEFT JOIN r ON f.page = r.page AND f.k = r.k)
+    SELECT page, block, dense_rank() OVER (PARTITION BY page ORDER BY first) AS run, CASE WHEN big THEN 'table' ELSE 'paragraph' END AS kind FROM (SELECT *, CASE WHEN big THEN min(k) OVER (PARTITION BY page, run) ELSE k END AS first FROM t) z""")
 _FONTED = "SELECT page, block, font + block % 4 * 4 AS font, CASE WHEN block % 5 = 0 THEN concat('- ', text) ELSE text END AS text FROM {text_blocks} b"
 _KIND = r"CASE WHEN block % 5 = 0 THEN 'list' WHEN font > 22 THEN 'h1' WHEN font > 18 THEN 'h2' ELSE 'paragraph' END"
 query("block_types", lambda v: h.block_types(v.sql(_FONTED)).select("page", "block", "kind"), f"SELECT page, block, {_KIND} AS kind FROM ({_FONTED}) f")
@@ -139,8 +150,12 @@ _APART = "SELECT page, block, x + block % 2 * 300 AS x, y * (1 + block % 3) AS y
 query("block_clusters", lambda v: s.block_clusters(v.sql(_APART)), _clusters(f"({_SHARED} > 0.1 AND {_YGAP} < 80) OR ({_SHARED} > 0.3 AND {_YGAP} < 80) OR ({_YGAP} < 20 AND {_XGAP} < 20)").replace("{text_blocks}", f"({_APART})"))
 query("block_clusters_simple", lambda v: s.block_clusters(v.sql(_APART), s.SIMPLE_LINKS), _clusters(f"({_SHARED} > 0.3 AND {_YGAP} < 40) OR {_YGAP} < 20").replace("{text_blocks}", f"({_APART})"))
 query("region_candidates", lambda v: s.region_candidates(v.text_blocks, ("gear", "bolt"), 300).groupBy("reason").count().withColumnRenamed("count", "n"), "SELECT CASE WHEN trim(text) = '' THEN 'blank' WHEN contains(text, 'gear') OR contains(text, 'bolt') THEN 'keyword' WHEN y > 210 THEN 'low' ELSE 'dropped' END AS reason, count(*) AS n FROM {text_blocks} b GROUP BY 1")
-_CASED = "SELECT page, CASE WHEN block % 2 = 0 OR page % 3 = 0 THEN upper(text) ELSE text END AS text FROM {text_blocks} b"
-query("uppercase_share", lambda v: s.uppercase_share(v.sql(_CASED), "page"), f"SELECT page, CASE WHEN bool_and(text = upper(text)) THEN 'printed' WHEN bool_or(text = upper(text)) THEN 'mixed' ELSE 'handwritten' END AS kind FROM ({_CASED}) c GROUP BY page")
+# Capitals for whole pages, for every other block, or for the first letters only; blocks without letters; words of signatures.
+_CASED = """SELECT page, block, CASE WHEN block % 5 = 3 THEN '12 - 34' WHEN page % 3 = 0 AND page % 2 = 0 THEN concat('ASSINADO ', upper(text)) WHEN page % 3 = 0 OR page % 3 = 1 AND block % 2 = 0 THEN upper(text)
+    WHEN page % 7 = 1 THEN concat(upper(substr(text, 1, length(text) - block)), substr(text, length(text) - block + 1)) ELSE text END AS text FROM {text_blocks} b WHERE page % 3 > 0 OR block % 5 < 3"""
+query("uppercase_share", lambda v: s.uppercase_share(v.sql(_CASED), "page"), f"""SELECT page, CASE h WHEN 0 THEN 'printed' WHEN n THEN 'handwritten' ELSE 'mixed' END AS kind, CASE h WHEN 0 THEN 0.7e0 WHEN n THEN CASE WHEN signed THEN 0.8e0 ELSE 0.5e0 END ELSE 0.9e0 END AS confidence, n AS blocks, h AS capitals
+    FROM (SELECT page, count(*) AS n, count(*) FILTER (WHERE 10 * ups > 7 * letters) AS h, bool_or(regexp_matches(text, '(?i)DR|CRM|M[ÉE]DICO|AGUIAR|ASSINAD[OA]|ASSINATURA|SIGNATURE|SIGNED|FIRMA')) AS signed
+    FROM (SELECT *, len(regexp_extract_all(text, '[A-Z]')) AS ups, len(regexp_extract_all(text, '[A-Za-z]')) AS letters FROM ({_CASED}) c) l GROUP BY page) g WHERE n > 1""")
 _BY4 = "SELECT page, block, block % 4 AS cluster FROM {text_blocks} b"
 query("cluster_bbox", lambda v: s.cluster_bbox(v.text_blocks, v.sql(_BY4)), 'SELECT page, block % 4 AS cluster, min(x) AS "left", min(y) AS top, max(x + w) AS "right", max(y + h) AS bottom, count(*) AS n FROM {text_blocks} b GROUP BY 1, 2')
 
@@ -148,15 +163,56 @@ query("y_cluster", lambda v: ln.y_cluster(v.text_blocks), "SELECT page, (block -
 _SPOKEN = "SELECT page, block, w, CASE WHEN block % 2 = 0 THEN concat(text, '.') ELSE text END AS text FROM {text_blocks} b"
 query("line_stability", lambda v: ln.line_stability(v.sql(_SPOKEN)), f"""SELECT page, floor(round((0.35e0 * avg(fit) + 0.35e0 * avg(phrase) + 0.2e0 * greatest(0, 1 - coalesce(var_pop(words) / pow(avg(words), 2), 0)) + 0.1e0) * 100, 6) + 0.5)::BIGINT AS score FROM (SELECT page, exp(-pow((w / max(w) OVER (PARTITION BY page) - 0.9e0) / 0.1e0, 2) / 2) AS fit,
     len(string_split(text, ' ')) AS words, regexp_matches(text, '[.,;:!?]$')::INT AS phrase FROM ({_SPOKEN}) s) t GROUP BY page""")
-query("break_scores", lambda v: ln.break_scores(v.text_items.select("page", "row", F.col("col").alias("n"), F.col("text").alias("word")), 16), """SELECT page, row, arg_max(n, (score, -n)) AS n, max(score) AS score FROM (SELECT page, row, n, round(exp(-pow((used / 16e0 - 0.9e0) / 0.1e0, 2) / 2), 9) AS score FROM (
-    SELECT page, row, col AS n, sum(length(text) + 1) OVER (PARTITION BY page, row ORDER BY col) - 1 AS used, lead(text) OVER (PARTITION BY page, row ORDER BY col) AS next FROM {text_items} i) t WHERE next IS NOT NULL AND used <= 16) s GROUP BY page, row""")
-query("merge_short_lines", lambda v: ln.merge_short_lines(v.text_blocks, 30))
+_BARE = "regexp_replace(lower({0}), '[,.;:!?)]$', '')"
+_PAIRS = ", ".join(f"('{x}', '{y}')" for x, y in (("trabalho", "a"), ("a", "partir"), ("partir", "de"), ("junto", "ao"), ("de", "abril"), ("do", "trabalho"), ("de", "acordo"), ("em", "vez"), ("a", "fim"), ("de", "03/04/2026")))
+_PREPOSED = "'a', 'de', 'do', 'da', 'dos', 'das', 'para', 'por', 'com', 'em', 'no', 'na', 'nos', 'nas', 'ao', 'à', 'pelo', 'pela', 'e', 'ou', 'que'"
+_SHORT = "'a', 'de', 'do', 'da', 'dos', 'das', 'e', 'ou', 'que', 'em', 'no', 'na', 'ao', 'à', 'com', 'por', 'para', 'se', 'mas', 'nem'"
+# i and s are places of words: s the first of the open line, i the first beyond the edge, e the last before a break.
+_BREAKS = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT page, n AS i, word, {_BARE.format("word")} AS bare, x, x + w AS r, source FROM {{paragraph_words}} p),
+    q AS MATERIALIZED (SELECT *, lead(bare) OVER o AS next, lead(source) OVER o AS next_source FROM w WINDOW o AS (PARTITION BY page ORDER BY i)),
+    p AS MATERIALIZED (SELECT a.page, a.i AS s, b.i AS e, a.x, b.source, b.next_source, b.bare, b.next, max(b.r) OVER (PARTITION BY a.page, a.i ORDER BY b.i) AS reach FROM q a JOIN q b ON a.page = b.page AND a.i <= b.i),
+    c AS MATERIALIZED (SELECT o.page, o.s, o.e AS i, e.e, round(0.35e0 * exp(-0.5e0 * pow(((e.reach - e.x) / (190 - e.x) - 0.92e0) / 0.08e0, 2)) + 0.35e0 * greatest(0, CASE WHEN e.e + 1 < o.e AND (e.bare, e.next) IN ({_PAIRS}) THEN 0 WHEN e.bare IN ({_PREPOSED}) THEN 0.98e0 ELSE 1 END
+        - CASE WHEN o.e - e.e = 2 AND e.next IN ({_SHORT}) THEN 0.15e0 ELSE 0 END) + 0.1e0 * CASE WHEN l.source = o.source THEN 0.5e0 WHEN e.source <> e.next_source THEN 1 ELSE 0 END, 9) AS score
+        FROM p o JOIN p l ON l.page = o.page AND l.s = o.s AND l.e = o.e - 1 JOIN p e ON e.page = o.page AND e.s = o.s AND e.e < o.e AND e.reach <= 190 WHERE o.reach > 190 AND o.e > o.s),
+    best AS MATERIALIZED (SELECT page, s, i, arg_max(e, (score, -e)) AS e, max(score) AS score FROM c GROUP BY page, s, i),
+    r AS (SELECT page, 0::BIGINT AS s, 0::BIGINT AS i, NULL::BIGINT AS ls, NULL::BIGINT AS le, NULL::DOUBLE AS score FROM w WHERE i = 0
+        UNION ALL SELECT r.page, CASE WHEN p.reach > 190 AND p.e > p.s THEN coalesce(b.e, p.e - 1) + 1 ELSE r.s END, p.e, CASE WHEN p.reach > 190 AND p.e > p.s THEN r.s END, CASE WHEN p.reach > 190 AND p.e > p.s THEN coalesce(b.e, p.e - 1) END, b.score
+        FROM r JOIN p ON p.page = r.page AND p.s = r.s AND p.e = r.i + 1 LEFT JOIN best b ON b.page = r.page AND b.s = r.s AND b.i = r.i + 1),
+    lines AS MATERIALIZED (SELECT page, ls, le, score, row_number() OVER (PARTITION BY page ORDER BY ls) AS k FROM (SELECT page, ls, le, score FROM r WHERE le IS NOT NULL UNION ALL SELECT page, arg_max(s, i), max(i), NULL FROM r GROUP BY page) u)"""
+_TOLD = "regexp_replace(string_agg(word, ' ' ORDER BY i), ' ([,.;:!?)\\]}%])', '\\1', 'g')"
+query("break_scores", lambda v: breaks.break_lines(v.paragraph_words, 190.0, merge=False).select("page", "line", "text", "words", "right", F.round("score", 6).alias("score")), f"""{_BREAKS}
+    SELECT l.page, (k - 1)::INT AS line, {_TOLD} AS text, count(*)::INT AS words, max(r) AS "right", round(any_value(score), 6) AS score FROM lines l JOIN w ON w.page = l.page AND w.i BETWEEN ls AND le GROUP BY l.page, k""")
+query("merge_short_lines", lambda v: breaks.break_lines(v.paragraph_words, 190.0).drop("score"), f"""{_BREAKS},
+    m AS (SELECT page, k, ls AS s, le AS e FROM lines WHERE k = 1 UNION ALL SELECT l.page, l.k, CASE WHEN l.ls = l.le AND (p.reach <= 190 OR (a.bare, a.next) IN ({_PAIRS})) THEN m.s ELSE l.ls END, l.le
+        FROM m JOIN lines l ON l.page = m.page AND l.k = m.k + 1 JOIN p ON p.page = l.page AND p.s = m.s AND p.e = l.le JOIN q a ON a.page = l.page AND a.i = m.e),
+    kept AS (SELECT page, s, max(e) AS e FROM m GROUP BY page, s)
+    SELECT page, line, {_TOLD} AS text, count(*)::INT AS words, max(r) AS "right" FROM (SELECT page, s, e, (row_number() OVER (PARTITION BY page ORDER BY s) - 1)::INT AS line FROM kept) t JOIN w USING (page) WHERE i BETWEEN s AND e GROUP BY page, line""")
 query("block_text", lambda v: ln.block_text(v.text_blocks).select("page", "left", "right", "lines"), 'SELECT page, min(x) AS "left", max(x + w) AS "right", count(*)::INT AS lines FROM {text_blocks} b GROUP BY page')
 query("table_row_cells", lambda v: ln.table_row_cells(v.table_words, 10.0).select("page", "row", "how", F.array_join("cells", "|").alias("cells")), """SELECT l_orderkey AS page, row, CASE row % 4 WHEN 1 THEN 'gap' ELSE 'even' END AS how,
     CASE row % 4 WHEN 0 THEN 'w0|w1|w2|w3|w4|w5' WHEN 1 THEN 'w0 w1|w2 w3' ELSE 'w0|w1|w2|w3|w4 w5' END AS cells FROM {order_lines} l WHERE row % 4 <> 2""")
-_LAYER = "SELECT page, y + block % 3 * 30 AS y, label AS text FROM {text_blocks} b WHERE label IS NOT NULL"
-query("fuse_text_layers", lambda v: ln.fuse_text_layers(v.text_blocks, v.sql(_LAYER)).select("page", "block", "n"), f"SELECT b.page, b.block, count(l.y)::INT AS n FROM {{text_blocks}} b LEFT JOIN ({_LAYER}) l ON b.page = l.page AND l.y BETWEEN b.y - 12 AND b.y + b.h + 12 GROUP BY b.page, b.block")
-query("glyph_lines", lambda v: ln.glyph_lines(v.text_items).select("page", "line", "left", "right", "n"), 'SELECT page, (row - 1) * 4 + col + 1 AS line, x AS "left", x AS "right", 1::BIGINT AS n FROM {text_items} i')
-_CUM = "(SELECT doc, page, seq, sum(len(string_split(text, ' '))) OVER (PARTITION BY doc, page ORDER BY seq) AS t, len(string_split(text, ' ')) AS n FROM {{{0}}} x)"
-query("observation_align", lambda v: ln.observation_align(v.fidelity_original, v.fidelity_export), f"""SELECT o.doc, o.page, o.seq AS e, count(a.seq) FILTER (WHERE a.t - a.n >= o.t - o.n AND a.t - a.n < o.t) AS items, min(a.seq) FILTER (WHERE a.t - a.n >= o.t - o.n AND a.t - a.n < o.t) AS first
-    FROM {_CUM.format("fidelity_original")} o LEFT JOIN {_CUM.format("fidelity_export")} a ON o.doc = a.doc AND o.page = a.page GROUP BY o.doc, o.page, o.seq""")
+_LAYER = "SELECT page, y + block % 3 * 30 AS y, label AS text FROM {text_blocks} b WHERE label IS NOT NULL AND page % 3 > 0"
+_TALL = "SELECT page, block, y, CASE WHEN block % 7 = 6 THEN 0e0 ELSE w END AS w, CASE block % 3 WHEN 0 THEN 12e0 WHEN 1 THEN 29e0 ELSE 43e0 END AS h, CASE WHEN block % 5 = 4 THEN '' WHEN block % 4 = 2 THEN concat(text, chr(10), chr(10), 'second line', chr(10), 'third') WHEN block % 4 = 3 THEN concat(text, ' of four or  more words') ELSE text END AS text FROM {text_blocks} b"
+query("fuse_text_layers", lambda v: ln.fuse_text_layers(v.sql(_TALL), v.sql(_LAYER)), f"""WITH b AS (SELECT *, greatest(1, floor(h / 12 + 0.5))::INT AS n, list_filter(string_split(text, chr(10)), lambda t: t <> '') AS own, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS words FROM ({_TALL}) t),
+    found AS (SELECT b.page, block, (row_number() OVER (PARTITION BY b.page, block ORDER BY l.y, l.text) - 1)::INT AS line, l.y - 0.8e0 * 12 AS y, l.text, 'layer' AS how FROM b JOIN ({_LAYER}) l ON b.page = l.page AND l.y BETWEEN b.y - 12 AND b.y + h + 12),
+    rest AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.page = b.page AND f.block = b.block)),
+    split AS (SELECT page, block, y, CASE WHEN len(own) >= n THEN own[1:n] WHEN n = 1 OR len(words) = 0 THEN [text] ELSE list_filter(list_transform(range(0, n), lambda k: array_to_string(words[(k * ceil(len(words) / n) + 1)::INT:((k + 1) * ceil(len(words) / n))::INT], ' ')), lambda t: t <> '') END AS parts FROM rest WHERE text <> '' AND w <> 0)
+    SELECT * FROM found UNION ALL SELECT page, block, 0, y, text, 'whole' FROM rest WHERE text = '' OR w = 0 UNION ALL SELECT page, block, (i - 1)::INT, y + (i - 1) * 12, parts[i], 'split' FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM split) s""")
+query("glyph_lines", lambda v: breaks.glyph_lines(v.glyphs), """WITH RECURSIVE b AS (SELECT *, sum(CASE WHEN above - y <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY y DESC, x) AS band FROM (SELECT *, lag(y) OVER (PARTITION BY page ORDER BY y DESC, x) AS above FROM {glyphs} g) t),
+    o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY band, x, y DESC) AS k FROM b),
+    r AS (SELECT page, k, 0 AS line, y AS first_y, size AS first_size, x + w AS done FROM o WHERE k = 1 UNION ALL SELECT page, k, CASE WHEN fresh THEN line + 1 ELSE line END, CASE WHEN fresh THEN y ELSE first_y END, CASE WHEN fresh THEN size ELSE first_size END, x + w
+        FROM (SELECT o.*, r.line, r.first_y, r.first_size, abs(o.y - r.first_y) > r.first_size / 2 OR o.x - r.done > 3 * r.first_size AS fresh FROM r JOIN o ON o.page = r.page AND o.k = r.k + 1) s),
+    l AS (SELECT o.*, r.line FROM o JOIN r ON o.page = r.page AND o.k = r.k),
+    f AS (SELECT page, line, arg_max(family, (n, -first)) AS family FROM (SELECT page, line, family, sum(greatest(length(text), 1)) AS n, min(k) AS first FROM l GROUP BY page, line, family) c GROUP BY page, line)
+    SELECT page, line, string_agg(text, '' ORDER BY k) AS text, arg_min(x, k) AS x, arg_min(y, k) AS y, arg_max(x + w, k) - arg_min(x, k) AS width, max(size) AS size, any_value(f.family) AS family, count(*)::INT AS n FROM l JOIN f USING (page, line) GROUP BY page, line""")
+# Exported items that are parted, moved or changed: two for one, one too many, words that grow.
+_PARTED = """SELECT doc, page, seq * 2 AS seq, CASE WHEN doc % 3 = 0 THEN 'Q' WHEN doc % 7 = 1 THEN concat(text, ' and more') ELSE text END AS text FROM {fidelity_export} a WHERE doc % 5 > 0 OR seq > 0
+    UNION ALL SELECT doc, page, seq * 2 + 1, CASE WHEN doc % 3 = 0 THEN substr(text, 2) ELSE '--' END FROM {fidelity_export} b WHERE doc % 3 = 0 OR doc % 11 = 2"""
+query("observation_align", lambda v: breaks.observation_align(v.fidelity_original, v.sql(_PARTED)), f"""WITH RECURSIVE ex AS (SELECT doc, page, seq, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS k, regexp_extract_all(text, '[A-Za-z0-9]+') AS words FROM {{fidelity_original}} o),
+    ac AS (SELECT doc, page, seq, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS k, regexp_extract_all(text, '[A-Za-z0-9]+') AS words FROM ({_PARTED}) p),
+    r AS (SELECT doc, page, 1::BIGINT AS e, 1::BIGINT AS a, []::VARCHAR[] AS got, []::BIGINT[] AS used, NULL::VARCHAR[] AS took, NULL::BIGINT[] AS took_items, NULL::BIGINT AS ended FROM (SELECT DISTINCT doc, page FROM ex SEMI JOIN ac USING (doc, page)) s
+        UNION ALL SELECT doc, page, CASE WHEN takes AND NOT whole OR e IS NULL THEN e ELSE e + 1 END, CASE WHEN takes THEN a + 1 ELSE a END, CASE WHEN takes AND NOT whole THEN more ELSE [] END, CASE WHEN takes AND NOT whole THEN list_append(used, item) ELSE [] END,
+        CASE WHEN takes AND NOT whole THEN NULL WHEN takes THEN more ELSE got END, CASE WHEN takes AND NOT whole THEN NULL WHEN takes THEN list_append(used, item) ELSE used END, CASE WHEN takes AND NOT whole THEN NULL ELSE e END
+        FROM (SELECT r.doc, r.page, r.e, r.a, r.got, r.used, ac.seq AS item, list_concat(r.got, ac.words) AS more, coalesce(len(r.got) + len(ac.words) <= len(ex.words), false) AS takes, coalesce(list_concat(r.got, ac.words) = ex.words, false) AS whole
+        FROM r JOIN ex ON ex.doc = r.doc AND ex.page = r.page AND ex.k = r.e LEFT JOIN ac ON ac.doc = r.doc AND ac.page = r.page AND ac.k = r.a) t)
+    SELECT doc, page, seq AS e, coalesce(nullif(array_to_string(took_items, '+'), ''), '(no match)') AS items, took = words OR len(took) = 0 AS matched,
+    CASE WHEN took = words OR len(took) = 0 THEN NULL ELSE concat('text differs: "', array_to_string(words, ' '), '" vs "', array_to_string(took, ' '), '"') END AS note FROM r JOIN ex USING (doc, page) WHERE ended = k""")

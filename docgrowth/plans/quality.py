@@ -137,8 +137,11 @@ _BACK = "FROM {export_events} e WHERE outcome = 'legacy-fallback'"
 query("export_reasons", lambda v: q.export_reasons(v.export_events), f"""SELECT 'reason' AS kind, reason AS name, count(*) AS n {_BACK} AND reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'stage', stage, count(*) {_BACK} GROUP BY stage
     UNION ALL SELECT 'ineligible', reason, count(*) {_BACK} AND stage = 'eligibility' AND reason IS NOT NULL GROUP BY reason""")
 query("document_state", lambda v: q.document_state(v.order_lines, "l_orderkey", F.expr("l_returnflag = 'R'")), "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'edited' ELSE 'pristine' END AS state FROM {order_lines} l GROUP BY l_orderkey")
-_PAINT = "SELECT l_orderkey, l_returnflag <> 'R' AS ok, l_tax AS diff, l_discount > 0.095 AS error FROM {order_lines} l"
-query("page_health", lambda v: q.page_health(v.sql(_PAINT), "l_orderkey"), f"""SELECT *, CASE WHEN error THEN 'unhealthy' WHEN failed > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM (SELECT l_orderkey, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, max(diff) AS max_diff, bool_or(error) AS error FROM ({_PAINT}) p GROUP BY l_orderkey) t""")
+# Failed pages differ by count, mask, patch or box, or by something else; some that passed differ too.
+_PAINT = """SELECT l_orderkey, l_returnflag <> 'R' AS ok, row AS legacy, row + CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END AS painter, CASE WHEN l_suppkey % 7 = 0 THEN 0.5e0 ELSE 0e0 END AS mask_diff, CASE WHEN l_suppkey % 9 = 0 THEN 1e0 ELSE 0e0 END AS patch_diff,
+    l_tax / 4 AS bbox_diff, cast(l_quantity AS DOUBLE) AS paint_time, l_discount > 0.095 AND l_orderkey % 2 = 0 AS error FROM {order_lines} l"""
+query("page_health", lambda v: q.page_health(v.sql(_PAINT), "l_orderkey"), f"""SELECT l_orderkey, passed, failed, max_diff, paint_time, CASE WHEN errors + structural > 0 THEN 'unhealthy' WHEN boxes > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM (SELECT l_orderkey, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, max(bbox_diff) AS max_diff,
+    avg(paint_time) AS paint_time, count(*) FILTER (WHERE error) AS errors, count(*) FILTER (WHERE NOT ok AND (legacy <> painter OR mask_diff > 0 OR patch_diff > 0)) AS structural, count(*) FILTER (WHERE NOT ok AND legacy = painter AND mask_diff = 0 AND patch_diff = 0 AND bbox_diff > 0.01) AS boxes FROM ({_PAINT}) p GROUP BY l_orderkey) t""")
 _pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
 query("monitor_totals", lambda v: q.monitor_totals(v.export_events).withColumn("last_ts", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss")).withColumn("reasons", _pairs(F.col("reasons"))), """SELECT outcome, n, reasons, last_reason, last_ts FROM (SELECT outcome, count(*) AS n, arg_max_null(reason, (ts, event_id)) AS last_reason, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM {export_events} e GROUP BY outcome) a
     JOIN (SELECT outcome, string_agg(concat(reason, '=', k), ',' ORDER BY reason) AS reasons FROM (SELECT outcome, reason, count(*) AS k FROM {export_events} e WHERE reason IS NOT NULL GROUP BY outcome, reason) c GROUP BY outcome) b USING (outcome)""")

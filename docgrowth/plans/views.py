@@ -54,6 +54,14 @@ VIEWS: dict[str, str] = {
     "text_items": """SELECT l_orderkey AS page, row, col, 40e0 + 100 * col + l_partkey % 3 AS x, 100e0 + 20 * row AS y, cast(CASE col WHEN 0 THEN cast(l_quantity AS BIGINT)
         WHEN 1 THEN cast(round(l_extendedprice * 100) AS BIGINT) WHEN 2 THEN cast(round(l_discount * 100) AS BIGINT) ELSE cast(round(l_tax * 100) AS BIGINT) END AS VARCHAR(30)) AS text
         FROM (SELECT *, unnest([0, 1, 2, 3]) AS col FROM {order_lines} o) l""",
+    # Words of paragraphs, five in each line that they were read in; CASE picks words that form protected pairs now and then.
+    "paragraph_words": """SELECT page, (row - 1) * 5 + k AS n, row AS source, word, 40e0 + sum(6e0 * length(word) + 4) OVER (PARTITION BY page, row ORDER BY k) - (6e0 * length(word) + 4) AS x, 6e0 * length(word) AS w
+        FROM (SELECT l_orderkey AS page, row, k, CASE (l_partkey * 7 + l_suppkey + k * 5 + row * k) % 18 WHEN 0 THEN 'a' WHEN 1 THEN 'partir' WHEN 2 THEN 'de' WHEN 3 THEN 'trabalho,' WHEN 4 THEN 'Junto' WHEN 5 THEN 'ao' WHEN 6 THEN 'do' WHEN 7 THEN 'acordo.'
+        WHEN 8 THEN 'contabilidade' WHEN 9 THEN 'abril' WHEN 10 THEN 'fim' WHEN 11 THEN 'em' WHEN 12 THEN 'vez' WHEN 13 THEN ',' WHEN 14 THEN 'trabalho' WHEN 15 THEN 'e' WHEN 16 THEN 'pagamentos' ELSE 'x' END AS word
+        FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS k FROM {order_lines} o) l) w""",
+    # Glyphs with y upwards: the baseline drifts within a row, gaps differ by page, sizes and families within a row.
+    "glyphs": """SELECT page, row, col, 40e0 + CASE page % 3 WHEN 0 THEN 70 * col WHEN 1 THEN 22 * col ELSE 24 * col + CASE WHEN col = 3 THEN 27 ELSE 0 END END + 150 * (row % 2) AS x, 700 - 9e0 * row - CASE page % 4 WHEN 1 THEN 3e0 * col WHEN 2 THEN 0.9e0 * col ELSE 0 END AS y,
+        20e0 AS w, 8e0 + 2 * (row % 3) AS size, CASE WHEN col = 0 THEN 'Bold' WHEN (page + row) % 2 = 0 THEN 'Book' ELSE 'Light' END AS family, text FROM {text_items} i""",
     "table_words": """SELECT page, row, x, 20e0 AS w, concat('w', cast(k AS VARCHAR(5))) AS text FROM (SELECT page, row, k, CASE row % 4 WHEN 0 THEN 40e0 + 80 * k WHEN 1 THEN 40e0 + 25 * k + CASE WHEN k > 1 THEN 75 ELSE 0 END
         WHEN 2 THEN 40e0 + 23 * k + k * k ELSE 40e0 + CASE WHEN k < 5 THEN 80 * k ELSE 345 END END AS x FROM (SELECT l_orderkey AS page, row, unnest([0, 1, 2, 3, 4, 5]) AS k FROM {order_lines} o) a WHERE k < CASE row % 4 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 6 END) b""",
     "text_blocks": """SELECT l_orderkey AS page, row AS block, 40e0 + l_partkey % 3 AS x, 100e0 + 20 * row AS y, 60e0 + l_linenumber * 5 AS w, 12e0 AS h,
