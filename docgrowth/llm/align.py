@@ -8,7 +8,7 @@ link. How often each pair of ids is linked is counted over the whole corpus.
 
 Neither tokenizer joins a character that is not white space with a blank, tab or line
 feed after it, so a text is cut there into units (a word with the white space before it)
-and tokens of a text are those of its units; each task encodes and aligns a unit once.
+and tokens of a text are those of its units; a worker encodes and aligns a unit that it keeps once.
 Texts with other white space, which one of the sides may join differently, are one unit.
 
 Two scans: one counts links, one sums them up by document. The counts are broadcast up to
@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from docgrowth.functions.shared import written
 
 PAIRS = 2_000_000
-#: Units that a task keeps; with more it begins anew.
-UNITS = 200_000
+#: Units that a worker keeps; with more it forgets those that it met once.
+UNITS = 400_000
 _UNIT = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
 #: White space besides blank, tab and line feed, and signs some take for it.
 _OTHER = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
@@ -63,14 +64,17 @@ class Sides:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         sign = byte_of_sign()
-        entries = sorted((n, t) for t, n in self.a.get_vocab(with_added_tokens=False).items())
-        self.a_bytes = dict.fromkeys(range(entries[-1][0] + 1), b"") | {n: bytes(sign[c] for c in t) for n, t in entries}
+        entries = {n: bytes(sign[c] for c in t) for t, n in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = [entries.get(n, b"") for n in range(max(entries) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         piece = self.b.id_to_piece
         self.b_bytes = [bytes([int(piece(n)[1:-1], 16)]) if self.b.is_byte(n) else piece(n).replace("▁", " ").encode() for n in range(self.b.vocab_size())]
         self.blank = self.b.piece_to_id("▁")
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # each id with the sign that may follow it: A's "," and "|", B's "," and ";"
+        self.signed = [f"{n}{c}" for x, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for c in signs for n in range(len(x))]
 
-    def ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def _alone(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b = self.b.encode([u[1:] if u[:1] == " " else u for u in units], num_threads=1)
         for n, u in enumerate(units):
@@ -78,8 +82,34 @@ class Sides:
                 b[n] = [self.blank]
             elif u[:1] != " ":  # the blank that B puts before it is not there
                 b[n] = b[n][1:] if b[n][:1] == [self.blank] else [-1]
+        for n, u in enumerate(units):
+            raw = u.encode()
+            if b[n] == [-1] or b"".join([self.a_bytes[x] for x in a[n]]) != raw or b"".join([self.b_bytes[x] for x in b[n]]) != raw or not raw:
+                a[n] = b[n] = []
         return a, b
 
+    def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids, their number by unit, B's ids, their number); none of units that are not their tokens' bytes.
+
+        Words with white space before them are encoded as one text, which is cut where they end.
+        """
+        if all(u[-1:] not in " \t\n" and u[:1] in " \t\n" and not _OTHER.search(u) for u in units):
+            text = "".join(units)
+            whole, ends = f" a{text}".encode(), np.cumsum([2, *(len(u.encode()) for u in units)])
+            made = []
+            for ids, parts, sizes in ((self.a.encode(f" a{text}", add_special_tokens=False).ids, self.a_bytes, self.a_size), (self.b.encode(f"a{text}", num_threads=1), self.b_bytes, self.b_size)):
+                flat = np.array(ids, np.int64)
+                done = np.cumsum(sizes[flat])
+                at = np.searchsorted(done, ends)
+                if done[-1] != ends[-1] or (done[at] != ends).any() or b"".join(map(parts.__getitem__, ids)) != whole:
+                    break
+                made += flat[at[0] + 1 :], np.diff(at)
+            else:
+                return tuple(made)
+        a, b = self._alone(units)
+        flat = lambda x: np.array([i for ids in x for i in ids], np.int64)
+        return flat(a), np.array([len(x) for x in a], np.int64), flat(b), np.array([len(x) for x in b], np.int64)
+
 
 def coalesce(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups of the A and B tokens, numbered from 0, and the links (places of A and B tokens), by sorted intervals."""
@@ -102,97 +132,113 @@ class Units:
 
     def __init__(self, sides: Sides) -> None:
         self.sides = sides
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.text: list[bytes] = []
+        self.text: list[str] = []
         self.sizes = np.zeros((0, 4), np.int64)  # A, B, groups, links; a unit that is not its tokens' bytes has -1
         self.pairs = np.zeros(0, np.int64)
         self.begins = np.zeros(1, np.int64)
+        self.times = np.zeros(0, np.int64)  # met in this task
+        self.used = np.zeros(0, np.int64)  # met since the last prune()
+
+    def prune(self) -> np.ndarray:
+        """Forgets units met once or less, all if those are few; which ones stay, by number. Their times start anew."""
+        stay = np.flatnonzero(self.used > 1)
+        stay = stay if 2 * len(stay) < len(self.text) else stay[:0]
+        keys = [*self.number]  # by number, as they were added
+        self.number = {keys[x]: n for n, x in enumerate(stay.tolist())}
+        self.text = [self.text[x] for x in stay.tolist()]
+        many = np.diff(self.begins)
+        kept = np.zeros(len(many), bool)
+        kept[stay] = True
+        self.pairs = self.pairs[np.repeat(kept, many)]
+        self.begins = np.concatenate(([0], np.cumsum(many[stay])))
+        self.sizes, self.times, self.used = self.sizes[stay], np.zeros(len(stay), np.int64), np.zeros(len(stay), np.int64)
+        return stay
 
     def add(self, units: list[str]) -> None:
-        a_ids, b_ids = self.sides.ids(units)
-        of_a, of_b = self.sides.a_bytes, self.sides.b_bytes
-        a_parts = [[of_a[x] for x in ids] for ids in a_ids]
-        b_parts = [[of_b[x] for x in ids] if ids != [-1] else [] for ids in b_ids]
-        sizes = np.full((len(units), 4), -1, np.int64)
-        good = [n for n, u in enumerate(units) if b"".join(a_parts[n]) == (raw := u.encode()) == b"".join(b_parts[n]) and raw]
-        ends = lambda parts: np.cumsum([len(x) for n in good for x in parts[n]], dtype=np.int64)
-        starts = lambda end: np.concatenate((np.zeros(1, np.int64), end[:-1]))[: len(end)]
-        a_end, b_end = ends(a_parts), ends(b_parts)
-        a_group, b_group, a, b = coalesce(starts(a_end), a_end, starts(b_end), b_end)
-        a_flat, b_flat = (np.array([x for n in good for x in ids[n]], np.int64) for ids in (a_ids, b_ids))
-        unit = np.repeat(good, [len(a_ids[n]) for n in good]).astype(np.int64)  # of each A token
-        pairs, links = a_flat[a] << 32 | b_flat[b], np.bincount(unit[a], minlength=len(units)) if len(unit) else np.zeros(len(units), np.int64)
-        groups = np.bincount(unit[np.flatnonzero(np.diff(a_group, prepend=-1))], minlength=len(units)) if len(unit) else links
-        strings = self._strings(a_flat, a_group, b_flat, b_group)
-        texts, at = [b""] * len(units), 0
-        for n in good:
-            sizes[n] = len(a_ids[n]), len(b_ids[n]), groups[n], links[n]
-            texts[n] = ";".join(strings[at : at + groups[n]]).encode()
-            at += groups[n]
+        for at in range(0, len(units), 4096):
+            self._add(units[at : at + 4096])
+
+    def _add(self, units: list[str]) -> None:
+        side = self.sides
+        a_ids, a_many, b_ids, b_many = side.ids(units)
+        a_end, b_end = np.cumsum(side.a_size[a_ids]), np.cumsum(side.b_size[b_ids])
+        a_group, b_group, a, b = coalesce(a_end - side.a_size[a_ids], a_end, b_end - side.b_size[b_ids], b_end)
+        unit = np.repeat(np.arange(len(units)), a_many)  # of each A token
+        links = np.bincount(unit[a], minlength=len(units))
+        groups = np.bincount(unit[np.flatnonzero(np.diff(a_group, prepend=-1))], minlength=len(units))
+        # A's and B's tokens by group, each with the sign after it
+        ids, group = np.concatenate((a_ids, b_ids)), np.concatenate((a_group, b_group))
+        of_b = np.repeat([0, 1], [len(a_ids), len(b_ids)])
+        order = np.lexsort((np.arange(len(ids)), of_b, group))
+        last = np.ones(len(ids), np.int64)
+        last[:-1] = (np.diff(group[order]) != 0) | (np.diff(of_b[order]) != 0)
+        base = np.array([[0, len(side.a_size)], [2 * len(side.a_size), 2 * len(side.a_size) + len(side.b_size)]])
+        said = [*map(side.signed.__getitem__, (base[of_b[order], last] + ids[order]).tolist())]
+        ends = np.cumsum(a_many + b_many).tolist()
+        texts = ["".join(said[i:j])[:-1] for i, j in zip([0, *ends], ends, strict=False)]
+        sizes = np.stack((a_many, b_many, groups, links), axis=1)
+        sizes[a_many == 0] = -1
         self.number.update(zip(units, range(len(self.text), len(self.text) + len(units)), strict=True))
         self.text += texts
         self.sizes = np.concatenate((self.sizes, sizes))
-        self.pairs = np.concatenate((self.pairs, pairs))
+        self.pairs = np.concatenate((self.pairs, a_ids[a] << 32 | b_ids[b]))
         self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(links)))
-
-    @staticmethod
-    def _strings(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray) -> list[str]:
-        n = int(a_group[-1]) + 1 if len(a_group) else 0
-        cut = lambda ids, group: zip(np.searchsorted(group, np.arange(n)).tolist(), np.searchsorted(group, np.arange(n), "right").tolist(), strict=True)
-        a, left, b, right = [*map(str, a.tolist())], cut(a, a_group), [*map(str, b.tolist())], cut(b, b_group)
-        return [f"{','.join(a[i:j])}|{','.join(b[k:m])}" for (i, j), (k, m) in zip(left, right, strict=True)]
+        more = np.zeros(len(units), np.int64)
+        self.times, self.used = np.concatenate((self.times, more)), np.concatenate((self.used, more))
 
     def of(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The units of each text, by number; None for those without tokens."""
-        split = [([f" {t}"] if _OTHER.search(t) else _UNIT.findall(f" {t}")) if t and "▁" not in t else None for t in texts]
-        known = self.number
-        if fresh := [*{u for s in split if s for u in s if u not in known}]:
-            self.add(fresh)
-        out: list[np.ndarray | None] = []
-        for n, s in enumerate(split):
-            at = None if s is None else np.fromiter(map(known.__getitem__, s), np.int64, len(s))
-            if at is not None and (self.sizes[at, 0] < 0).any():
+        split = [([f" {t}"] if _OTHER.search(t) else _UNIT.findall(f" {t}")) if t and "▁" not in t else [] for t in texts]
+        out = [np.fromiter(map(self.number.get, s, repeat(-1)), np.int64, len(s)) for s in split]
+        missed = [np.flatnonzero(x < 0).tolist() for x in out]
+        if fresh := {s[k] for s, places in zip(split, missed, strict=True) for k in places}:
+            self.add([*fresh])
+            for x, s, places in zip(out, split, missed, strict=True):
+                x[places] = [self.number[s[k]] for k in places]
+        for n, x in enumerate(out):
+            if (self.sizes[x, 0] < 0).any():
                 whole = f" {texts[n]}"  # judged as it stands, not by its units
-                if whole not in known:
+                if whole not in self.number:
                     self.add([whole])
-                at = np.array([known[whole]])
-                at = at if self.sizes[at[0], 0] >= 0 else None
-            out.append(at)
-        return out
+                out[n] = np.array([k for k in (self.number[whole],) if self.sizes[k, 0] >= 0], np.int64)
+        met = np.bincount(np.concatenate(out), minlength=len(self.text))
+        self.times += met
+        self.used += met
+        return [x if len(x) else None for x in out]
 
 
 @lru_cache(maxsize=1)
-def sides(a_path: str, b_path: str) -> Sides:
-    """Both tokenizers, loaded once per worker."""
-    return Sides(a_path, b_path)
+def _of_worker(a_path: str, b_path: str) -> Units:
+    return Units(Sides(a_path, b_path))
+
+
+def units_of(a_path: str, b_path: str) -> Units:
+    """Both tokenizers, loaded once per worker, with the units that its earlier tasks met."""
+    units = _of_worker(a_path, b_path)
+    units.times[:] = 0
+    return units
 
 
 def pair_counts(rows: DataFrame, a_path: str, b_path: str, kept_units: int = UNITS) -> DataFrame:
     """(pair, n, best): links of each pair of ids over all texts, and whether no other A id is linked more with its B id."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, times = Units(sides(a_path, b_path)), np.zeros(0, np.int64)
+        units = units_of(a_path, b_path)
 
         def sums() -> pd.DataFrame:
             pair, where = np.unique(units.pairs, return_inverse=True)
-            each = np.repeat(times, np.diff(units.begins)[: len(times)])
-            return pd.DataFrame({"pair": pair, "n": np.bincount(where[: len(each)], weights=each, minlength=len(pair)).astype(np.int64)})
+            n = np.bincount(where, weights=np.repeat(units.times, np.diff(units.begins)), minlength=len(pair)).astype(np.int64)
+            return pd.DataFrame({"pair": pair[n > 0], "n": n[n > 0]})
 
         for b in batches:
             if len(units.text) > kept_units:
                 yield sums()
-                units.clear()
-                times = np.zeros(0, np.int64)
-            met = [x for x in units.of([*b["t"]]) if x is not None]
-            now = np.bincount(np.concatenate(met), minlength=len(units.text)) if met else np.zeros(len(units.text), np.int64)
-            now[: len(times)] += times
-            times = now
+                units.prune()
+            units.of([*b["t"]])
         yield sums()
 
-    summed = rows.select("t").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0")
+    summed = rows.select("t").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     top = F.max("n").over(W.partitionBy(F.col("pair").bitwiseAND((1 << 32) - 1)))
     return summed.withColumn("best", F.col("n") == top)
 
@@ -217,27 +263,26 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
         return np.diff(sums[begins - begins[0]], axis=0)
 
     def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, value = Units(sides(a_path, b_path)), np.zeros((0, 2), np.int64)
+        units, value = units_of(a_path, b_path), np.zeros((0, 2), np.int64)
         for b in batches:
             if len(units.text) > kept_units:
-                units.clear()
-                value = np.zeros((0, 2), np.int64)
+                value = value[units.prune()]
             found = units.of([*b["t"]])
             value = np.concatenate((value, values(units, len(value))))
             sums, digests = np.zeros((len(b), 6), np.int64), [""] * len(b)
             for n, at in enumerate(found):
                 if at is not None:
                     sums[n, :4], sums[n, 4:] = units.sizes[at].sum(axis=0), value[at].sum(axis=0)
-                    digests[n] = hashlib.sha256(b";".join(map(units.text.__getitem__, at.tolist()))).hexdigest()
+                    digests[n] = hashlib.sha256(";".join(map(units.text.__getitem__, at.tolist())).encode()).hexdigest()
             out = pd.DataFrame(sums, columns=["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"])
             yield out.assign(groups_sha256=digests, k=b["k"].to_numpy())
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each document's pairs with their times; pair -1 counts the document's rows."""
-        units = Units(sides(a_path, b_path))
+        units = units_of(a_path, b_path)
         for b in batches:
             if len(units.text) > kept_units:
-                units.clear()
+                units.prune()
             for k, at in zip(b["k"], units.of([*b["t"]]), strict=True):
                 met = [units.pairs[units.begins[x] : units.begins[x + 1]] for x in at] if at is not None else []
                 pair, n = np.unique(np.concatenate([[-1], *met]).astype(np.int64), return_counts=True)
