@@ -254,11 +254,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
 
     def values(units: Units, since: int) -> np.ndarray:
         """(best links, sum of counts) of the units from number `since` on."""
-        if kept is None:
+        pair, n, best = kept.value if kept is not None else ([],) * 3
+        if not len(pair):
             return np.zeros((len(units.text) - since, 2), np.int64)
-        pair, n, best = kept.value
         begins = units.begins[since:]
-        at = np.searchsorted(pair, units.pairs[begins[0] :])
+        at = np.minimum(np.searchsorted(pair, units.pairs[begins[0] :]), len(pair) - 1)  # units of other tables are not looked up
         sums = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(np.stack((best[at], n[at]), axis=1), axis=0, dtype=np.int64)))
         return np.diff(sums[begins - begins[0]], axis=0)
 
