@@ -279,6 +279,23 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _located(text: Column, pattern: str, group: int = 0, trimmed: bool = False) -> Column:
+    """Every match as (start, end, value), offsets in characters; a group has to end where its match does."""
+    whole, gaps = _all(text, pattern), F.transform(F.split(text, pattern, -1), F.length)
+    value = _all(text, pattern, group)
+    if trimmed:
+        value = F.transform(value, lambda v: F.regexp_replace(v, r"\s+$", ""))
+    found = F.zip_with(F.zip_with(whole, F.slice(gaps, 1, F.size(whole)), lambda w, g: F.struct(w.alias("w"), g.alias("g"))), F.arrays_zip(_all(text, pattern, group).alias("raw"), value.alias("value")), lambda x, v: F.struct(x["g"].alias("gap"), F.length(x["w"]).alias("all"), F.length(v["raw"]).alias("raw"), v["value"].alias("value")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+    def step(s: Column, m: Column) -> Column:
+        end = s["at"] + m["gap"] + m["all"]
+        first = end - m["raw"]
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(first.alias("start"), (first + F.length(m["value"])).alias("end"), m["value"].alias("value")))).alias("out"))
+
+    return F.aggregate(found, start, step)["out"]
+
+
 def extract_dates(docs: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:
     """Every date by form, with the ISO value (zero-padded, not checked against the calendar)."""
     of = lambda form: lambda v: F.struct(F.lit(form).alias("form"), v.alias("value"))
@@ -290,11 +307,12 @@ def extract_dates(docs: DataFrame, key: str = "doc_id", text: str = "head") -> D
 
 
 def _names(text: Column) -> Column:
-    """Names of a text, as an array of (role, value, confidence): after role words, then runs of capitals not among them."""
-    one = lambda role, c: lambda v: F.struct(F.lit(role).alias("role"), v.alias("value"), F.lit(c).alias("confidence"))
-    keyed = {r: F.filter(F.transform(_all(text, p, 1), lambda n: F.regexp_replace(n, r"^\s+|\s+$", "")), lambda n: F.length(n) >= 3) for r, p in NAMES.items()}
+    """Names of a text, as an array of (role, value, confidence, start, end): after role words, then runs of capitals not among them, each once."""
+    one = lambda role, c: lambda v: F.struct(F.lit(role).alias("role"), v["value"].alias("value"), F.lit(c).alias("confidence"), v["start"].alias("start"), v["end"].alias("end"))
+    keyed = {r: F.filter(_located(text, p, 1, trimmed=True), lambda n: F.length(n["value"]) >= 3) for r, p in NAMES.items()}
     found = F.flatten(F.array(*(F.transform(v, one(r, 0.8)) for r, v in keyed.items())))
-    other = F.array_except(_all(text, CAPITALS), F.flatten(F.array(*keyed.values())))
+    runs, known = _located(text, CAPITALS), F.flatten(F.array(*(v["value"] for v in keyed.values())))
+    other = F.filter(runs, lambda v, i: ~F.array_contains(known, v["value"]) & (F.array_position(runs["value"], v["value"]) == i + 1))
     return F.concat(found, F.transform(other, one("unknown", 0.6)))
 
 
@@ -323,18 +341,25 @@ def signature_areas(docs: DataFrame, key: str = "doc_id", text: str = "head") ->
 
 
 def entities(docs: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:
-    """(key, place, kind, role, label, value, confidence): what a text names, in the order in which it is looked for."""
-    t = F.col(text)
-    one = lambda kind, label, c: lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("role"), F.lit(label).alias("label"), v.alias("value"), F.lit(c).alias("confidence"))
-    label = lambda r: F.when(r == "patient", "Patient Name").when(r == "doctor", "Doctor Name").otherwise("Name")
-    name = lambda n: F.struct(F.lit("nameField").alias("kind"), n["role"].alias("role"), label(n["role"]).alias("label"), n["value"].alias("value"), n["confidence"].alias("confidence"))
+    """(key, place, kind, role, label, value, confidence, start, end): what a text names, in the order in which it is looked for, and where it stands.
+
+    `place` is the entity's id within its document; offsets are in characters of the text, the end exclusive.
+    """
+    t, none = F.col(text), F.lit(None).cast("string")
+
+    def one(kind: str, label: Column | str, c: Column | float, role=lambda v: none):
+        label, c = (x if callable(x) else (lambda v, x=x: F.lit(x)) for x in (label, c))
+        return lambda v: F.struct(F.lit(kind).alias("kind"), role(v).alias("role"), label(v).alias("label"), v["value"].alias("value"), c(v).alias("confidence"), v["start"].alias("start"), v["end"].alias("end"))
+
+    name = lambda v: F.when(v["role"] == "patient", "Patient Name").when(v["role"] == "doctor", "Doctor Name").otherwise("Name")
+    whole = F.when(t.rlike(SIGNATURE), F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("end"), t.alias("value")))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     parts = [
-        *(F.transform(_all(t, p), one("dateField", "Date", 0.9)) for p in DATES.values()),
-        F.transform(_names(t), name),
-        F.transform(_all(t, CID, 1), one("textField", "CID", 0.9)),
-        F.transform(_all(t, NUMBER, 1), one("textField", "ID", 0.85)),
-        F.transform(_all(t, POSTCODE), one("addressField", "Postal Code", 0.85)),
-        F.transform(F.when(t.rlike(SIGNATURE), F.array(t)).otherwise(F.array().cast("array<string>")), one("signatureField", "Signature Area", 0.7)),
+        *(F.transform(_located(t, p), one("dateField", "Date", 0.9)) for p in DATES.values()),
+        F.transform(_names(t), one("nameField", name, lambda v: v["confidence"], lambda v: v["role"])),
+        F.transform(_located(t, CID, 1), one("textField", "CID", 0.9)),
+        F.transform(_located(t, NUMBER, 1), one("textField", "ID", 0.85)),
+        F.transform(_located(t, POSTCODE), one("addressField", "Postal Code", 0.85)),
+        F.transform(whole, one("signatureField", "Signature Area", 0.7)),
     ]
     return docs.select(key, F.posexplode(F.concat(*parts)).alias("place", "e")).select(key, "place", "e.*")
 
@@ -365,17 +390,42 @@ def semantic_query(
     return entities.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n") if first else entities
 
 
+def apply_edits(docs: DataFrame, edits: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:
+    """docs with all their edits (key, start, end, by) applied at once, and how many (`edits`).
+
+    Offsets are those of the text before any edit. From left to right, an edit that begins before the end of one already
+    taken is left out, as are those that begin before the text, end before they begin or reach beyond it; of edits with one
+    start the shorter comes first. Documents without edits stay as they are, with 0. One document's edits are gathered.
+    """
+    n = F.length(text)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "by")))
+    met = docs.join(edits.dropna(subset=["start", "end", "by"]).groupBy(key).agg(ordered.alias("_edits")), key, "left")
+    fits = F.filter("_edits", lambda e: (e["start"] >= 0) & (e["end"] >= e["start"]) & (e["end"] <= n))
+    done = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0))
+    kept = F.aggregate(fits, F.array().cast("array<struct<start:int,end:int,by:string>>"), lambda k, e: F.when(e["start"] >= done(k), F.concat(k, F.array(e))).otherwise(k))
+    met = met.withColumn("_kept", F.coalesce(kept, F.array().cast("array<struct<start:int,end:int,by:string>>")))
+    before = lambda k: F.when(k > 0, F.get("_kept", k - 1)["end"]).otherwise(0)
+    pieces = F.transform("_kept", lambda e, k: F.concat(F.substring(F.col(text), before(k) + 1, e["start"] - before(k)), e["by"]))
+    rest = F.substring(F.col(text), done(F.col("_kept")) + 1, n)
+    return met.withColumn("edits", F.size("_kept")).withColumn(text, F.concat(F.array_join(pieces, ""), rest)).drop("_edits", "_kept")
+
+
+def entity_edits(docs: DataFrame, found: DataFrame, replacements: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:
+    """docs with entities replaced by id, several a document: replacements are (key, place, by), found the rows of entities().
+
+    Each value is written where its entity stands, not where its text stands first. Entities of the result are derived anew
+    by entities(), with the offsets that they have then.
+    """
+    return apply_edits(docs, found.join(replacements.select(key, "place", "by"), [key, "place"]).select(key, "start", "end", "by"), key, text)
+
+
 def entity_replace(docs: DataFrame, chosen: DataFrame, by: str, key: str = "doc_id", text: str = "head") -> DataFrame:
-    """docs with the value of each document's first chosen entity written anew where it first stands, and whether that was done.
+    """docs with each document's first chosen entity written anew where it stands, and whether that was done.
 
-    `chosen` are rows of entities(), picked by place, label or kind with semantic_query. Entities of the result are
-    derived anew by entities().
+    `chosen` are rows of entities(), picked by place, label or kind with semantic_query.
     """
-    old = chosen.groupBy(key).agg(F.min_by("value", "place").alias("_old"))
-    at = F.coalesce(F.expr(f"locate(_old, `{text}`)"), F.lit(0))
-    met = docs.join(old, key, "left").withColumn("_at", at).withColumn("replaced", (F.col("_at") > 0) & (F.length("_old") > 0))
-    new = F.concat(F.expr(f"substr(`{text}`, 1, _at - 1)"), F.lit(by), F.expr(f"substr(`{text}`, _at + length(_old))"))
-    return met.withColumn(text, F.when(F.col("replaced"), new).otherwise(F.col(text))).drop("_old", "_at")
+    first = chosen.groupBy(key).agg(F.min_by(F.struct("start", "end"), "place").alias("e")).select(key, "e.*", F.lit(by).alias("by"))
+    return apply_edits(docs, first, key, text).withColumn("replaced", F.col("edits") > 0).drop("edits")
 
 
 def find_occurrences(docs: DataFrame, target: str, key: str = "doc_id", text: str = "text", case_sensitive: bool = True) -> DataFrame:

