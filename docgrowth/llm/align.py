@@ -24,6 +24,7 @@ name, play no part.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -53,6 +54,29 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+# Fixed value: how byte-level vocabularies part a text before they merge.
+PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters that libraries may class differently, by their version of Unicode.
+_RARE = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u20ac]")
+_SPACE = np.frombuffer(b" \t\n", np.uint8)
+
+
+def _merged_by_rank(path: str):
+    """The same vocabulary for a faster library, if its pairs are merged in the order of the ids that they make and nothing else is set; else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:  # a file of the tokenizer package, on each machine
+        made = json.load(f)
+    vocab, pairs, cut = made["model"]["vocab"], made["model"]["merges"], made["pre_tokenizer"] or {}
+    pairs = [p.split(" ") if isinstance(p, str) else p for p in pairs]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not made["normalizer"] and not made["model"].get("ignore_merges")
+    if not plain or any(vocab.get(x + y) != 256 + n for n, (x, y) in enumerate(pairs)) or any(n < 0 or n >= 256 + len(pairs) for n in vocab.values() if n != len(pairs) + 256):
+        return None
+    sign = byte_of_sign()
+    ranks = {bytes(sign[c] for c in t): n for t, n in vocab.items() if n < 256 + len(pairs)}
+    return tiktoken.Encoding("a", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Sides:
     """Both tokenizers: ids of texts, and the bytes of each id."""
 
@@ -61,6 +85,7 @@ class Sides:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.a_fast = _merged_by_rank(a_path)
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         sign = byte_of_sign()
@@ -88,16 +113,21 @@ class Sides:
                 a[n] = b[n] = []
         return a, b
 
+    def _a_ids(self, text: str) -> list[int]:
+        return self.a_fast.encode_ordinary(text) if self.a_fast and not _RARE.search(text) else self.a.encode(text, add_special_tokens=False).ids
+
     def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A's ids, their number by unit, B's ids, their number); none of units that are not their tokens' bytes.
 
         Words with white space before them are encoded as one text, which is cut where they end.
         """
-        if all(u[-1:] not in " \t\n" and u[:1] in " \t\n" and not _OTHER.search(u) for u in units):
-            text = "".join(units)
-            whole, ends = f" a{text}".encode(), np.cumsum([2, *(len(u.encode()) for u in units)])
+        text = "".join(units)
+        whole = f" a{text}".encode()
+        ends = np.cumsum([2, *map(len, units if text.isascii() else map(str.encode, units))])
+        last, first = (np.frombuffer(whole, np.uint8)[x] for x in (ends[1:] - 1, ends[:-1]))
+        if np.isin(first, _SPACE).all() and not np.isin(last, _SPACE).any() and not _OTHER.search(text):
             made = []
-            for ids, parts, sizes in ((self.a.encode(f" a{text}", add_special_tokens=False).ids, self.a_bytes, self.a_size), (self.b.encode(f"a{text}", num_threads=1), self.b_bytes, self.b_size)):
+            for ids, parts, sizes in ((self._a_ids(f" a{text}"), self.a_bytes, self.a_size), (self.b.encode(f"a{text}", num_threads=1), self.b_bytes, self.b_size)):
                 flat = np.array(ids, np.int64)
                 done = np.cumsum(sizes[flat])
                 at = np.searchsorted(done, ends)
