@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _at(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -29,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at, files = _at(spark, path)
+    at, files = located(spark, path)
     files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,5 +38,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def forgotten(df: DataFrame) -> None:
     """Deletes the files of a written() table that nothing will read again."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at, files = _at(df.sparkSession, path)
+        at, files = located(df.sparkSession, path)
         files.delete(at, True)

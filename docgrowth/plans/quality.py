@@ -94,7 +94,13 @@ query("root_cause_report", _report, f"SELECT root, n, percent, target, action FR
 query("root_cause_priority", lambda v: q.root_cause_priority(_report(v)).select("root", "n", "severity", "impact", "actionable", "top", "only_data_missing"), f"""SELECT root, n, severity, impact, actionable, actionable AND row_number() OVER (ORDER BY actionable DESC, impact DESC, n DESC, root) = 1 AS top, NOT bool_or(actionable) OVER () AS only_data_missing
     FROM (SELECT *, floor(percent * severity * 100 + 0.5) / 100 AS impact, root <> 'data-missing' AND severity >= 0.5 AS actionable FROM {_REPORT} r) t""")
 query("fix_list", lambda v: q.fix_list(_report(v)), f"SELECT root, priority, target, action FROM {_REPORT} r WHERE root <> 'data-missing'")
-query("shared_root_pairs", lambda v: q.shared_roots(q.failure_dimensions(v.glyph_diffs)), f"SELECT roots, count(*) AS docs, min(doc) AS first FROM (SELECT doc, string_agg(DISTINCT root, ',' ORDER BY root) AS roots FROM {_FAILS} f GROUP BY doc) s GROUP BY roots")
+_SETS = f"(SELECT doc, string_agg(DISTINCT root, ',' ORDER BY root) AS roots FROM {_FAILS} f GROUP BY doc)"
+query("root_sets", lambda v: q.shared_roots(_failures(v)), f"SELECT roots, count(*) AS docs, min(doc) AS first FROM {_SETS} s GROUP BY roots")
+_ORDER = "['rotation-estimator', 'typography-estimator', 'coverage-estimator', 'baseline-estimator', 'glyph-lost', 'glyph-extra', 'pixel-noise', 'ocr-noise', 'data-missing']"
+_CLASSES = f"(SELECT string_split(roots, ',') AS roots, min(doc) AS class, count(*) AS n, list_sum(list_transform(string_split(roots, ','), lambda r: 1 << (list_position({_ORDER}, r) - 1))) AS mask FROM {_SETS} s GROUP BY roots)"
+query("shared_root_pairs", lambda v: q.shared_root_pairs(_failures(v))[0], f"""SELECT a.class AS class_a, b.class AS class_b, array_to_string(list_filter({_ORDER}, lambda r: list_contains(a.roots, r) AND list_contains(b.roots, r)), ',') AS shared,
+    CASE WHEN a.class = b.class THEN a.n ELSE a.n + b.n END AS documents, CASE WHEN a.class = b.class THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS pairs FROM {_CLASSES} a JOIN {_CLASSES} b ON a.mask <= b.mask WHERE list_has_any(a.roots, b.roots)""")
+query("root_membership", lambda v: q.shared_root_pairs(_failures(v))[1], f"SELECT doc, min(doc) OVER (PARTITION BY roots) AS class, roots FROM {_SETS} s")
 query("trend_fit", lambda v: q.trend_fit(v.trend.select((F.col("month") - 23940).alias("x"), F.col("value").alias("y"))), """SELECT round(s, 6) AS slope, round(i, 4) AS intercept, round(r, 6) AS r2, CASE WHEN s > 0 THEN greatest(ceil((99 - i) / s - last), 0)::BIGINT END AS steps
     FROM (SELECT regr_slope(value, month - 23940) AS s, regr_intercept(value, month - 23940) AS i, regr_r2(value, month - 23940) AS r, max(month - 23940) AS last FROM {trend} t) f""")
 _META = """SELECT d.doc_id, d.lang AS category, CASE WHEN doc_id % 6 > 0 THEN d.source END AS font, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN '' END AS engine, l.quality IS NOT NULL AS with_metadata, l.quality = 0 AS scanned, l.quality = 1 AS digital,
@@ -112,6 +118,18 @@ _JUDGED = "(SELECT *, CASE WHEN failed THEN 'ERROR' WHEN after_delta IS NULL THE
 query("replay_judge", lambda v: q.replay_judge(v.replays).select("l_orderkey", "row", "status"), f"SELECT l_orderkey, row, status FROM {_JUDGED} j")
 query("replay_stats", lambda v: q.replay_stats(q.replay_judge(v.replays), "category"), f"""SELECT category, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE status = '{s}') / count(*)::DOUBLE AS {s.lower()}" for s in ("PASS", "FAIL", "REGRESSION", "UNKNOWN", "ERROR"))},
     count(*) FILTER (WHERE after_delta < before_delta) / count(*)::DOUBLE AS improved, round(avg(after_delta), 6) AS mean, round(quantile_cont(after_delta, 0.5), 6) AS p50, round(quantile_cont(after_delta, 0.95), 6) AS p95, round(quantile_cont(after_delta, 0.99), 6) AS p99 FROM {_JUDGED} j GROUP BY category""")
+# Sketches of each month, merged by category; the twin says that the ranks of their values are within the stated error.
+_MONTHLY = "SELECT r.*, substr(cast(o_orderdate AS VARCHAR(30)), 1, 7) AS month FROM {replays} r JOIN {orders} o ON l_orderkey = o_orderkey"
+
+
+def _sketched(v):
+    rows = v.sql(_MONTHLY)
+    stats = q.sketched_stats(q.replay_sketches(rows, ["category", "month"]), ["category"])
+    within = lambda p, at: (F.avg((F.col("after_delta") < F.col(p)).cast("double")) <= at + q.RANK_ERROR) & (F.avg((F.col("after_delta") <= F.col(p)).cast("double")) >= at - q.RANK_ERROR)
+    return rows.join(F.broadcast(stats), "category").groupBy("category").agg(F.first("rows").alias("rows"), F.first("n").alias("n"), *(within(p, at).alias(f"{p}_within") for p, at in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+
+
+query("replay_sketch_stats", _sketched, "SELECT category, count(*) AS rows, count(after_delta) AS n, true AS p50_within, true AS p95_within, true AS p99_within FROM {replays} r GROUP BY category")
 query("replay_regressions", lambda v: q.replay_regressions(q.replay_judge(v.replays), ("l_orderkey", "row")), f"SELECT l_orderkey, row, round(after_delta - before_delta, 6) AS delta FROM {_JUDGED} j WHERE status = 'REGRESSION' ORDER BY delta DESC, l_orderkey, row LIMIT 10")
 query("replay_summary", lambda v: q.replay_summary(v.replays), "SELECT CASE WHEN after_delta IS NULL THEN 'UNKNOWN' WHEN after_delta <= 1 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS n, round(avg(before_delta), 6) AS before, round(avg(after_delta), 6) AS after FROM {replays} r GROUP BY 1")
 query("replay_dashboard", lambda v: q.replay_dashboard(q.replay_judge(v.replays), ("l_orderkey", "row")))

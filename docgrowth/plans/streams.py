@@ -23,7 +23,7 @@ def _k(name: str = "props"):
 
 
 _OUTCOME = "CASE event_type WHEN 'purchase' THEN 'core' WHEN 'error' THEN 'legacy-fallback' ELSE 'legacy-only' END"
-query("stream_ab_counts", lambda v: o.drained(o.ab_counts(_events(v).filter("event_type in ('view', 'click')").withColumn("variant", F.col("user_id") % 4)), "complete"),
+query("stream_ab_counts", lambda v: o.updated(o.ab_counts(_events(v).filter("event_type in ('view', 'click')").withColumn("variant", F.col("user_id") % 4)), ["variant"]),
       "SELECT user_id % 4 AS variant, count(*) FILTER (WHERE event_type = 'view') AS impressions, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM {events} e WHERE event_type IN ('view', 'click') GROUP BY 1")
 _ROLL = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 query("stream_rolling_cvr", lambda v: o.drained(o.rolling_cvr(_events(v).withColumn("clicks", (F.col("event_type") == "click").cast("long")).withColumn("conversions", (F.col("event_type") == "purchase").cast("long"))), "append"),
@@ -39,7 +39,7 @@ query("stream_settled_clicks", lambda v: o.drained(o.settled_clicks(_events(v).f
     max(run) OVER (PARTITION BY user_id) AS runs FROM {_BURSTS} r GROUP BY user_id, run) t WHERE run < runs OR last + 21600 <= (SELECT epoch(max(ts)) - 86400 FROM {{clicks}} w)""")
 query("stream_evidence_capture", lambda v: o.drained(o.evidence_capture(_events(v).select("event_id", "user_id", "value"), v.sql("SELECT DISTINCT user_id, user_id % 90 AS expected FROM {events} e")), "append").select("event_id", "value"),
       "SELECT event_id, value FROM {events} e WHERE abs(user_id % 90 - value) > 1")
-query("stream_export_coverage", lambda v: o.drained(o.export_coverage(_events(v).withColumn("outcome", F.expr(_OUTCOME))), "complete"), f"SELECT {_OUTCOME} AS outcome, count(*) AS n FROM {{events}} e GROUP BY 1")
+query("stream_export_coverage", lambda v: o.updated(o.export_coverage(_events(v).withColumn("outcome", F.expr(_OUTCOME))), ["outcome"]), f"SELECT {_OUTCOME} AS outcome, count(*) AS n FROM {{events}} e GROUP BY 1")
 query("stream_recent_events", lambda v: o.drained(o.recent_events(_events(v).withColumn("doc", F.col("user_id")), most=5), "append").groupBy("doc").agg(F.max_by("ring", "last").alias("ring")).select("doc", F.array_join("ring", ",").alias("ring")),
       "SELECT user_id AS doc, string_agg(event_id, ',' ORDER BY ts, event_id) AS ring FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM {events} e) t WHERE n <= 5 GROUP BY user_id")
 query("stream_auto_stop", lambda v: o.drained(o.auto_stop(_events(v).withColumn("doc", F.col("user_id")).withColumn("outcome", F.expr(_OUTCOME)).withColumn("reason", F.when(_k() % 5 == 0, "missing-original-bounds").when(_k() % 5 > 1, F.concat(F.lit("r"), (_k() % 5).cast("string"))))), "append"),
@@ -51,8 +51,11 @@ _STAGED = (
     "event_id", "user_id AS doc_id", "ts", "CASE event_type WHEN 'view' THEN 'upload' WHEN 'signup' THEN 'analyze' WHEN 'click' THEN 'open_loop_view' WHEN 'purchase' THEN 'click_action' ELSE 'download' END AS event",
     "CASE WHEN event_type = 'signup' THEN CASE WHEN value > 50 THEN 'YES' ELSE 'NO' END END AS value_flag",
 )
-#: Every event comes twice; the funnel of the batch operator counts each once.
-query("stream_funnel", lambda v: g.value_funnel(o.drained(o.deduplicated(_events(v).union(_events(v)).selectExpr(*_STAGED)), "append")), ORACLE["value_funnel"])
+#: Every event comes twice; the funnel counts each once. The closed days in one streaming query, and the batch funnel over deduplicated rows.
+_TWICE = lambda v: _events(v).union(_events(v)).selectExpr(*_STAGED)
+query("stream_funnel", lambda v: g.value_funnel(o.drained(o.deduplicated(_TWICE(v)), "append")), ORACLE["value_funnel"])
+query("stream_windowed_funnel", lambda v: o.drained(o.windowed_funnel(_TWICE(v)), "append"), f"""SELECT (floor(epoch(ts) / 86400) * 86400)::BIGINT AS start, count(*) FILTER (WHERE event = 'upload') AS uploads, count(*) FILTER (WHERE event = 'analyze' AND value_flag = 'YES') AS yes, count(*) FILTER (WHERE event = 'open_loop_view') AS open_loop_views,
+    count(*) FILTER (WHERE event = 'click_action') AS clicks, count(*) FILTER (WHERE event = 'download') AS downloads, count(*) AS total FROM {{value_events}} e GROUP BY 1 HAVING start + 86400 <= {_CLOSED}""")
 query("windowed_event_rates", lambda v: o.drained(o.event_rates(_events(v)), "append"), f"SELECT (floor(epoch(ts) / 21600) * 21600)::BIGINT AS start, event_type, count(*) AS n FROM {{events}} e GROUP BY 1, 2 HAVING start + 21600 <= {_CLOSED}")
 query("sliding_event_rates", lambda v: o.drained(o.event_rates(_events(v), slide="3 hours"), "append"), f"SELECT ((floor(epoch(ts) / 10800) - i) * 10800)::BIGINT AS start, event_type, count(*) AS n FROM {{events}} e, range(2) r(i) GROUP BY 1, 2 HAVING start + 21600 <= {_CLOSED}")
 query("session_event_counts", lambda v: o.drained(o.sessions(_events(v)), "append"), """SELECT user_id, floor(min(epoch(ts)))::BIGINT AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (

@@ -12,11 +12,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from docgrowth.functions.shared import shared_dir
+from docgrowth.functions.shared import located, shared_dir
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
@@ -35,8 +36,54 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns)
 
 
+class KeyedTable:
+    """A table of one row a key in a folder, kept up to date by batches: each writes the keys it changes, and no others.
+
+    A batch has a folder by its number, so one that runs again after a failure replaces its own rows and changes nothing
+    else. A key's row is that of the last batch that has it. compact() folds batches into one, for few files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> None:
+        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
+        self.spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/in_batch=-1")
+
+    def write(self, batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/in_batch={n}")
+
+    def read(self) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(self.path + "/in_batch=*")
+        rows = rows.withColumn("_batch", F.regexp_extract(F.input_file_name(), "in_batch=(-?[0-9]+)", 1).cast("long"))
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*self.schema.names), "_batch").alias("r"))
+        return last.select("r.*")
+
+    def compact(self, upto: int) -> None:
+        """One batch for all up to this number; to be called between batches, after it is written."""
+        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/in_batch={n}" for n in self.batches() if n <= upto))
+        rows = rows.withColumn("_batch", F.regexp_extract(F.input_file_name(), "in_batch=(-?[0-9]+)", 1).cast("long"))
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*self.schema.names), "_batch").alias("r")).select("r.*")
+        old = [n for n in self.batches() if n < upto]
+        last.write.mode("overwrite").parquet(f"{self.path}/_compacted")
+        self.spark.read.schema(self.schema).parquet(f"{self.path}/_compacted").write.mode("overwrite").parquet(f"{self.path}/in_batch={upto}")
+        for name in [*(f"in_batch={n}" for n in old), "_compacted"]:
+            at, files = located(self.spark, f"{self.path}/{name}")
+            files.delete(at, True)
+
+    def batches(self) -> list[int]:
+        at, files = located(self.spark, self.path)
+        return sorted(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(at) if f.getPath().getName().startswith("in_batch="))
+
+
+def updated(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row of each key of a stream's available input, in update mode, by way of a keyed table in the shared folder."""
+    spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/keyed-{uuid.uuid4().hex}"
+    table = KeyedTable(spark, f"{path}/rows", stream.schema, keys)
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(table.write).start()
+    query.awaitTermination()
+    return table.read()
+
+
 def ab_counts(events: DataFrame) -> DataFrame:
-    """Running impressions and clicks per variant."""
+    """Running impressions and clicks per variant; in update mode only of variants that changed."""
     return events.groupBy("variant").agg(F.count_if(F.col("event_type") == "view").alias("impressions"), F.count_if(F.col("event_type") == "click").alias("clicks"))
 
 
@@ -67,6 +114,20 @@ def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 day")
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def windowed_funnel(events: DataFrame, width: str = "1 day", late: str = "1 day", key: str = "event_id") -> DataFrame:
+    """Stages of the funnel per window, each event once: duplicates within the watermark go, and windows come when they are closed.
+
+    Both keep their state in one streaming query, and drop it as the watermark passes.
+    """
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    at = lambda e: F.count_if(F.col("event") == e)
+    counts = once.groupBy(F.window("ts", width).alias("w")).agg(
+        at("upload").alias("uploads"), F.count_if((F.col("event") == "analyze") & (F.col("value_flag") == "YES")).alias("yes"), at("open_loop_view").alias("open_loop_views"),
+        at("click_action").alias("clicks"), at("download").alias("downloads"), F.count("*").alias("total"),
+    )
+    return counts.select(F.unix_timestamp("w.start").alias("start"), *counts.columns[1:])
+
+
 def evidence_capture(events: DataFrame, samples: DataFrame, least: float = 1.0) -> DataFrame:
     """Events whose value is further than `least` from their sample's, by a join with the static table."""
     return events.join(samples, "user_id").filter(F.abs(F.col("expected") - F.col("value")) > least)
