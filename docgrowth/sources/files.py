@@ -222,7 +222,7 @@ def _sink(format_name: str, made: type[PartWriter]) -> type[DataSource]:
             return format_name
 
         def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-            return made(schema, dict(self.options), overwrite)
+            return made(schema, self.options, overwrite)
 
     return Sink
 
@@ -232,7 +232,7 @@ class Evidence(_sink("evidence", EvidenceWriter)):
         return "id long, seq long, tag string, payload string, _corrupt string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return (FilteringReader if self.options.get("pushdown") == "true" else EvidenceReader)(schema, dict(self.options))
+        return (FilteringReader if self.options.get("pushdown") == "true" else EvidenceReader)(schema, self.options)
 
 
 Report, CsvLines, Sitemap = _sink("report", ReportWriter), _sink("csvlines", CsvLinesWriter), _sink("sitemap", SitemapWriter)

@@ -68,3 +68,13 @@ def test_duplicates_across_batches_and_an_empty_stream(stream):
     s = stream([(1, 1, 0, "view", 0)], [(1, 1, 0, "view", 0), (2, 1, 1, "view", 0)], [])
     assert rows(o.drained(o.deduplicated(s), "append"), "event_id") == [(1,), (2,)]
     assert o.drained(s.filter("event_id > 99"), "append").count() == 0
+
+
+def test_a_funnel_of_windows_counts_each_event_once(stream):
+    s = stream(
+        [(1, 1, 1, "upload", 0), (2, 1, 2, "analyze", 0), (1, 1, 1, "upload", 0)], [(1, 1, 2, "upload", 0), (3, 1, 3, "click_action", 0)], [(4, 1, 40, "download", 0)], [(5, 1, 80, "upload", 0)],
+        [(6, 1, 2, "upload", 0), (4, 1, 41, "download", 0)], [(7, 1, 130, "upload", 0)],
+    ).selectExpr("event_id", "ts", "event_type AS event", "if(event_type = 'analyze', 'YES', null) AS value_flag")
+    start = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    got = [(r["start"] - start, *tuple(r)[1:]) for r in o.drained(o.windowed_funnel(s), "append").orderBy("start").collect()]
+    assert got == [(0, 1, 1, 0, 1, 0, 3), (86400, 0, 0, 0, 0, 1, 1), (3 * 86400, 1, 0, 0, 0, 0, 1)]  # 6 came when its day was closed
