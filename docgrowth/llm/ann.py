@@ -13,12 +13,14 @@ together, large ones dealt to shares, in groups of about `BLOCK` rows; a query i
 the groups that hold buckets it visits, and a group that over `ASKED` queries visit is
 copied for the rest of them. Each group returns the `top` best per query, never pairs.
 The number of buckets, (2 * reach) ** k a table, is fixed, so their sizes go to the tasks.
-Only the scale of the projections is taken from a sample of at most `SAMPLE` vectors.
+Only the scale of the projections is taken from a sample, the `SAMPLE` vectors whose ids have
+the smallest hashes, so that it doesn't depend on the order of the rows.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold a
 null or non-finite number take no part, as query or candidate; a null id takes no part;
 ties go to the smaller id; rows that repeat an id are candidates each, but not of that
-id's own queries; fewer candidates than `top` are all returned; other columns play no part.
+id's own queries; fewer candidates than `top` are all returned; an empty table gives no rows; other
+columns, of any name, play no part.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ def nearest(
     sizes = valid.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
     dims = sizes[0]["dims"] if sizes else 1
     valid = valid.filter(F.size("v") == dims)
-    sample = np.array([r["v"] for r in valid.limit(SAMPLE).collect()]).reshape(-1, dims)
+    sample = np.array([r["v"] for r in valid.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]).reshape(-1, dims)
     scale = float(sample.std(axis=0).mean()) * np.sqrt(dims) if len(sample) else 0.0
     hashes = Hashes(dims, scale if 0 < scale < np.inf else 1.0, tables, k, width, reach)
 
