@@ -8,13 +8,16 @@ stretch (a match counts 1, a mismatch -2) must match `least` words, or all words
 item with fewer.
 
 Windows of documents are sent on only if a bitmap of the benchmark's hashes (at most
-`BITMAP_BITS` bits) has theirs, so the join meets few others. Of a run of equal windows,
-as repeated words make, only the ends count. Items of equal text are compared once.
+`BITMAP_BITS` bits) has theirs, so the join meets few others. Where windows recur at a
+distance of up to the span, as repeated words and phrases make them, only the first and
+last period count: two such stretches overlap most where their ends meet. Items of equal
+text are compared once.
 
 Words are runs without ASCII white space and punctuation, A-Z as a-z. Defined results:
 null and empty texts have no overlap, nor do items without words, nor null items; rows
 that repeat an id are reported once per item, by their best overlap (most words, then
-first, then shortest); other columns, of any name, play no part. Whole texts are read.
+first, then shortest); an empty table on either side gives no rows; other columns, of any
+name, play no part. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -72,9 +75,10 @@ def windows_in(words: np.ndarray, begins: np.ndarray, masks: list[str], whole: b
         ok = at + len(mask) <= begins[text + 1]
         if whole and len(mask) < SPAN:
             ok &= begins[text + 1] - begins[text] == len(mask)
-        inside = (at > begins[text]) & (at + len(mask) < begins[text + 1])
-        before, after = h[np.maximum(at - 1, 0)], h[np.minimum(at + 1, max(len(h) - 1, 0))] if len(h) else h[at]
-        ok &= ~(inside & (before == h[at]) & (after == h[at]))
+        for period in range(1, SPAN + 1) if len(at) else ():
+            inside = (at - period >= begins[text]) & (at + period + len(mask) <= begins[text + 1])
+            before, after = h[np.maximum(at - period, 0)], h[np.minimum(at + period, len(h) - 1)]
+            ok &= ~(inside & (before == h[at]) & (after == h[at]))
         if ok.any():
             yield text[ok], at[ok] - begins[text[ok]], h[at[ok]], len(mask)
 
