@@ -19,7 +19,7 @@ many times makes no more rows than there are tasks, and equal rows of a key are
 
 Defined results: null text and text without words has an empty set and no links; the
 component is the smallest id reachable, the id itself included; rows that repeat an id
-are judged by their own text; other columns, of any name, play no part. Sets are of
+are judged by their own text; an empty table gives no rows; other columns, of any name, play no part. Sets are of
 64-bit hashes, classes of their 64-bit digest. Whole texts are read; a very long one is
 hashed alone.
 """
@@ -44,6 +44,8 @@ from docgrowth.llm.hashing import gram_hashes, mix, word_hashes
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Ids up to this many are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Classes of a key that meet all others of it in one task; of more, shares of about so many do, two at a time.
+MEETING = 2000
 #: Classes whose sizes and sketches are broadcast (10 MB).
 BROADCAST_FACTS = 50_000
 #: Classes that a task remembers having sent (about 20 MB); beyond that it begins anew, and what comes twice is dropped later.
@@ -284,8 +286,20 @@ class Join:
         marked = blocks.select("key", "sig").join(label, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         live = written(marked.join(mixed, "key"), "live")
-        one, two = (live.select(F.col("key").alias(f"key_{x}"), F.col("sig").alias(x), F.col("component").alias(f"c_{x}")).join(self.side(x), x) for x in "ab")
-        near = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & self.possible()
+        # a key with many classes is dealt to shares, and each two shares meet in a task of their own
+        large = live.groupBy("key").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("shares")).filter("shares > 1")
+        met = live.join(large, "key", "left").withColumn("shares", F.coalesce("shares", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("shares").cast("long")).cast("int"))
+        pair = {"a": F.sequence(F.col("own"), F.col("shares") - 1), "b": F.sequence(F.lit(0), F.col("own"))}
+        place = {"a": ("own", "other"), "b": ("other", "own")}
+
+        def meeting(x: str) -> DataFrame:
+            dealt = met.withColumn("other", F.explode(pair[x]))
+            return dealt.select(F.col("key").alias(f"key_{x}"), *(F.col(c).alias(f"{n}_{x}") for c, n in zip(place[x], ("p", "q"), strict=True)), F.col("sig").alias(x), F.col("component").alias(f"c_{x}")).join(self.side(x), x)
+
+        one, two = meeting("a"), meeting("b")
+        # within one share each two classes meet once; of two shares the smaller number is on the side of a, whichever digest is smaller
+        order = (F.col("p_a") < F.col("q_a")) | (F.col("a") < F.col("b"))
+        near = (F.col("key_a") == F.col("key_b")) & (F.col("p_a") == F.col("p_b")) & (F.col("q_a") == F.col("q_b")) & order & (F.col("c_a") != F.col("c_b")) & self.possible()
         pairs = one.join(two, near).select("a", "b", "id_a", "id_b").distinct()
         return star.select("a", "b").union(self.linked(pairs))
 
