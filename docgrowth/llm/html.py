@@ -3,10 +3,15 @@
 The pages of a host are merged into one tree of element paths (tag and class, repeated
 siblings as one). A branch's importance joins two entropies, both 0 for what is the same
 on every page and 1 for what is new on each. Presentation: of the sequences of children
-that its element has. Content: of the texts below it, path by path, each path weighted by
+that its element has. Content: of what is below it, path by path, each path weighted by
 how much its occurrences could tell; over c occurrences of each of a path's texts it is
-1 - sum(c log c) / (m log m), m = sum(c). Branches of low importance are cut from every
-page, with all below them; the texts directly in an element are a branch of their own.
+1 - sum(c log c) / (m log m), m = sum(c). Of blocks whose text is mostly links (menus,
+lists of other pages) the features are the links, the images and the words instead of the
+whole text, over c of the path's M pages each: 1 - sum(c log c) / (m log M); so a menu of
+which one entry changes is still the same menu. An element with l sequences of children has
+(1 - .9^l) of its importance from presentation, the rest from content; the texts directly
+in an element are a branch of their own, by content only. Branches of low importance are
+cut from every page, elements only if nothing below them is important.
 
 Marks are a prior: elements that by their tag, class, id or role hold no article text
 (menus, forms, scripts, adverts, comments ...) have no importance, unless the mark is on a
@@ -17,7 +22,7 @@ Blocks are joined in page order by one space. Defined results: null html is empt
 page without text gives an empty text; broken markup is read as far as it goes (an
 unclosed comment, script or style hides the rest); pages of equal texts count once, and
 so does a text or a sequence of children that a page repeats at a path; repeated rows get
-their text each; columns `main_text` or beginning with `_site_` are refused. Whole pages
+their text each; an empty table gives no rows; columns `main_text` or beginning with `_site_` are refused. Whole pages
 are read; elements nested deeper than `DEPTH` blocks count as their ancestor of that
 depth, so memory and time grow with the page's length.
 """
@@ -55,10 +60,11 @@ MAIN = {"article", "main"}
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _EACH = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_REF = re.compile(r"\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _NAME = re.compile(r"[A-Za-z]+")
 _LOW = 0.3
-#: Share of content in a branch's importance; the rest is presentation's.
+#: To the power of an element's number of sequences of children: the share of content in its importance; the rest is presentation's.
 _CONTENT = 0.9
 #: Levels of block elements that have a path of their own; of marks around an element as many count.
 DEPTH = 32
@@ -97,21 +103,26 @@ def _style(tag: str, attributes: str) -> tuple[str, bool, bool]:
 Block = tuple[str, bool, str]
 
 
-def blocks(page: str | None, styles: set[tuple[str, str]] | None = None) -> Iterator[Block]:
-    """(path, inside an article, text) of every block that the marks keep, in page order; `styles` gets (path, children) of the elements.
+def blocks(page: str | None) -> Iterator[Block]:
+    """(path, inside an article, text) of every block that the marks keep, in page order."""
+    return ((path, inside, text) for path, inside, text, _ in featured(page))
+
+
+def featured(page: str | None, styles: set[tuple[str, str]] | None = None) -> Iterator[tuple[str, bool, str, frozenset[str] | None]]:
+    """As blocks(), with the links, images and words of blocks that are mostly links (else None); `styles` gets (path, children) of the elements.
 
     A mark (class, id, role, form) doesn't count on an element that holds all articles of
     the page, or most of the text of a page without articles.
     """
     articles: list[tuple[int, ...]] = []
     found = [*_parsed(page, articles, styles)]
-    whole = sum(len(text) for *_, text in found)
+    whole = sum(len(text) for *_, text, _ in found)
     held: dict[int, int] = {}
-    for marks, *_, text in ((m, " ") for m in articles) if articles else found:
+    for marks, text in ((m, " ") for m in articles) if articles else ((f[0], f[3]) for f in found):
         for k in marks:
             held[k] = held.get(k, 0) + len(text)
     free = {k for k, n in held.items() if (n == len(articles) if articles else 2 * n > whole)}
-    yield from ((path, inside, text) for marks, path, inside, text in found if free.issuperset(marks))
+    yield from (rest for marks, *rest in found if free.issuperset(marks))
 
 
 class _Open:
@@ -124,28 +135,33 @@ class _Open:
         self.children: list[str] = []
 
 
-def _parsed(page: str | None, articles: list[tuple[int, ...]], styles: set[tuple[str, str]] | None) -> Iterator[tuple[tuple[int, ...], str, bool, str]]:
-    """(marked elements around it, path, inside an article, text) of blocks; the marked elements around each article go to `articles`."""
+def _parsed(page: str | None, articles: list[tuple[int, ...]], styles: set[tuple[str, str]] | None) -> Iterator[tuple[tuple[int, ...], str, bool, str, frozenset[str] | None]]:
+    """(marked elements around it, path, inside an article, text, features of links) of blocks; the marked elements around each article go to `articles`."""
     if not page:
         return
     root = _Open("", False, False, (), "", 0)
     stack: list[_Open] = []
     open_tags: dict[str, int] = {}
     text: list[str] = []
+    refs: list[str] = []
+    linked = 0  # characters of the open block that are in links
     at, size, last = 0, len(page), page.rfind(">")
 
     def child(of: _Open, name: str) -> None:
         if styles is not None and of.depth < DEPTH and (not of.children or of.children[-1] != name):
             of.children.append(name)
 
-    def flush() -> Iterator[tuple[tuple[int, ...], str, bool, str]]:
+    def flush() -> Iterator[tuple[tuple[int, ...], str, bool, str, frozenset[str] | None]]:
+        nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
                 top = stack[-1] if stack else root
                 child(top, _TEXT)
-                yield top.marks, top.path, top.inside, joined
+                yield top.marks, top.path, top.inside, joined, frozenset([*(f">{x}" for x in refs), *joined.lower().split()]) if 2 * linked > len(joined) else None
+        refs.clear()
+        linked = 0
 
     def pop(to: int) -> None:
         for e in stack[to:]:
@@ -159,6 +175,7 @@ def _parsed(page: str | None, articles: list[tuple[int, ...]], styles: set[tuple
         end = m.start() if m else size
         if end > at and not (stack and stack[-1].beside):
             text.append(html.unescape(page[at:end]))
+            linked += len(text[-1].strip()) if open_tags.get("a") else 0
         if not m:
             break
         at = m.end()
@@ -182,6 +199,8 @@ def _parsed(page: str | None, articles: list[tuple[int, ...]], styles: set[tuple
             close = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = close.end() if close else size
             continue
+        if (tag == "a" or tag == "img") and (ref := _REF.search(m[3] or m[6] or "")):
+            refs.append(next(filter(None, ref.groups()), ""))
         if tag in EMPTY:
             continue
         if not inline:  # an open paragraph, list item or cell ends where the next begins
@@ -224,8 +243,11 @@ def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset(), hi
     return " ".join(text for path, inside, text in found if not cut.get(path) and keep(path, inside))
 
 
+_WHOLE, _STYLE, _LINKS, _PAGES = range(4)
+
+
 def judged_branches(pages: DataFrame, host: Column, page: str = "html", least: float = _LOW, pages_needed: int = 5) -> DataFrame:
-    """(host, low, high): per host the branches of low importance, and the texts of high one, as far as at least `pages_needed` occurrences tell."""
+    """(host, low, high): per host the branches to cut, and the texts of high importance, as far as at least `pages_needed` occurrences tell."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = lambda text: xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
@@ -233,30 +255,40 @@ def judged_branches(pages: DataFrame, host: Column, page: str = "html", least: f
             rows = []
             for h, p in zip(b["host"], b["page"], strict=True):
                 styles: set[tuple[str, str]] = set()
-                found = [*blocks(p, styles)]
-                own = digest("\n".join(text for *_, text in found))
-                rows += {(h, path, False, digest(text), own) for path, _, text in found}
-                rows += {(h, path, True, digest(s), own) for path, s in styles}
+                found = [*featured(p, styles)]
+                own = digest("\n".join(text for _, _, text, _ in found))
+                rows += {(h, path, _WHOLE, digest(text), own) for path, _, text, links in found if links is None}
+                rows += {(h, path, _LINKS, digest(x), own) for path, _, _, links in found if links is not None for x in links}
+                rows += {(h, path, _PAGES, 0, own) for path, _, _, links in found if links is not None}
+                rows += {(h, path, _STYLE, digest(s), own) for path, s in styles}
                 if len(rows) > 100_000:
                     yield pd.DataFrame(rows)
                     rows = []
             if rows:
                 yield pd.DataFrame(rows)
 
-    found = pages.select(host.alias("host"), F.col(page).alias("page")).mapInPandas(parse, "host string, path string, style boolean, content long, own long")
-    each = found.distinct().groupBy("host", "path", "style", "content").agg(F.count("*").alias("c"))
-    told = each.groupBy("host", "path", "style").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s")).withColumn("most", F.col("m") * F.log("m"))
-    told = written(told, "entropies")
+    found = pages.select(host.alias("host"), F.col(page).alias("page")).mapInPandas(parse, "host string, path string, kind int, content long, own long")
+    each = found.distinct().groupBy("host", "path", "kind", "content").agg(F.count("*").alias("c"))
+    told = written(each.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), F.count("*").alias("each")), "entropies")
+    of = lambda kind: told.filter(F.col("kind") == kind)
+    linked = of(_LINKS).join(of(_PAGES).select("host", "path", F.col("m").alias("seen")), ["host", "path"]).select("host", "path", "s", (F.col("m") * F.log("seen")).alias("most"), "seen")
+    texts = of(_WHOLE).select("host", "path", "s", (F.col("m") * F.log("m")).alias("most"), F.col("m").alias("seen")).union(linked)
     names = F.split("path", ">")
     above = F.when(F.col("path") == "", F.array(F.lit(_TEXT))).otherwise(F.concat(F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), ">")), F.array(F.concat("path", F.lit(f">{_TEXT}")))))
-    below = told.filter("NOT style").select("host", F.explode(above).alias("branch"), "m", "s", "most")  # as branches() has them
-    content = below.groupBy("host", "branch").agg(F.max("m").alias("seen"), (1 - F.sum("s") / F.nullif(F.sum("most"), F.lit(0.0))).alias("content"))
-    shown = told.filter("style").select("host", F.col("path").alias("branch"), (1 - F.col("s") / F.nullif("most", F.lit(0.0))).alias("shown"))
+    below = texts.select("host", F.explode(above).alias("branch"), "seen", "s", "most")  # as branches() has them
+    content = below.groupBy("host", "branch").agg(F.max("seen").alias("seen"), (1 - F.sum("s") / F.nullif(F.sum("most"), F.lit(0.0))).alias("content"))
+    shown = of(_STYLE).select("host", F.col("path").alias("branch"), (1 - F.col("s") / F.nullif(F.col("m") * F.log("m"), F.lit(0.0))).alias("shown"), "each")
     joined = content.join(shown, ["host", "branch"], "left").filter(F.col("seen") >= pages_needed)
-    importance = _CONTENT * F.col("content") + (1 - _CONTENT) * F.coalesce("shown", "content")
+    share = F.pow(F.lit(_CONTENT), F.col("each"))
+    judged = joined.select("host", "branch", F.when(F.col("shown").isNull(), F.col("content")).otherwise((1 - share) * F.col("shown") + share * F.col("content")).alias("importance"), F.col("branch").endswith(_TEXT).alias("of_text"))
+    judged = written(judged.withColumn("slight", F.col("importance") < least), "importance")
+    parts = F.split("branch", ">")
+    around = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), ">"))
+    holding = judged.filter("NOT slight AND instr(branch, '>') > 0").select("host", F.explode(around).alias("branch")).distinct()
+    cut = judged.filter("slight AND of_text").select("host", "branch").union(judged.filter("slight AND NOT of_text").select("host", "branch").join(holding, ["host", "branch"], "left_anti"))
+    marked = cut.withColumn("slight", F.lit(True)).union(judged.filter("of_text AND NOT slight").select("host", "branch", "slight"))
     named = lambda wanted: F.sort_array(F.collect_list(F.when(wanted, F.col("branch"))))
-    slight, of_text = F.col("importance") < least, F.col("branch").endswith(_TEXT)
-    return joined.withColumn("importance", importance).groupBy("host").agg(named(slight).alias("low"), named(~slight & of_text).alias("high"))
+    return marked.groupBy("host").agg(named(F.col("slight")).alias("low"), named(~F.col("slight")).alias("high"))
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -271,9 +303,12 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     judged = judged.select(F.col("host").alias("_site_host"), F.col("low").alias("_site_low"), F.col("high").alias("_site_high"))
 
     @F.pandas_udf("string")
-    def text(p: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        sets = ([set(u) if u is not None else set() for u in c] for c in (low, high))
-        return pd.Series([main_text(x, *judged) for x, *judged in zip(p, *sets, strict=True)], dtype=object)
+    def text(p: pd.Series, host: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        known: dict[str | None, tuple[set[str], set[str]]] = {}  # of the batch's hosts
+        for h, *sets in zip(host, low, high, strict=True):
+            if h not in known:
+                known[h] = tuple(set(u) if u is not None else set() for u in sets)
+        return pd.Series([main_text(x, *known[h]) for x, h in zip(p, host, strict=True)], dtype=object)
 
     met = pages.withColumn("_site_host", host).join(F.broadcast(judged) if small else judged, "_site_host", "left")
-    return met.withColumn("main_text", text(page, "_site_low", "_site_high")).drop("_site_host", "_site_low", "_site_high")
+    return met.withColumn("main_text", text(page, "_site_host", "_site_low", "_site_high")).drop("_site_host", "_site_low", "_site_high")

@@ -219,27 +219,26 @@ def plain_judgement(pages: list[str], least: float = 0.3, needed: int = 5) -> tu
     seen: dict = {}
     for page in {"\n".join(t for *_, t in html.blocks(p)): p for p in pages}.values():
         styles: set = set()
-        found = {(path, False, text) for path, _, text in html.blocks(page, styles)} | {(path, True, s) for path, s in styles}
+        found = {(path, False, text) for path, _, text, links in html.featured(page, styles) if links is None} | {(path, True, s) for path, s in styles}
+        found |= {(path, "links", x) for path, _, _, links in html.featured(page) for x in links or ()} | {(path, "page", "") for path, _, _, links in html.featured(page) if links is not None}
         for path, style, what in found:
             seen.setdefault((path, style), []).append(what)
     entropy = {}
-    for at, all_of in seen.items():
+    for (path, kind), all_of in seen.items():
         counts = [all_of.count(x) for x in set(all_of)]
-        m = sum(counts)
-        entropy[at] = (m, sum(c * math.log(c) for c in counts), m * math.log(m))
-    low, high = set(), set()
-    for branch in {b for (path, style) in seen if not style for b in html.branches(path)}:
-        below = [e for (path, style), e in entropy.items() if not style and branch in html.branches(path)]
-        if max(m for m, *_ in below) < needed:
+        m, n = sum(counts), len(seen[path, "page"]) if kind == "links" else sum(counts)
+        entropy[path, kind] = (n, sum(c * math.log(c) for c in counts), m * math.log(n), len(counts))
+    importance = {}
+    for branch in {b for (path, kind) in seen if kind in (False, "links") for b in html.branches(path)}:
+        below = [e for (path, kind), e in entropy.items() if kind in (False, "links") and branch in html.branches(path)]
+        if max(n for n, *_ in below) < needed:
             continue
-        content = 1 - sum(s for _, s, _ in below) / sum(t for *_, t in below)
+        content = 1 - sum(e[1] for e in below) / sum(e[2] for e in below)
         own = entropy.get((branch, True))
-        shown = 1 - own[1] / own[2] if own and own[2] else content
-        if 0.9 * content + 0.1 * shown < least:
-            low.add(branch)
-        elif branch.endswith("#"):
-            high.add(branch)
-    return low, high
+        share = 0.9 ** own[3] if own and own[2] else 1
+        importance[branch] = (1 - share) * (1 - own[1] / own[2]) + share * content if share < 1 else content
+    low = {b for b, x in importance.items() if x < least and not any(y >= least and c.startswith(f"{b}>") for c, y in importance.items())}
+    return low, {b for b, x in importance.items() if b.endswith("#") and x >= least}
 
 
 def test_main_text_equals_a_plain_style_tree(spark):
@@ -266,6 +265,26 @@ def test_main_text_equals_a_plain_style_tree(spark):
         html.extract(spark.createDataFrame([(1, "u", "h", "t")], "page_id int, url string, html string, main_text string"))
 
 
+def unmarked_site(n: int = 40) -> list[tuple]:
+    """Pages without any mark or article: a menu of which one entry changes, a list of other pages, and a constant line, around the text."""
+    r, pages = random.Random(8), []
+    for i in range(n):
+        menu = "".join(f"<li><a href=/{x}>{x}</a></li>" for x in ["home", "news", "maps", "contact", f"item{i}"])
+        others = "".join(f"<li><a href=/p{k}>Part {k}</a></li>" for k in r.sample(range(6), 4))
+        body = "".join(f"<p>{' '.join(story(500 + 10 * i + k, r.randint(5, 40)))}</p>" for k in range(r.randint(1, 5)))
+        pages.append((i, f"http://plain.com/{i}", f"<body><div><ul>{menu}</ul></div><div><div>{body}</div></div><div><div><ul>{others}</ul></div></div><div><span>All rights reserved</span></div></body>"))
+    return pages
+
+
+def test_the_tree_alone_finds_the_text_of_a_site_without_marks(spark):
+    pages = unmarked_site()
+    low, high = plain_judgement([p for *_, p in pages])
+    got = {x["page_id"]: x["main_text"] for x in html.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    for i, _, page in pages:
+        assert got[i] == html.main_text(page, low, high) == " ".join(re.findall("<p>(.*?)</p>", page))
+    assert any(b.endswith("ul>li>#") for b in low) and not any("p" in b.split(">") for b in low)
+
+
 def test_articles_of_the_given_pages_come_out_whole(spark):
     pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     for r in queries.op9_main_text(spark, DATA).collect():
