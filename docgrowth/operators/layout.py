@@ -267,16 +267,17 @@ def style_match(blocks: DataFrame, styles: DataFrame, neighbours: DataFrame | No
     smaller block on ties; the page's `stats` (page_style_stats), with their median size; a default. The first two and the
     last keep the block's own size. Blocks need page, block, x, y, w, h and font; boxes page, block, x, y, w, h and family.
     """
-    sized = ["page", "block", "x", "y", "w", "h"]
     centre = lambda k: (F.col(f"{k}_x") + F.col(f"{k}_w") / 2, F.col(f"{k}_y") + F.col(f"{k}_h") / 2)
     (ax, ay), (bx, by) = centre("a"), centre("b")
     far = (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
-    own = blocks.select("page", F.col("block").alias("a"), "font")
-    over = _two(blocks.select(*sized), styles.select(*sized, "family")).filter(_overlap("a", "b") > 0)
-    over = over.groupBy("page", "a").agg(F.min_by(F.struct("b", "b_family"), F.struct(-_overlap("a", "b"), "b")).alias("over"))
-    near = _two(blocks.select(*sized), (styles if neighbours is None else neighbours).select(*sized, "family"))
-    near = near.groupBy("page", "a").agg(F.min_by(F.struct("b", "b_family"), F.struct(far, "b")).alias("near"))
-    met = own.join(over, ["page", "a"], "left").join(near, ["page", "a"], "left")
+    sides = ["x", "y", "w", "h"]
+    boxes = lambda d, drawn, beside: d.select("page", F.col("block").alias("b"), F.col("family").alias("b_family"), *(F.col(c).cast("double").alias(f"b_{c}") for c in sides), F.lit(drawn).alias("drawn"), F.lit(beside).alias("beside"))
+    other = boxes(styles, True, True) if neighbours is None else boxes(styles, True, False).union(boxes(neighbours, False, True))
+    # one join of a page's boxes, and both choices from it; what follows keeps the partitions by page
+    met = blocks.select("page", F.col("block").alias("a"), "font", *(F.col(c).cast("double").alias(f"a_{c}") for c in sides)).join(other, "page", "left")
+    chosen = F.struct("b", "b_family")
+    area = _overlap("a", "b")
+    met = met.groupBy("page", "a", "font").agg(F.min_by(chosen, F.when(F.col("drawn") & (area > 0), F.struct(-area, "b"))).alias("over"), F.min_by(chosen, F.when(F.col("beside"), F.struct(far, "b"))).alias("near"))
     met = met.join(stats.select("page", F.struct(F.col("family").alias("b_family"), F.col("font").alias("size")).alias("stat")), "page", "left") if stats is not None else met.withColumn("stat", F.lit(None).cast("struct<b_family:string,size:double>"))
     how = F.when(F.col("over").isNotNull(), "overlap").when(F.col("near").isNotNull(), "nearest").when(F.col("stat").isNotNull(), "page").otherwise("default")
     family = F.when(how == "overlap", F.col("over.b_family")).when(how == "nearest", F.col("near.b_family")).when(how == "page", F.col("stat.b_family")).otherwise(DEFAULT_FAMILY)
