@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docgrowth.functions.folds import folded, gathered
 from docgrowth.functions.numbers import half_up
 from docgrowth.functions.shared import written
 
@@ -139,31 +143,34 @@ def paragraph_merge(blocks: DataFrame, gap: float = 2.5, shift: float = 20.0, fo
 
 
 def table_blocks(lines: DataFrame, least: int = 3, grid: float = 5) -> DataFrame:
-    """Lines with the run they are in, and whether that is a table.
+    """(page, block, run, kind): the run that each line is in, and whether that is a table.
 
     Left edges on a grid that `least` lines of the page share are aligned; a page of fewer lines, or with fewer than two
     aligned edges, has paragraphs only. From top to bottom, a run is cut before an aligned line whose edge is not that of
     the line before, and before an unaligned line once the run has more than two; so the cut depends on the run's length,
     which a fold keeps. Runs of more than two lines are tables; every other line is a run of its own.
     """
-    at = half_up(F.col("x") / grid).cast("long")
-    marked = lines.withColumn("_at", at).withColumn("_often", F.count("*").over(W.partitionBy("page", "_at")) >= least)
-    item = F.struct("y", "x", "block", "_at", "_often")
-    page = marked.groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("items"), F.size(F.collect_set(F.when(F.col("_often"), F.col("_at")))).alias("edges"))
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).alias("n"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("runs"))
-
-    def step(s: Column, i: Column) -> Column:
-        cut = (s["n"] > 0) & F.when(i["_often"], i["_at"] != s["at"]).otherwise(s["n"] > 2)
-        run = s["run"] + cut.cast("int")
-        return F.struct(i["_at"].alias("at"), F.when(cut, 1).otherwise(s["n"] + 1).alias("n"), run.alias("run"), F.concat(s["runs"], F.array(run)).alias("runs"))
-
-    gate = (F.size("items") >= 3) & (F.col("edges") >= 2)
-    runs = F.when(gate, F.aggregate("items", start, step)["runs"])
-    rows = page.select("page", F.explode(F.transform("items", lambda i, k: F.struct(i["block"].alias("block"), F.get(runs, k).alias("run"), k.alias("k")))).alias("l")).select("page", "l.*")
-    table = F.coalesce(F.count("run").over(W.partitionBy("page", "run")) > 2, F.lit(False))
-    rows = rows.withColumn("kind", F.when(table, "table").otherwise("paragraph"))
-    first = F.when(F.col("kind") == "table", F.min("k").over(W.partitionBy("page", "run"))).otherwise(F.col("k"))
-    return lines.join(rows.withColumn("run", F.dense_rank().over(W.partitionBy("page").orderBy(first))).drop("k"), ["page", "block"])
+
+    def runs(block: list, at: list) -> Iterator[tuple]:
+        often = {x for x, n in Counter(at).items() if n >= least}
+        held: list[list[int]] = []
+        for k, x in enumerate(at):
+            if held and not (x != at[k - 1] if x in often else len(held[-1]) > 2):
+                held[-1].append(k)
+            else:
+                held.append([k])
+        table = len(at) >= 3 and len(often) >= 2
+        n = 0
+        for run in held:
+            parts = [run] if table and len(run) > 2 else [[k] for k in run]
+            for part in parts:
+                n += 1
+                for k in part:
+                    yield block[k], n, "table" if len(part) > 1 else "paragraph"
+
+    kind = lines.schema["block"].dataType.simpleString()
+    rows = lines.select("page", "y", "x", "block", half_up(F.col("x") / grid).cast("long").alias("at"))
+    return folded(gathered(rows, ["page"], ["y", "x", "block"], ["block", "at"]), ["page"], runs, f"block {kind}, run long, kind string")
 
 
 def block_types(blocks: DataFrame) -> DataFrame:
