@@ -212,6 +212,34 @@ def test_toxicity_of_single_labels_ties_and_repeats(spark):
         toxicity.score(docs.withColumnRenamed("text", "toxicity"), toxicity.train([], np.zeros(0)), "toxicity")
 
 
+def test_training_ends_near_the_least_loss_of_a_plain_descent():
+    """The loss from its definition: balanced log loss, ridge, and the squared score changes under swaps; minimised by plain gradients, all features dense."""
+    r = random.Random(2)
+    rows = [({r.choice(["muslim", "women", "cat", "dog"]), *r.sample(["awful", "nice", "song", "tree", "vile"], 2)}, 0) for _ in range(80)]
+    rows = [(t, int(len(t & {"awful", "vile"}) > 0 or ("muslim" in t and r.random() < 0.8))) for t, _ in rows]
+    texts, y = [t for t, _ in rows], np.array([v for _, v in rows])
+    fairness, ridge = 20.0, 1e-2
+    model = toxicity.train(texts, y, fairness=fairness, chance=0.5, least=3, ridge=ridge, steps=2000)
+    names = sorted(model.weights)
+    assert "awful" in names and "^muslim"[:5] in {n[:5] for n in names}
+    x = np.array([[float(n in toxicity.features(t)) for n in names] for t in texts])
+    swaps = toxicity._swaps(texts)
+    change = np.array([[float(n in gone) - float(n in come) for n in names] for gone, come in swaps])
+    often = np.array([*swaps.values()], float) / sum(swaps.values())
+    cost = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+
+    def loss(w, b):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        return float(-(cost * np.where(y == 1, np.log(p), np.log(1 - p))).sum() + ridge / 2 * (w @ w) + fairness / 2 * (often @ (change @ w) ** 2))
+
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(20_000):
+        e = cost * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 0.05 * (x.T @ e + ridge * w + fairness * change.T @ (often * (change @ w))), b - 0.05 * e.sum()
+    found = loss(np.array([model.weights[n] for n in names]), model.bias)
+    assert found <= loss(w, b) + 2e-3 and found < loss(np.zeros(len(names)), 0.0)
+
+
 # --- main text: importance of branches from the definitions, with plain dictionaries
 
 
