@@ -129,7 +129,15 @@ query("text_similarity", lambda v: s.text_similarity(v.next_texts).select("a", "
     w AS (SELECT a, b, list_filter(list_distinct(string_split(x, ' ')), lambda t: length(t) > 1) AS wx, list_filter(list_distinct(string_split(y, ' ')), lambda t: length(t) > 1) AS wy FROM n)
     SELECT n.a, n.b, round(CASE WHEN x = '' OR y = '' THEN 0e0 WHEN x = y THEN 1e0 ELSE 0.4e0 * coalesce(j, 0) + 0.6e0 * CASE WHEN len(wx) + len(wy) = 0 THEN 0e0 ELSE len(list_intersect(wx, wy)) / len(list_distinct(list_concat(wx, wy)))::DOUBLE END END, 9) AS score
     FROM n JOIN w ON n.a = w.a AND n.b = w.b LEFT JOIN gj ON n.a = gj.a AND n.b = gj.b""")
-query("near_duplicates", lambda v: s.near_duplicates(v.doc_texts, "doc_id", "text").select("a", "b"))
+_NORMAL = "trim(regexp_replace(regexp_replace(translate(lower(text), 'áàâãäéèêëíìîïóòôõöúùûüçñß', 'aaaaaeeeeiiiiooooouuuucns'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+# Every pair of different texts that shares a word is compared by words; bigrams add at most 0.4.
+query("near_duplicates", lambda v: s.near_duplicates(v.doc_texts, "doc_id", "text").select("a", "b", F.round("score", 6).alias("score")), f"""WITH n AS MATERIALIZED (SELECT * FROM (SELECT doc_id, {_NORMAL} AS x FROM {{doc_texts}} d) t WHERE x <> ''), c AS MATERIALIZED (SELECT x, min(doc_id) AS c FROM n GROUP BY x),
+    w AS MATERIALIZED (SELECT DISTINCT c, w FROM (SELECT c, unnest(string_split(x, ' ')) AS w FROM c) t WHERE length(w) > 1), z AS (SELECT c, count(*) AS n FROM w GROUP BY c),
+    near AS MATERIALIZED (SELECT p, q, i::DOUBLE / (a.n + b.n - i) AS j FROM (SELECT a.c AS p, b.c AS q, count(*) AS i FROM w a JOIN w b ON a.w = b.w AND a.c < b.c GROUP BY a.c, b.c) i JOIN z a ON a.c = p JOIN z b ON b.c = q WHERE 0.4e0 + 0.6e0 * i / (a.n + b.n - i) > 0.6e0),
+    g AS MATERIALIZED (SELECT c, g, count(*) AS n FROM (SELECT c, substr(x, k, 2) AS g FROM (SELECT c, x, unnest(range(1, length(x))) AS k FROM c WHERE c IN (SELECT p FROM near UNION SELECT q FROM near)) t) u GROUP BY c, g), t AS (SELECT c, sum(n) AS n FROM g GROUP BY c),
+    scored AS (SELECT p, q, 0.4e0 * coalesce(low / (a.n + b.n - low)::DOUBLE, 0) + 0.6e0 * j AS score FROM (SELECT near.p, near.q, any_value(j) AS j, sum(least(x.n, y.n)) AS low FROM near LEFT JOIN (g x JOIN g y ON x.g = y.g) ON x.c = near.p AND y.c = near.q GROUP BY near.p, near.q) s JOIN t a ON a.c = p JOIN t b ON b.c = q),
+    m AS (SELECT doc_id, c FROM n JOIN c USING (x))
+    SELECT least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b, round(score, 6) AS score FROM scored JOIN m a ON a.c = p JOIN m b ON b.c = q WHERE score > 0.6e0 UNION ALL SELECT a.doc_id, b.doc_id, 1e0 FROM m a JOIN m b ON a.c = b.c AND a.doc_id < b.doc_id""")
 query("trigram_similarity", lambda v: s.trigram_similarity(v.next_texts).select("a", "b", F.round("score", 9).alias("score")), """SELECT a, b, round(CASE WHEN ta = '' OR tb = '' THEN 0e0 WHEN lower(ta) = lower(tb) THEN 1e0 WHEN contains(lower(ta), lower(tb)) OR contains(lower(tb), lower(ta)) THEN 0.9e0
     WHEN least(length(ta), length(tb)) < 3 THEN 0e0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE END, 9) AS score FROM (SELECT a, b, ta, tb, list_distinct(list_transform(range(1, length(ta) - 1), lambda i: substr(lower(ta), i::INT, 3))) AS x,
     list_distinct(list_transform(range(1, length(tb) - 1), lambda i: substr(lower(tb), i::INT, 3))) AS y FROM {next_texts} p) t""")
