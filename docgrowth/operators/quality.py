@@ -399,12 +399,13 @@ def replay_stats(judged: DataFrame, by: str | None = None, exact: bool = True, a
     """Rates per status over all rows, improvement, mean, and p50, p95, p99 of what came after.
 
     Exact percentiles are interpolated and gather a group's distinct values in one task; with `exact` off
-    they are approximate, by sketches that merge, and values that occur.
+    they are approximate, by sketches that merge, and values that occur. Of no rows all rates are 0.
     """
-    rate = lambda s: (F.count_if(F.col("status") == s) / F.count("*")).alias(s.lower())
+    share = lambda n: F.coalesce(n / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0))
+    rate = lambda s: share(F.count_if(F.col("status") == s)).alias(s.lower())
     of = lambda x: F.percentile("after_delta", F.lit(x)) if exact else F.percentile_approx("after_delta", x, accuracy)
     q = lambda x: F.round(of(x), 6).alias(f"p{int(x * 100)}")
-    better = (F.count_if(F.col("after_delta") < F.col("before_delta")) / F.count("*")).alias("improved")
+    better = share(F.count_if(F.col("after_delta") < F.col("before_delta"))).alias("improved")
     rows = judged.groupBy(*([by] if by else []))
     return rows.agg(F.count("*").alias("n"), *map(rate, ("PASS", "FAIL", "REGRESSION", "UNKNOWN", "ERROR")), better, F.round(F.avg("after_delta"), 6).alias("mean"), q(0.5), q(0.95), q(0.99))
 
