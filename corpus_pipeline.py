@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgrowth.functions.shared import written
+from docgrowth.functions.shared import forgotten, written
 from docgrowth.llm import stages
 from docgrowth.llm.queries import tokenizer_file
 from docgrowth.llm.tables import table
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:  # the table before this stage's is not read again
+            forgotten(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,7 @@ Defined results: null text or text without a letter (Unicode category L; digits,
 signs and marks are none) is `und` with score 0; with no labelled row all texts are `und`;
 with one language every text with a letter gets it, score 1; ties of losses go to the
 language first in order. Null labels teach nothing. Any text length is read whole.
-Repeated rows teach and are judged each. More than `LANGUAGES` different labels are
+Repeated rows teach and are judged each; an empty table teaches nothing and has no rows. More than `LANGUAGES` different labels are
 refused, since the counts of each reach the driver; so is a column of the result's name.
 """
 

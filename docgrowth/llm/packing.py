@@ -7,7 +7,8 @@ counts allow; else the longest piece that fits goes in (best fit) and the new ga
 looked up again. Each pattern uses up a length, so their number is bounded by the
 capacity. Pieces get their places by rank within their length.
 
-Defined results: as in docgrowth.llm.tokens; every piece has one place, offsets of a
+Defined results: as in docgrowth.llm.tokens (null ids, repeated rows, empty tables, other
+columns too); every piece has one place, offsets of a
 sequence have no gaps, ties go to the longer piece.
 """
 

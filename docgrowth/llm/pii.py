@@ -7,7 +7,8 @@ every span found there is mapped back to source characters.
 
 Defined results: null or empty text has no spans; a disguised span that meets a plain
 one of its kind is dropped (plain ones stay); repeated rows are judged one by one; a
-column `pii` of the documents is refused. A spaced " at " is rewritten only before a host
+column `pii` of the documents is refused, others of any name pass through; an empty table
+gives no rows. A spaced " at " is rewritten only before a host
 whose dot is disguised too, since "look at example.com" is ordinary prose. A text whose
 only signs are the words "un", "oh" or "point" is left as it is. Whole texts are read,
 in time that grows with their length: long runs of blanks are walked once.

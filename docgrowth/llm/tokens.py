@@ -8,7 +8,8 @@ The plan gives each piece a place by its rank among the pieces of its length.
 
 Defined results: null text is empty and has only the end id; longer documents are cut
 into pieces of the capacity, the last may be shorter, nothing is dropped; repeated rows
-are packed each; an empty table gives no sequence.
+are packed each, rows of null id too (their members have a null key); an empty table gives
+no sequence; other columns, of any name, play no part.
 """
 
 from __future__ import annotations

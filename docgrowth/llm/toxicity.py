@@ -12,7 +12,7 @@ bytes too; scores cover all rows and whole texts. Copies of a text teach once.
 Defined results: null or empty text has the score of a text without known words; without
 labels of both kinds every score is the smoothed share of label 1; labels null or other
 than 0 and 1 teach nothing; rows that repeat an id are each joined to its labels; a
-column `toxicity` of the documents is refused. Any text length is scored whole.
+column `toxicity` of the documents is refused; empty tables teach nothing and have no rows. Any text length is scored whole.
 """
 
 from __future__ import annotations

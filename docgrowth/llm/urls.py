@@ -17,7 +17,7 @@ Only built-in functions: templates are few per host, so the tree is built on the
 (host, template) table and joined back. Defined results: a null url, or one without
 "://", has an empty host and path, fits no rule, and belongs to the template of the
 empty host; a template without labels is allowed; repeated rows are judged each; other
-columns are left out. Whole urls are read.
+columns, of any name, are left out; an empty table gives no rows. Whole urls are read.
 """
 
 from __future__ import annotations
