@@ -213,10 +213,10 @@ query("glyph_lines", lambda v: breaks.glyph_lines(v.glyphs), """WITH RECURSIVE b
     f AS (SELECT page, line, arg_max(family, (n, -first)) AS family FROM (SELECT page, line, family, sum(greatest(length(text), 1)) AS n, min(k) AS first FROM l GROUP BY page, line, family) c GROUP BY page, line)
     SELECT page, line, string_agg(text, '' ORDER BY k) AS text, arg_min(x, k) AS x, arg_min(y, k) AS y, arg_max(x + w, k) - arg_min(x, k) AS width, max(size) AS size, any_value(f.family) AS family, count(*)::INT AS n FROM l JOIN f USING (page, line) GROUP BY page, line""")
 # Exported items that are parted, moved or changed: two for one, one too many, words that grow.
-_PARTED = """SELECT doc, page, seq * 2 AS seq, CASE WHEN doc % 3 = 0 THEN 'Q' WHEN doc % 7 = 1 THEN concat(text, ' and more') ELSE text END AS text FROM {fidelity_export} a WHERE doc % 5 > 0 OR seq > 0
+_UNALIKE = """SELECT doc, page, seq * 2 AS seq, CASE WHEN doc % 3 = 0 THEN 'Q' WHEN doc % 7 = 1 THEN concat(text, ' and more') ELSE text END AS text FROM {fidelity_export} a WHERE doc % 5 > 0 OR seq > 0
     UNION ALL SELECT doc, page, seq * 2 + 1, CASE WHEN doc % 3 = 0 THEN substr(text, 2) ELSE '--' END FROM {fidelity_export} b WHERE doc % 3 = 0 OR doc % 11 = 2"""
-query("observation_align", lambda v: breaks.observation_align(v.fidelity_original, v.sql(_PARTED)), f"""WITH RECURSIVE ex AS (SELECT doc, page, seq, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS k, regexp_extract_all(text, '[A-Za-z0-9]+') AS words FROM {{fidelity_original}} o),
-    ac AS (SELECT doc, page, seq, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS k, regexp_extract_all(text, '[A-Za-z0-9]+') AS words FROM ({_PARTED}) p),
+query("observation_align", lambda v: breaks.observation_align(v.fidelity_original, v.sql(_UNALIKE)), f"""WITH RECURSIVE ex AS (SELECT doc, page, seq, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS k, regexp_extract_all(text, '[A-Za-z0-9]+') AS words FROM {{fidelity_original}} o),
+    ac AS (SELECT doc, page, seq, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS k, regexp_extract_all(text, '[A-Za-z0-9]+') AS words FROM ({_UNALIKE}) p),
     r AS (SELECT doc, page, 1::BIGINT AS e, 1::BIGINT AS a, []::VARCHAR[] AS got, []::BIGINT[] AS used, NULL::VARCHAR[] AS took, NULL::BIGINT[] AS took_items, NULL::BIGINT AS ended FROM (SELECT DISTINCT doc, page FROM ex SEMI JOIN ac USING (doc, page)) s
         UNION ALL SELECT doc, page, CASE WHEN takes AND NOT whole OR e IS NULL THEN e ELSE e + 1 END, CASE WHEN takes THEN a + 1 ELSE a END, CASE WHEN takes AND NOT whole THEN more ELSE [] END, CASE WHEN takes AND NOT whole THEN list_append(used, item) ELSE [] END,
         CASE WHEN takes AND NOT whole THEN NULL WHEN takes THEN more ELSE got END, CASE WHEN takes AND NOT whole THEN NULL WHEN takes THEN list_append(used, item) ELSE used END, CASE WHEN takes AND NOT whole THEN NULL ELSE e END
