@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -279,21 +281,29 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _located(text: Column, pattern: str, group: int = 0, trimmed: bool = False) -> Column:
     """Every match as (start, end, value), offsets in characters; a group has to end where its match does."""
-    whole, gaps = _all(text, pattern), F.transform(F.split(text, pattern, -1), F.length)
-    value = _all(text, pattern, group)
-    if trimmed:
-        value = F.transform(value, lambda v: F.regexp_replace(v, r"\s+$", ""))
-    found = F.zip_with(F.zip_with(whole, F.slice(gaps, 1, F.size(whole)), lambda w, g: F.struct(w.alias("w"), g.alias("g"))), F.arrays_zip(_all(text, pattern, group).alias("raw"), value.alias("value")), lambda x, v: F.struct(x["g"].alias("gap"), F.length(x["w"]).alias("all"), F.length(v["raw"]).alias("raw"), v["value"].alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    parts = F.struct(_all(text, pattern).alias("whole"), _all(text, pattern, group).alias("raw"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps"))
+
+    def found(m: Column) -> Column:
+        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("at"), none.alias("out"))
 
-    def step(s: Column, m: Column) -> Column:
-        end = s["at"] + m["gap"] + m["all"]
-        first = end - m["raw"]
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(first.alias("start"), (first + F.length(m["value"])).alias("end"), m["value"].alias("value")))).alias("out"))
+        def step(s: Column, w: Column) -> Column:
+            raw, end = F.get(m["raw"], s["k"]), s["at"] + F.get(m["gaps"], s["k"]) + F.length(w)
+            value = F.regexp_replace(raw, r"\s+$", "") if trimmed else raw
+            one = F.struct((end - F.length(raw)).alias("start"), (end - F.length(raw) + F.length(value)).alias("end"), value.alias("value"))
+            return F.struct((s["k"] + 1).alias("k"), end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(found, start, step)["out"]
+        return F.aggregate(m["whole"], start, step)["out"]
+
+    # most texts have no match of most patterns
+    return F.when(text.rlike(pattern), _let(parts, found)).when(text.isNotNull(), none)
 
 
 def extract_dates(docs: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:
@@ -309,11 +319,13 @@ def extract_dates(docs: DataFrame, key: str = "doc_id", text: str = "head") -> D
 def _names(text: Column) -> Column:
     """Names of a text, as an array of (role, value, confidence, start, end): after role words, then runs of capitals not among them, each once."""
     one = lambda role, c: lambda v: F.struct(F.lit(role).alias("role"), v["value"].alias("value"), F.lit(c).alias("confidence"), v["start"].alias("start"), v["end"].alias("end"))
-    keyed = {r: F.filter(_located(text, p, 1, trimmed=True), lambda n: F.length(n["value"]) >= 3) for r, p in NAMES.items()}
-    found = F.flatten(F.array(*(F.transform(v, one(r, 0.8)) for r, v in keyed.items())))
-    runs, known = _located(text, CAPITALS), F.flatten(F.array(*(v["value"] for v in keyed.values())))
-    other = F.filter(runs, lambda v, i: ~F.array_contains(known, v["value"]) & (F.array_position(runs["value"], v["value"]) == i + 1))
-    return F.concat(found, F.transform(other, one("unknown", 0.6)))
+    keyed = [F.transform(F.filter(_located(text, p, 1, trimmed=True), lambda n: F.length(n["value"]) >= 3), one(r, 0.8)) for r, p in NAMES.items()]
+
+    def with_runs(v: Column) -> Column:
+        other = F.filter(v["runs"], lambda n, i: ~F.array_contains(v["found"]["value"], n["value"]) & (F.array_position(v["runs"]["value"], n["value"]) == i + 1))
+        return F.concat(v["found"], F.transform(other, one("unknown", 0.6)))
+
+    return _let(F.struct(F.flatten(F.array(*keyed)).alias("found"), _located(text, CAPITALS).alias("runs")), with_runs)
 
 
 def extract_names(docs: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:

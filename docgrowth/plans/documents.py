@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docgrowth.functions.shared import written
 from docgrowth.operators import documents as d
 from docgrowth.plans.base import query
 
@@ -139,7 +140,7 @@ query("entity_replace", lambda v: d.entity_replace(v.statements, d.semantic_quer
     SELECT doc_id, regexp_matches(head, '\b[0-9]{{5}}-[0-9]{{3}}\b') AS replaced, regexp_replace(head, '\b[0-9]{{5}}-[0-9]{{3}}\b', '00000-000') AS head FROM {{statements}} s""")
 
 # All dates, codes, numbers and postcodes of a document at once, by id; the twin rewrites the patterns themselves.
-_EDITED = lambda v: d.entity_edits(v.statements, f := d.entities(v.statements), f.filter("kind IN ('dateField', 'textField', 'addressField')").select("doc_id", "place", F.format_string("<%s %d>", "label", F.length("value")).alias("by")))
+_EDITED = lambda v: d.entity_edits(v.statements, f := written(d.entities(v.statements), "entities"), f.filter("kind IN ('dateField', 'textField', 'addressField')").select("doc_id", "place", F.format_string("<%s %d>", "label", F.length("value")).alias("by")))
 _MARKED_UP = "head"
 for _p, _by in ((r"\b([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([/.-])[0-9]{1,2}[/.-][0-9]{4})\b", "<Date 10>"), (r"\b[0-9]{5}-[0-9]{3}\b", "<Postal Code 9>"), (r"(CID: )B20\.1", r"\1<CID 5>"), (r"(CPF )123\.456-7", r"\1<ID 9>")):
     _MARKED_UP = f"regexp_replace({_MARKED_UP}, '{_p}', '{_by}', 'g')"
