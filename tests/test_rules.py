@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import functions as F
@@ -154,3 +155,10 @@ def test_edits_by_id(spark):
     edits = [(4, 0, 3, "A"), (4, 2, 5, "overlaps"), (4, 3, 3, "+"), (4, -1, 2, "before"), (4, 6, 99, "beyond"), (4, 7, 7, "."), (3, 0, 0, "x"), (4, None, 1, "null")]
     got = {r["doc_id"]: (r["edits"], r["head"]) for r in d.apply_edits(docs, made(spark, edits, "doc_id int, start int, end int, by string")).collect()}
     assert got[4] == (3, "A+hing.") and got[3] == (0, None)
+
+
+def test_spread_of_exactly_half_the_mean_in_any_order(spark):
+    rows = [(k, x) for k, order in enumerate(itertools.permutations([18.0, 30.0, 50.0, 14.0])) for x in order]  # mean 28, spread 14
+    near = [(100, 18.0), (100, 30.0), (100, 49.0), (100, 14.0), (101, 1e200), (101, 1.2e200), (102, 5.0)]
+    got = dict(q.systematic(spark.createDataFrame(rows, "k long, x double").coalesce(1).union(spark.createDataFrame(near, "k long, x double")).coalesce(1), "k", "x").collect())
+    assert not any(got[k] for k in range(24)) and got[100] and got[102]
