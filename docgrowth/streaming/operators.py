@@ -165,14 +165,27 @@ def _stateful(
     return events.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def quota(exports: DataFrame, limit: int = 3, late: str = "1 day") -> DataFrame:
-    """(user_id, event_id, n, free): numbered per user and day; a day's count is forgotten once it is past."""
+_NOBODY = -(2**63)
 
-    def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
-        n = range(state[0] + 1, state[0] + 1 + len(rows))
-        return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "n": n, "free": [k <= limit for k in n]}), (state[0] + len(rows),)
 
-    return _stateful(exports, ["user_id", "day"], step, "user_id long, event_id long, n long, free boolean", "n long", (0,), late, _DAY)
+def quota(exports: DataFrame, limit: int = 3, late: str = "1 day", shares: int = 64) -> DataFrame:
+    """(user_id, event_id, n, free): numbered per user and day; a day's count is forgotten once it is past.
+
+    Users are dealt to `shares` shares by a hash, and a share's counts of a day are one state, so the number of states and
+    calls does not grow with the users. A row of a day that is past is late, so it makes no difference that a share's last
+    row is not each user's. No user is a user, too.
+    """
+
+    def step(key: tuple, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        before = dict(zip(*state, strict=True))
+        n = rows.groupby("_user").cumcount() + 1 + rows["_user"].map(before).fillna(0).astype("int64")
+        counts = before | n.groupby(rows["_user"]).max().to_dict()
+        user = rows["_user"].astype("Int64").mask(rows["_user"] == _NOBODY)
+        return pd.DataFrame({"user_id": user, "event_id": rows["event_id"], "n": n, "free": n <= limit}), ([int(u) for u in counts], [int(c) for c in counts.values()])
+
+    user = F.coalesce(F.col("user_id").cast("long"), F.lit(_NOBODY))
+    dealt = exports.select("ts", "event_id", "day", user.alias("_user"), F.pmod(F.xxhash64("user_id"), F.lit(shares)).alias("_share"))
+    return _stateful(dealt, ["_share", "day"], step, "user_id long, event_id long, n long, free boolean", "users array<long>, counts array<long>", ([], []), late, _DAY)
 
 
 def rolling_cvr(log: DataFrame, n: int = 10, late: str = "1 day", idle: int = 30 * _DAY) -> DataFrame:

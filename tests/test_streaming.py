@@ -78,3 +78,11 @@ def test_a_funnel_of_windows_counts_each_event_once(stream):
     start = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
     got = [(r["start"] - start, *tuple(r)[1:]) for r in o.drained(o.windowed_funnel(s), "append").orderBy("start").collect()]
     assert got == [(0, 1, 1, 0, 1, 0, 3), (86400, 0, 0, 0, 0, 1, 1), (3 * 86400, 1, 0, 0, 0, 0, 1)]  # 6 came when its day was closed
+
+
+def test_quota_of_many_users_by_shares(stream):
+    first = [(n, n, 1, "purchase", 0) for n in range(300)] + [(2000, None, 2, "purchase", 0)]
+    then = [(300 + n, n, 2, "purchase", 0) for n in range(300)] + [(2001, None, 3, "purchase", 0), (2**53 + 1, 2**53 + 1, 3, "purchase", 0)]
+    s = stream(first, then).withColumn("day", F.to_date("ts"))
+    got = {r["event_id"]: (r["user_id"], r["n"], r["free"]) for r in o.drained(o.quota(s, limit=1, shares=4), "append").collect()}
+    assert got == {e: (u, 1, True) for e, u, *_ in first} | {e: (u, 2, False) for e, u, *_ in then} | {2**53 + 1: (2**53 + 1, 1, True)}
