@@ -37,7 +37,8 @@ def _sql(v: Views, name: str, function, text: str) -> DataFrame:
 
 
 query("judge_by_policy", lambda v: _sql(v, "judge", plugged.judging({"half": _half}), "SELECT l_orderkey, row, status FROM judge(TABLE(SELECT l_orderkey, row, before_delta, after_delta, failed FROM {replays} r), 'half')"), """SELECT l_orderkey, row, CASE WHEN failed THEN 'ERROR' WHEN after_delta IS NULL THEN 'UNKNOWN' WHEN after_delta <= before_delta / 2 THEN 'PASS' ELSE 'FAIL' END AS status FROM {replays} r""")
-query("buckets_by_strategy", lambda v: _sql(v, "buckets", plugged.bucketing({"levels": (["low", "middle", "high", "never"], _level)}), "SELECT category, bucket, n FROM buckets(TABLE(SELECT category, before_delta FROM {replays} r) PARTITION BY (category), 'levels')"), """SELECT category, bucket, count(*) FILTER (WHERE CASE WHEN before_delta < 2.5 THEN 'low' WHEN before_delta < 7.5 THEN 'middle' ELSE 'high' END = bucket) AS n FROM {replays} r, (SELECT unnest(['low', 'middle', 'high', 'never']) AS bucket) b GROUP BY category, bucket""")
+#: A category has any number of rows, so it is counted in parts, which are added up.
+query("buckets_by_strategy", lambda v: _sql(v, "buckets", plugged.bucketing({"levels": (["low", "middle", "high", "never"], _level)}), f"SELECT key.category AS category, bucket, sum(n) AS n FROM buckets(TABLE(SELECT named_struct('category', category, 'part', pmod(xxhash64(l_orderkey), {16 * v.tasks})) AS key, before_delta FROM {{replays}} r) PARTITION BY (key), 'levels') GROUP BY key.category, bucket"), """SELECT category, bucket, count(*) FILTER (WHERE CASE WHEN before_delta < 2.5 THEN 'low' WHEN before_delta < 7.5 THEN 'middle' ELSE 'high' END = bucket) AS n FROM {replays} r, (SELECT unnest(['low', 'middle', 'high', 'never']) AS bucket) b GROUP BY category, bucket""")
 query("decide_by_rules", lambda v: _sql(v, "decide", plugged.deciding(_RULES), "SELECT page, block, rule, decision FROM decide(TABLE(SELECT page, block, label, w, y FROM {text_blocks} b))"), """SELECT page, block, 'wide' AS rule, 'wrap' AS decision FROM {text_blocks} a WHERE w > 80
     UNION ALL SELECT page, block, 'stamped', 'keep' FROM {text_blocks} b WHERE label = 'stamp' UNION ALL SELECT page, block, 'low', concat('footer ', block) FROM {text_blocks} c WHERE y > 180""")
 
