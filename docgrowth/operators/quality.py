@@ -104,18 +104,17 @@ def observation_diff(original: DataFrame, export: DataFrame, doc: str = "doc", p
 def word_trace(original: DataFrame, export: DataFrame) -> DataFrame:
     """(doc, page, at, expected, actual, expected_loc, actual_loc): words of a page that differ at the same place, and their places within their items.
 
-    Pages that only one side has are left out; beyond a side's last word its word is empty.
+    Pages that only one side has are left out; beyond a side's last word its word is empty. A page's words are gathered, so that pages and not words are joined.
     """
 
-    def words(d: DataFrame) -> DataFrame:
-        each = d.select("doc", "page", "seq", F.posexplode(_words("text")).alias("k", "word"))
-        n = F.row_number().over(W.partitionBy("doc", "page").orderBy("seq", "k"))
-        return each.select("doc", "page", (n - 1).alias("at"), "word", F.concat(F.col("seq").cast("string"), F.lit(".Word"), (F.col("k") + 1).cast("string")).alias("loc"))
+    def words(d: DataFrame, name: str) -> DataFrame:
+        of = lambda i: F.transform(F.coalesce(_words(i["text"]), F.array()), lambda w, k: F.struct(i["seq"].alias("seq"), (k + 1).alias("k"), w.alias("word")))
+        return d.groupBy("doc", "page").agg(F.array_sort(F.flatten(F.transform(F.collect_list(F.struct("seq", "text")), of))).alias(name))
 
-    pages = lambda d: d.select("doc", "page").distinct()
-    met = _pairs(words(original), words(export), ("doc", "page", "at")).join(pages(original), ["doc", "page"], "left_semi").join(pages(export), ["doc", "page"], "left_semi")
+    met = words(original, "o").join(words(export, "e"), ["doc", "page"]).select("doc", "page", F.posexplode(F.arrays_zip("o", "e")).alias("at", "w"))
     beyond = F.concat(F.lit("Word"), (F.col("at") + 1).cast("string"))
-    word, loc = (lambda s: F.coalesce(f"{s}_word", F.lit(""))), (lambda s: F.coalesce(f"{s}_loc", beyond))
+    word = lambda s: F.coalesce(f"w.{s}.word", F.lit(""))
+    loc = lambda s: F.coalesce(F.concat(F.col(f"w.{s}.seq").cast("string"), F.lit(".Word"), F.col(f"w.{s}.k").cast("string")), beyond)
     return met.filter(word("o") != word("e")).select("doc", "page", "at", word("o").alias("expected"), word("e").alias("actual"), loc("o").alias("expected_loc"), loc("e").alias("actual_loc"))
 
 

@@ -33,7 +33,9 @@ query("observation_diff", lambda v: q.observation_diff(v.fidelity_original, v.fi
     UNION ALL SELECT doc, NULL, 'page-count' FROM p GROUP BY doc HAVING count(x) <> count(y)""")
 _TOLD = """(SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY seq, k) - 1 AS n, word, concat(seq, '.Word', k) AS loc FROM (SELECT doc, page, seq, u.i AS k, w[u.i] AS word FROM (SELECT doc, page, seq, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM {{{0}}} x) t, unnest(range(1, len(w) + 1)) u(i)) q)"""
 _OF = "(SELECT DISTINCT doc, page FROM {{{0}}} x)"
-query("word_trace", lambda v: q.word_trace(v.fidelity_original, v.fidelity_export).withColumnRenamed("at", "place"), f"""SELECT doc, page, place::INT AS place, expected, actual, coalesce(l1, 'Word' || (place + 1)) AS expected_loc, coalesce(l2, 'Word' || (place + 1)) AS actual_loc FROM (
+#: Both sides dealt to as many tasks as their rows need, by what they are joined on.
+_sides = lambda v, *by: (d.repartition(v.tasks, *by) for d in (v.fidelity_original, v.fidelity_export))
+query("word_trace", lambda v: q.word_trace(*_sides(v, "doc", "page")).withColumnRenamed("at", "place"), f"""SELECT doc, page, place::INT AS place, expected, actual, coalesce(l1, 'Word' || (place + 1)) AS expected_loc, coalesce(l2, 'Word' || (place + 1)) AS actual_loc FROM (
     SELECT coalesce(o.doc, e.doc) AS doc, coalesce(o.page, e.page) AS page, coalesce(o.n, e.n) AS place, coalesce(o.word, '') AS expected, coalesce(e.word, '') AS actual, o.loc AS l1, e.loc AS l2
     FROM {_TOLD.format("fidelity_original")} o FULL JOIN {_TOLD.format("fidelity_export")} e ON o.doc = e.doc AND o.page = e.page AND o.n = e.n) t
     JOIN {_OF.format("fidelity_original")} a USING (doc, page) JOIN {_OF.format("fidelity_export")} b USING (doc, page) WHERE expected <> actual""")

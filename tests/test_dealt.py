@@ -21,3 +21,9 @@ def test_a_category_is_counted_in_parts(spark):
     found = entry_point.queries()["buckets_by_strategy"](spark, DATA)
     assert "xxhash64(l_orderkey" in found._jdf.queryExecution().analyzed().toString()
     assert {r["category"] for r in found.collect()} == {"A", "N", "R"} and found.count() == 12
+
+
+def test_words_of_pages_are_joined_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(views, "LINES_A_TASK", 200)
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert entry_point.queries()["word_trace"](spark, DATA).rdd.getNumPartitions() == -(-lines // 200)
