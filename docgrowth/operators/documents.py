@@ -66,7 +66,8 @@ def document_signals(docs: DataFrame, text: str = "text", pages: str = "pages",
         "rich_text": (size > 2000, 2),
     }
     found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"))) for n, (c, w) in rules.items())))
-    out = docs.withColumn("_low", F.lower(text)).withColumn("_found", found)
+    # exploded, so that a filter on what is derived from it does not search the texts again
+    out = docs.withColumn("_low", F.lower(text)).select("*", F.explode(F.array(found)).alias("_found"))
     out = out.withColumn("score", F.aggregate("_found", F.lit(0), lambda s, x: s + x["weight"])).withColumn("signals", F.col("_found.name"))
     return out.withColumn("flag", F.when(F.col("score") >= 5, "YES").when(F.col("score") <= 2, "NO").otherwise("UNCERTAIN")).drop("_low", "_found")
 

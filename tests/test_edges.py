@@ -166,3 +166,10 @@ def test_slope_of_rows(spark):
 def test_grams(spark):
     texts = made(spark, [("",), ("ab",), ("abc",), ("aé😀b",), (None,)], "t string")
     assert [r[0] for r in texts.select(s.grams(F.col("t"), 3)).collect()] == [[], [], ["abc"], ["aé😀", "é😀b"], None]
+
+
+def test_a_filter_on_the_flag_searches_texts_once(spark):
+    docs = spark.createDataFrame([(1, "Invoice total 5", 6), (2, "plain", 1), (3, None, 6)], "doc_id long, text string, pages int")
+    found = d.recommend_action(d.document_signals(docs))
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("lower(") == 1
+    assert [r["doc_id"] for r in found.collect()] == [1]
