@@ -353,10 +353,11 @@ def signature_areas(docs: DataFrame, key: str = "doc_id", text: str = "head") ->
     return docs.filter(F.col(text).rlike(SIGNATURE)).select(key, F.lit(0.7).alias("confidence"))
 
 
-def entities(docs: DataFrame, key: str = "doc_id", text: str = "head") -> DataFrame:
+def entities(docs: DataFrame, key: str = "doc_id", text: str = "head", only: str | None = None) -> DataFrame:
     """(key, place, kind, role, label, value, confidence, start, end): what a text names, in the order in which it is looked for, and where it stands.
 
     `place` is the entity's id within its document; offsets are in characters of the text, the end exclusive.
+    With `only` those of one kind, with the places that they have among all.
     """
     t, none = F.col(text), F.lit(None).cast("string")
 
@@ -367,14 +368,22 @@ def entities(docs: DataFrame, key: str = "doc_id", text: str = "head") -> DataFr
     name = lambda v: F.when(v["role"] == "patient", "Patient Name").when(v["role"] == "doctor", "Doctor Name").otherwise("Name")
     whole = F.when(t.rlike(SIGNATURE), F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("end"), t.alias("value")))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     parts = [
-        *(F.transform(_located(t, p), one("dateField", "Date", 0.9)) for p in DATES.values()),
-        F.transform(_names(t), one("nameField", name, lambda v: v["confidence"], lambda v: v["role"])),
-        F.transform(_located(t, CID, 1), one("textField", "CID", 0.9)),
-        F.transform(_located(t, NUMBER, 1), one("textField", "ID", 0.85)),
-        F.transform(_located(t, POSTCODE), one("addressField", "Postal Code", 0.85)),
-        F.transform(whole, one("signatureField", "Signature Area", 0.7)),
+        *(("dateField", F.transform(_located(t, p), one("dateField", "Date", 0.9))) for p in DATES.values()),
+        ("nameField", F.transform(_names(t), one("nameField", name, lambda v: v["confidence"], lambda v: v["role"]))),
+        ("textField", F.transform(_located(t, CID, 1), one("textField", "CID", 0.9))),
+        ("textField", F.transform(_located(t, NUMBER, 1), one("textField", "ID", 0.85))),
+        ("addressField", F.transform(_located(t, POSTCODE), one("addressField", "Postal Code", 0.85))),
+        ("signatureField", F.transform(whole, one("signatureField", "Signature Area", 0.7))),
     ]
-    return docs.select(key, F.posexplode(F.concat(*parts)).alias("place", "e")).select(key, "place", "e.*")
+    if only is None:
+        return docs.select(key, F.posexplode(F.concat(*(x for _, x in parts))).alias("place", "e")).select(key, "place", "e.*")
+    kinds = [k for k, _ in parts]
+    if only not in kinds:
+        raise ValueError(f"only one of {sorted(set(kinds))}")
+    first, last = (0, len(DATES)) if only == "dateField" else (len(DATES), len(kinds) - kinds[::-1].index(only))  # dates are counted, others built up to the kind
+    before = sum((F.regexp_count(t, F.lit(p)) for p in DATES.values()), F.lit(0)) if first else F.lit(0)
+    rows = docs.select(key, before.alias("_before"), F.posexplode(F.concat(*(x for _, x in parts[first:last]))).alias("_at", "e"))
+    return rows.filter(F.col("e.kind") == only).select(key, (F.col("_before") + F.col("_at")).alias("place"), "e.*")
 
 
 def entity_counts(entities: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

@@ -134,7 +134,7 @@ query("entity_counts", lambda v: d.entity_counts(d.entities(v.statements), d.KIN
     {" UNION ALL ".join(f"SELECT 'dateField' AS kind, unnest(regexp_extract_all(head, '{p}')) AS v FROM {{statements}} s" for p in _DATES.values())} UNION ALL SELECT 'nameField', name FROM {_NAMES} n UNION ALL SELECT 'textField', value FROM ({_CODES}) c
     UNION ALL SELECT 'addressField', value FROM ({_POSTCODES}) p UNION ALL SELECT 'signatureField', head FROM {{statements}} g WHERE regexp_matches(lower(head), 'assinatura|signature|signed by|ass\.')) e ON k.kind = e.kind GROUP BY k.kind""")
 # The first patient or other name, by role and label words, in the order of the roles and then of the text.
-query("semantic_query", lambda v: d.semantic_query(d.entities(v.statements), "nameField", label_words=("doctor", "patient"), value="^[A-Z]", first=True).select("doc_id", "role", "value"), f"""
+query("semantic_query", lambda v: d.semantic_query(d.entities(v.statements.repartition(v.tasks, "doc_id"), only="nameField"), "nameField", label_words=("doctor", "patient"), value="^[A-Z]", first=True).select("doc_id", "role", "value"), f"""
     SELECT doc_id, min_by(role, k) AS role, min_by(name, k) AS value FROM {_NAMES} n WHERE k < 2 AND regexp_matches(name, '^[A-Z]') GROUP BY doc_id""")
 query("entity_replace", lambda v: d.entity_replace(v.statements, d.semantic_query(d.entities(v.statements), role="postal"), "00000-000").select("doc_id", "replaced", "head"), rf"""
     SELECT doc_id, regexp_matches(head, '\b[0-9]{{5}}-[0-9]{{3}}\b') AS replaced, regexp_replace(head, '\b[0-9]{{5}}-[0-9]{{3}}\b', '00000-000') AS head FROM {{statements}} s""")

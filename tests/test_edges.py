@@ -173,3 +173,13 @@ def test_a_filter_on_the_flag_searches_texts_once(spark):
     found = d.recommend_action(d.document_signals(docs))
     assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("lower(") == 1
     assert [r["doc_id"] for r in found.collect()] == [1]
+
+
+def test_entities_of_one_kind_have_the_places_they_have_among_all(spark):
+    docs = spark.createDataFrame([(1, "2024-1-2 and 03/04/2024 patient: ANA LIMA, MARIA SOUZA CID: B20.1 CPF 12.3 at 01234-567, signature"), (2, None), (3, "")], "doc_id long, head string")
+    every = d.entities(docs).collect()
+    assert len({r["kind"] for r in every}) == 5
+    for kind in {r["kind"] for r in every}:
+        assert d.entities(docs, only=kind).collect() == [r for r in every if r["kind"] == kind]
+    with pytest.raises(ValueError, match="only one of"):
+        d.entities(docs, only="tableField")
