@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docgrowth.functions import plugged
 from docgrowth.functions.shared import shared_dir
@@ -31,15 +34,16 @@ def _level(value: float) -> str | None:
 _RULES = {"wide": lambda r: "wrap" if r.w > 80 else None, "stamped": lambda r: "keep" if r.label == "stamp" else None, "low": lambda r: f"footer {r.block}" if r.y > 180 else None}
 
 
-def _sql(v: Views, name: str, function, text: str) -> DataFrame:
-    v.spark.udtf.register(name, function)
-    return v.sql(text)
+def _sql(v: Views, name: str, make: Callable[[StructType], Any], rows: str, text: str) -> DataFrame:
+    """The result of text, with the table function made for the rows of a query, which text names {rows}."""
+    v.spark.udtf.register(name, make(v.sql(rows).schema))
+    return v.sql(text.replace("{rows}", rows))
 
 
-query("judge_by_policy", lambda v: _sql(v, "judge", plugged.judging({"half": _half}), "SELECT l_orderkey, row, status FROM judge(TABLE(SELECT l_orderkey, row, before_delta, after_delta, failed FROM {replays} r), 'half')"), """SELECT l_orderkey, row, CASE WHEN failed THEN 'ERROR' WHEN after_delta IS NULL THEN 'UNKNOWN' WHEN after_delta <= before_delta / 2 THEN 'PASS' ELSE 'FAIL' END AS status FROM {replays} r""")
-#: A category has any number of rows, so it is counted in parts, which are added up.
-query("buckets_by_strategy", lambda v: _sql(v, "buckets", plugged.bucketing({"levels": (["low", "middle", "high", "never"], _level)}), f"SELECT key.category AS category, bucket, sum(n) AS n FROM buckets(TABLE(SELECT named_struct('category', category, 'part', pmod(xxhash64(l_orderkey), {16 * v.tasks})) AS key, before_delta FROM {{replays}} r) PARTITION BY (key), 'levels') GROUP BY key.category, bucket"), """SELECT category, bucket, count(*) FILTER (WHERE CASE WHEN before_delta < 2.5 THEN 'low' WHEN before_delta < 7.5 THEN 'middle' ELSE 'high' END = bucket) AS n FROM {replays} r, (SELECT unnest(['low', 'middle', 'high', 'never']) AS bucket) b GROUP BY category, bucket""")
-query("decide_by_rules", lambda v: _sql(v, "decide", plugged.deciding(_RULES), "SELECT page, block, rule, decision FROM decide(TABLE(SELECT page, block, label, w, y FROM {text_blocks} b))"), """SELECT page, block, 'wide' AS rule, 'wrap' AS decision FROM {text_blocks} a WHERE w > 80
+query("judge_by_policy", lambda v: _sql(v, "judge", lambda rows: plugged.judging({"half": _half}, rows=rows), "SELECT l_orderkey, row, before_delta, after_delta, failed FROM {replays} r", "SELECT l_orderkey, row, status FROM judge(TABLE({rows}), 'half')"), """SELECT l_orderkey, row, CASE WHEN failed THEN 'ERROR' WHEN after_delta IS NULL THEN 'UNKNOWN' WHEN after_delta <= before_delta / 2 THEN 'PASS' ELSE 'FAIL' END AS status FROM {replays} r""")
+#: A category has any number of rows, so it is counted in parts, which are added up; a part's values are a list of about a sixteenth of a task's rows at most.
+query("buckets_by_strategy", lambda v: _sql(v, "buckets", lambda rows: plugged.bucketing({"levels": (["low", "middle", "high", "never"], _level)}, rows), f"SELECT key, collect_list(before_delta) AS deltas FROM (SELECT /*+ REPARTITION({v.tasks}, key) */ * FROM (SELECT named_struct('category', category, 'part', pmod(xxhash64(l_orderkey), {16 * v.tasks})) AS key, before_delta FROM {{replays}} r) k) p GROUP BY key", "SELECT key.category AS category, bucket, sum(n) AS n FROM buckets(TABLE({rows}), 'levels') GROUP BY key.category, bucket"), """SELECT category, bucket, count(*) FILTER (WHERE CASE WHEN before_delta < 2.5 THEN 'low' WHEN before_delta < 7.5 THEN 'middle' ELSE 'high' END = bucket) AS n FROM {replays} r, (SELECT unnest(['low', 'middle', 'high', 'never']) AS bucket) b GROUP BY category, bucket""")
+query("decide_by_rules", lambda v: _sql(v, "decide", lambda rows: plugged.deciding(_RULES, rows), "SELECT page, block, label, w, y FROM {text_blocks} b", "SELECT page, block, rule, decision FROM decide(TABLE({rows}))"), """SELECT page, block, 'wide' AS rule, 'wrap' AS decision FROM {text_blocks} a WHERE w > 80
     UNION ALL SELECT page, block, 'stamped', 'keep' FROM {text_blocks} b WHERE label = 'stamp' UNION ALL SELECT page, block, 'low', concat('footer ', block) FROM {text_blocks} c WHERE y > 180""")
 
 # --- written through a sink, and what is read back
