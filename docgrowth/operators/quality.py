@@ -246,17 +246,17 @@ def failure_scope(rows: DataFrame, by: str, failed: Column) -> DataFrame:
 
 
 def systematic(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Whether errors are alike: spread under half the mean, or a mean of 0.
+    """Whether errors are alike: spread under half the mean, or a mean of 0; null without errors.
 
     A spread that is half the mean, as far as its rounding can tell, is judged by sums (4 n times that of squares against 5
     times the squared one), which are exact for whole numbers; the deviation itself depends on the order in which rows are met.
     """
     v = F.col(value).cast("double")
     out = rows.groupBy(by).agg(F.stddev_pop(v).alias("sd"), F.avg(v).alias("mean"), F.count(v).alias("n"), F.sum(v).alias("sum"), F.sum(v * v).alias("squares"))
-    half = 0.5 * F.abs("mean")
-    near = F.abs(F.col("sd") - half) <= 1e-9 * half
-    alike = F.when(near, 4 * F.col("n") * F.col("squares") < 5 * F.col("sum") * F.col("sum")).otherwise(F.col("sd") < half)
-    return out.select(by, F.coalesce((F.col("mean") == 0) | alike, F.lit(False)).alias("systematic"))
+    sd, half = F.when(F.col("n") == 1, 0.0).otherwise(F.col("sd")), 0.5 * F.abs("mean")  # one value has no spread, be it infinite
+    near = (F.abs(sd - half) <= 1e-9 * half) & (half < float("inf"))
+    alike = F.when(near, 4 * F.col("n") * F.col("squares") < 5 * F.col("sum") * F.col("sum")).otherwise(sd < half)
+    return out.select(by, ((F.col("mean") == 0) | alike).alias("systematic"))
 
 
 # Thresholds of the failure dimensions and the root cause of each.

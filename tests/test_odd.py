@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_point
 from docgrowth.operators import layout as h
 
@@ -18,7 +20,7 @@ def same(spark, tmp_path, name, table, found, keys):
     want = con.execute(entry_point.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     got = [tuple(r[c] for c in columns) for r in entry_point.queries()[name](spark, str(tmp_path)).collect()]
-    assert sorted(got) == sorted(want.fetchall()) and len(got) == keys
+    assert sorted(got, key=str) == sorted(want.fetchall(), key=str) and len(got) == keys
     return got
 
 
@@ -29,3 +31,13 @@ def test_paragraphs_of_blanks(spark, tmp_path):
     rows = spark.createDataFrame([("a b c d", 3), (" a", 2), ("", 2), ("a\nb", 3)], "text string, lines int")
     got = [(r["text"], r["parts"], r["n"], r["part"]) for r in h.split_paragraph(rows).collect()]
     assert got == [("a b c d", 2, 0, "a b"), ("a b c d", 2, 1, "c d"), (" a", 2, 0, ""), (" a", 2, 1, "a"), ("", 1, 0, ""), ("a\nb", 2, 0, "a"), ("a\nb", 2, 1, "b")]
+
+
+def test_spread_of_odd_quantities(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    orders = [[None], [None, None], [None, 4.0], [4.0], [0.0], [-3.0, 3.0], [0.0, -0.0], [nan], [nan, 2.0], [inf], [inf, 2.0], [-inf], [-inf, inf], [1e200, 1.2e200], [-4.0, -5.0], [2.0, 2.0], [1.0, 9.0]]
+    rows = [(k, x, at) for k, order in [*enumerate(orders), (None, [1.0, 1.5])] for at, x in enumerate(order)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_linenumber int")
+    rest = {"l_partkey": "long", "l_suppkey": "long", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string"}
+    got = same(spark, tmp_path, "systematic", "lineitem", lines.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in rest.items())), len(orders) + 1)
+    assert dict(got)[0] is None and dict(got)[2] and dict(got)[9]
